@@ -25,3 +25,18 @@ def local_session(cpus: int | str = "*", app: str = "frostline", **conf: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, so that functions in it can be unpickled in any working folder."""
+    import os
+    import shutil
+    import tempfile
+
+    context = spark.sparkContext
+    if getattr(context, "_frostline_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "frostline")
+    context.addPyFile(shutil.make_archive(name, "zip", root, "frostline"))
+    context._frostline_shipped = True
