@@ -75,3 +75,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def schema_with(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *fields])
+
+
+def tree_sum(df: DataFrame, add, rows: int, cols: int) -> "np.ndarray":
+    """Sum a rows x cols matrix over the partitions of df; ``add(iterator of pandas frames)`` gives a partition's matrix.
+
+    Partitions send their rows keyed by row number; sums are formed on the executors in two levels, so that
+    neither a task nor the driver ever holds more than a bounded share: the driver gets one matrix.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def part(frames):
+        m = np.asarray(add(frames), dtype=np.float64).reshape(rows, cols)
+        yield pd.DataFrame({"i": np.arange(rows, dtype=np.int32), "v": list(m)})
+
+    def total(pdf):
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "v": [np.sum(np.stack(pdf["v"].to_list()), axis=0)]})
+
+    shape = "i int, v array<double>"
+    sums = df.mapInPandas(part, shape).withColumn("g", F.spark_partition_id() % 64)
+    sums = sums.groupBy("i", "g").applyInPandas(total, shape).groupBy("i").applyInPandas(total, shape)
+    out = np.zeros((rows, cols))
+    for r in sums.collect():
+        out[r["i"]] += np.array(r["v"])
+    return out

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, tokens
+from frostline.llm import chat, contamination, mixing, quality, tokens, toxicity
 from frostline.llm.common import Scratch, read
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "quality"))
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tokens")
     to = scratch.path("out")
@@ -16,6 +20,10 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(tokens.read_tokens(spark, to))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), Scratch(spark, "mixing"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(
@@ -25,5 +33,25 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
-QUERIES = {"op2_token_binary": op2_token_binary, "op5_chat_format": op5_chat_format}
-ORACLES = {"op5_chat_format": chat.ORACLE}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "contamination")
+    return contamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), scratch).drop("mark")
+
+
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_token_binary": op2_token_binary,
+    "op3_mix_sources": op3_mix_sources,
+    "op5_chat_format": op5_chat_format,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontaminate": op7_decontaminate,
+}
+ORACLES = {
+    "op3_mix_sources": mixing.ORACLE,
+    "op5_chat_format": chat.ORACLE,
+    "op7_decontaminate": contamination.ORACLE,
+}
