@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, contamination, mixing, quality, tokens, toxicity
+from frostline.llm import chat, contamination, mixing, quality, suffix, tokens, toxicity
 from frostline.llm.common import Scratch, read
 
 
@@ -42,6 +42,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), scratch).drop("mark")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.remove_repeats(read(spark, sf_dir, "documents"), Scratch(spark, "suffix")))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_binary": op2_token_binary,
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
     "op3_mix_sources": mixing.ORACLE,
