@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,7 @@ class Scratch:
 
     def stage(self, name: str, df: DataFrame) -> DataFrame:
         """Write df as a table and read it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -50,8 +51,10 @@ class Scratch:
 
     def free_shuffles(self) -> None:
         """Let Spark's cleaner drop shuffle files of finished plans now, not at its next half-hourly collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round lets go may hold more
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
 1. Every ``length``-byte window has anchors: those of its ``GRAM``-byte strings whose hash is the least in it. Equal windows have equal
    anchors, so a window repeats only where its first anchor does. Anchor hashes are counted over all documents (least and largest
    doc_id, combined before the shuffle); windows whose anchor stands in one document alone cannot repeat and need no more work.
-2. Consecutive windows of one anchor form a segment of under twice ``length`` bytes. Equal segments are one row with their least doc_id.
+2. Consecutive windows of one anchor form a segment of under twice ``length`` bytes. A task sends equal segments on once.
 3. Segments are dealt to shards by anchor; an anchor with more than HOT segments is dealt over several shards. Each shard
    sorts its suffixes by Larsson-Sadakane refinement (only groups that are still tied are sorted again, by the rank of the suffix
    that follows) and finds their common prefixes by Kasai's rule, for all segments of the shard side by side. Neighbours with a common
@@ -23,6 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,9 @@ from frostline.llm.common import Scratch, maybe_broadcast, text_or_empty
 LENGTH, GRAM = 50, 16
 #: Segments of one anchor in one shard; bytes of segments sorted at once; windows merged at once.
 HOT, SHARD_BYTES, MERGE = 4_096, 4 << 20, 50_000
+#: Segments that a task remembers, so as to send the bytes of each once.
+MEMO = 1_000_000
+CUT = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
 
 def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -151,7 +157,7 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray, most: in
     return out
 
 
-def equal_windows(parts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, offset, group) of each window of the segments, in suffix order; group numbers rise from 0."""
     text = np.frombuffer(b"".join(parts), np.uint8)
     lengths = np.array([len(x) for x in parts], np.int64)
@@ -183,29 +189,43 @@ def _runs(owner: np.ndarray, offset: np.ndarray, least: np.ndarray, own: np.ndar
 
 
 RUNS = "array<struct<off:int,n:int,least:long>>"
+SORTED = {"anchor": pa.int64(), "id": pa.int64(), "salt": pa.int32(), "runs": pa.list_(pa.struct({"off": pa.int32(), "n": pa.int32(), "least": pa.int64()})), "window": pa.binary(), "offset": pa.int32(), "least": pa.int64()}
 
 
-def _shards(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+def _batch(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, SORTED.values(), strict=True)], list(SORTED))
+
+
+def _bodies(texts: pa.Array) -> list[np.ndarray]:
+    """The bytes of each text of an Arrow column, without copies."""
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    body = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return [body[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     """Gather rows that stand in order of (anchor, salt) into shards of about ``size`` bytes, never cutting one (anchor, salt)."""
-    held: list[pd.DataFrame] = []
-    total = 0
-    for pdf in frames:
-        if not len(pdf):
+    held: list[pa.RecordBatch] = []
+    total, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        key = pdf["anchor"].to_numpy() * 31 + pdf["salt"].to_numpy()
-        bytes_so_far = total + np.cumsum(pdf["part"].str.len().to_numpy())
-        begins = np.concatenate([[not held or (held[-1]["anchor"].iloc[-1], held[-1]["salt"].iloc[-1]) != (pdf["anchor"].iloc[0], pdf["salt"].iloc[0])], key[1:] != key[:-1]])
+        anchor, salt = batch["anchor"].to_numpy(), batch["salt"].to_numpy()
+        bytes_so_far = np.cumsum(pc.fill_null(pc.binary_length(batch["part"]), 0).to_numpy()) + total
+        new = np.concatenate([[(anchor[0], salt[0]) != last], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
         start, done = 0, 0
-        for at in np.flatnonzero(begins):
+        for at in np.flatnonzero(new):
             before = int(bytes_so_far[at - 1]) if at else total
             if before - done >= size:
-                held.append(pdf.iloc[start:at])
-                yield pd.concat(held)
+                held.append(batch.slice(start, at - start))
+                yield pa.Table.from_batches(held)
                 held, start, done = [], at, before
-        held.append(pdf.iloc[start:])
-        total = int(bytes_so_far[-1]) - done
+        held.append(batch.slice(start))
+        total, last = int(bytes_so_far[-1]) - done, (anchor[-1], salt[-1])
     if held:
-        yield pd.concat(held)
+        yield pa.Table.from_batches(held)
 
 
 def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -213,55 +233,82 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
 
-    def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = [segments(np.frombuffer(x.encode(), np.uint8), length) for x in pdf["text"]]
-            each = [len(x[0]) for x in out]
-            starts, windows, hashes = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-            for a in range(0, len(starts), 200_000):
-                cut = slice(a, a + 200_000)
-                yield pd.DataFrame({"anchor": hashes[cut], "doc": np.repeat(pdf["doc"].to_numpy(), each)[cut], "mark": np.repeat(pdf["mark"].to_numpy(), each)[cut], "start": starts[cut].astype(np.int32), "windows": windows[cut].astype(np.int32)})
-
-    found = docs.mapInPandas(anchors, "anchor long, doc long, mark long, start int, windows int")
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [segments(x, length)[2] for x in _bodies(batch["text"])]
+            doc = np.repeat(batch["doc"].to_numpy(), [len(x) for x in each])
+            hashes = np.concatenate(each) if each else doc
+            for a in range(0, len(doc), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[a : a + 200_000]), pa.array(doc[a : a + 200_000])], ["anchor", "doc"])
+
+    found = docs.select("doc", "text").mapInArrow(anchors, "anchor long, doc long")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
     shared = scratch.stage("shared", shared)
     scratch.free_shuffles()
-    wanted = found.join(shared, "anchor").groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("at"))
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc, mark, text, at in zip(pdf["doc"], pdf["mark"], pdf["text"], pdf["at"], strict=True):
-                body = text.encode()
-                yield pd.DataFrame([(doc, mark, x["start"], x["anchor"], body[x["start"] : x["start"] + x["windows"] + length - 1]) for x in at], columns=["doc", "mark", "start", "anchor", "part"])
+    wanted = scratch.stage("wanted", found.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")))
+    scratch.free_shuffles()
 
-    parts = docs.join(wanted, ["doc", "mark"]).mapInPandas(cut, "doc long, mark long, start int, anchor long, part binary")
-    parts = scratch.stage("parts", parts.withColumn("id", F.xxhash64("part")))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each segment with a shared anchor; its bytes with the first of its rows in this task, and a second row is marked as well."""
+        seen: dict[tuple[int, int], list[int]] = {}
+        names = ["doc", "mark", "start", "anchor", "id", "send", "part"]
+        for batch in batches:
+            rows: list[list] = [[] for _ in names]
+            for doc, mark, body, want in zip(batch["doc"].to_pylist(), batch["mark"].to_pylist(), _bodies(batch["text"]), batch["anchors"], strict=True):
+                start, windows, hashes = segments(body, length)
+                at = np.flatnonzero(np.isin(hashes, want.values.to_numpy()))
+                raw, starts, stops, anchor = body.tobytes(), start[at].tolist(), (start + windows)[at].tolist(), hashes[at].tolist()
+                parts = [raw[i : j + length - 1] for i, j in zip(starts, stops, strict=True)]
+                ids = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in parts]
+                for k, key in enumerate(zip(anchor, ids, strict=True)):
+                    had = seen.get(key)
+                    new = had is None or doc < had[0]
+                    send = new or (doc != had[0] and not had[1])
+                    if send:
+                        seen[key] = [doc, had is not None]
+                    rows[5].append(send)
+                    rows[6].append(parts[k] if new else None)
+                for col, values in zip(rows, ([doc] * len(at), [mark] * len(at), starts, anchor, ids), strict=False):
+                    col.extend(values)
+                if len(seen) > MEMO:
+                    seen.clear()
+                if len(rows[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, CUT, strict=True)], names)
+                    rows = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, CUT, strict=True)], names)
+
+    parts = docs.join(wanted, "doc").mapInArrow(cut, "doc long, mark long, start int, anchor long, id long, send boolean, part binary")
+    parts = scratch.stage("parts", parts)
+    scratch.drop("wanted", "shared")
     scratch.free_shuffles()
-    each = parts.groupBy("anchor", "id").agg(F.min("doc").alias("least"), F.max("doc").alias("largest"), F.first("part").alias("part"))
-    each = scratch.stage("each", each)
-    counts = each.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.ceil(F.col("count") / hot).alias("over"))
+    sent = parts.where("send").select("anchor", "id", "doc", "part")
+    counts = sent.where("part is not null").groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.ceil(F.col("count") / hot).alias("over"))
     counts = scratch.stage("hot", counts)
-    salted = each.join(maybe_broadcast(counts), "anchor", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", F.lit(5)), F.col("over")), F.lit(-1)).cast("int"))
-    salted = salted.select("anchor", "id", "least", "largest", "part", "salt")
-    dealt = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id")
-
-    def sort_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _shards(frames, SHARD_BYTES):
-            anchor, ids, least, largest, salt = (pdf[c].to_numpy() for c in ("anchor", "id", "least", "largest", "salt"))
-            bodies = pdf["part"].tolist()
-            owner, offset, group = equal_windows(bodies, least, length)
-            if not len(owner):
-                continue
+    salt = F.coalesce(F.pmod(F.xxhash64("id", F.lit(5)), F.col("over")), F.lit(-1)).cast("int")
+    dealt = sent.join(maybe_broadcast(counts), "anchor", "left").select("anchor", salt.alias("salt"), "id", "doc", "part")
+    dealt = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "doc")
+
+    def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _shards(batches, SHARD_BYTES):
+            anchor, salt, ids, doc = (table[c].to_numpy() for c in ("anchor", "salt", "id", "doc"))
+            first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1])]))
+            least, largest = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+            bodies = table["part"].take(first).to_pylist()  # the least doc_id's row has the bytes
+            anchor, salt, ids = anchor[first], salt[first], ids[first]
+            owner, offset, group = equal_windows(bodies, length)
             low = np.minimum.reduceat(least[owner], np.flatnonzero(np.diff(group, prepend=-1)))
             cold = salt[owner] < 0
             seg, runs = _runs(owner[cold], offset[cold], low[group[cold]], largest)
-            yield pd.DataFrame({"anchor": anchor[seg], "id": ids[seg], "salt": -1, "runs": runs, "window": None, "offset": -1, "least": 0})
+            none = np.zeros(len(seg), np.int64)
+            yield _batch(anchor[seg], ids[seg], none - 1, runs, [None] * len(seg), none, none)
             warm = np.flatnonzero(~cold)  # windows of split anchors: each with its bytes, in order
             for a in range(0, len(warm), 50_000):
                 w = warm[a : a + 50_000]
-                yield pd.DataFrame({"anchor": anchor[owner[w]], "id": ids[owner[w]], "salt": salt[owner[w]], "runs": None, "window": [bodies[o][s : s + length] for o, s in zip(owner[w], offset[w], strict=True)], "offset": offset[w], "least": low[group[w]]})
+                windows = [bodies[o][s : s + length] for o, s in zip(owner[w].tolist(), offset[w].tolist(), strict=True)]
+                yield _batch(anchor[owner[w]], ids[owner[w]], salt[owner[w]], [None] * len(w), windows, offset[w], low[group[w]])
 
-    sorted_ = dealt.mapInPandas(sort_shards, f"anchor long, id long, salt int, runs {RUNS}, window binary, offset int, least long")
+    shape = f"anchor long, id long, salt int, runs {RUNS}, window binary, offset int, least long"
+    sorted_ = dealt.mapInArrow(sort_shards, shape)
     sorted_ = scratch.stage("sorted", sorted_)
     scratch.free_shuffles()
     runs = sorted_.where("salt < 0").select("anchor", "id", F.explode("runs").alias("r")).select("anchor", "id", "r.*")
@@ -310,7 +357,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot:
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text_or_empty().alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     spans = scratch.stage("spans", find_repeats(rows.select("doc", "mark", "text"), scratch, length, hot))
-    scratch.drop("parts", "each", "sorted", "shared")
+    scratch.drop("parts", "sorted")
     scratch.free_shuffles()
 
     def strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
