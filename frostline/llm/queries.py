@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, contamination, mixing, quality, suffix, tokens, toxicity
+from frostline.llm import chat, contamination, mixing, neardup, quality, suffix, tokens, toxicity
 from frostline.llm.common import Scratch, read
 
 
@@ -24,6 +24,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), Scratch(spark, "mixing"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "neardup")).select("doc_id", "class_id")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_binary": op2_token_binary,
     "op3_mix_sources": op3_mix_sources,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
