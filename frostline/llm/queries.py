@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, contamination, mixing, neardup, quality, suffix, tokens, toxicity
+from frostline.llm import chat, contamination, mixing, neardup, quality, suffix, tokens, toxicity, vectors
 from frostline.llm.common import Scratch, read
 
 
@@ -46,6 +46,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), scratch).drop("mark")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = read(spark, sf_dir, "embeddings")
+    return vectors.nearest(vecs, vecs.where(F.col("vec_id") % 20 == 0), Scratch(spark, "vectors"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(suffix.remove_repeats(read(spark, sf_dir, "documents"), Scratch(spark, "suffix")))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
