@@ -56,14 +56,18 @@ def statistics(text: str) -> list[float]:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x array<float>) of each row of docs (doc_id, text); null texts are empty ones, other columns are ignored."""
+    """(doc_id, mark, x array<float>) of each row of docs (doc_id, text); null texts are empty ones, other columns are ignored.
+
+    mark is the xxhash64 of id and text.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [np.array(statistics(t), np.float32) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": pdf["mark"], "x": [np.array(statistics(t), np.float32) for t in pdf["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {kind}, x array<float>")
+    texts = docs.select("doc_id", F.xxhash64("doc_id", text_or_empty()).alias("mark"), text_or_empty().alias("text"))
+    return texts.mapInPandas(run, f"doc_id {kind}, mark long, x array<float>")
 
 
 @dataclass
@@ -160,6 +164,14 @@ def fit(labelled: DataFrame) -> Model:
     return Model(base.mean, base.spread, weights, (at + 0.5) / BINS * 3 - 1, isotonic(sums[at], counts[at]))
 
 
+def score_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality") -> DataFrame:
+    """As ``score_documents``, with the column mark (the xxhash64 of id and text) after doc_id."""
+    stats = scratch.stage("statistics", document_statistics(docs))
+    known = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT))
+    labelled = scratch.stage("labelled", known.join(stats, "doc_id").select("x", "y", crc_mod("doc_id", FOLDS).alias("fold")))
+    return score_statistics(stats, fit(labelled))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality") -> DataFrame:
     """Score every row of docs (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 where score >= 0.3).
 
@@ -167,20 +179,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, label:
     documents are ignored; repeated label rows weigh as often as they stand. Null and empty texts are scored like any other; a null doc_id
     is scored and never held out. Repeated documents keep their rows. Other columns are never inputs.
     """
-    stats = scratch.stage("statistics", document_statistics(docs))
-    known = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT))
-    labelled = scratch.stage("labelled", known.join(stats, "doc_id").select("x", "y", crc_mod("doc_id", FOLDS).alias("fold")))
-    model = fit(labelled)
-    return score_statistics(stats, model)
+    return score_rows(docs, labels, scratch, label).drop("mark")
 
 
 def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(np.stack(pdf["x"].to_list()).astype(float))})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": pdf["mark"], "score": model.score(np.stack(pdf["x"].to_list()).astype(float))})
 
     kind = stats.schema["doc_id"].dataType.simpleString()
-    out = stats.mapInPandas(run, f"doc_id {kind}, score double")
+    out = stats.mapInPandas(run, f"doc_id {kind}, mark long, score double")
     held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", "mark", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

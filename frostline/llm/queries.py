@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, contamination, mixing, neardup, quality, suffix, tokens, toxicity, vectors
+from frostline.llm import chat, contamination, mixing, neardup, quality, revisit, suffix, tokens, toxicity, vectors
 from frostline.llm.common import Scratch, read
 
 
@@ -46,6 +46,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), scratch).drop("mark")
 
 
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "revisit")
+    records = revisit.records_of_pages(read(spark, sf_dir, "pages"))
+    return revisit.digests(revisit.with_bodies(scratch.stage("resolved", revisit.resolve(records, scratch)), records))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = read(spark, sf_dir, "embeddings")
     return vectors.nearest(vecs, vecs.where(F.col("vec_id") % 20 == 0), Scratch(spark, "vectors"))
@@ -63,6 +69,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op8_revisits": op8_revisits,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -70,4 +77,5 @@ ORACLES = {
     "op3_mix_sources": mixing.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op7_decontaminate": contamination.ORACLE,
+    "op8_revisits": revisit.ORACLE,
 }

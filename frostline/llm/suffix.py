@@ -33,10 +33,11 @@ from frostline.llm.common import Scratch, maybe_broadcast, text_or_empty
 
 LENGTH, GRAM = 50, 16
 #: Segments of one anchor in one shard; bytes of segments sorted at once; windows merged at once.
-HOT, SHARD_BYTES, MERGE = 4_096, 4 << 20, 50_000
+HOT, SHARD_BYTES, MERGE = 4_096, 512 << 10, 50_000
+#: Bytes of text hashed at once.
+CHUNK = 256 << 10
 #: Segments that a task remembers, so as to send the bytes of each once.
-MEMO = 1_000_000
-CUT = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+MEMO = 500_000
 
 
 def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -60,66 +61,78 @@ def _hashes(text: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(31))
 
 
-def segments(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, anchor hash) of each maximal run of windows with the same first anchor."""
+def segments(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, windows, anchor hash) of each maximal run of windows with the same first anchor.
+
+    text: documents one after another; ends: where each ends. Starts count from the document's beginning.
+    """
     if len(text) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     v = _hashes(text)
     width = length - GRAM + 1
     least = _slide(v, width, np.minimum)
-    # the first place of the least hash: hashes equal to a window's least one are few, so look at those alone
     edge = np.zeros(width - 1, np.uint64)
     reach = _slide(np.concatenate([edge, least, edge]), width, np.maximum)
-    at = np.flatnonzero(v == reach)
-    starts = np.arange(len(least))
-    first = at[np.searchsorted(at, starts)]
-    # an anchor of another window may stand before the window's own: step on to the one with the least hash
-    wrong = np.flatnonzero(v[first] != least)
-    k = np.searchsorted(at, starts[wrong])
+    found = v == reach  # hashes that are the least of some window
+    at = np.flatnonzero(found)
+    k = (np.cumsum(found) - found)[: len(least)]  # the first of them in each window or after
+    whole = np.ones(len(text) + 1, bool)  # windows inside one document
+    begins = np.concatenate([[0], ends[:-1]])
+    for back in range(1, length):
+        whole[np.maximum(ends - back, begins)] = False
+    starts = np.flatnonzero(whole[: len(least)])
+    k = k[starts]
+    wrong = np.flatnonzero(v[at[k]] != least[starts])  # another window's stands before: step on
     while len(wrong):
-        k = k + 1
-        first[wrong] = at[k]
-        bad = v[first[wrong]] != least[wrong]
-        wrong, k = wrong[bad], k[bad]
-    new = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-    return new, np.diff(np.append(new, len(least))), least[new].view(np.int64)
+        k[wrong] += 1
+        wrong = wrong[v[at[k[wrong]]] != least[starts[wrong]]]
+    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (starts[1:] != starts[:-1] + 1)])[: len(starts)])
+    first = starts[new]
+    owner = np.searchsorted(ends, first, side="right")
+    return owner, first - begins[owner], np.diff(np.append(new, len(starts))), least[first].view(np.int64)
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The suffixes of concatenated segments in order; each ends with its segment (ends: cumulative lengths). Ties by position.
 
-    Larsson-Sadakane refinement: start from the order by eight bytes; while groups are tied, sort them by the rank of the suffix that
-    lies as many bytes on as are known to be equal, which doubles that number each time.
+    Larsson-Sadakane refinement: start from the order by a few bytes; while groups are tied, sort them by the rank of the suffix that
+    lies as many bytes on as are known to be equal, which doubles that number each time. Sort keys carry the position in their low bits.
     """
     n = len(text)
+    bits = max(n + 2, 2).bit_length()
     lengths = np.diff(np.concatenate([[0], ends]))
     left = np.repeat(ends, lengths) - np.arange(n)
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)  # seven bytes of 9 bits, the end before all of them
-    for k in range(7):
-        key = (key << np.uint64(9)) | np.where(left > k, padded[k : k + n], np.uint64(0))
-    sa = np.argsort(key, kind="stable")
-    sorted_key = key[sa]
-    head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    known, longest = max(1, min(5, (63 - bits) // 9)), int(lengths.max(initial=0))
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(known, np.int64)])
+    key = np.zeros(n, np.int64)  # the end of a segment stands before all bytes
+    for k in range(known):
+        key = key * 257 + np.where(left > k, padded[k : k + n], 0)
+    where, low = np.arange(n), (1 << bits) - 1
+    both = np.sort(key << bits | where)
+    sa, both = both & low, both >> bits
+    head = np.concatenate([[True], both[1:] != both[:-1]])[:n]
     rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    place = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    place = np.maximum.accumulate(np.where(head, where, 0))
     rank[sa] = place
-    known, longest = 7, int(lengths.max(initial=0))
     while known < longest:
-        tied = ~head | ~np.append(head[1:], True)
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(~head | ~np.append(head[1:], True))
         if not len(at):
             break
-        some = sa[at]
-        follow = np.where(left[some] > known, rank[np.minimum(some + known, n)], -1)
-        order = np.argsort(place[at] * (n + 2) + follow + 1, kind="stable")
-        some, follow, group = some[order], follow[order], place[at]
+        some, group = sa[at], place[at]
+        follow = np.where(left[some] > known, rank[np.minimum(some + known, n)], -1) + 1
+        if 3 * bits < 64:
+            both = np.sort((group << bits | follow) << bits | some)
+            some, both = both & low, both >> bits
+            apart = both[1:] != both[:-1]
+        else:
+            order = np.lexsort([some, follow, group])
+            some, follow = some[order], follow[order]
+            apart = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
         sa[at] = some
-        head[at] = np.concatenate([[True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])])
-        place = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank[sa[at]] = place[at]
+        head[at] = np.concatenate([[True], apart])
+        place[at] = np.maximum.accumulate(np.where(head[at], at, 0))
+        rank[some] = place[at]
         known *= 2
     return sa
 
@@ -128,6 +141,7 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray, most: in
     """Kasai: how many bytes, ``most`` at the highest, each suffix shares with the one before it in order; by text position.
 
     One byte further in the text, a suffix shares at least one byte less than its left neighbour did. All segments go in step.
+    Suffixes of under ``most`` bytes are left out (0).
     """
     n = len(text)
     lengths = np.diff(np.concatenate([[0], ends]))
@@ -138,7 +152,7 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray, most: in
     out = np.zeros(n, np.int64)
     lane = np.argsort(-lengths, kind="stable")
     carried = np.zeros(len(lengths), np.int64)
-    per_step = np.searchsorted(-lengths[lane], -np.arange(1, int(lengths.max(initial=0)) + 1), side="right")
+    per_step = np.searchsorted(-lengths[lane], -np.arange(most, int(lengths.max(initial=0)) + 1), side="right")
     for t, live in enumerate(per_step):
         lanes = lane[:live]
         p = begin[lanes] + t
@@ -196,13 +210,18 @@ def _batch(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, SORTED.values(), strict=True)], list(SORTED))
 
 
-def _bodies(texts: pa.Array) -> list[np.ndarray]:
-    """The bytes of each text of an Arrow column, without copies."""
-    wide = pa.types.is_large_string(texts.type)
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    body = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    return [body[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+def _chunks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The columns of consecutive rows as arrays, the batch's part, their texts' bytes one after another, and the texts' ends."""
+    for batch in batches:
+        texts = batch["text"]
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        body = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, side="right")) - 1)
+            yield *(batch[c].to_numpy()[i:j] for c in columns), batch.slice(i, j - i), body[at[i] : at[j]], at[i + 1 : j + 1] - at[i]
+            i = j
 
 
 def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -234,12 +253,9 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
         raise ValueError(f"length must be {2 * GRAM} at least")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [segments(x, length)[2] for x in _bodies(batch["text"])]
-            doc = np.repeat(batch["doc"].to_numpy(), [len(x) for x in each])
-            hashes = np.concatenate(each) if each else doc
-            for a in range(0, len(doc), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[a : a + 200_000]), pa.array(doc[a : a + 200_000])], ["anchor", "doc"])
+        for doc, _, text, ends in _chunks(batches, "doc"):
+            owner, _, _, hashes = segments(text, ends, length)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(doc[owner])], ["anchor", "doc"])
 
     found = docs.select("doc", "text").mapInArrow(anchors, "anchor long, doc long")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
@@ -250,32 +266,31 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each segment with a shared anchor; its bytes with the first of its rows in this task, and a second row is marked as well."""
-        seen: dict[tuple[int, int], list[int]] = {}
-        names = ["doc", "mark", "start", "anchor", "id", "send", "part"]
-        for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            for doc, mark, body, want in zip(batch["doc"].to_pylist(), batch["mark"].to_pylist(), _bodies(batch["text"]), batch["anchors"], strict=True):
-                start, windows, hashes = segments(body, length)
-                at = np.flatnonzero(np.isin(hashes, want.values.to_numpy()))
-                raw, starts, stops, anchor = body.tobytes(), start[at].tolist(), (start + windows)[at].tolist(), hashes[at].tolist()
-                parts = [raw[i : j + length - 1] for i, j in zip(starts, stops, strict=True)]
-                ids = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in parts]
-                for k, key in enumerate(zip(anchor, ids, strict=True)):
-                    had = seen.get(key)
-                    new = had is None or doc < had[0]
-                    send = new or (doc != had[0] and not had[1])
-                    if send:
-                        seen[key] = [doc, had is not None]
-                    rows[5].append(send)
-                    rows[6].append(parts[k] if new else None)
-                for col, values in zip(rows, ([doc] * len(at), [mark] * len(at), starts, anchor, ids), strict=False):
-                    col.extend(values)
-                if len(seen) > MEMO:
-                    seen.clear()
-                if len(rows[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, CUT, strict=True)], names)
-                    rows = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, CUT, strict=True)], names)
+        seen: dict[tuple[int, int], tuple[int, bool]] = {}
+        for docs, marks, rows, text, ends in _chunks(batches, "doc", "mark"):
+            owner, start, windows, hashes = segments(text, ends, length)
+            want = np.unique(rows["anchors"].flatten().to_numpy())
+            at = np.searchsorted(want, hashes)
+            at = np.flatnonzero(want[np.minimum(at, len(want) - 1)] == hashes) if len(want) else np.zeros(0, np.int64)
+            owner, start, hashes = owner[at], start[at], hashes[at]
+            raw, first = text.tobytes(), start + np.concatenate([[0], ends[:-1]])[owner]
+            parts = [raw[i:j] for i, j in zip(first.tolist(), (first + windows[at] + length - 1).tolist(), strict=True)]
+            ids = np.array([xxhash.xxh3_64_intdigest(x) for x in parts], np.uint64).view(np.int64)
+            doc, send = docs[owner], np.zeros(len(parts), bool)
+            for k, (key, d) in enumerate(zip(zip(hashes.tolist(), ids.tolist(), strict=True), doc.tolist(), strict=True)):
+                had = seen.get(key)
+                if had is None or d < had[0]:
+                    seen[key] = (d, had is not None)
+                    send[k] = True
+                else:
+                    parts[k] = None
+                    if d != had[0] and not had[1]:
+                        seen[key] = (had[0], True)
+                        send[k] = True
+            if len(seen) > MEMO:
+                seen.clear()
+            cols = [pa.array(x) for x in (doc, marks[owner], start.astype(np.int32), hashes, ids, send)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(parts, pa.binary())], ["doc", "mark", "start", "anchor", "id", "send", "part"])
 
     parts = docs.join(wanted, "doc").mapInArrow(cut, "doc long, mark long, start int, anchor long, id long, send boolean, part binary")
     parts = scratch.stage("parts", parts)
@@ -295,6 +310,14 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
             least, largest = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
             bodies = table["part"].take(first).to_pylist()  # the least doc_id's row has the bytes
             anchor, salt, ids = anchor[first], salt[first], ids[first]
+            alone = np.concatenate([[True], anchor[1:] != anchor[:-1]]) & np.concatenate([anchor[1:] != anchor[:-1], [True]]) & (salt < 0)
+            at = np.flatnonzero(alone & (least < largest))  # all the anchor's rows are equal: so are their windows, and no others are
+            none = np.zeros(len(at), np.int64)
+            whole = [[{"off": 0, "n": len(bodies[k]) - length + 1, "least": int(least[k])}] for k in at]
+            yield _batch(anchor[at], ids[at], none - 1, whole, [None] * len(at), none, none)
+            rest = np.flatnonzero(~alone)
+            anchor, salt, ids, least, largest = (x[rest] for x in (anchor, salt, ids, least, largest))
+            bodies = [bodies[k] for k in rest]
             owner, offset, group = equal_windows(bodies, length)
             low = np.minimum.reduceat(least[owner], np.flatnonzero(np.diff(group, prepend=-1)))
             cold = salt[owner] < 0
