@@ -1,10 +1,609 @@
-"""All registered queries of the base library: name -> function, name -> SQL."""
+"""All registered queries of the base library, each over whole tables, and their SQL twins.
+
+The supplied tables stand for the instrument's: embeddings are frames of 8 x 8 pixels, a session a label; events are
+observations, a session a user; orders give reference series and event intervals.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from frostline.functions import scalars as S
+from frostline.operators import events as E
+from frostline.operators import frames as P
+from frostline.operators import inference as I
+from frostline.operators import joins as J
+from frostline.operators import quality as Q
+from frostline.operators import series as R
+from frostline.plans import session as analysis
+from frostline.sources import tables as T
+from frostline.sources.stage import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _r(*columns: str, digits: int = 6) -> list[Column]:
+    return [F.round(c, digits).alias(c) for c in columns]
+
+
+def _us(c: str, name: str | None = None) -> Column:
+    return F.unix_micros(c).alias(name or c)
+
+
+# Views, and the same in SQL.
+
+
+def observations(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("t"), F.col("event_id").alias("row_id"), "value", "event_type")
+
+
+OBS = "obs AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) AS t, event_id AS row_id, value, event_type FROM events)"
+
+
+def reference(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("session_id").orderBy("t", "row_id")
+    rows = _read(spark, sf, "orders").select((F.col("o_custkey") % 40).cast("string").alias("session_id"), F.col("o_orderdate").cast("timestamp").alias("t"), F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("price"))
+    return rows.withColumn("frame_idx", F.row_number().over(w))
+
+
+REF = "ref AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, row_id) AS frame_idx FROM (SELECT (o_custkey % 40)::VARCHAR AS session_id, epoch_us(o_orderdate) AS t, o_orderkey AS row_id, o_totalprice AS price FROM orders))"
+
+
+def stacks(spark: SparkSession, sf: str) -> DataFrame:
+    px = F.transform("embedding", lambda v: F.lit(500.0) + v.cast("double") * 1000.0)
+    return _read(spark, sf, "embeddings").select(F.col("label").cast("string").alias("session_id"), F.col("vec_id").cast("int").alias("frame_idx"), px.alias("pixels"))
+
+
+PX = """px AS (SELECT session_id, frame_idx, pos - 1 AS pos, (pos - 1) // 8 AS y, (pos - 1) % 8 AS x, v FROM (
+  SELECT label::VARCHAR AS session_id, vec_id::INTEGER AS frame_idx, unnest(range(1, len(embedding) + 1)) AS pos, unnest(list_transform(embedding, lambda e: 500.0::DOUBLE + e::DOUBLE * 1000.0::DOUBLE)) AS v FROM embeddings)),
+base AS (SELECT session_id, frame_idx, median(v) AS baseline FROM px GROUP BY ALL)"""
+ACT = "act AS (SELECT session_id, frame_idx, avg(abs(v - baseline)) AS activity FROM px JOIN base USING (session_id, frame_idx) GROUP BY ALL)"
+STATE = """med AS (SELECT session_id, y, x, median(v) AS median FROM px GROUP BY ALL),
+noises AS (SELECT session_id, y, x, any_value(median) AS median, 1.4826::DOUBLE * median(abs(v - median)) AS noise FROM px JOIN med USING (session_id, y, x) GROUP BY ALL),
+state AS (SELECT n.*, n.median - a.m AS nonuniformity, noise <= 1e-6 OR n.median <= 0 OR n.median >= 65535 AS dead
+  FROM noises n JOIN (SELECT session_id, median(median) AS m FROM med GROUP BY ALL) a USING (session_id))"""
+COLD = """cor AS (SELECT px.*, noise, CASE WHEN dead THEN 0 ELSE v - baseline - nonuniformity END AS c FROM px JOIN state USING (session_id, y, x) JOIN base USING (session_id, frame_idx)),
+cold AS (SELECT * FROM cor WHERE c < -(1.5::DOUBLE * noise))"""
+
+
+def _state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    f = stacks(spark, sf)
+    px = P.explode_pixels(f, 8)
+    return px, P.frame_medians(f), P.pixel_state(px)
+
+
+def _cold(spark: SparkSession, sf: str) -> DataFrame:
+    px, base, state = _state(spark, sf)
+    return P.cooled(P.corrected(px, base, state), 1.5)
+
+
+def _intervals(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _read(spark, sf, "orders").select(
+        (F.col("o_custkey") % 5).cast("string").alias("session_id"), k.alias("event_id"), (k * 7 % 5000).alias("frame_start"), (k * 7 % 5000 + k % 7).alias("frame_end"),
+        (k * 13 % 97).cast("double").alias("y"), (k * 29 % 89).cast("double").alias("x"), F.col("o_totalprice").alias("area"), (k % 7).cast("double").alias("duration_s"),
+    )
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    return _read(spark, sf, "events").select(
+        (F.col("user_id") % 5).cast("string").alias("session_id"), k.alias("point_id"), (k * 11 % 5000).alias("frame_idx"), (k * 17 % 97 + 0.25).cast("double").alias("y"), (k * 23 % 89 + 0.5).cast("double").alias("x"),
+        F.col("value").alias("area"), (k % 5).cast("double").alias("duration_s"), F.col("value").alias("mass_mg"),
+    )
+
+
+MATCH = """ev AS (SELECT (o_custkey % 5)::VARCHAR AS session_id, o_orderkey AS event_id, o_orderkey * 7 % 5000 AS fs, o_orderkey * 7 % 5000 + o_orderkey % 7 AS fe,
+  (o_orderkey * 13 % 97)::DOUBLE AS y, (o_orderkey * 29 % 89)::DOUBLE AS x, o_totalprice AS area, (o_orderkey % 7)::DOUBLE AS duration_s FROM orders),
+pt AS (SELECT (user_id % 5)::VARCHAR AS session_id, event_id AS point_id, event_id * 11 % 5000 AS f, (event_id * 17 % 97)::DOUBLE + 0.25 AS py, (event_id * 23 % 89)::DOUBLE + 0.5 AS px, value, (event_id % 5)::DOUBLE AS pdur FROM events),
+m AS (SELECT * FROM (SELECT session_id, event_id, point_id, greatest(0, fs - f, f - fe) AS dframes, sqrt((y - py) ** 2 + (x - px) ** 2) AS dxy, area, duration_s, value, pdur
+  FROM ev JOIN pt USING (session_id) WHERE f BETWEEN fs - 2 AND fe + 2) WHERE dxy <= 6)"""
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    return J.interval_matches(_intervals(spark, sf), _points(spark, sf), 2.0, 6.0)
+
+
+# Time series.
+
+
+@query(f"WITH {OBS}, d AS (SELECT session_id, (t - lag(t) OVER (PARTITION BY session_id ORDER BY t)) / 1e6 AS d FROM obs) SELECT session_id, round(CASE WHEN count(*) >= 3 AND count(*) FILTER (d > 0) >= 2 THEN median(d) FILTER (d > 0) END, 7) AS dt, count(*) AS n FROM d GROUP BY session_id")
+def cadence_median_dt(spark: SparkSession, sf: str) -> DataFrame:
+    return R.cadence(observations(spark, sf)).select("session_id", *_r("dt", digits=7), "n")
+
+
+CADENCE = "SELECT session_id, CASE WHEN count(*) >= 3 AND count(*) FILTER (d > 0) >= 2 THEN median(d) FILTER (d > 0) END AS dt, count(*) AS n FROM (SELECT session_id, (t - lag(t) OVER (PARTITION BY session_id ORDER BY t)) / 1e6 AS d FROM {}) GROUP BY session_id"
+
+
+@query(f"""WITH {OBS}, {REF}, a AS ({CADENCE.format("obs")}), b AS ({CADENCE.format("ref")})
+SELECT session_id, round(coalesce(a.dt, b.dt), 7) AS dt, round(CASE WHEN a.dt IS NOT NULL THEN least(0.9, 0.4 + 0.1 * (a.n - 2)) WHEN b.dt IS NOT NULL THEN least(0.8, 0.3 + 0.05 * (b.n - 2)) ELSE 0.1 END::DOUBLE, 6) AS confidence,
+CASE WHEN coalesce(a.dt, b.dt) IS NOT NULL THEN 'aligned_from_tables' ELSE 'unknown' END AS source FROM a FULL JOIN b USING (session_id)""")
+def cadence_policy(spark: SparkSession, sf: str) -> DataFrame:
+    out = R.cadence_policy(R.cadence(observations(spark, sf)), R.cadence(reference(spark, sf)))
+    return out.select("session_id", *_r("dt", digits=7), *_r("confidence"), "source")
+
+
+GAPS = f"steps AS (SELECT session_id, lag(t) OVER (PARTITION BY session_id ORDER BY t) AS t_start, t AS t_end FROM obs), gaps AS (SELECT s.session_id, t_start, t_end, (t_end - t_start) / 1e6 AS delta, dt FROM steps s JOIN ({CADENCE.format('obs')}) c USING (session_id) WHERE (t_end - t_start) / 1e6 > 5 * dt)"
+
+
+@query(f"WITH {OBS}, {GAPS} SELECT session_id, t_start, t_end, round(delta, 6) AS delta, round(dt, 7) AS dt FROM gaps")
+def time_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return R.time_gaps(observations(spark, sf)).select("session_id", _us("t_start"), _us("t_end"), *_r("delta"), *_r("dt", digits=7))
+
+
+@query(f"WITH {REF} SELECT session_id, t, count(*) - 1 AS n_extra FROM ref GROUP BY ALL HAVING count(*) > 1")
+def duplicate_times(spark: SparkSession, sf: str) -> DataFrame:
+    return R.duplicate_times(reference(spark, sf)).select("session_id", _us("t"), "n_extra")
+
+
+FALLS = "falls AS (SELECT session_id, count(*) FILTER (d < 0) AS n_down, min(d) AS largest_drop FROM (SELECT session_id, value - lag(value) OVER (PARTITION BY session_id ORDER BY row_id) AS d FROM obs) GROUP BY session_id HAVING count(*) >= 3 AND count(*) FILTER (d < 0) > 0)"
+
+
+@query(f"WITH {OBS}, {FALLS} SELECT session_id, n_down, round(largest_drop, 6) AS largest_drop FROM falls")
+def monotonicity_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return R.monotonicity(observations(spark, sf), "value", "row_id").select("session_id", "n_down", *_r("largest_drop"))
+
+
+REPORT = """report AS (SELECT session_id, 'missing' AS kind, t_start, t_end, delta AS amount FROM gaps
+UNION ALL SELECT session_id, 'duplicate', t, t, (count(*) - 1)::DOUBLE FROM obs GROUP BY session_id, t HAVING count(*) > 1
+UNION ALL SELECT session_id, 'non_monotonic', NULL, NULL, largest_drop FROM falls)"""
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    obs = observations(spark, sf)
+    return R.integrity_report(R.time_gaps(obs), R.duplicate_times(obs), R.monotonicity(obs, "value", "row_id"))
+
+
+@query(f"WITH {OBS}, {GAPS}, {FALLS}, {REPORT} SELECT session_id, kind, t_start, t_end, round(amount, 6) AS amount FROM report")
+def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _report(spark, sf).select("session_id", "kind", _us("t_start"), _us("t_end"), *_r("amount"))
+
+
+@query(f"WITH {OBS}, {GAPS}, {FALLS}, {REPORT}, g AS (SELECT session_id, coalesce(sum(amount) FILTER (kind = 'missing' AND amount > 0), 0) AS m, (max(t_end) - min(t_start)) / 1e6 AS s FROM report GROUP BY ALL) SELECT session_id, round(CASE WHEN m <= 0 THEN 0 WHEN s > 0 THEN m / s END, 6) AS gap_fraction FROM g")
+def gap_fraction(spark: SparkSession, sf: str) -> DataFrame:
+    return R.gap_fraction(_report(spark, sf)).select("session_id", *_r("gap_fraction"))
+
+
+# Time and frames.
+
+AXIS = "axis AS (SELECT session_id, min(t) AS t0 FROM obs GROUP BY ALL)"
+
+
+def _axis(spark: SparkSession, sf: str) -> DataFrame:
+    return observations(spark, sf).groupBy("session_id").agg(F.min("t").alias("t0")).select("session_id", "t0", F.lit(3600.0).alias("dt"), F.lit(500).alias("n_frames"))
+
+
+@query(f"WITH {OBS}, {AXIS} SELECT row_id, greatest(0, least(ceil((t - t0) / 1e6 / 3600.0 - 0.5), 499))::INTEGER AS frame_idx FROM obs JOIN axis USING (session_id)")
+def frame_map_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    return J.map_to_frames(observations(spark, sf), _axis(spark, sf), tolerance=None).select("row_id", "frame_idx")
+
+
+MAPPED = f"{AXIS}, f AS (SELECT *, greatest(0, least(ceil((t - t0) / 1e6 / 3600.0 - 0.5), 499))::INTEGER AS k FROM obs JOIN axis USING (session_id)), mapped AS (SELECT *, abs((t - t0) / 1e6 - k * 3600.0) AS residual, CASE WHEN abs((t - t0) / 1e6 - k * 3600.0) <= 900 THEN k END AS frame_idx FROM f)"
+
+
+@query(f"WITH {OBS}, {MAPPED} SELECT row_id, frame_idx, round(residual, 6) AS residual FROM mapped")
+def frame_map_tolerance(spark: SparkSession, sf: str) -> DataFrame:
+    return J.map_to_frames(observations(spark, sf), _axis(spark, sf), tolerance=900.0).select("row_id", "frame_idx", *_r("residual"))
+
+
+@query(f"WITH {OBS}, {AXIS} SELECT row_id, round_even((t - t0) / 1e6 / 3600.0, 0)::INTEGER AS frame_idx FROM obs JOIN axis USING (session_id)")
+def frame_map_cadence(spark: SparkSession, sf: str) -> DataFrame:
+    return observations(spark, sf).join(_axis(spark, sf), "session_id").select("row_id", J.frame_of_cadence(F.col("t"), F.col("t0"), 3600.0).alias("frame_idx"))
+
+
+@query(f"WITH {OBS}, {AXIS} SELECT session_id, k AS frame_idx, t0 + k * 3600000000 AS t FROM (SELECT *, unnest(range(0, 500))::INTEGER AS k FROM axis)")
+def frame_axis(spark: SparkSession, sf: str) -> DataFrame:
+    return J.frame_axis(_axis(spark, sf)).select("session_id", "frame_idx", _us("t"))
+
+
+@query(f"WITH {OBS}, {MAPPED} SELECT session_id, count(*) AS n, count(frame_idx) AS n_mapped, round(median(residual) FILTER (frame_idx IS NOT NULL), 6) AS median_residual, round(count(frame_idx) / count(*), 6) AS coverage, round(greatest(0, least(1, 0.3 + 0.4 * count(frame_idx) / count(*)))::DOUBLE, 6) AS confidence FROM mapped GROUP BY session_id")
+def mapping_quality(spark: SparkSession, sf: str) -> DataFrame:
+    out = Q.mapping_quality(J.map_to_frames(observations(spark, sf), _axis(spark, sf), tolerance=900.0))
+    return out.select("session_id", "n", "n_mapped", *_r("median_residual", "coverage", "confidence"))
+
+
+ASOF = """l AS (SELECT * FROM obs WHERE row_id % 3 = 0), r AS (SELECT session_id, t, max(row_id) AS rid FROM obs WHERE row_id % 3 <> 0 GROUP BY ALL),
+b AS (SELECT l.session_id, l.t, l.row_id, r.rid AS brid, r.t AS bt FROM l ASOF LEFT JOIN r ON l.session_id = r.session_id AND l.t >= r.t),
+a AS (SELECT l.row_id, r.rid AS arid, r.t AS nt FROM l ASOF LEFT JOIN r ON l.session_id = r.session_id AND l.t <= r.t),
+n AS (SELECT row_id, t, CASE WHEN nt IS NULL OR t - bt <= nt - t THEN brid ELSE arid END AS rid, CASE WHEN nt IS NULL OR t - bt <= nt - t THEN t - bt ELSE nt - t END / 1e6 AS away FROM b JOIN a USING (row_id))"""
+
+
+def _asof(spark: SparkSession, sf: str, tolerance: float | None) -> DataFrame:
+    obs = observations(spark, sf).select("session_id", "t", "row_id", "value")
+    out = J.nearest(obs.where("row_id % 3 = 0"), obs.where("row_id % 3 != 0"), tolerance=tolerance)
+    return out.select("row_id", F.col("r.row_id").alias("nearest_id"), F.round(F.abs(S.seconds_between(F.col("t"), F.col("r.t"))), 6).alias("away"))
+
+
+@query(f"WITH {OBS}, {ASOF} SELECT row_id, rid AS nearest_id, round(away, 6) AS away FROM n")
+def asof_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return _asof(spark, sf, None)
+
+
+@query(f"WITH {OBS}, {ASOF} SELECT row_id, CASE WHEN away <= 3600 THEN rid END AS nearest_id, CASE WHEN away <= 3600 THEN round(away, 6) END AS away FROM n")
+def asof_tolerance(spark: SparkSession, sf: str) -> DataFrame:
+    return _asof(spark, sf, 3600.0)
+
+
+@query("WITH a AS (SELECT (user_id % 7)::VARCHAR AS session_id, median(epoch_us(ts)) AS m FROM events WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT (user_id % 7)::VARCHAR AS session_id, median(epoch_us(ts)) AS m FROM events WHERE event_id % 2 = 1 GROUP BY ALL) SELECT session_id, round((a.m - b.m) / 1e6, 3) AS \"offset\" FROM a JOIN b USING (session_id)")
+def time_offset(spark: SparkSession, sf: str) -> DataFrame:
+    obs = observations(spark, sf).withColumn("session_id", (F.col("session_id").cast("long") % 7).cast("string"))
+    return Q.time_offset(obs.where("row_id % 2 = 0"), obs.where("row_id % 2 = 1")).select("session_id", *_r("offset", digits=3))
+
+
+@query(f"WITH {REF} SELECT session_id, t, count(*) AS n FROM ref GROUP BY ALL")
+def event_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.count_by_time(reference(spark, sf)).select("session_id", _us("t"), "n")
+
+
+# Intervals and points.
+
+
+@query(f"WITH {MATCH} SELECT session_id, event_id, point_id, dframes::DOUBLE AS dframes, round(dxy, 6) AS dxy, round(greatest(0, 1 - 0.5 * dframes / (2 + 1e-9) - 0.5 * dxy / (6 + 1e-9)), 6) AS confidence FROM m")
+def band_join_match(spark: SparkSession, sf: str) -> DataFrame:
+    return _matches(spark, sf).select("session_id", "event_id", "point_id", F.col("dframes").cast("double").alias("dframes"), *_r("dxy", "confidence"))
+
+
+@query(f"WITH {MATCH} SELECT event_id, point_id, round(area - value, 6) AS d_area, duration_s - pdur AS d_duration, value AS mass_mg FROM m")
+def match_discrepancies(spark: SparkSession, sf: str) -> DataFrame:
+    out = E.discrepancies(_matches(spark, sf), _intervals(spark, sf), _points(spark, sf))
+    return out.select("event_id", "point_id", *_r("d_area"), "d_duration", "mass_mg")
+
+
+@query(f"WITH {MATCH} SELECT session_id, count(*) AS n_matches, round(avg(dframes), 6) AS mean_dframes, round(avg(dxy), 6) AS mean_dxy FROM m GROUP BY ALL")
+def validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    return E.validation_report(_matches(spark, sf)).select("session_id", "n_matches", *_r("mean_dframes", "mean_dxy"))
+
+
+@query(f"WITH {MATCH} SELECT event_id FROM ev WHERE event_id NOT IN (SELECT event_id FROM m)")
+def unmatched_events(spark: SparkSession, sf: str) -> DataFrame:
+    return E.unmatched(_intervals(spark, sf), _matches(spark, sf), "event_id").select("event_id")
+
+
+# Frames.
+
+
+@query(f"WITH {PX} SELECT session_id, frame_idx, round(baseline, 6) AS baseline FROM base")
+def frame_median(spark: SparkSession, sf: str) -> DataFrame:
+    return P.frame_medians(stacks(spark, sf)).select("session_id", "frame_idx", *_r("baseline"))
+
+
+@query(f"WITH {PX}, {ACT} SELECT session_id, frame_idx, round(activity, 6) AS activity FROM act")
+def frame_activity(spark: SparkSession, sf: str) -> DataFrame:
+    return P.frame_activity(stacks(spark, sf)).select("session_id", "frame_idx", *_r("activity"))
+
+
+@query(f"WITH {PX}, {ACT} SELECT session_id, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round(activity, 9), frame_idx) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM act) WHERE r <= greatest(round_even(n * 0.2::DOUBLE, 0), 5)")
+def quiescent_bottom_k(spark: SparkSession, sf: str) -> DataFrame:
+    act = P.frame_activity(stacks(spark, sf)).select("session_id", "frame_idx", *_r("activity", digits=9))
+    return P.quiescent_frames(act, least=5).select("session_id", "frame_idx")
+
+
+@query(f'WITH {PX}, {STATE} SELECT session_id, y::INTEGER AS y, x::INTEGER AS x, round("median", 6) AS "median", round(noise, 6) AS noise, round(nonuniformity, 6) AS nonuniformity, dead FROM state')
+def pixel_state(spark: SparkSession, sf: str) -> DataFrame:
+    return _state(spark, sf)[2].select("session_id", "y", "x", *_r("median", "noise", "nonuniformity"), "dead")
+
+
+@query(f"""WITH {PX}, {ACT}, {STATE}, rolled AS (SELECT *, quantile_cont(baseline, 0.5) OVER (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS rolling FROM base),
+mids AS (SELECT session_id, median(baseline - rolling) AS m, stddev_pop(baseline - rolling) AS sd, count(*) AS n FROM rolled GROUP BY ALL),
+lim AS (SELECT session_id, 6 * CASE WHEN median(abs(baseline - rolling - m)) > 0 THEN 1.4826 * median(abs(baseline - rolling - m)) ELSE any_value(sd) + 1e-9 END AS l FROM rolled JOIN mids USING (session_id) WHERE n >= 10 GROUP BY ALL),
+cps AS (SELECT session_id, count(*) AS c FROM rolled JOIN lim USING (session_id) WHERE abs(baseline - rolling) > l GROUP BY ALL),
+b AS (SELECT session_id, max(baseline) - min(baseline) AS drift, quantile_cont(baseline, 0.75) - quantile_cont(baseline, 0.25) AS iqr FROM base GROUP BY ALL),
+n AS (SELECT session_id, median(noise) AS nm, quantile_cont(noise, 0.9) - quantile_cont(noise, 0.1) AS ns, avg(dead::INTEGER) AS df FROM state GROUP BY ALL),
+h AS (SELECT b.*, nm, ns, df, coalesce(c, 0) AS c, am, ap FROM b JOIN n USING (session_id) LEFT JOIN cps USING (session_id) JOIN (SELECT session_id, median(activity) AS am, quantile_cont(activity, 0.9) AS ap FROM act GROUP BY ALL) USING (session_id))
+SELECT session_id, round(drift, 6) AS drift_range, round(iqr, 6) AS drift_iqr, round(nm, 6) AS noise_median, round(ns, 6) AS noise_spread, round(df, 6) AS dead_fraction, c AS n_changepoints, round(am, 6) AS activity_median, round(ap, 6) AS activity_p90,
+array_to_string(list_sort(list_filter([CASE WHEN df > 0.01 THEN 'dead_pixels_detected' END, CASE WHEN drift > 500 THEN 'large_baseline_drift' END, CASE WHEN c >= 3 THEN 'multiple_baseline_changepoints' END, CASE WHEN nm <= 0 THEN 'invalid_noise_map' END], lambda f: f IS NOT NULL)), ',') AS flags,
+round(greatest(0, 1 - 0.35 * least(1, df / 0.02) - 0.3 * least(1, drift / 1000) - 0.2 * least(1, ns / (nm * 4 + 1e-9)) - 0.15 * least(1, c / 5)), 6) AS overall_score FROM h""")
+def instrument_health(spark: SparkSession, sf: str) -> DataFrame:
+    _, base, state = _state(spark, sf)
+    out = P.instrument_health(base, state, P.frame_activity(stacks(spark, sf)))
+    return out.select("session_id", *_r("drift_range", "drift_iqr", "noise_median", "noise_spread", "dead_fraction"), "n_changepoints", *_r("activity_median", "activity_p90"), "flags", *_r("overall_score"))
+
+
+ROLL = "rolled AS (SELECT *, quantile_cont(baseline, 0.5) OVER (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS rolling FROM base)"
+
+
+@query(f"WITH {PX}, {ROLL} SELECT session_id, frame_idx, round(baseline - rolling, 6) AS residual FROM rolled")
+def rolling_median_residual(spark: SparkSession, sf: str) -> DataFrame:
+    out = R.rolling_median(P.frame_medians(stacks(spark, sf)), "baseline", "frame_idx", 10)
+    return out.select("session_id", "frame_idx", F.round(F.col("baseline") - F.col("rolling"), 6).alias("residual"))
+
+
+@query(f"""WITH {PX}, {ROLL}, mids AS (SELECT session_id, median(baseline - rolling) AS m, count(*) AS n FROM rolled GROUP BY ALL),
+lim AS (SELECT session_id, 2 * 1.4826 * median(abs(baseline - rolling - m)) AS l FROM rolled JOIN mids USING (session_id) WHERE n >= 10 GROUP BY ALL)
+SELECT session_id, frame_idx, round(baseline - rolling, 6) AS delta, round(least(1, greatest(0.1, abs(baseline - rolling) / (l + 1e-9))), 6) AS confidence FROM rolled JOIN lim USING (session_id) WHERE abs(baseline - rolling) > l""")
+def changepoints_raw(spark: SparkSession, sf: str) -> DataFrame:
+    out = R.changepoints(P.frame_medians(stacks(spark, sf)), "baseline", "frame_idx", half=10, z=2.0, separation=1)
+    return out.select("session_id", "frame_idx", *_r("delta", "confidence"))
+
+
+@query(f"WITH {PX}, {STATE}, {COLD} SELECT session_id, frame_idx, y::INTEGER AS y, x::INTEGER AS x, round(c, 6) AS c FROM cold")
+def threshold_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    return _cold(spark, sf).select("session_id", "frame_idx", "y", "x", *_r("c"))
+
+
+@query(f"""WITH RECURSIVE {PX}, {STATE}, {COLD}, reach AS (SELECT frame_idx, y, x, pos AS root FROM cold
+  UNION SELECT c.frame_idx, c.y, c.x, r.root FROM reach r JOIN cold c ON c.frame_idx = r.frame_idx AND abs(c.y - r.y) + abs(c.x - r.x) = 1),
+lab AS (SELECT frame_idx, y, x, min(root) AS comp FROM reach GROUP BY ALL)
+SELECT session_id, frame_idx, comp::BIGINT AS comp, count(*) AS area, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, round(max(-c), 6) AS deepest, round(sum(-c), 6) AS energy, round(max(v), 6) AS brightest FROM cold JOIN lab USING (frame_idx, y, x) GROUP BY session_id, frame_idx, comp""")
+def component_features(spark: SparkSession, sf: str) -> DataFrame:
+    out = E.components(_cold(spark, sf), 8)
+    return out.select("session_id", "frame_idx", "comp", "area", *_r("cy", "cx", "deepest", "energy", "brightest"))
+
+
+@query()
+def track_events(spark: SparkSession, sf: str) -> DataFrame:
+    """An order-dependent greedy fold: beyond SQL, tested against a plain loop."""
+    px, base, state = _state(spark, sf)
+    comps = E.components(_cold(spark, sf), 8).withColumn("frame_idx", F.col("frame_idx"))
+    dense = comps.join(_dense(spark, sf), ["session_id", "frame_idx"]).drop("frame_idx").withColumnRenamed("place", "frame_idx")
+    return E.event_catalog(E.link_tracks(dense.select(*comps.columns), 5.0), 8, 8, 1.0).select("session_id", "track", "frame_start", "frame_peak", "frame_end", *_r("delta_peak", "energy", "motion_score", "edge_proximity"), "area_peak_px", "duration_s", "saturated")
+
+
+def _dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of a session numbered without gaps."""
+    w = Window.partitionBy("session_id").orderBy("frame_idx")
+    return stacks(spark, sf).select("session_id", "frame_idx").withColumn("place", F.row_number().over(w))
+
+
+@query(f"WITH {PX}, {STATE}, {COLD} SELECT session_id, frame_idx, min(pos)::INTEGER AS start, count(*)::INTEGER AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, frame_idx ORDER BY pos) AS g FROM cold) GROUP BY session_id, frame_idx, g")
+def rle_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return P.rle_runs(_cold(spark, sf)).select("session_id", "frame_idx", "start", "length")
+
+
+@query(f"WITH {PX}, {STATE}, {COLD} SELECT session_id, frame_idx, pos::INTEGER AS pos FROM cold")
+def rle_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return P.rle_decode(P.rle_runs(_cold(spark, sf))).select("session_id", "frame_idx", F.col("pos").cast("int").alias("pos"))
+
+
+@query(f"""WITH {PX}, {STATE}, {COLD}, er AS (SELECT session_id, frame_idx, y + i AS y, x + j AS x FROM cold, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) GROUP BY ALL HAVING count(*) = 9)
+SELECT DISTINCT session_id, frame_idx, (y + i)::INTEGER AS y, (x + j)::INTEGER AS x FROM er, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE y + i BETWEEN 0 AND 7 AND x + j BETWEEN 0 AND 7""")
+def opened_mask(spark: SparkSession, sf: str) -> DataFrame:
+    return P.opened(_cold(spark, sf), 8, 8).select("session_id", "frame_idx", "y", "x")
+
+
+# Reconstruction and rates.
+
+CUM = "cum AS (SELECT *, sum(price) OVER (PARTITION BY session_id ORDER BY frame_idx) AS total FROM ref)"
+
+
+def _total(spark: SparkSession, sf: str) -> DataFrame:
+    return R.cumulative(reference(spark, sf), "price", "frame_idx", "total")
+
+
+@query(f"WITH {REF}, {CUM} SELECT session_id, frame_idx::INTEGER AS frame_idx, round(total, 4) AS total FROM cum")
+def cumulative_series(spark: SparkSession, sf: str) -> DataFrame:
+    return _total(spark, sf).select("session_id", "frame_idx", *_r("total", digits=4))
+
+
+@query(f"WITH {REF}, {CUM} SELECT session_id, frame_idx::INTEGER AS frame_idx, round((total - lag(total, 5) OVER (PARTITION BY session_id ORDER BY frame_idx)) / 5 * 3600, 3) AS rate_windowed FROM cum")
+def rate_windowed(spark: SparkSession, sf: str) -> DataFrame:
+    return R.windowed_rate(_total(spark, sf), "total", "frame_idx", 1.0).select("session_id", "frame_idx", *_r("rate_windowed", digits=3))
+
+
+@query(f"WITH {REF}, {CUM}, d AS (SELECT *, total - lag(total) OVER (PARTITION BY session_id ORDER BY frame_idx) AS d FROM cum) SELECT session_id, frame_idx::INTEGER AS frame_idx, CASE WHEN count(d) OVER w = 5 THEN round(quantile_cont(d, 0.5) OVER w * 3600, 3) END AS rate_robust FROM d WINDOW w AS (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+def rate_robust(spark: SparkSession, sf: str) -> DataFrame:
+    return R.robust_rate(_total(spark, sf), "total", "frame_idx", 1.0).select("session_id", "frame_idx", *_r("rate_robust", digits=3))
+
+
+RECON = """ax AS (SELECT s::VARCHAR AS session_id, f::INTEGER AS frame_idx FROM (SELECT unnest(range(0, 8)) AS s), (SELECT unnest(range(0, 300)) AS f)),
+em AS (SELECT (o_custkey % 8)::VARCHAR AS session_id, (o_orderkey % 400)::INTEGER AS frame_idx, sum(o_totalprice) AS mass FROM orders GROUP BY ALL)"""
+
+
+def _reconstructed(spark: SparkSession, sf: str) -> DataFrame:
+    axis = spark.range(8).select(F.col("id").cast("string").alias("session_id"), F.explode(F.sequence(F.lit(0), F.lit(299))).alias("frame_idx"))
+    ev = _read(spark, sf, "orders").select((F.col("o_custkey") % 8).cast("string").alias("session_id"), (F.col("o_orderkey") % 400).cast("int").alias("frame_peak"), F.col("o_totalprice").alias("mass_mg"))
+    return I.event_rate(I.reconstruct(ev, axis, 100.0), 2.0)
+
+
+@query(f"WITH {RECON} SELECT session_id, frame_idx, round(coalesce(mass, 0) / 100, 4) AS depth, round(sum(coalesce(mass, 0) / 100) OVER (PARTITION BY session_id ORDER BY frame_idx), 4) AS total, round(coalesce(mass, 0) / 2 * 3600, 3) AS rate_event FROM ax LEFT JOIN em USING (session_id, frame_idx)")
+def reconstruct_and_event_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return _reconstructed(spark, sf).select("session_id", "frame_idx", *_r("depth", "total", digits=4), *_r("rate_event", digits=3))
+
+
+@query(f"""WITH {REF}, {CUM}, d AS (SELECT session_id, total / 1e5 AS a, coalesce(CASE WHEN frame_idx % 10 <> 0 THEN frame_idx * 1.5 END, 0) AS b FROM cum)
+SELECT session_id, round(sqrt(avg((a - b) * (a - b))) / greatest(max(abs(b)), 1e-6), 6) AS nrmse, round(avg(a - b), 6) AS residual_mean, round(stddev_pop(a - b), 6) AS residual_std, round(max(abs(a - b)), 6) AS residual_max, round(greatest(0, 1 - sqrt(avg((a - b) * (a - b))) / greatest(max(abs(b)), 1e-6)), 6) AS closure_score FROM d GROUP BY ALL""")
+def closure_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _total(spark, sf).select("session_id", (F.col("total") / 1e5).alias("a"), F.when(F.col("frame_idx") % 10 != 0, F.col("frame_idx") * 1.5).alias("b"))
+    return I.closure(rows, "a", "b").select("session_id", *_r("nrmse", "residual_mean", "residual_std", "residual_max", "closure_score"))
+
+
+# Regimes, bins, smoothing.
+
+_ITEM = "l_orderkey || ':' || l_linenumber"
+
+
+@query("""WITH r AS (SELECT l_returnflag AS session_id, l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS q, l_extendedprice AS p FROM lineitem),
+f AS (SELECT r.*, coalesce(q, m) AS qf FROM r JOIN (SELECT session_id, coalesce(median(q), 0) AS m FROM r GROUP BY ALL) USING (session_id)),
+s AS (SELECT session_id, avg(qf) AS qa, stddev_pop(qf) AS qs, avg(p) AS pa, stddev_pop(p) AS ps FROM f GROUP BY ALL)
+SELECT session_id, l_orderkey, l_linenumber, round((qf - qa) / CASE WHEN qs > 0 THEN qs ELSE 1 END, 6) AS q, round((p - pa) / CASE WHEN ps > 0 THEN ps ELSE 1 END, 6) AS p FROM f JOIN s USING (session_id)""")
+def standardize_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("session_id"), "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("q"), F.col("l_extendedprice").alias("p"))
+    return I.standardise(rows, ["q", "p"]).select("session_id", "l_orderkey", "l_linenumber", *_r("q", "p"))
+
+
+_NEAR = "SELECT x.session_id, k, a, b, min(struct_pack(d2 := (a - ca) ** 2 + (b - cb) ** 2, g := g)) AS best FROM x JOIN {} c USING (session_id) GROUP BY ALL"
+
+
+@query(f"""WITH x AS (SELECT o_orderstatus AS session_id, o_orderkey AS k, o_totalprice / 1e5 AS a, o_custkey / 1e3 AS b FROM orders),
+c0 AS (SELECT session_id, a AS ca, b AS cb, g FROM (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY k) - 1)::INTEGER AS g FROM x) WHERE g < 3),
+n0 AS ({_NEAR.format("c0")}), m AS (SELECT session_id, best.g AS g, avg(a) AS ma, avg(b) AS mb FROM n0 GROUP BY ALL),
+c1 AS (SELECT c0.session_id, g, coalesce(ma, ca) AS ca, coalesce(mb, cb) AS cb FROM c0 LEFT JOIN m USING (session_id, g)), n1 AS ({_NEAR.format("c1")})
+SELECT session_id, k AS o_orderkey, best.g AS regime, round(1 / (1 + best.d2), 6) AS confidence FROM n1""")
+def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "orders").select(F.col("o_orderstatus").alias("session_id"), "o_orderkey", (F.col("o_totalprice") / 1e5).alias("a"), (F.col("o_custkey") / 1e3).alias("b"))
+    return I.k_means(rows, "o_orderkey", ["a", "b"], k=3, rounds=1).select("session_id", "o_orderkey", "regime", *_r("confidence"))
+
+
+TIMELINE = """a AS (SELECT (user_id % 5)::VARCHAR AS session_id, epoch_us(ts) AS t, event_id % 4 AS g FROM events),
+tl AS (SELECT session_id, ((t - t0) // 86400000000)::INTEGER AS bin, count(*) AS n, avg((g = 0)::INTEGER) AS f0, avg((g = 1)::INTEGER) AS f1, avg((g = 2)::INTEGER) AS f2, avg((g = 3)::INTEGER) AS f3
+  FROM a JOIN (SELECT session_id, min(t) AS t0 FROM a GROUP BY ALL) USING (session_id) GROUP BY ALL)"""
+
+
+def _timeline(spark: SparkSession, sf: str) -> DataFrame:
+    a = _read(spark, sf, "events").select((F.col("user_id") % 5).cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("t"), (F.col("event_id") % 4).alias("regime"))
+    return I.regime_timeline(a, 4, 86_400)
+
+
+@query(f"WITH {TIMELINE} SELECT session_id, bin, n, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3 FROM tl")
+def regime_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    return _timeline(spark, sf).select("session_id", "bin", "n", *_r("f0", "f1", "f2", "f3"))
+
+
+SHIFTS = """mv AS (SELECT session_id, bin, abs(f0 - lag(f0) OVER w) AS m0, abs(f1 - lag(f1) OVER w) AS m1, abs(f2 - lag(f2) OVER w) AS m2, abs(f3 - lag(f3) OVER w) AS m3 FROM tl WINDOW w AS (PARTITION BY session_id ORDER BY bin)),
+sh AS (SELECT session_id, bin, greatest(m0, m1, m2, m3) AS d, CASE greatest(m0, m1, m2, m3) WHEN m0 THEN 0 WHEN m1 THEN 1 WHEN m2 THEN 2 ELSE 3 END AS g FROM mv WHERE m0 IS NOT NULL AND greatest(m0, m1, m2, m3) >= 0.05)"""
+
+
+@query(f"WITH {TIMELINE}, {SHIFTS} SELECT session_id, bin, g AS regime, round(d, 6) AS shift, round(least(0.95, 0.5 + d), 6) AS confidence FROM sh")
+def regime_shift_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return I.regime_shifts(_timeline(spark, sf), 4, 0.05).select("session_id", "bin", "regime", *_r("shift", "confidence"))
+
+
+BINS = """ob AS (SELECT (user_id % 5)::VARCHAR AS session_id, epoch_us(ts) AS t, value FROM events),
+ax AS (SELECT session_id, min(t) // 1000000 * 1000000 AS t0, max(t) AS t1 FROM ob GROUP BY ALL),
+ev AS (SELECT session_id, unnest(range(0, (t1 - t0) // 21600000000 + 1))::INTEGER AS bin FROM ax),
+bins AS (SELECT session_id, bin, v AS middle, coalesce(n, 0) AS n FROM ev LEFT JOIN (SELECT session_id, ((t - t0) // 21600000000)::INTEGER AS bin, median(value) AS v, count(*) AS n FROM ob JOIN ax USING (session_id) GROUP BY ALL) USING (session_id, bin))"""
+
+
+def _bins(spark: SparkSession, sf: str) -> DataFrame:
+    rows = observations(spark, sf).withColumn("session_id", (F.col("session_id").cast("long") % 5).cast("string"))
+    out = R.time_bins(rows, R.axis_of(rows), "t", 21_600, F.median("value").alias("middle"), F.count("*").alias("n"))
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query(f"WITH {BINS} SELECT session_id, bin, round(middle, 6) AS middle, n FROM bins")
+def time_bins(spark: SparkSession, sf: str) -> DataFrame:
+    return _bins(spark, sf).select("session_id", "bin", *_r("middle"), "n")
+
+
+@query(f"""WITH RECURSIVE {BINS}, z AS (SELECT session_id, bin, middle / 100 AS y FROM bins),
+fw AS (SELECT session_id, -1 AS bin, 0.0::DOUBLE AS xp, 0.0::DOUBLE AS pp, 0.0::DOUBLE AS x, 1.0::DOUBLE AS p FROM ax
+  UNION ALL SELECT z.session_id, z.bin, f.x, f.p + 1, CASE WHEN y IS NULL THEN f.x ELSE f.x + (f.p + 1) / (f.p + 2) * (y - f.x) END, CASE WHEN y IS NULL THEN f.p + 1 ELSE (f.p + 1) / (f.p + 2) END
+  FROM fw f JOIN z ON z.session_id = f.session_id AND z.bin = f.bin + 1),
+bw AS (SELECT session_id, bin, x, p, xp, pp, x AS xs, p AS ps FROM fw f WHERE bin = (SELECT max(bin) FROM fw g WHERE g.session_id = f.session_id)
+  UNION ALL SELECT f.session_id, f.bin, f.x, f.p, f.xp, f.pp, f.x + f.p / b.pp * (b.xs - b.xp), f.p + (f.p / b.pp) ** 2 * (b.ps - b.pp)
+  FROM bw b JOIN fw f ON f.session_id = b.session_id AND f.bin = b.bin - 1 WHERE f.bin >= 0)
+SELECT session_id, bin::BIGINT AS bin, round(x, 6) AS filtered, round(p, 6) AS filtered_var, round(xs, 6) AS smoothed, round(ps, 6) AS smoothed_var FROM bw""")
+def kalman_rts(spark: SparkSession, sf: str) -> DataFrame:
+    out = I.kalman_smooth(_bins(spark, sf).withColumn("y", F.col("middle") / 100), ["y"])
+    return out.select("session_id", "bin", *_r("filtered", "filtered_var", "smoothed", "smoothed_var"))
+
+
+@query(f"WITH {OBS} SELECT session_id, round(quantile_cont(value, 0.1), 6) AS value_q10, round(quantile_cont(value, 0.5), 6) AS value_q50, round(quantile_cont(value, 0.9), 6) AS value_q90 FROM obs GROUP BY ALL")
+def quantile_triplet(spark: SparkSession, sf: str) -> DataFrame:
+    return I.quantiles(observations(spark, sf), ["value"]).select("session_id", *_r("value_q10", "value_q50", "value_q90"))
+
+
+@query(f"WITH {OBS} SELECT session_id, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS least, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS largest FROM obs GROUP BY ALL")
+def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.describe(observations(spark, sf), "value").select("session_id", "n", *_r("mean", "std", "least", "q25", "q50", "q75", "largest"))
+
+
+# Gating.
+
+SCORES = """sc AS (SELECT c_custkey::VARCHAR AS session_id, CASE WHEN c_custkey % 13 <> 0 THEN (c_custkey % 101) / 101 END AS h, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 89) / 89 END AS c,
+  CASE WHEN c_custkey % 17 <> 0 THEN (c_custkey % 97) / 97 END AS a, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 11) / 100 END AS g FROM customer),
+gt AS (SELECT session_id, list_filter([CASE WHEN h IS NULL THEN 'missing_health_score' END, CASE WHEN a IS NULL THEN 'missing_alignment_confidence' END,
+  CASE WHEN coalesce(h, 0) < 0.7 THEN printf('health_below_threshold:%.3f<0.700', coalesce(h, 0)) END, CASE WHEN c < 0.6 THEN printf('closure_below_threshold:%.3f<0.600', c) END,
+  CASE WHEN coalesce(a, 0) < 0.6 THEN printf('alignment_below_threshold:%.3f<0.600', coalesce(a, 0)) END, CASE WHEN g > 0.05 THEN printf('gap_fraction_above_threshold:%.3f>0.050', g) END], lambda r: r IS NOT NULL) AS rs,
+  CASE WHEN coalesce(h, 0) < 0.7 THEN greatest(0.1, coalesce(h, 0) / (0.7 + 1e-9)) ELSE 1 END * CASE WHEN c < 0.6 THEN greatest(0.1, c / (0.6 + 1e-9)) ELSE 1 END
+  * CASE WHEN coalesce(a, 0) < 0.6 THEN greatest(0.1, coalesce(a, 0) / (0.6 + 1e-9)) ELSE 1 END * CASE WHEN g > 0.05 THEN greatest(0.1, 0.05 / (g + 1e-9)) ELSE 1 END AS penalty FROM sc)"""
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    some = lambda skip, m, d, name: F.when(k % skip != 0, (k % m) / d).alias(name)
+    return _read(spark, sf, "customer").select(k.cast("string").alias("session_id"), some(13, 101, 101, "health_score"), some(7, 89, 89, "closure_score"), some(17, 97, 97, "alignment_confidence"), some(5, 11, 100, "gap_fraction"))
+
+
+@query(f"WITH {SCORES} SELECT session_id, array_to_string(rs, ';') AS reasons, len(rs) = 0 AS allow FROM gt")
+def gating_hard(spark: SparkSession, sf: str) -> DataFrame:
+    return I.gate(_scores(spark, sf)).select("session_id", F.array_join("reasons", ";").alias("reasons"), "allow")
+
+
+@query(f"WITH {SCORES} SELECT session_id, true AS allow, round(penalty::DOUBLE, 6) AS penalty FROM gt")
+def gating_soft(spark: SparkSession, sf: str) -> DataFrame:
+    return I.gate(_scores(spark, sf), "soft").select("session_id", "allow", *_r("penalty"))
+
+
+@query(f"""WITH {TIMELINE}, {SHIFTS}, {SCORES}
+SELECT session_id, 'finding_' || substr(sha256('{{"bin":' || bin || ',"kind":"regime_shift","regime":' || g || ',"session":"' || session_id || '"}}'), 1, 16) AS finding_id, 'Regime transition detected' AS title,
+  round(least(0.95, 0.5 + d), 6) AS confidence, 'bin:' || bin AS evidence FROM sh JOIN gt USING (session_id) WHERE len(rs) = 0
+UNION ALL SELECT session_id, 'finding_' || substr(sha256('{{"kind":"inference_skipped","session":"' || session_id || '"}}'), 1, 16), 'Inference skipped', 1, array_to_string(rs, ';') FROM gt WHERE len(rs) > 0""")
+def findings(spark: SparkSession, sf: str) -> DataFrame:
+    shifts = I.regime_shifts(_timeline(spark, sf), 4, 0.05)
+    return I.findings(shifts, I.gate(_scores(spark, sf))).select("session_id", "finding_id", "title", *_r("confidence"), "evidence")
+
+
+# Raw tables.
+
+
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    k, t = F.col("event_id"), F.col("ts")
+    date = F.when(k % 6 == 0, F.date_format(t, "yyyy/MM/dd")).when(k % 6 == 1, F.date_format(t, "MM/dd/yyyy")).when(k % 6 == 2, F.lit("not a date")).otherwise(F.date_format(t, "yyyy-MM-dd"))
+    time = F.when(k % 6 == 3, F.date_format(t, "HH:mm:ss.SSS")).otherwise(F.date_format(t, "HH:mm:ss"))
+    spot = F.when(k % 10 == 4, "1,2,3").when(k % 10 == 5, F.concat(F.lit("["), k % 64, F.lit(";"), k % 48, F.lit("]"))).otherwise(F.concat(F.lit("("), k % 64, F.lit(".5, "), k % 48, F.lit(")")))
+    mass = F.when(k % 9 == 0, "none").otherwise(F.round("value", 2).cast("string"))
+    return _read(spark, sf, "events").select(date.alias("Date"), time.alias("Time"), spot.alias(T.CENTROID), mass.alias("Mass (mg)"), F.col("user_id").cast("string").alias("operator"), k.alias("row_index"), F.lit("events").alias("source_file"))
+
+
+RAW = """rw AS (SELECT event_id AS k, ts, CASE WHEN event_id % 6 = 0 THEN strftime(ts, '%Y/%m/%d') WHEN event_id % 6 = 1 THEN strftime(ts, '%m/%d/%Y') WHEN event_id % 6 = 2 THEN 'not a date' ELSE strftime(ts, '%Y-%m-%d') END AS d,
+  CASE WHEN event_id % 6 = 3 THEN substr(strftime(ts, '%H:%M:%S.%f'), 1, 12) ELSE strftime(ts, '%H:%M:%S') END AS tm,
+  CASE WHEN event_id % 10 = 4 THEN '1,2,3' WHEN event_id % 10 = 5 THEN '[' || event_id % 64 || ';' || event_id % 48 || ']' ELSE '(' || event_id % 64 || '.5, ' || event_id % 48 || ')' END AS spot, value, user_id FROM events),
+ps AS (SELECT *, try_strptime(d || ' ' || tm, ['%Y-%m-%d %H:%M:%S', '%Y/%m/%d %H:%M:%S', '%m/%d/%Y %H:%M:%S', '%Y-%m-%d %H:%M:%S.%g', '%m/%d/%Y %H:%M:%S.%g']) AS t, string_split(trim(spot, '()[]'), ',') AS xy FROM rw),
+pc AS (SELECT *, CASE WHEN len(xy) = 2 THEN try_cast(trim(xy[1]) AS DOUBLE) END AS px, CASE WHEN len(xy) = 2 THEN try_cast(trim(xy[2]) AS DOUBLE) END AS py FROM ps)"""
+
+
+@query(f"""WITH {RAW} SELECT 'particle_' || substr(sha256('{{"row":' || k || ',"source":"events","t":"' || replace(d, '/', '/') || ' ' || tm || '"}}'), 1, 16) AS particle_event_id, epoch_us(t) AS t_utc, px AS x_px, py AS y_px,
+  CASE WHEN k % 9 <> 0 THEN round(value, 2) END AS mass_mg, '{{"operator":"' || user_id || '"}}' AS raw_json, k AS row_index FROM pc WHERE t IS NOT NULL AND px IS NOT NULL AND py IS NOT NULL""")
+def observations_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    return T.normalise_observations(_raw(spark, sf), "UTC")[0].select("particle_event_id", _us("t_utc"), "x_px", "y_px", *_r("mass_mg", digits=2), "raw_json", "row_index")
+
+
+@query(f"WITH {RAW} SELECT k AS row_index, CASE WHEN t IS NULL THEN 'time_parse_failed' ELSE 'centroid_parse_failed' END AS reason, d AS date_raw, tm AS time_raw FROM pc WHERE t IS NULL OR px IS NULL OR py IS NULL")
+def observations_quarantined(spark: SparkSession, sf: str) -> DataFrame:
+    return T.normalise_observations(_raw(spark, sf), "UTC")[1].select("row_index", "reason", "date_raw", "time_raw")
+
+
+@query("""SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS record FROM customer""")
+def catalog_json(spark: SparkSession, sf: str) -> DataFrame:
+    return T.as_json_records(_read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
+
+
+@query("""SELECT o_orderkey, o_totalprice / 100 AS depth, o_totalprice AS mass, round(3e-4 * o_totalprice, 6) AS predicted, round(abs(3e-4 * o_totalprice) * 0.25, 8) AS uncertainty, (o_orderkey % 90)::INTEGER AS px FROM orders""")
+def unit_conversions(spark: SparkSession, sf: str) -> DataFrame:
+    p, k = F.col("o_totalprice"), F.col("o_orderkey")
+    depth = S.mass_to_depth(p, 100.0)
+    mass = S.linear_mass(p)
+    at = S.pixel((k % 90).cast("double"), (k % 75).cast("double"), 75, 90)
+    return _read(spark, sf, "orders").select("o_orderkey", depth.alias("depth"), F.round(S.depth_to_mass(depth, 100.0), 2).alias("mass"), F.round(mass["mass"], 6).alias("predicted"), F.round(mass["uncertainty"], 8).alias("uncertainty"), at["x"].alias("px"))
+
+
+@query()
+def session_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages over the frames table; products depend on the greedy tracks, so there is no SQL. Tested on an invented session with known events."""
+    frame_rows = stacks(spark, sf).join(_dense(spark, sf), ["session_id", "frame_idx"]).select("session_id", (F.col("place") - 1).alias("frame_idx"), "pixels")
+    axis = frame_rows.groupBy("session_id").agg(F.timestamp_seconds(F.lit(1_704_067_200)).alias("t0"), F.lit(1.0).alias("dt"), F.count("*").cast("int").alias("n_frames"))
+    k = F.col("event_id")
+    observed = _read(spark, sf, "events").select((F.col("user_id") % 10).cast("string").alias("session_id"), k.cast("string").alias("particle_event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + k % 60).alias("t_utc"), (k % 8).cast("double").alias("y_px"), (k % 7).cast("double").alias("x_px"), F.col("value").alias("mass_mg"))
+    ref = frame_rows.select("session_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("frame_idx")).alias("t_utc"), (F.col("frame_idx") * 0.1).alias("swe_mm"))
+    out = analysis.analyse(Store(spark), frame_rows, observed, ref, axis, analysis.Settings(8, 8, k_sigma=1.5, quiescent_least=5, gate="soft"))
+    return out["phenotype"].select("session_id", "n_events", *_r("health_score", "closure_score", "motion_score_mean", "snr_q50", "energy_q50", "total_final"))
