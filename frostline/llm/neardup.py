@@ -7,9 +7,9 @@
    latest register are never made. Two registers agree with the probability of the bags' weighted Jaccard similarity.
 3. Bands of ROWS registers give buckets. In a bucket only pairs with a pivot are looked at, so a bucket of n units costs n checks, and
    links found join components. Two rounds take two pivots a bucket.
-4. Units of buckets that still hold several components are compared by an exact join on prefixes: under an order of shingles by
-   frequency, similar bags share one of their few rarest shingles. So no pair within a bucket is lost, and none is made of all by all.
-5. Every candidate is verified on whole bags. Classes are the components of the verified links.
+4. In buckets that still hold several components, units of different ones are compared inside the join itself: sizes, four bits of each
+   register, and then the whole bags. Only links come out of it, each from the first band that its two bags share.
+5. Every link is verified on whole bags. Classes are the components of the links.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.llm.common import Scratch, maybe_broadcast, text_or_empty
@@ -101,6 +101,12 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(registers: np.ndarray) -> np.ndarray:
+    """Four bits of each register, 16 registers to a 64-bit word."""
+    bits = (registers.view(np.uint64) * _GOLDEN >> np.uint64(60)).reshape(len(registers), M // 16, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def _text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
     texts = batch["text"].to_pylist()
     i, size = 0, 0
@@ -112,24 +118,26 @@ def _text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, uid, n, bands) of each row of docs (doc_id, mark, text): uid tells bags apart, n is the bag's total weight."""
+    """(doc_id, mark, uid, n, bands, sketch) of each row of docs (doc_id, mark, text): uid tells bags apart, n is the bag's total weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for i, j, texts in _text_chunks(batch):
                 owner, shingle, weight = bags(texts, memo)
-                keys = band_keys(signatures(owner, shingle, weight, len(texts)))
+                registers = signatures(owner, shingle, weight, len(texts))
+                keys, words = band_keys(registers), sketches(registers)
                 cut = np.searchsorted(owner, np.arange(len(texts) + 1))
                 packed = np.column_stack([shingle, weight])
                 uid = [xxhash.xxh3_128_digest(packed[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 n = np.bincount(owner, weight, len(texts)).astype(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+                short = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
                 rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["mark"], pa.array(uid, pa.binary()), pa.array(n), bands], ["doc_id", "mark", "uid", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["mark"], pa.array(uid, pa.binary()), pa.array(n), bands, short], ["doc_id", "mark", "uid", "n", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, mark long, uid binary, n long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, mark long, uid binary, n long, bands array<long>, sketch array<long>")
 
 
 def bag_table(docs: DataFrame) -> DataFrame:
@@ -198,8 +206,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("mark", F.xxhash64("doc_id", "text"))
     signed = scratch.stage("signed", sign(rows.select("doc_id", "mark", "text")))
     least = F.min(F.struct(F.isnull("doc_id").alias("late"), F.col("doc_id").alias("least"), "mark")).alias("row")
-    units = signed.groupBy("uid").agg(least, F.first("bands").alias("bands"), F.max("n").alias("n"))
-    units = scratch.stage("units", units.select("uid", "row.least", "row.mark", "bands", "n"))
+    units = signed.groupBy("uid").agg(least, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.max("n").alias("n"))
+    units = scratch.stage("units", units.select("uid", "row.least", "row.mark", "bands", "sketch", "n"))
     banded = units.where("n > 0").select("uid", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo != hi")
     pivots = scratch.stage("pivots", shared)
@@ -224,8 +232,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
         links = good if links is None else links.unionByName(good)
         label = components(links, scratch, f"round{turn}")
     mixed = _labelled(members.select("bucket", F.col("uid").alias("u")), label, "u").groupBy("bucket").agg(F.min("u_label").alias("a"), F.max("u_label").alias("b")).where("a != b")
-    rest = scratch.stage("rest", members.join(mixed.select("bucket"), "bucket").select("uid").distinct())
-    more = verify(_prefix_pairs(bag.join(rest, "uid"), label, scratch, similarity), bag, similarity)
+    more = _within_buckets(members.join(mixed.select("bucket"), "bucket"), units, bag, label, scratch, similarity)
     label = components(links.unionByName(scratch.stage("more", more)), scratch, "last")
 
     unit_class = units.join(label, "uid", "left").select("uid", "least", F.coalesce("label", "uid").alias("label"))
@@ -239,22 +246,40 @@ def _labelled(df: DataFrame, label: DataFrame, column: str) -> DataFrame:
     return df.join(named, column, "left").withColumn(f"{column}_label", F.coalesce(f"{column}_label", column))
 
 
-def _prefix_pairs(bag: DataFrame, label: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """All pairs of bags that may be similar and lie in different components: they share one of their rarest items.
+def _within_buckets(rest: DataFrame, units: DataFrame, bag: DataFrame, label: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Links (u, v) between units of different components in the buckets of rest (bucket, uid, n).
 
-    Of a bag of n items, similar ones hold ceil(similarity * n) at least; so the rarest n - ceil(...) + 1 of each must meet. Items that one bag
-    alone holds are left out of the join. Sizes must fit too.
+    All of the test stands in the join's condition, the cheap parts first, so nothing but links is made. A bucket's comparisons are
+    the pairs of its components, whose number pivots have brought down; a large bucket is one that Spark may split.
     """
-    items = _labelled(bag.select(F.col("uid").alias("u"), F.size("bag").alias("n"), F.explode("bag").alias("item")), label, "u")
-    seen = items.groupBy("item").agg(F.count("*").alias("df"), F.min("u_label").alias("a"), F.max("u_label").alias("b"))
-    seen = scratch.stage("seen", seen.where("df > 1"))
-    per_bag = items.join(seen, "item", "left").groupBy("u", "u_label", "n")
-    ordered = per_bag.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item", (F.coalesce("a", F.lit(b"")) != F.coalesce("b", F.lit(b""))).alias("mixed")))).alias("all"))
-    first = F.slice("all", 1, (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int"))
-    prefix = scratch.stage("prefix", ordered.select("u", "u_label", "n", F.explode(first).alias("p")).where("p.mixed").select("u", "u_label", "n", "p.item"))
-    other = prefix.select(F.col("u").alias("v"), F.col("u_label").alias("v_label"), F.col("n").alias("m"), "item")
-    met = prefix.join(other, "item").where((F.col("u") < F.col("v")) & (F.col("u_label") != F.col("v_label")))
-    return met.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9).select("u", "v").distinct()
+    held = _labelled(rest.select(F.col("uid").alias("u"), "bucket", "n"), label, "u")
+    held = held.join(units.select(F.col("uid").alias("u"), "bands", "sketch"), "u").join(bag.select(F.col("uid").alias("u"), "bag"), "u")
+    held = held.withColumn("before", F.expr("slice(bands, 1, array_position(bands, bucket) - 1)")).drop("bands")
+    one = scratch.stage("held", held)
+    two = one.select("bucket", *[F.col(c).alias(f"{c}2") for c in one.columns if c != "bucket"])
+    # a loop over the words, not 8 times its code: methods of over 8,000 bytes are never compiled by the JVM
+    least = F.aggregate(F.zip_with("sketch", "sketch2", _equal_registers), F.lit(0), lambda total, k: total + k)
+    both = F.size(F.array_intersect("bag", "bag2"))
+    test = (
+        (F.col("u") < F.col("u2")) & (F.col("u_label") != F.col("u2_label2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2").cast("double") - 1e-9)
+        & (least >= _agreeing(similarity)) & ~F.arrays_overlap("before", "before2") & (both >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9)
+    )
+    two = two.withColumnRenamed("u_label2", "u2_label2")
+    return one.join(two, "bucket").where(test).select("u", F.col("u2").alias("v"))
+
+
+def _equal_registers(a: Column, b: Column) -> Column:
+    """How many of the 16 four-bit parts of two words are equal."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+    return 16 - F.bit_count(x)
+
+
+def _agreeing(similarity: float) -> int:
+    """Registers that agree in four bits, less 5.3 deviations: bags of this similarity fall under it once in 10^7 pairs."""
+    p = similarity + (1 - similarity) / 16
+    return max(0, int(M * p - 5.3 * (M * p * (1 - p)) ** 0.5))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
