@@ -255,17 +255,19 @@ def _within_buckets(rest: DataFrame, units: DataFrame, bag: DataFrame, label: Da
     held = _labelled(rest.select(F.col("uid").alias("u"), "bucket", "n"), label, "u")
     held = held.join(units.select(F.col("uid").alias("u"), "bands", "sketch"), "u").join(bag.select(F.col("uid").alias("u"), "bag"), "u")
     held = held.withColumn("before", F.expr("slice(bands, 1, array_position(bands, bucket) - 1)")).drop("bands")
-    one = scratch.stage("held", held)
-    two = one.select("bucket", *[F.col(c).alias(f"{c}2") for c in one.columns if c != "bucket"])
+    held = scratch.stage("held", held)
+    scratch.drop("bags", "members", "pivots", "wanted")
+    scratch.free_shuffles()
+    # both sides are the same but for their columns' names, so that they share one shuffle
+    one, two = (held.select(*[F.col(c).alias(f"{c}{k}") for c in held.columns]) for k in (1, 2))
     # a loop over the words, not 8 times its code: methods of over 8,000 bytes are never compiled by the JVM
-    least = F.aggregate(F.zip_with("sketch", "sketch2", _equal_registers), F.lit(0), lambda total, k: total + k)
-    both = F.size(F.array_intersect("bag", "bag2"))
+    least = F.aggregate(F.zip_with("sketch1", "sketch2", _equal_registers), F.lit(0), lambda total, k: total + k)
+    both = F.size(F.array_intersect("bag1", "bag2"))
     test = (
-        (F.col("u") < F.col("u2")) & (F.col("u_label") != F.col("u2_label2")) & (F.least("n", "n2") >= similarity * F.greatest("n", "n2").cast("double") - 1e-9)
-        & (least >= _agreeing(similarity)) & ~F.arrays_overlap("before", "before2") & (both >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9)
+        (F.col("u1") < F.col("u2")) & (F.col("u_label1") != F.col("u_label2")) & (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2").cast("double") - 1e-9)
+        & (least >= _agreeing(similarity)) & ~F.arrays_overlap("before1", "before2") & (both >= similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-9)
     )
-    two = two.withColumnRenamed("u_label2", "u2_label2")
-    return one.join(two, "bucket").where(test).select("u", F.col("u2").alias("v"))
+    return one.join(two, F.col("bucket1") == F.col("bucket2")).where(test).select(F.col("u1").alias("u"), F.col("u2").alias("v"))
 
 
 def _equal_registers(a: Column, b: Column) -> Column:
