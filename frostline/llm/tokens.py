@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,10 @@ BLOCK_BYTES, BATCH_CHARS = 4 << 20, 4_000_000
 MEMO = 1_200_000
 
 
+#: A space that white space or the end follows: no cut.
+_JOINED = re.compile(r" (?=\s|$)")
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -60,16 +65,26 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), END_ID + 1) <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
 
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str) -> tuple[str, list[str]]:
+        """The text up to the first cut, and the parts after it without the space that each begins with."""
         first, *rest = text.split(" ")
+        if not _JOINED.search(text):
+            return first, rest
         out = [first]
         for x in rest:
             if not x or x[0].isspace():
                 out[-1] += " " + x
             else:
-                out.append(" " + x)
-        return out
+                out.append(x)
+        return out[0], out[1:]
+
+    def _learn(self, memo: dict[str, bytes], new: list[str], before: str) -> None:
+        for at in range(0, len(new), 50_000):
+            some = new[at : at + 50_000]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast([before + x for x in some], add_special_tokens=False), strict=True):
+                memo[x] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
@@ -77,13 +92,12 @@ class Encoder:
         cut = [self.parts(x) for x in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = list(set().union(*cut).difference(self.memo)) if cut else []
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[x] = np.array(e.ids, self.kind).tobytes()
-        ids = self.memo
-        return [b"".join([ids[x] for x in p]) + end for p in cut]
+        if len(self.firsts) > MEMO // 10:
+            self.firsts.clear()
+        self._learn(self.firsts, list({f for f, _ in cut}.difference(self.firsts)), "")
+        self._learn(self.memo, list(set().union(*(r for _, r in cut)).difference(self.memo)), " ")
+        ids = self.memo.__getitem__
+        return [self.firsts[f] + b"".join(map(ids, r)) + end for f, r in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -116,7 +130,8 @@ def train_dictionary(docs: DataFrame, path: str, dict_bytes: int = DICT_BYTES, s
     Fewer than 50 such texts give an empty dictionary, which frames do without.
     """
     short = docs.where(F.length("text").between(1, SAMPLE_CHARS))
-    sample = [r["text"] for r in short.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample_docs).select("text").collect()]
+    ids = short.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct()  # ids alone are sorted
+    sample = [r["text"] for r in short.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").limit(sample_docs).collect()]
     if len(sample) < 50:
         return b""
     try:
@@ -190,6 +205,8 @@ def write_tokens(docs: DataFrame, to: str, scratch: Scratch, path: str | None =
         .mapInPandas(_pack, "part int, block int, frames binary, rows array<struct<row:long,doc_id:long,offset:long,length:long,n_tokens:long,start:long>>")
     )
     packed = scratch.stage("packed", packed)
+    scratch.drop("frames")
+    scratch.free_shuffles()
     packed.select("part", "block", "frames").write.mode("overwrite").parquet(f"{to}/blocks")
     rows = packed.select("part", "block", F.explode("rows").alias("r")).select("part", "block", "r.*")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
@@ -199,7 +216,7 @@ def write_tokens(docs: DataFrame, to: str, scratch: Scratch, path: str | None =
     )
     index.write.mode("overwrite").parquet(f"{to}/index")
     spark.createDataFrame([(mark, wide, bytearray(body))], "dict_hash string, id_bytes int, body binary").write.mode("overwrite").parquet(f"{to}/dictionary")
-    scratch.drop("frames", "packed")
+    scratch.drop("packed")
 
 
 def read_tokens(spark: SparkSession, where: str, docs: DataFrame | None = None) -> DataFrame:
