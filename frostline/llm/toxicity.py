@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import Scratch, crc_mod, text_or_empty, tree_sum
+from frostline.llm.common import Scratch, crc_mod, maybe_broadcast, text_or_empty, tree_sum
 
 #: Sets of identity terms that can stand for each other; the first of a set is its neutral term. Fixed values.
 IDENTITY = (
@@ -179,7 +179,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, label:
     known = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT))
     share = min(1.0, max_labelled / max(known.count(), 1))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
-    labelled = scratch.stage("labelled", known.join(docs, "doc_id").select("text", "y"))
+    known = scratch.stage("known", known)
+    labelled = scratch.stage("labelled", docs.join(maybe_broadcast(known), "doc_id").select("text", "y"))
     model = fit(labelled, scratch, mu)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
