@@ -32,7 +32,7 @@ def count_tokens(text: Column) -> Column:
 
 def _hash(*parts: Column | str) -> Column:
     """60 bits of the md5 of the parts; any order by it is a pseudo-random permutation."""
-    text = F.concat_ws("|", F.lit(str(SEED)), *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")).cast("string") for p in parts])
+    text = F.concat_ws("|", F.lit(str(SEED)), *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
