@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Registers, and registers in a band: a pair of similarity 0.8 shares no band with a probability of 5e-8.
 M, ROWS = 128, 4
 #: Words gathered for one step, and words whose hashes a worker remembers.
-CHUNK, MEMO = 400_000, 1_000_000
+CHUNK, MEMO = 200_000, 200_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,13 +109,13 @@ def sketches(registers: np.ndarray) -> np.ndarray:
 
 
 def _text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
-    texts = batch["text"].to_pylist()
+    """Bounds of consecutive rows and their texts; a batch's other texts stay in Arrow meanwhile."""
     i, size = 0, 0
-    for j, x in enumerate(texts):
-        size += len(x) + 20
-        if size > 6 * CHUNK or j + 1 == len(texts) or j + 1 - i == 1 << 15:
-            yield i, j + 1, texts[i : j + 1]
-            i, size = j + 1, 0
+    for j, n in enumerate(pc.binary_length(batch["text"]).to_pylist(), 1):
+        size += n + 20
+        if size > 6 * CHUNK or j == batch.num_rows or j - i == 1 << 15:
+            yield i, j, batch["text"].slice(i, j - i).to_pylist()
+            i, size = j, 0
 
 
 def sign(docs: DataFrame) -> DataFrame:
