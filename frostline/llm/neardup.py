@@ -197,12 +197,13 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, mark, class_id) of each row of docs (doc_id, text): class_id is the least doc_id of the row's class.
+    """(doc_id, mark, class_id, class_key) of each row of docs (doc_id, text): class_id is the least doc_id of the row's class, class_key tells classes apart.
 
     Rows are in one class if a chain of texts leads from one to the other in which neighbours have a weighted Jaccard similarity of five-word
     shingles of at least ``similarity``. Words are lower-case, between white space; a text of fewer words has one shingle of them
     all. Texts without words, null and empty ones, make one class. Repeated rows stay, each in the same class. A null doc_id
-    counts as larger than all others, so a class has a null id only if all its rows do. ``mark`` is a hash of id and text; other columns stay out.
+    counts as larger than all others, so a class has a null id only if all its rows do. Classes share a class_id where unrelated texts have
+    one doc_id or none; class_key is then still each class's own. ``mark`` is a hash of id and text; other columns stay out.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("mark", F.xxhash64("doc_id", "text"))
     signed = scratch.stage("signed", sign(rows.select("doc_id", "mark", "text")))
@@ -238,8 +239,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
 
     unit_class = units.join(label, "uid", "left").select("uid", "least", F.coalesce("label", "uid").alias("label"))
     class_ids = unit_class.groupBy("label").agg(F.min("least").alias("class_id"))
-    unit_class = scratch.stage("classes", unit_class.join(class_ids, "label").select("uid", "class_id"))
-    return signed.select("doc_id", "mark", "uid").join(unit_class, "uid").select("doc_id", "mark", "class_id")
+    unit_class = scratch.stage("classes", unit_class.join(class_ids, "label").select("uid", "class_id", F.col("label").alias("class_key")))
+    return signed.select("doc_id", "mark", "uid").join(unit_class, "uid").select("doc_id", "mark", "class_id", "class_key")
 
 
 def _labelled(df: DataFrame, label: DataFrame, column: str) -> DataFrame:
@@ -288,10 +289,11 @@ def _agreeing(similarity: float) -> int:
 def keep_one(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, with their columns, that stand for their classes: those with the class's least doc_id; of rows with one id and text, one.
 
-    Rows with one doc_id and different texts in a class: the one whose text hashes least stays.
+    Rows with one doc_id and different texts in a class: the one whose text hashes least stays. Each class keeps its own row, also where
+    unrelated texts share a doc_id or have none.
     """
     found = near_duplicates(docs, scratch, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = scratch.stage("kept", found.groupBy(F.col("class_id").alias("__id")).agg(F.min("mark").alias("__mark")))
+    kept = scratch.stage("kept", found.groupBy("class_key").agg(F.min("doc_id").alias("__id"), F.min("mark").alias("__mark")))
     marked = docs.withColumn("__m", F.xxhash64("doc_id", text_or_empty()))
     once = marked.join(kept, (marked["__m"] == kept["__mark"]) & marked["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
     repeated = once.groupBy("__m").count().where("count > 1").select(F.col("__m").alias("__r"))

@@ -25,7 +25,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "neardup")).select("doc_id", "class_id")
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "neardup")).select("doc_id", "class_id", F.hex("class_key").alias("class_key"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

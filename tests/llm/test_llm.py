@@ -40,6 +40,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.keep_one(df.union(df), Scratch(spark, "t")).count() == len(set(got.values()))
 
 
+def test_keep_one_keeps_a_row_of_each_class_under_null_and_shared_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (None, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in neardup.keep_one(df, Scratch(spark, "t")).collect()]
+    assert sorted(got, key=str) == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3])], key=str)
+    keys = neardup.near_duplicates(df, Scratch(spark, "t")).select("class_key").distinct()
+    assert keys.count() == 4
+
+
 def test_registers_estimate_weighted_similarity():
     memo = neardup.WordHashes()
     texts = [" ".join(map(str, range(300))), " ".join(["p q r s t u"] * 40 + list(map(str, range(30)))), " ".join(["p q r s t u"] * 33 + list(map(str, range(30))))]
