@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -178,20 +179,27 @@ def verify(pairs: DataFrame, bag: DataFrame, similarity: float = SIMILARITY) ->
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(uid, label) of each unit in links (u, v): the least uid of its component, by spreading least labels and jumping along them."""
+    """(uid, label) of each unit in links (u, v): the least uid of its component.
+
+    In a round each unit takes the least label of its neighbours and hands it to the root that its own label names, then labels jump once along
+    labels. So whole trees move at once, and a chain of links takes about the logarithm of its length in rounds. Labels only fall, so the loop
+    ends, and when a round changes none, all neighbours have one label: a component's least uid.
+    """
     edges = scratch.stage(f"{name}-edges", links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = scratch.stage(f"{name}-0", edges.groupBy(F.col("u").alias("uid")).agg(F.min("v").alias("m")).select("uid", F.least("uid", "m").alias("label")))
-    for k in range(1, 200):
+    for k in count(1):
         near = edges.join(labels, edges["v"] == labels["uid"]).groupBy("u").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels["uid"] == near["u"]).select("uid", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        new = scratch.stage(f"{name}-{k}n", new)
+        near = labels.join(near, labels["uid"] == near["u"]).select("uid", F.least("label", "near").alias("near"), F.col("label").alias("old"))
+        own = F.struct("uid", F.col("near").alias("label"), "old")
+        root = F.struct(F.col("old").alias("uid"), F.col("near").alias("label"), F.lit(None).cast("binary").alias("old"))
+        new = near.select(F.explode(F.when(F.col("near") == F.col("old"), F.array(own)).otherwise(F.array(own, root))).alias("r")).select("r.*")
+        new = scratch.stage(f"{name}-{k}n", new.groupBy("uid").agg(F.min("label").alias("label"), F.max("old").alias("old")))
+        if new.where("label != old").isEmpty():
+            scratch.drop(f"{name}-{k}n")
+            break
         jump = new.select(F.col("uid").alias("at"), F.col("label").alias("further"))
-        labels = scratch.stage(f"{name}-{k}", new.join(jump, new["label"] == jump["at"]).select("uid", F.col("further").alias("label"), F.col("old")))
-        changed = not labels.where("label != old").isEmpty()
-        labels = labels.select("uid", "label")
+        labels = scratch.stage(f"{name}-{k}", new.join(jump, new["label"] == jump["at"]).select("uid", F.col("further").alias("label")))
         scratch.drop(f"{name}-{k - 1}", f"{name}-{k}n")
-        if not changed:
-            break
     scratch.drop(f"{name}-edges")
     return labels
 

@@ -50,6 +50,15 @@ def test_keep_one_keeps_a_row_of_each_class_under_null_and_shared_ids(spark):
     assert keys.count() == 4
 
 
+def test_components_of_a_long_chain_and_short_ones(spark):
+    uid = [int(i).to_bytes(4, "big") for i in np.random.default_rng(0).permutation(1010)]
+    chain = list(zip(uid[:1000], uid[1:1001], strict=True))
+    links = spark.createDataFrame([*chain, (uid[1001], uid[1002]), (uid[1003], uid[1004]), (uid[1005], uid[1004])], "u binary, v binary")
+    got = {bytes(r["uid"]): bytes(r["label"]) for r in neardup.components(links, Scratch(spark, "t"), "chain").collect()}
+    want = {u: min(part) for part in (uid[:1001], uid[1001:1003], uid[1003:1006]) for u in part}
+    assert got == want
+
+
 def test_registers_estimate_weighted_similarity():
     memo = neardup.WordHashes()
     texts = [" ".join(map(str, range(300))), " ".join(["p q r s t u"] * 40 + list(map(str, range(30)))), " ".join(["p q r s t u"] * 33 + list(map(str, range(30))))]
