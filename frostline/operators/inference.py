@@ -43,11 +43,12 @@ def standardise(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*[c for c in rows.columns if c not in columns], *z)
 
 
-def k_means(rows: DataFrame, key: str, columns: list[str], k: int = 4, rounds: int = 10, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> DataFrame:
+def k_means(rows: DataFrame, key: str, columns: list[str], k: int = 4, rounds: int = 50, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> DataFrame:
     """(session_id, key, regime, confidence): Lloyd's rounds in each session from its k first rows by key; an empty cluster keeps its centre.
 
-    The centres, k rows a session, travel as one array a session; each round is one aggregation. confidence is 1 / (1 + d^2).
-    keep(name, df) writes the centres between rounds: without it plans double with each round, so give it for more than a few.
+    Rounds end when no row's regime changes, or after ``rounds``. The centres, k rows a session, travel as one array a session; each
+    round is one aggregation. confidence is 1 / (1 + d^2). keep(name, df) writes the centres and regimes between rounds: without it
+    plans double with each round, so give it for more than a few.
     """
     x = rows.select("session_id", key, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     first = Window.partitionBy("session_id").orderBy(key)
@@ -55,7 +56,11 @@ def k_means(rows: DataFrame, key: str, columns: list[str], k: int = 4, rounds: i
     centres = start.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("regime", F.col("x").alias("c")))).alias("centres"))
     for turn in range(rounds):
         centres = keep(f"centres{turn}", centres)
-        means = nearest_centre(x, centres, key).groupBy("session_id", "regime").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(columns))]).alias("c"))
+        near = keep(f"assigned{turn % 2}", nearest_centre(x, centres, key))  # no table of the round before the last is read any more
+        if turn and near.where("regime != was").isEmpty():
+            return near.select("session_id", key, "regime", (1.0 / (1.0 + F.col("d2"))).alias("confidence"))
+        x = near.select("session_id", key, "x", F.col("regime").alias("was"))
+        means = near.groupBy("session_id", "regime").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(columns))]).alias("c"))
         new = means.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("regime", "c"))).alias("m"))
         kept = F.transform("centres", lambda e: F.struct(e["regime"].alias("regime"), F.coalesce(F.col("m")[e["regime"]], e["c"]).alias("c")))
         centres = centres.join(new, "session_id").select("session_id", kept.alias("centres"))
@@ -66,7 +71,7 @@ def nearest_centre(x: DataFrame, centres: DataFrame, key: str) -> DataFrame:
     """x (session_id, key, x array) with regime and d2 of the nearest of its session's centres, the first on a tie."""
     d2 = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     best = F.array_min(F.transform("centres", lambda e: F.struct(d2(e["c"]).alias("d2"), e["regime"].alias("regime"))))
-    return x.join(centres, "session_id").withColumn("b", best).select("session_id", key, "x", F.col("b.regime").alias("regime"), F.col("b.d2").alias("d2"))
+    return x.join(centres, "session_id").withColumn("b", best).select(*x.columns, F.col("b.regime").alias("regime"), F.col("b.d2").alias("d2"))
 
 
 def regime_timeline(assigned: DataFrame, k: int, seconds: int = 60) -> DataFrame:

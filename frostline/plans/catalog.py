@@ -449,8 +449,18 @@ n0 AS ({_NEAR.format("c0")}), m AS (SELECT session_id, best.g AS g, avg(a) AS ma
 c1 AS (SELECT c0.session_id, g, coalesce(ma, ca) AS ca, coalesce(mb, cb) AS cb FROM c0 LEFT JOIN m USING (session_id, g)), n1 AS ({_NEAR.format("c1")})
 SELECT session_id, k AS o_orderkey, best.g AS regime, round(1 / (1 + best.d2), 6) AS confidence FROM n1""")
 def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _read(spark, sf, "orders").select(F.col("o_orderstatus").alias("session_id"), "o_orderkey", (F.col("o_totalprice") / 1e5).alias("a"), (F.col("o_custkey") / 1e3).alias("b"))
-    return I.k_means(rows, "o_orderkey", ["a", "b"], k=3, rounds=1).select("session_id", "o_orderkey", "regime", *_r("confidence"))
+    """One round, which is what the SQL unrolls; kmeans_converged goes on."""
+    return I.k_means(_orders(spark, sf), "o_orderkey", ["a", "b"], k=3, rounds=1).select("session_id", "o_orderkey", "regime", *_r("confidence"))
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "orders").select(F.col("o_orderstatus").alias("session_id"), "o_orderkey", (F.col("o_totalprice") / 1e5).alias("a"), (F.col("o_custkey") / 1e3).alias("b"))
+
+
+@query()
+def kmeans_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """Rounds until no regime changes, 50 at most."""
+    return I.k_means(_orders(spark, sf), "o_orderkey", ["a", "b"], k=3, keep=Store(spark).keep).select("session_id", "o_orderkey", "regime", *_r("confidence"))
 
 
 TIMELINE = """a AS (SELECT (user_id % 5)::VARCHAR AS session_id, epoch_us(ts) AS t, event_id % 4 AS g FROM events),

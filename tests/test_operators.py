@@ -78,6 +78,22 @@ def test_kalman_equals_the_matrix_form(spark):
     assert np.allclose(got, [(k[2], s) for k, s in zip(keep, xs, strict=True)])
 
 
+def test_k_means_goes_on_until_regimes_rest(spark):
+    from frostline.sources.stage import Store
+
+    v = np.array([float(i * i) for i in range(40)])
+    centres, labels, turns = v[:4].copy(), None, 0
+    while labels is None or (new != labels).any():
+        labels = np.abs(v[:, None] - centres).argmin(1) if labels is None else new
+        centres = np.array([v[labels == j].mean() for j in range(4)])
+        new, turns = np.abs(v[:, None] - centres).argmin(1), turns + 1
+    assert 10 < turns < 50
+    df = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(v)], "session_id string, k int, v double")
+    got = inference.k_means(df, "k", ["v"], keep=Store(spark).keep).orderBy("k").collect()
+    assert [r["regime"] for r in got] == labels.tolist()
+    assert np.allclose([r["confidence"] for r in got], 1 / (1 + (v - centres[labels]) ** 2))
+
+
 def test_gate_modes(spark):
     df = spark.createDataFrame([("a", 0.9, None, 0.9, 0.0), ("b", 0.35, 0.3, 0.9, 0.1)], "session_id string, health_score double, closure_score double, alignment_confidence double, gap_fraction double")
     hard = {r["session_id"]: r["allow"] for r in inference.gate(df).collect()}
