@@ -67,19 +67,40 @@ def test_registers_estimate_weighted_similarity():
     assert abs((reg[1] == reg[2]).mean() - 0.84) < 0.12 and (reg[0] == reg[1]).mean() < 0.2
 
 
+def found_of(df, where, **how) -> list[tuple]:
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vectors.nearest(df, df.where(where), Scratch(df.sparkSession, "t"), **how).collect())
+
+
 def test_nearest_neighbours_reach_the_recall(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    got = vectors.nearest(df, df.where("vec_id % 20 = 0"), Scratch(spark, "t")).collect()
-    held = {r["vec_id"]: r["embedding"] for r in df.collect()}
-    want = vectors.brute_force(held, [i for i in held if i % 20 == 0])
-    assert len({(q, v) for q, _, v, _ in want} & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
+    got = found_of(df, "vec_id % 20 = 0")
+    held = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = vectors.brute_force(held, [i for i, _ in held if i % 20 == 0])
+    assert len({(q, v) for q, _, v, _ in want} & {(q, v) for q, _, v, _ in got}) >= 0.95 * len(want)
+    at = {i: np.array(v, float) for i, v in held}
+    for q in {x[0] for x in got}:
+        mine = [x for x in got if x[0] == q]
+        assert [x[1] for x in mine] == list(range(1, 21)) and all(x[3] == float((at[x[2]] * at[q]).sum()) for x in mine)
+        assert sorted(mine, key=lambda x: (-x[3], x[2])) == mine
+
+
+def test_nearest_neighbours_of_grouped_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 24)) * 4
+    rows = [(i, (centres[i % 6] + 0.1 * rng.normal(size=24)).tolist()) for i in range(600)]
+    rows += [(1000 + i, rows[7][1]) for i in range(60)]  # copies of one vector: ties
+    rows += [(7, rows[7][1]), (7, rows[8][1]), (20, rows[20][1])]  # repeated rows, another vector under one id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank", "2 as uid").repartition(3)
+    ask = [7, 8, 20, 40, 1000, 1059]
+    assert found_of(df, f"vec_id in ({', '.join(map(str, ask))})") == sorted(vectors.brute_force(rows, ask))
 
 
 def test_nearest_neighbours_odd_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [0.5, 0.1])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [0.5, 0.1]), (None, [9.0, 9.0])]
+    rows += [(7, []), (8, [1.0, None]), (10, [1.0, 2.0, 3.0]), (11, [3.0, -0.0, 1.0]), (12, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted((r["rank"], r["vec_id"]) for r in vectors.nearest(df, df.where("vec_id in (0, 3)"), Scratch(spark, "t")).collect())
-    assert got == [(1, 1), (2, 2), (3, 6)]
+    ask = [0, 3, 6, 7, 8, 10]
+    assert found_of(df, f"vec_id in ({', '.join(map(str, ask))})") == sorted(vectors.brute_force(rows, ask))
     assert vectors.nearest(df.limit(0), df, Scratch(spark, "t")).isEmpty()
 
 
