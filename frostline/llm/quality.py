@@ -11,16 +11,15 @@ All labelled training rows take part; nothing the driver holds grows with the co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import Scratch, crc_mod, text_or_empty, tree_sum
+from frostline.llm.common import Scratch, crc_mod, list_array, text_or_empty, text_slices, tree_sum
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "distinct_words", "repeats_next", "upper", "digits", "bangs", "bars", "symbols", "stops", "commas",
@@ -55,19 +54,19 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, x array<float>) of each row of docs (doc_id, text); null texts are empty ones, other columns are ignored.
+def _statistics(texts: pa.Array) -> np.ndarray:
+    return np.array([statistics(t) for some in text_slices(texts) for t in some], np.float32).reshape(-1, len(FEATURES))
 
-    mark is the xxhash64 of id and text.
-    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": pdf["mark"], "x": [np.array(statistics(t), np.float32) for t in pdf["text"]]})
+def text_statistics(texts: pa.Array) -> pa.Array:
+    """The statistics of each text. Only texts go to Python: ids and other columns stay where they are."""
+    x = _statistics(texts)
+    return list_array(x.ravel(), [len(FEATURES)] * len(x))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.xxhash64("doc_id", text_or_empty()).alias("mark"), text_or_empty().alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, mark long, x array<float>")
+
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """(doc_id, x array<float>) of each row of docs (doc_id, text); null texts are empty ones, other columns are ignored."""
+    return docs.select("doc_id", F.arrow_udf(text_statistics, "array<float>")(text_or_empty()).alias("x"))
 
 
 @dataclass
@@ -110,50 +109,53 @@ def isotonic(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), s / n) for s, n, k in blocks]) if blocks else np.zeros(0)
 
 
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Statistics, sum and number of the labels of each row."""
+    x = batch["x"].flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float)
+    return x, *(batch[c].to_numpy().astype(float) for c in ("ones", "n"))
+
+
 def fit(labelled: DataFrame) -> Model:
-    """A model from (x, y, fold): rows of the calibration fold are kept for the calibration. y is 0 or 1.
+    """A model from (x, ones, n, fold): n labels of 0 or 1 with the sum ``ones``. Rows of the calibration fold are kept for the calibration.
 
-    Without rows of both classes every score is the share of ones (0.5 without rows).
+    Without labels of both classes every score is the share of ones (0.5 without labels).
     """
     d, k = len(FEATURES), DIM + 1
 
-    def moments(frames):
-        out = np.zeros((3, d))
-        for pdf in frames:
-            if len(pdf):
-                x = np.stack(pdf["x"].to_list()).astype(float)
-                out += [np.full(d, len(x)), x.sum(0), (x * x).sum(0)]
+    def moments(batches):
+        out = np.zeros((3, d + 1))
+        for batch in batches:
+            x, ones, n = _columns(batch)
+            out[:, :d] += [np.full(d, n.sum()), n @ x, n @ (x * x)]
+            out[0, d] += ones.sum()
         return out
 
-    n, s, q = tree_sum(labelled, moments, 3, d)
-    ones = labelled.agg(F.avg("y")).first()[0]
-    if not n[0] or ones in (0, 1):
-        share = 0.5 if ones is None else float(ones)
-        return Model(np.zeros(d), np.ones(d), np.zeros(0), np.zeros(1), np.array([share]))
+    sums = tree_sum(labelled, moments, 3, d + 1)
+    (n, s, q), ones = sums[:, :d], sums[0, d]
+    if not n[0] or ones in (0, n[0]):
+        return Model(np.zeros(d), np.ones(d), np.zeros(0), np.zeros(1), np.array([ones / n[0] if n[0] else 0.5]))
     mean = s / n
     spread = np.sqrt(np.maximum(q / n - mean**2, 0))
     base = Model(mean, np.where(spread < 1e-9, 1.0, spread), np.zeros(0), np.zeros(1), np.zeros(1))
 
-    def normal(frames):
+    def normal(batches):
         out = np.zeros((k, k + 1))
-        for pdf in frames:
-            if len(pdf):
-                f = base.random_features(np.stack(pdf["x"].to_list()).astype(float))
-                out += f.T @ np.column_stack([f, pdf["y"].to_numpy(float)])
+        for batch in batches:
+            x, ones, n = _columns(batch)
+            f = base.random_features(x)
+            out += f.T @ np.column_stack([f * n[:, None], ones])
         return out
 
     sums = tree_sum(labelled.where(F.col("fold") != CALIBRATION), normal, k, k + 1)
     rows = max(sums[-1, -2], 1.0)
     weights = np.linalg.solve(sums[:, :k] + RIDGE * rows * np.eye(k), sums[:, k])
 
-    def counted(frames):
+    def counted(batches):
         out = np.zeros((2, BINS))
-        for pdf in frames:
-            if len(pdf):
-                raw = base.random_features(np.stack(pdf["x"].to_list()).astype(float)) @ weights
-                at = np.clip(((raw + 1) / 3 * BINS).astype(int), 0, BINS - 1)
-                y = pdf["y"].to_numpy(float)
-                out += [np.bincount(at, y, BINS), np.bincount(at, minlength=BINS)]
+        for batch in batches:
+            x, ones, n = _columns(batch)
+            at = np.clip(((base.random_features(x) @ weights + 1) / 3 * BINS).astype(int), 0, BINS - 1)
+            out += [np.bincount(at, ones, BINS), np.bincount(at, n, BINS)]
         return out
 
     unseen = labelled.where(F.col("fold") == CALIBRATION)
@@ -164,31 +166,50 @@ def fit(labelled: DataFrame) -> Model:
     return Model(base.mean, base.spread, weights, (at + 0.5) / BINS * 3 - 1, isotonic(sums[at], counts[at]))
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality") -> DataFrame:
-    """As ``score_documents``, with the column mark (the xxhash64 of id and text) after doc_id."""
-    stats = scratch.stage("statistics", document_statistics(docs))
-    known = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT))
-    labelled = scratch.stage("labelled", known.join(stats, "doc_id").select("x", "y", crc_mod("doc_id", FOLDS).alias("fold")))
-    return score_statistics(stats, fit(labelled))
+def learn(stats: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality") -> Model:
+    """A model of the statistics (doc_id, x) of documents with labels (doc_id, ``label``), from the rows that may be learned from."""
+    y = F.col(label).cast("double")
+    known = labels.where(y.isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.sum(y).alias("ones"), F.count("*").alias("n"))
+    return fit(scratch.stage("labelled", known.join(stats, "doc_id").select("x", "ones", "n", crc_mod("doc_id", FOLDS).alias("fold"))))
+
+
+def text_score(model: Model, text: Column) -> Column:
+    """The score of a text, straight from it."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(_statistics(texts).astype(float)))
+
+    return F.arrow_udf(run, "double")(text)
+
+
+def statistics_score(model: Model, x: Column) -> Column:
+    def run(xs: pa.Array) -> pa.Array:
+        return pa.array(model.score(xs.flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float)))
+
+    return F.arrow_udf(run, "double")(x)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality") -> DataFrame:
     """Score every row of docs (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 where score >= 0.3).
 
     Labels (doc_id, ``label``) are learned only where crc32(doc_id as text) mod 5 is not 0. Null labels and labels of unknown
-    documents are ignored; repeated label rows weigh as often as they stand. Null and empty texts are scored like any other; a null doc_id
-    is scored and never held out. Repeated documents keep their rows. Other columns are never inputs.
+    documents are ignored; repeated label rows weigh as often as they stand. Null and empty texts are scored like any other, texts of any length
+    whole; a null doc_id is scored and never held out. Repeated documents keep their rows; no documents, no rows. Other columns are never inputs.
     """
-    return score_rows(docs, labels, scratch, label).drop("mark")
+    stats = scratch.stage("statistics", document_statistics(docs))
+    scored = stats.select("doc_id", statistics_score(learn(stats, labels, scratch, label), F.col("x")).alias("score"))
+    scratch.drop("labelled")
+    held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
-def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": pdf["mark"], "score": model.score(np.stack(pdf["x"].to_list()).astype(float))})
+def keep_accepted(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) whose score is at least ``threshold``, unchanged and unshuffled.
 
-    kind = stats.schema["doc_id"].dataType.simpleString()
-    out = stats.mapInPandas(run, f"doc_id {kind}, mark long, score double")
-    held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    return out.select("doc_id", "mark", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    Labels are learned as in ``score_documents``. Each text is gone through twice, once to learn and once to be judged, so that texts
+    never travel. Null and empty texts are judged like any other; repeated rows all stay or all go; no documents, no rows.
+    """
+    stats = scratch.stage("statistics", document_statistics(docs))
+    model = learn(stats, labels, scratch, label)
+    scratch.drop("labelled", "statistics")
+    return docs.where(text_score(model, text_or_empty()) >= threshold)
