@@ -21,23 +21,24 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from frostline.llm.common import Scratch, text_or_empty
+from frostline.llm.common import Scratch, text_or_empty, trim
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: The dictionary: its size, and the sample it is trained on. Only short texts profit from it, so it samples those.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 << 10, 2_000, 16_384
 LEVEL = 3
-#: Frames gathered in one block, and texts encoded at once, in bytes and characters.
-BLOCK_BYTES, BATCH_CHARS = 4 << 20, 4_000_000
-#: Word pieces whose ids a worker remembers.
-MEMO = 1_200_000
+#: Frames gathered in one block, and texts encoded at once, both in bytes.
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 3_000_000
+#: Word pieces whose ids a worker remembers (about 200 bytes each), new pieces encoded as one text.
+MEMO, TOGETHER = 400_000, 500
 
 
 #: A space that white space or the end follows: no cut.
@@ -54,7 +55,11 @@ class Encoder:
     """Encodes texts with the tokenizers library, a distinct word piece once.
 
     The byte-level pattern starts a new piece at each space that a non-space follows, so the ids of a text are those of its
-    parts cut there, one after another. Texts are cut at every space; where white space follows a space the parts are joined again.
+    parts cut there, one after another. Texts are cut at every space; where white space follows a space the parts are joined again. New parts
+    without other white space are encoded many at once: the ids of each begin with the one id that holds its space. A text that
+    names an added token (as <|endoftext|>) is encoded whole, as the library then cuts it elsewhere.
+
+    What is remembered is bounded: over ``MEMO`` parts, those stay that were met in more than one batch since the last time.
     """
 
     def __init__(self, path: str):
@@ -62,13 +67,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), END_ID + 1) <= 1 << 16 else np.dtype("<u4")
+        names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.spaced = np.array([names.get(i, "").startswith("Ġ") for i in range(max(names) + 1)])
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
+        self.often: set[str] = set()
 
     def parts(self, text: str) -> tuple[str, list[str]]:
         """The text up to the first cut, and the parts after it without the space that each begins with."""
+        if any(x in text for x in self.added):
+            return text, []
         first, *rest = text.split(" ")
         if not _JOINED.search(text):
             return first, rest
@@ -80,24 +90,42 @@ class Encoder:
                 out.append(x)
         return out[0], out[1:]
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, memo: dict[str, bytes], new: list[str], before: str) -> None:
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast([before + x for x in some], add_special_tokens=False), strict=True):
-                memo[x] = np.array(e.ids, self.kind).tobytes()
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            memo.update(zip(some, (x.tobytes() for x in self._ids([before + x for x in some])), strict=True))
+
+    def _learn_spaced(self, new: list[str]) -> None:
+        """Remember parts that follow a space each."""
+        plain, size = [x for x in new if len(x.split()) == 1 and x.isprintable()], self.kind.itemsize
+        for at in range(0, len(plain), 40 * TOGETHER):
+            groups = [plain[k : k + TOGETHER] for k in range(at, min(at + 40 * TOGETHER, len(plain)), TOGETHER)]
+            for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+                cut = np.flatnonzero(self.spaced[ids])
+                if len(cut) == len(group) and cut[0] == 0:
+                    raw, ends = ids.tobytes(), [*(cut * size).tolist(), len(ids) * size]
+                    self.memo.update((x, raw[a:b]) for x, a, b in zip(group, ends, ends[1:], strict=False))
+        self._learn(self.memo, [x for x in new if x not in self.memo], " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
         end = np.array([END_ID], self.kind).tobytes()
         cut = [self.parts(x) for x in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.firsts) > MEMO // 10:
-            self.firsts.clear()
+        met = set().union(*(r for _, r in cut))
+        new = list(met.difference(self.memo))
+        self.often |= met.intersection(self.memo)
         self._learn(self.firsts, list({f for f, _ in cut}.difference(self.firsts)), "")
-        self._learn(self.memo, list(set().union(*(r for _, r in cut)).difference(self.memo)), " ")
+        self._learn_spaced(new)
         ids = self.memo.__getitem__
-        return [self.firsts[f] + b"".join(map(ids, r)) + end for f, r in cut]
+        out = [self.firsts[f] + b"".join(map(ids, r)) + end for f, r in cut]
+        self.firsts.clear()  # beginnings seldom come back, and may be whole texts
+        if len(self.memo) > MEMO:
+            self.memo = {x: self.memo[x] for x in self.often} if len(self.often) < MEMO // 2 else {}
+            self.often = set()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -110,18 +138,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
-    for pdf in frames:
-        ids, texts, size = [], [], 0
-        for i, x in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-            ids.append(i)
-            texts.append(x)
-            size += len(x)
-            if size > BATCH_CHARS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive rows and their texts; a batch's other texts stay in Arrow meanwhile."""
+    for batch in batches:
+        start, size = 0, 0
+        for at, n in enumerate(pc.binary_length(batch["text"]).to_pylist(), 1):
+            size += n
+            if size > BATCH_BYTES or at == batch.num_rows:
+                rows = batch.slice(start, at - start)
+                yield rows, rows["text"].to_pylist()
+                start, size = at, 0
 
 
 def train_dictionary(docs: DataFrame, path: str, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMPLE_DOCS) -> bytes:
@@ -147,47 +173,51 @@ def _codec(body: bytes) -> dict:
 def encode_frames(docs: DataFrame, path: str, body: bytes) -> DataFrame:
     """(doc_id, n_tokens, crc, frame) of each document; one pass over the texts, no shuffle."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, press = encoder(path), zstandard.ZstdCompressor(level=LEVEL, **_codec(body))
-        for ids, texts in _batches(frames):
+        for rows, texts in _batches(batches):
             raw = enc.encode(texts)
-            yield pd.DataFrame(
-                {
-                    "doc_id": pd.array(ids, dtype="Int64"),
-                    "n_tokens": [len(x) // enc.kind.itemsize for x in raw],
-                    "crc": [zlib.crc32(x) for x in raw],
-                    "frame": [press.compress(x) for x in raw],
-                }
-            )
+            columns = [[len(x) // enc.kind.itemsize for x in raw], [zlib.crc32(x) for x in raw]]
+            frames = pa.array([press.compress(x) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], *(pa.array(c, pa.int64()) for c in columns), frames], ["doc_id", "n_tokens", "crc", "frame"])
+        trim()
 
-    return docs.mapInPandas(run, "doc_id long, n_tokens long, crc long, frame binary")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, crc long, frame binary")
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Gather the sorted frames of one part into blocks; each index row travels with its block."""
-    block, row, start, gathered, size = 0, 0, 0, [], 0
+ENTRIES = pa.list_(pa.struct({"row": pa.int64(), "doc_id": pa.int64(), "offset": pa.int64(), "length": pa.int64(), "n_tokens": pa.int64(), "start": pa.int64()}))
 
-    def out() -> pd.DataFrame:
-        cols = ["row", "doc_id", "offset", "length", "n_tokens", "start"]
-        return pd.DataFrame([{"part": part, "block": block, "frames": b"".join(x[0] for x in gathered), "rows": [dict(zip(cols, x[1:], strict=True)) for x in gathered]}])
 
-    part = None
-    for pdf in frames:
-        part = int(pdf["part"].iloc[0]) if part is None and len(pdf) else part
-        for i, n, frame in zip(pdf["doc_id"].tolist(), pdf["n_tokens"].tolist(), pdf["frame"].tolist(), strict=True):
-            gathered.append((frame, row, None if pd.isna(i) else int(i), size, len(frame), n, start))
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gather the sorted frames of one part into blocks; each index row travels with its block."""
+    block, row, start, part = 0, 0, 0, None
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        entries = [dict(zip(("row", "doc_id", "offset", "length", "n_tokens", "start"), x[1:], strict=True)) for x in held]
+        columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([b"".join(x[0] for x in held)], pa.binary()), pa.array([entries], ENTRIES)]
+        return pa.RecordBatch.from_arrays(columns, ["part", "block", "frames", "rows"])
+
+    for batch in batches:
+        part = batch["part"][0].as_py() if part is None and batch.num_rows else part
+        for k, (i, n) in enumerate(zip(batch["doc_id"].to_pylist(), batch["n_tokens"].to_pylist(), strict=True)):
+            frame = batch["frame"][k].as_py()
+            held.append((frame, row, i, size, len(frame), n, start))
             row, start, size = row + 1, start + n, size + len(frame)
             if size >= BLOCK_BYTES:
                 yield out()
-                block, gathered, size = block + 1, [], 0
-    if gathered:
+                block, held, size = block + 1, [], 0
+    if held:
         yield out()
+    trim()
 
 
 def write_tokens(docs: DataFrame, to: str, scratch: Scratch, path: str | None = None, dict_bytes: int = DICT_BYTES) -> None:
     """Encode every whole text of docs (doc_id, text; other columns are ignored) and write the format above into the folder ``to``.
 
-    Null texts are empty ones: they hold the end id alone. Repeated rows are documents of their own.
+    Null texts are empty ones: they hold the end id alone. Repeated rows are documents of their own; null ids stand first. A text of any length is
+    one document and one frame. Added tokens named in a text get their own ids, as the library gives them.
     An empty table writes empty tables.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
@@ -202,7 +232,7 @@ def write_tokens(docs: DataFrame, to: str, scratch: Scratch, path: str | None =
         .withColumn("part", F.spark_partition_id())
         .sortWithinPartitions("doc_id", "crc")
         .select("part", "doc_id", "n_tokens", "frame")
-        .mapInPandas(_pack, "part int, block int, frames binary, rows array<struct<row:long,doc_id:long,offset:long,length:long,n_tokens:long,start:long>>")
+        .mapInArrow(_pack, "part int, block int, frames binary, rows array<struct<row:long,doc_id:long,offset:long,length:long,n_tokens:long,start:long>>")
     )
     packed = scratch.stage("packed", packed)
     scratch.drop("frames")
@@ -238,12 +268,13 @@ def read_tokens(spark: SparkSession, where: str, docs: DataFrame | None = None)
     found = spark.read.parquet(f"{where}/blocks").join(wanted, ["part", "block"])
     kind = "<u2" if wide == 2 else "<u4"
 
-    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor(**_codec(body))
-        for pdf in tables:
-            for part, frames, entries in zip(pdf["part"], pdf["frames"], pdf["entries"], strict=True):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, frames = batch["part"][k].as_py(), memoryview(batch["frames"][k].as_buffer())
                 out, size = [], 0
-                for e in entries:
+                for e in batch["entries"][k].as_py():
                     ids = np.frombuffer(press.decompress(frames[e["offset"] : e["offset"] + e["length"]]), kind).astype("<u4")
                     if len(ids) != e["n_tokens"]:
                         raise ValueError("a frame's length differs from the index")
@@ -255,12 +286,12 @@ def read_tokens(spark: SparkSession, where: str, docs: DataFrame | None = None)
                 if out:
                     yield _rows(out)
 
-    return found.mapInPandas(run, "doc_id long, part int, row long, start long, n_tokens long, ids binary")
+    return found.select("part", "frames", "entries").mapInArrow(run, "doc_id long, part int, row long, start long, n_tokens long, ids binary")
 
 
-def _rows(out: list[tuple]) -> pd.DataFrame:
-    pdf = pd.DataFrame(out, columns=["doc_id", "part", "row", "start", "n_tokens", "ids"])
-    return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"))
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "part": pa.int32(), "row": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
 def digests(tokens: DataFrame) -> DataFrame:
