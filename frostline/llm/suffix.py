@@ -3,8 +3,9 @@
 A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller doc_id. The work is split by content:
 
 1. Every ``length``-byte window has anchors: those of its ``GRAM``-byte strings whose hash is the least in it. Equal windows have equal
-   anchors, so a window repeats only where its first anchor does. Anchor hashes are counted over all documents (least and largest
-   doc_id, combined before the shuffle); windows whose anchor stands in one document alone cannot repeat and need no more work.
+   anchors, so a window repeats only where its first anchor does. Texts are hashed once for this, and each row's anchors written. They are
+   counted over all documents (least and largest doc_id, combined before the shuffle); windows whose anchor stands in one document alone
+   cannot repeat and need no more work.
 2. Consecutive windows of one anchor form a segment of under twice ``length`` bytes. A task sends equal segments on once.
 3. Segments are dealt to shards by anchor; an anchor with more than HOT segments is dealt over several shards. Each shard
    sorts its suffixes by Larsson-Sadakane refinement (only groups that are still tied are sorted again, by the rank of the suffix
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import Scratch, maybe_broadcast, text_or_empty
+from frostline.llm.common import Scratch, list_array, maybe_broadcast, text_or_empty, trim
 
 LENGTH, GRAM = 50, 16
 #: Segments of one anchor in one shard; bytes of segments sorted at once; windows merged at once.
@@ -185,29 +186,34 @@ def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     return owner, offset, np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else group
 
 
-def _runs(owner: np.ndarray, offset: np.ndarray, least: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
-    """For each segment the runs of windows with one least doc_id, where that is under the segment's largest."""
+RUNS = "array<struct<off:int,n:int,least:long>>"
+SORTED = ["anchor", "id", "salt", "runs", "window", "offset", "least"]
+
+
+def _run_lists(off: np.ndarray, n: np.ndarray, least: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Lists of runs, the next ``sizes[i]`` of them in list i."""
+    runs = pa.StructArray.from_arrays([pa.array(off.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(least.astype(np.int64))], ["off", "n", "least"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), runs)
+
+
+def _runs(owner: np.ndarray, offset: np.ndarray, least: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The segments that have windows with a least doc_id under the segment's largest, and for each the runs of windows with one least doc_id."""
     keep = least < own[owner]
     owner, offset, least = owner[keep], offset[keep], least[keep]
     order = np.lexsort([offset, owner])
     owner, offset, least = owner[order], offset[order], least[order]
-    if not len(owner):
-        return owner, []
-    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])])
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])])[: len(owner)]
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(owner)))
-    cut = np.flatnonzero(np.concatenate([[True], owner[at][1:] != owner[at][:-1]]))
-    rows = [{"off": int(a), "n": int(b), "least": int(c)} for a, b, c in zip(offset[at], size, least[at], strict=True)]
-    bounds = np.append(cut, len(at))
-    return owner[at][cut], [rows[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
+    cut = np.flatnonzero(np.concatenate([[True], owner[at][1:] != owner[at][:-1]])[: len(at)])
+    return owner[at][cut], _run_lists(offset[at], size, least[at], np.diff(np.append(cut, len(at))))
 
-RUNS = "array<struct<off:int,n:int,least:long>>"
-SORTED = {"anchor": pa.int64(), "id": pa.int64(), "salt": pa.int32(), "runs": pa.list_(pa.struct({"off": pa.int32(), "n": pa.int32(), "least": pa.int64()})), "window": pa.binary(), "offset": pa.int32(), "least": pa.int64()}
 
-
-def _batch(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, SORTED.values(), strict=True)], list(SORTED))
+def _batch(anchor: np.ndarray, ids: np.ndarray, runs: pa.ListArray) -> pa.RecordBatch:
+    """Segments whose windows are done with."""
+    n = len(anchor)
+    none = [pa.array(np.full(n, -1, np.int32)), runs, pa.nulls(n, pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), *none], SORTED)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
@@ -253,20 +259,26 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
         raise ValueError(f"length must be {2 * GRAM} at least")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, _, text, ends in _chunks(batches, "doc"):
+        for _, rows, text, ends in _chunks(batches, "doc"):
             owner, _, _, hashes = segments(text, ends, length)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(doc[owner])], ["anchor", "doc"])
-
-    found = docs.select("doc", "text").mapInArrow(anchors, "anchor long, doc long")
-    shared = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
-    shared = scratch.stage("shared", shared)
-    scratch.free_shuffles()
-    wanted = scratch.stage("wanted", found.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")))
+            lists = list_array(hashes, np.bincount(owner, minlength=rows.num_rows))
+            yield pa.RecordBatch.from_arrays([rows["doc"], rows["key"], lists], ["doc", "key", "anchors"])
+        trim()
+
+    # rows are told apart by a hash of id and text: where it fails, both rows only look at each other's anchors too
+    docs = docs.withColumn("key", F.xxhash64("doc", "mark"))
+    found = scratch.stage("anchors", docs.select("doc", "key", "text").mapInArrow(anchors, "doc long, key long, anchors array<long>"))
+    shared = found.select("doc", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    shared = scratch.stage("shared", shared.where("a < b").select("anchor"))
+    wanted = found.select("key", F.explode("anchors").alias("anchor")).join(shared, "anchor")
+    wanted = scratch.stage("wanted", wanted.groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
+    scratch.drop("anchors", "shared")
     scratch.free_shuffles()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each segment with a shared anchor; its bytes with the first of its rows in this task, and a second row is marked as well."""
-        seen: dict[tuple[int, int], tuple[int, bool]] = {}
+        lowest: dict[int, int] = {}  # equal segments have one id, and so one anchor
+        twice: set[int] = set()
         for docs, marks, rows, text, ends in _chunks(batches, "doc", "mark"):
             owner, start, windows, hashes = segments(text, ends, length)
             want = np.unique(rows["anchors"].flatten().to_numpy())
@@ -275,26 +287,32 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
             owner, start, hashes = owner[at], start[at], hashes[at]
             raw, first = text.tobytes(), start + np.concatenate([[0], ends[:-1]])[owner]
             parts = [raw[i:j] for i, j in zip(first.tolist(), (first + windows[at] + length - 1).tolist(), strict=True)]
-            ids = np.array([xxhash.xxh3_64_intdigest(x) for x in parts], np.uint64).view(np.int64)
-            doc, send = docs[owner], np.zeros(len(parts), bool)
-            for k, (key, d) in enumerate(zip(zip(hashes.tolist(), ids.tolist(), strict=True), doc.tolist(), strict=True)):
-                had = seen.get(key)
-                if had is None or d < had[0]:
-                    seen[key] = (d, had is not None)
+            ids = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)).view(np.int64)
+            doc, send = docs[owner], [False] * len(parts)
+            for k, (key, d) in enumerate(zip(ids.tolist(), doc.tolist(), strict=True)):
+                had = lowest.get(key)
+                if had is None:
+                    lowest[key] = d
+                    send[k] = True
+                elif d < had:
+                    lowest[key] = d
+                    twice.add(key)
                     send[k] = True
                 else:
                     parts[k] = None
-                    if d != had[0] and not had[1]:
-                        seen[key] = (had[0], True)
+                    if d != had and key not in twice:
+                        twice.add(key)
                         send[k] = True
-            if len(seen) > MEMO:
-                seen.clear()
+            if len(lowest) > MEMO:
+                lowest.clear()
+                twice.clear()
             cols = [pa.array(x) for x in (doc, marks[owner], start.astype(np.int32), hashes, ids, send)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(parts, pa.binary())], ["doc", "mark", "start", "anchor", "id", "send", "part"])
+        trim()
 
-    parts = docs.join(wanted, "doc").mapInArrow(cut, "doc long, mark long, start int, anchor long, id long, send boolean, part binary")
+    parts = docs.join(wanted, "key").select("doc", "mark", "text", "anchors").mapInArrow(cut, "doc long, mark long, start int, anchor long, id long, send boolean, part binary")
     parts = scratch.stage("parts", parts)
-    scratch.drop("wanted", "shared")
+    scratch.drop("wanted")
     scratch.free_shuffles()
     sent = parts.where("send").select("anchor", "id", "doc", "part")
     counts = sent.where("part is not null").groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.ceil(F.col("count") / hot).alias("over"))
@@ -312,23 +330,24 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
             anchor, salt, ids = anchor[first], salt[first], ids[first]
             alone = np.concatenate([[True], anchor[1:] != anchor[:-1]]) & np.concatenate([anchor[1:] != anchor[:-1], [True]]) & (salt < 0)
             at = np.flatnonzero(alone & (least < largest))  # all the anchor's rows are equal: so are their windows, and no others are
-            none = np.zeros(len(at), np.int64)
-            whole = [[{"off": 0, "n": len(bodies[k]) - length + 1, "least": int(least[k])}] for k in at]
-            yield _batch(anchor[at], ids[at], none - 1, whole, [None] * len(at), none, none)
+            windows = np.array([len(bodies[k]) - length + 1 for k in at.tolist()], np.int64)
+            yield _batch(anchor[at], ids[at], _run_lists(np.zeros(len(at)), windows, least[at], np.ones(len(at), np.int64)))
             rest = np.flatnonzero(~alone)
             anchor, salt, ids, least, largest = (x[rest] for x in (anchor, salt, ids, least, largest))
-            bodies = [bodies[k] for k in rest]
+            bodies = [bodies[k] for k in rest.tolist()]
             owner, offset, group = equal_windows(bodies, length)
-            low = np.minimum.reduceat(least[owner], np.flatnonzero(np.diff(group, prepend=-1)))
+            low = np.minimum.reduceat(least[owner], np.flatnonzero(np.diff(group, prepend=-1))) if len(group) else np.zeros(0, np.int64)
             cold = salt[owner] < 0
             seg, runs = _runs(owner[cold], offset[cold], low[group[cold]], largest)
-            none = np.zeros(len(seg), np.int64)
-            yield _batch(anchor[seg], ids[seg], none - 1, runs, [None] * len(seg), none, none)
+            yield _batch(anchor[seg], ids[seg], runs)
             warm = np.flatnonzero(~cold)  # windows of split anchors: each with its bytes, in order
             for a in range(0, len(warm), 50_000):
                 w = warm[a : a + 50_000]
                 windows = [bodies[o][s : s + length] for o, s in zip(owner[w].tolist(), offset[w].tolist(), strict=True)]
-                yield _batch(anchor[owner[w]], ids[owner[w]], salt[owner[w]], [None] * len(w), windows, offset[w], low[group[w]])
+                none = _run_lists(*[np.zeros(0, np.int64)] * 3, np.zeros(len(w), np.int64))
+                columns = [anchor[owner[w]], ids[owner[w]], salt[owner[w]], none, pa.array(windows, pa.binary()), offset[w].astype(np.int32), low[group[w]]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], SORTED)
+        trim()
 
     shape = f"anchor long, id long, salt int, runs {RUNS}, window binary, offset int, least long"
     sorted_ = dealt.mapInArrow(sort_shards, shape)
@@ -343,7 +362,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
 
 
 def _merged(split: DataFrame, counts: DataFrame, hot: int, length: int) -> DataFrame:
-    """(anchor, id, off, n, least) of the windows of anchors that several shards share: the least doc_id over all of them.
+    """(anchor, id, off, n, least) of the windows of anchors that several shards share: the least doc_id of the shard, and that of all shards where it is lower.
 
     A window goes to a part of its anchor by its own hash, so a part holds a sorted run of each shard, and all equal windows.
     """
@@ -366,8 +385,9 @@ def _merged(split: DataFrame, counts: DataFrame, hot: int, length: int) -> DataF
         return pd.DataFrame({"anchor": pdf["anchor"], "salt": pdf["salt"], "window": pdf["window"], "better": found})[better]
 
     better = keys.select("anchor", "salt", "window", "least", "part").groupBy("anchor", "part").applyInPandas(merge, "anchor long, salt int, window binary, better long")
-    out = split.join(better, ["anchor", "salt", "window"], "left")
-    return out.select("anchor", "id", F.col("offset").alias("off"), F.lit(1).alias("n"), F.coalesce("better", "least").alias("least"))
+    lower = split.join(better, ["anchor", "salt", "window"]).withColumn("least", F.col("better"))  # beside what each shard knows itself
+    out = split.select("anchor", "id", "offset", "least").unionByName(lower.select("anchor", "id", "offset", "least"))
+    return out.select("anchor", "id", F.col("offset").alias("off"), F.lit(1).alias("n"), "least")
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -380,31 +400,34 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot:
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text_or_empty().alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     spans = scratch.stage("spans", find_repeats(rows.select("doc", "mark", "text"), scratch, length, hot))
-    scratch.drop("parts", "sorted")
-    scratch.free_shuffles()
-
-    def strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
-                body = text.encode()
-                if spans is None or not len(spans):
-                    out.append((doc, len(body), 0, 0, body))
+    scratch.drop("parts", "sorted", "hot")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, texts = batch["spans"], batch["text"].cast(pa.binary())
+            runs = spans.flatten()
+            start, n = (runs.field(c).to_numpy() for c in ("start", "n"))
+            ends = np.cumsum(pc.fill_null(spans.value_lengths(), 0).to_numpy())
+            kept, facts, last = [], [], 0
+            for k, end in enumerate(ends.tolist()):
+                body = texts[k].as_py()
+                if end == last:
+                    kept.append(body)
+                    facts.append((len(body), 0, 0))
                     continue
                 edge = np.zeros(len(body) + 1, np.int64)
-                start = np.array([s["start"] for s in spans])
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + np.array([s["n"] for s in spans]) + length - 1, -1)
+                np.add.at(edge, start[last:end], 1)
+                np.add.at(edge, start[last:end] + n[last:end] + length - 1, -1)
                 gone = np.cumsum(edge)[:-1] > 0
-                n_spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                out.append((doc, len(body), int(gone.sum()), n_spans, np.frombuffer(body, np.uint8)[~gone].tobytes()))
-            res = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-            yield res.assign(doc_id=res["doc_id"].astype("Int64")) if whole_ids else res
+                facts.append((len(body), int(gone.sum()), int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))))
+                kept.append(np.frombuffer(body, np.uint8)[~gone].tobytes())
+                last = end
+            numbers = [pa.array(c, pa.int64()) for c in zip(*facts, strict=True)] or [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *numbers, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    whole_ids = kind in ("bigint", "int", "smallint", "tinyint")
     held = rows.join(spans, ["doc", "mark"], "left").select("doc_id", "text", "spans")
-    return held.mapInPandas(strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return held.mapInArrow(strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(stripped: DataFrame) -> DataFrame:
