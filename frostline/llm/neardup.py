@@ -1,14 +1,17 @@
 """Near-duplicate classes by BagMinHash: weighted Jaccard similarity of multisets of word shingles.
 
 1. A text's bag is the multiset of its runs of five words. Texts with one bag are one unit from here on, however often they stand.
-2. BagMinHash signature of each bag: a shingle of weight w is a Poisson process over the weights [0, w). The weights are split into dyadic
-   blocks (1, 1, 2, 4, ...), each a process of its own rate, seeded by the shingle and the block; in the last block a point is split
-   off if its weight lies beyond w. A point falls on one of M registers, which keep the earliest time. Points later than the
-   latest register are never made. Two registers agree with the probability of the bags' weighted Jaccard similarity.
-3. Bands of ROWS registers give buckets. In a bucket only pairs with a pivot are looked at, so a bucket of n units costs n checks, and
-   links found join components. Two rounds take two pivots a bucket.
-4. In buckets that still hold several components, units of different ones are compared inside the join itself: sizes, four bits of each
-   register, and then the whole bags. Only links come out of it, each from the first band that its two bags share.
+2. BagMinHash signature of each bag: a shingle of weight w is a Poisson process over the weights (0, w]. The weights are split into dyadic
+   blocks (1, 1, 2, 4, ...), each the root of a tree of processes, seeded by the shingle and the block. A process over an interval gives its
+   first point and is then split in halves: one takes the point over, the other draws its own, later one; the half of a block that lies
+   beyond w is never entered. A point falls on one of M registers, which keep the earliest time. Processes whose point is later than the
+   latest register end. Two registers agree with the probability of the bags' weighted Jaccard similarity.
+3. Bands of ROWS registers give buckets. In a bucket only pairs with one of two pivots are looked at, so a bucket of n units costs 2n checks
+   at most, and links found join components.
+4. Units of buckets that still hold several components are searched by their rarest shingles: bags that are similar enough share one of
+   the first n - ceil(s n) + 1 of a bag's n items in order of their frequency. Items that one bag alone has take part in the order but never
+   meet. So what bags have in common with thousands (a licence, a menu) brings no pairs about. Sizes, places in the order and four bits of each register
+   are compared in the join, so that pairs come out of it only where links are likely, and each from the first item that its two bags share.
 5. Every link is verified on whole bags. Classes are the components of the links.
 """
 
@@ -24,13 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import Scratch, maybe_broadcast, text_or_empty
+from frostline.llm.common import BROADCAST_ROWS, Scratch, maybe_broadcast, packed, text_or_empty, trim, unpacked
 
 WORDS, SIMILARITY = 5, 0.8
 #: Registers, and registers in a band: a pair of similarity 0.8 shares no band with a probability of 5e-8.
 M, ROWS = 128, 4
 #: Words gathered for one step, and words whose hashes a worker remembers.
-CHUNK, MEMO = 200_000, 200_000
+CHUNK, MEMO = 100_000, 100_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,23 +80,42 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: in
     top = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64)  # the last block: 0 is (0, 1], j is (2^(j-1), 2^j]
     at = np.repeat(np.arange(len(owner)), top + 1)
     block = np.arange(len(at)) - np.repeat(np.cumsum(top + 1) - (top + 1), top + 1)
-    who, limit = owner[at], weight[at].astype(float)
-    low = np.where(block > 0, 2.0 ** (block - 1), 0.0)
-    rate = np.maximum(low, 1.0)
+    who, limit = owner[at], weight[at]
+    low = np.where(block > 0, 1 << np.maximum(block - 1, 0), 0)
+    width = np.maximum(low, 1)
     seed = _mix((shingle[at].astype(np.uint64) << np.uint64(6)) + block.astype(np.uint64) + np.uint64(1))
-    time, step = np.zeros(len(at)), np.zeros(1, np.uint64)
+    time, place = _point(seed, np.zeros(len(at)), width)
     while len(who):
-        step = step + _GOLDEN
-        u = _mix(seed + step)
-        time = time - np.log(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate
-        height = low + rate * ((_mix(u) >> np.uint64(11)).astype(float) * 2.0**-53)
-        inside = height < limit
-        np.minimum.at(full, who[inside] * M + (u[inside] & np.uint64(M - 1)).astype(np.int64), time[inside])
+        inside = low + width <= limit
+        np.minimum.at(full, who[inside] * M + place[inside], time[inside])
         live = time < full.reshape(n, M).max(axis=1)[who]
-        who, limit, low, rate, seed, time = who[live], limit[live], low[live], rate[live], seed[live], time[live]
+        who, limit, low, width, seed, time, place = (x[live] for x in (who, limit, low, width, seed, time, place))
+        # a process over one weight goes on by itself; others are split in halves, of which one keeps the point
+        seed = _mix(seed + _GOLDEN)
+        wide = width > 1
+        time[~wide], place[~wide] = _point(seed[~wide], time[~wide], width[~wide])
+        cut = np.flatnonzero(wide)
+        if not len(cut):
+            continue
+        half = width[cut] >> 1
+        right = (seed[cut] >> np.uint64(63)).astype(np.int64)  # 1: the right half keeps the point
+        other = _mix(seed[cut] ^ np.uint64(0xD6E8FEB86659FD93))
+        later, fresh = _point(other, time[cut], half)
+        new = (who[cut], limit[cut], low[cut] + half * (1 - right), half, other, later, fresh)
+        width[cut] = half
+        low[cut] += half * right
+        who, limit, low, width, seed, time, place = (np.concatenate(x) for x in zip((who, limit, low, width, seed, time, place), new, strict=True))
+        reached = low < limit
+        who, limit, low, width, seed, time, place = (x[reached] for x in (who, limit, low, width, seed, time, place))
     return full.reshape(n, M)
 
 
+def _point(seed: np.ndarray, after: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Time and register of the next point of processes with the rate ``width``."""
+    u = _mix(seed + np.uint64(0x2545F4914F6CDD1D))
+    return after - np.log(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / width, (u & np.uint64(M - 1)).astype(np.int64)
+
+
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band, which holds the band's number."""
     bits = registers.view(np.uint64).reshape(len(registers), M // ROWS, ROWS)
@@ -137,6 +159,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 short = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
                 rows = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["mark"], pa.array(uid, pa.binary()), pa.array(n), bands, short], ["doc_id", "mark", "uid", "n", "bands", "sketch"])
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, mark long, uid binary, n long, bands array<long>, sketch array<long>")
@@ -156,6 +179,7 @@ def bag_table(docs: DataFrame) -> DataFrame:
                 order = np.lexsort([items, owner[at]])
                 cut = np.searchsorted(owner[at], np.arange(len(texts) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch["uid"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(items[order]))], ["uid", "bag"])
+        trim()
 
     return docs.select("uid", "text").mapInArrow(run, "uid binary, bag array<long>")
 
@@ -183,13 +207,15 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     In a round each unit takes the least label of its neighbours and hands it to the root that its own label names, then labels jump once along
     labels. So whole trees move at once, and a chain of links takes about the logarithm of its length in rounds. Labels only fall, so the loop
-    ends, and when a round changes none, all neighbours have one label: a component's least uid.
+    ends, and when a round changes none, all neighbours have one label: a component's least uid. Labels are broadcast while there are few.
     """
     edges = scratch.stage(f"{name}-edges", links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = scratch.stage(f"{name}-0", edges.groupBy(F.col("u").alias("uid")).agg(F.min("v").alias("m")).select("uid", F.least("uid", "m").alias("label")))
+    small = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # every round has as many
+    side = F.broadcast if small else lambda df: df
     for k in count(1):
-        near = edges.join(labels, edges["v"] == labels["uid"]).groupBy("u").agg(F.min("label").alias("near"))
-        near = labels.join(near, labels["uid"] == near["u"]).select("uid", F.least("label", "near").alias("near"), F.col("label").alias("old"))
+        near = edges.join(side(labels), edges["v"] == labels["uid"]).groupBy("u").agg(F.min("label").alias("near"))
+        near = near.join(side(labels), labels["uid"] == near["u"]).select("uid", F.least("label", "near").alias("near"), F.col("label").alias("old"))
         own = F.struct("uid", F.col("near").alias("label"), "old")
         root = F.struct(F.col("old").alias("uid"), F.col("near").alias("label"), F.lit(None).cast("binary").alias("old"))
         new = near.select(F.explode(F.when(F.col("near") == F.col("old"), F.array(own)).otherwise(F.array(own, root))).alias("r")).select("r.*")
@@ -198,7 +224,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             scratch.drop(f"{name}-{k}n")
             break
         jump = new.select(F.col("uid").alias("at"), F.col("label").alias("further"))
-        labels = scratch.stage(f"{name}-{k}", new.join(jump, new["label"] == jump["at"]).select("uid", F.col("further").alias("label")))
+        labels = scratch.stage(f"{name}-{k}", new.join(side(jump), new["label"] == jump["at"]).select("uid", F.col("further").alias("label")))
         scratch.drop(f"{name}-{k - 1}", f"{name}-{k}n")
     scratch.drop(f"{name}-edges")
     return labels
@@ -209,9 +235,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
 
     Rows are in one class if a chain of texts leads from one to the other in which neighbours have a weighted Jaccard similarity of five-word
     shingles of at least ``similarity``. Words are lower-case, between white space; a text of fewer words has one shingle of them
-    all. Texts without words, null and empty ones, make one class. Repeated rows stay, each in the same class. A null doc_id
+    all. Texts without words, null and empty ones, make one class; texts of any length count whole. Repeated rows stay, each in the same class. A null doc_id
     counts as larger than all others, so a class has a null id only if all its rows do. Classes share a class_id where unrelated texts have
-    one doc_id or none; class_key is then still each class's own. ``mark`` is a hash of id and text; other columns stay out.
+    one doc_id or none; class_key is then still each class's own. ``mark`` is a hash of id and text; other columns stay out. An empty table gives none.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("mark", F.xxhash64("doc_id", "text"))
     signed = scratch.stage("signed", sign(rows.select("doc_id", "mark", "text")))
@@ -219,65 +245,84 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
     units = signed.groupBy("uid").agg(least, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.max("n").alias("n"))
     units = scratch.stage("units", units.select("uid", "row.least", "row.mark", "bands", "sketch", "n"))
     banded = units.where("n > 0").select("uid", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo != hi")
-    pivots = scratch.stage("pivots", shared)
-    members = scratch.stage("members", banded.join(pivots.select("bucket"), "bucket"))
+    pivots = banded.groupBy("bucket").agg(F.min(F.struct("uid", "n")).alias("lo"), F.max(F.struct("uid", "n")).alias("hi")).where("lo.uid != hi.uid")
+    members = scratch.stage("members", banded.join(pivots, "bucket").select("bucket", "uid", "n", "lo", "hi"))
     wanted = members.select("uid").distinct().join(units.select("uid", "least", F.col("mark").alias("m")), "uid").select("uid", "least", "m")
     wanted = scratch.stage("wanted", wanted)
     own = (F.col("mark") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("least"))
     bag = scratch.stage("bags", bag_table(rows.join(maybe_broadcast(wanted), own).dropDuplicates(["uid"]).select("uid", "text")))
-    scratch.free_shuffles()
-
-    near = F.col("n").cast("double")
-    links, label, tried = None, None, None
-    for turn, pivot in enumerate(("lo", "hi")):
-        ends = pivots.select("bucket", F.col(pivot).alias("u"))
-        sizes = units.select(F.col("uid").alias("u"), F.col("n").cast("double").alias("m"))
-        pairs = members.select("bucket", F.col("uid").alias("v"), near.alias("k")).join(ends, "bucket").where("u != v")
-        pairs = pairs.select("u", "v", "k").distinct()
-        if label is not None:  # what one component holds already needs no check
-            pairs = _labelled(_labelled(pairs, label, "u"), label, "v").where("u_label != v_label").select("u", "v", "k")
-        pairs = pairs.join(sizes, "u").where(F.least("k", "m") >= similarity * F.greatest("k", "m") - 1e-9).select("u", "v")
-        good = scratch.stage(f"good{turn}", verify(pairs, bag, similarity))
-        links = good if links is None else links.unionByName(good)
-        label = components(links, scratch, f"round{turn}")
-    mixed = _labelled(members.select("bucket", F.col("uid").alias("u")), label, "u").groupBy("bucket").agg(F.min("u_label").alias("a"), F.max("u_label").alias("b")).where("a != b")
-    more = _within_buckets(members.join(mixed.select("bucket"), "bucket"), units, bag, label, scratch, similarity)
-    label = components(links.unionByName(scratch.stage("more", more)), scratch, "last")
-
-    unit_class = units.join(label, "uid", "left").select("uid", "least", F.coalesce("label", "uid").alias("label"))
-    class_ids = unit_class.groupBy("label").agg(F.min("least").alias("class_id"))
-    unit_class = scratch.stage("classes", unit_class.join(class_ids, "label").select("uid", "class_id", F.col("label").alias("class_key")))
+    scratch.drop("wanted")
+
+    pairs = _pivot_pairs(members, "lo", similarity)
+    good = scratch.stage("good-lo", verify(pairs, bag, similarity))
+    # what hangs on the first pivot together with the second needs no check of its own
+    linked = _hanging(members, good)
+    both = linked.where("hangs and uid = hi.uid").select("bucket", F.lit(True).alias("one"))
+    rest = linked.join(both, "bucket", "left").where("not (hangs and coalesce(one, false)) and uid != lo.uid").select("bucket", "uid", "n", "lo", "hi")
+    links = good.unionByName(scratch.stage("good-hi", verify(_pivot_pairs(rest, "hi", similarity), bag, similarity)))
+    label = components(links, scratch, "pivots")
+    named = _labelled(members.select("bucket", F.col("uid").alias("u")), label, "u")
+    mixed = named.groupBy("bucket").agg(F.min("u_label").alias("a"), F.max("u_label").alias("b")).where("a != b").select("bucket")
+    open_ = scratch.stage("open", members.select("bucket", "uid").join(mixed, "bucket").select(F.col("uid").alias("u")).distinct())
+    scratch.drop("members")
+    more = scratch.stage("more", verify(_rare_pairs(open_, units, bag, label, similarity), bag, similarity))
+    # components of components: links between labels
+    ends = _labelled(_labelled(more, label, "u"), label, "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+    merged = components(ends, scratch, "merged").select(F.col("uid").alias("old"), F.col("label").alias("root"))
+    scratch.drop("bags", "open")
+
+    named = units.join(label, "uid", "left").select("uid", "least", F.coalesce("label", "uid").alias("label"))
+    named = named.join(merged, named["label"] == merged["old"], "left").select("uid", "least", F.coalesce("root", "label").alias("label"))
+    class_ids = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    unit_class = scratch.stage("classes", named.join(class_ids, "label").select("uid", "class_id", F.col("label").alias("class_key")))
+    scratch.drop("units", "good-lo", "good-hi", "more")
     return signed.select("doc_id", "mark", "uid").join(unit_class, "uid").select("doc_id", "mark", "class_id", "class_key")
 
 
+def _pivot_pairs(members: DataFrame, pivot: str, similarity: float) -> DataFrame:
+    """(u, v), each once: members v and their buckets' pivots u, of sizes that allow the similarity."""
+    size, top = F.col("n").cast("double"), F.col(f"{pivot}.n").cast("double")
+    fits = (F.col("uid") != F.col(f"{pivot}.uid")) & (F.least(size, top) >= similarity * F.greatest(size, top) - 1e-9)
+    return members.where(fits).select(F.col(f"{pivot}.uid").alias("u"), F.col("uid").alias("v")).distinct()
+
+
+def _hanging(members: DataFrame, good: DataFrame) -> DataFrame:
+    """members with hangs: whether the unit is its bucket's first pivot or linked to it."""
+    good = good.select(F.col("u").alias("g_u"), F.col("v").alias("g_v"))
+    found = members.join(good, (F.col("lo.uid") == F.col("g_u")) & (F.col("uid") == F.col("g_v")), "left")
+    return found.select("bucket", "uid", "n", "lo", "hi", (F.col("g_u").isNotNull() | (F.col("uid") == F.col("lo.uid"))).alias("hangs"))
+
+
 def _labelled(df: DataFrame, label: DataFrame, column: str) -> DataFrame:
     named = label.select(F.col("uid").alias(column), F.col("label").alias(f"{column}_label"))
     return df.join(named, column, "left").withColumn(f"{column}_label", F.coalesce(f"{column}_label", column))
 
 
-def _within_buckets(rest: DataFrame, units: DataFrame, bag: DataFrame, label: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Links (u, v) between units of different components in the buckets of rest (bucket, uid, n).
+def _rare_pairs(rest: DataFrame, units: DataFrame, bag: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (u, v) of different components among the units of rest (u): an exact prefix join on their bags' rarest items.
 
-    All of the test stands in the join's condition, the cheap parts first, so nothing but links is made. A bucket's comparisons are
-    the pairs of its components, whose number pivots have brought down; a large bucket is one that Spark may split.
+    Frequencies are counted over the bags of rest. A bag with more items of its own than its prefix is long can have no partner.
     """
-    held = _labelled(rest.select(F.col("uid").alias("u"), "bucket", "n"), label, "u")
-    held = held.join(units.select(F.col("uid").alias("u"), "bands", "sketch"), "u").join(bag.select(F.col("uid").alias("u"), "bag"), "u")
-    held = held.withColumn("before", F.expr("slice(bands, 1, array_position(bands, bucket) - 1)")).drop("bands")
-    held = scratch.stage("held", held)
-    scratch.drop("bags", "members", "pivots", "wanted")
-    scratch.free_shuffles()
+    items = rest.select(F.col("u").alias("uid")).join(bag, "uid").select("uid", F.size("bag").alias("n"), F.explode("bag").alias("item"))
+    shared = items.groupBy("item").agg(F.count("*").cast("int").alias("f")).where("f > 1")
+    held = items.join(shared, "item").groupBy("uid", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("common"))
+    first = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")  # items of a prefix
+    alone = F.col("n") - F.size("common")
+    held = held.withColumn("alone", alone).where(F.col("alone") < first).withColumn("prefix", F.slice("common", 1, F.least(first - F.col("alone"), F.size("common"))))
+    held = held.withColumn("prefix", F.col("prefix.item")).select(F.col("uid").alias("u"), "n", "alone", "prefix", F.posexplode("prefix").alias("at", "item"))
+    held = held.select("u", "n", (F.col("alone") + F.col("at")).alias("at"), "item", F.slice("prefix", F.lit(1), F.col("at")).alias("before"))
+    held = _labelled(held, label, "u").join(units.select(F.col("uid").alias("u"), "sketch"), "u")
     # both sides are the same but for their columns' names, so that they share one shuffle
     one, two = (held.select(*[F.col(c).alias(f"{c}{k}") for c in held.columns]) for k in (1, 2))
     # a loop over the words, not 8 times its code: methods of over 8,000 bytes are never compiled by the JVM
-    least = F.aggregate(F.zip_with("sketch1", "sketch2", _equal_registers), F.lit(0), lambda total, k: total + k)
-    both = F.size(F.array_intersect("bag1", "bag2"))
+    agree = F.aggregate(F.zip_with("sketch1", "sketch2", _equal_registers), F.lit(0), lambda total, k: total + k)
+    needed = similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-9
     test = (
         (F.col("u1") < F.col("u2")) & (F.col("u_label1") != F.col("u_label2")) & (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2").cast("double") - 1e-9)
-        & (least >= _agreeing(similarity)) & ~F.arrays_overlap("before1", "before2") & (both >= similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-9)
+        & (F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= needed) & (agree >= _agreeing(similarity))
+        & ~F.arrays_overlap("before1", "before2")
     )
-    return one.join(two, F.col("bucket1") == F.col("bucket2")).where(test).select(F.col("u1").alias("u"), F.col("u2").alias("v"))
+    return one.join(two, F.col("item1") == F.col("item2")).where(test).select(F.col("u1").alias("u"), F.col("u2").alias("v"))
 
 
 def _equal_registers(a: Column, b: Column) -> Column:
@@ -298,17 +343,19 @@ def keep_one(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
     """The rows of docs, with their columns, that stand for their classes: those with the class's least doc_id; of rows with one id and text, one.
 
     Rows with one doc_id and different texts in a class: the one whose text hashes least stays. Each class keeps its own row, also where
-    unrelated texts share a doc_id or have none.
+    unrelated texts share a doc_id or have none. Null and empty texts are one class, of which one row stays; an empty table gives none.
+    Columns of docs may have any name.
     """
     found = near_duplicates(docs, scratch, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = scratch.stage("kept", found.groupBy("class_key").agg(F.min("doc_id").alias("__id"), F.min("mark").alias("__mark")))
-    marked = docs.withColumn("__m", F.xxhash64("doc_id", text_or_empty()))
-    once = marked.join(kept, (marked["__m"] == kept["__mark"]) & marked["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    repeated = once.groupBy("__m").count().where("count > 1").select(F.col("__m").alias("__r"))
+    scratch.drop("signed", "classes")
+    marked = packed(docs, F.col("doc_id").alias("id"), F.xxhash64("doc_id", text_or_empty()).alias("m"))
+    once = marked.join(maybe_broadcast(kept), (F.col("m") == F.col("__mark")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    repeated = once.groupBy("m").count().where("count > 1").select(F.col("m").alias("r"))
     repeated = maybe_broadcast(scratch.stage("repeated", repeated))
-    single = once.join(repeated, once["__m"] == repeated["__r"], "left_anti")
-    several = once.join(repeated, once["__m"] == repeated["__r"], "left_semi").dropDuplicates(["__m"])
-    return single.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])
+    single = once.join(repeated, once["m"] == repeated["r"], "left_anti")
+    several = once.join(repeated, once["m"] == repeated["r"], "left_semi").dropDuplicates(["m"])
+    return unpacked(single.unionByName(several), docs)
 
 
 def brute_force(rows: list[tuple[int, str | None]], similarity: float = SIMILARITY) -> dict[int, int]:
