@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import Scratch, maybe_broadcast, text_or_empty
+from frostline.llm.common import Scratch, maybe_broadcast, packed, text_or_empty, unpacked
 
 WORDS, CONTAINMENT = 5, 0.8
 #: Most sketch rows (16 bytes each), candidates and items that are broadcast.
@@ -75,11 +75,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, cont
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of docs, with their columns, whose text holds no item."""
-    bad = scratch.stage("bad", find_contamination(docs, items, scratch, containment).select(F.col("mark").alias("__mark")).distinct())
-    marked = docs.withColumn("__m", F.xxhash64("doc_id", text_or_empty()))
-    clean = marked.join(maybe_broadcast(bad), marked["__m"] == bad["__mark"], "left_anti")
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, with their columns, whatever their names, whose text holds no item.
+
+    Null and empty texts hold none and stay, as do rows with a null doc_id and a clean text; repeated rows stay or go together; an empty table gives none.
+    """
+    found = find_contamination(docs, items, scratch, containment)
+    bad = scratch.stage("bad", found.select(F.col("mark").alias("b_mark"), F.col("doc_id").alias("b_id")).distinct())
+    scratch.drop("items", "candidates")
+    marked = packed(docs, F.col("doc_id").alias("id"), F.xxhash64("doc_id", text_or_empty()).alias("m"))
+    return unpacked(marked.join(maybe_broadcast(bad), (F.col("m") == F.col("b_mark")) & F.col("id").eqNullSafe(F.col("b_id")), "left_anti"), docs)
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from frostline.llm.common import Scratch, maybe_broadcast
+from frostline.llm.common import Scratch, maybe_broadcast, packed, unpacked
 
 BLOCK_TOKENS, SPAN, SEED, STEPS = 1 << 18, 512, 17, 60
 REPETITION = 2.0
@@ -98,6 +98,8 @@ def mix(docs: DataFrame, scratch: Scratch, repetition: float | None = REPETITION
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     weights = source_weights(totals, repetition, entropy, budget, cover)
     goal = F.floor(F.col("ppb").cast("decimal(20,0)") * F.col("budget").cast("decimal(18,0)") / F.lit(10**9).cast("decimal(10,0)")).cast("long")
+    if cover:  # a weight's rounding must not cost the largest source a document
+        goal = F.greatest(goal, "tokens")
     plan = weights.withColumn("goal", goal).withColumn("blocks", F.ceil(F.col("tokens") / block_tokens).cast("long"))
     plan = plan.withColumn("whole", F.expr("goal div tokens")).withColumn("rest", F.col("goal") % F.col("tokens"))
     plan = scratch.stage("plan", plan)
@@ -130,13 +132,16 @@ def _epochs(blocks: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """The mixture as rows of docs, with their columns: each as often as it is taken. See ``mix``."""
-    taken = mix(docs, scratch, **how).groupBy("doc_id", "source", "mark").agg(F.count("*").cast("int").alias("__times"))
-    taken = scratch.stage("taken", taken).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("mark").alias("__mark"), "__times")
-    marked = docs.withColumn("__m", F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    same = marked["doc_id"].eqNullSafe(taken["__id"]) & (F.coalesce(marked["source"], F.lit("")) == taken["__source"]) & (marked["__m"] == taken["__mark"])
-    out = marked.join(taken, same).withColumn("__copy", F.explode(F.expr("sequence(1, __times)")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixture as rows of docs, with their columns, whatever their names: each as often as it is taken.
+
+    Nulls, empty texts, repeated rows and empty tables are taken as ``mix`` says.
+    """
+    taken = mix(docs, scratch, **how).groupBy("doc_id", "source", "mark").agg(F.count("*").cast("int").alias("times"))
+    taken = scratch.stage("taken", taken).withColumnsRenamed({"doc_id": "t_id", "source": "t_source", "mark": "t_mark"})
+    scratch.drop("rows", "plan", "blocks")
+    marked = packed(docs, F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("from"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("m"))
+    out = marked.join(taken, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("from") == F.col("t_source")) & (F.col("m") == F.col("t_mark")))
+    return unpacked(out.select("row", F.explode(F.expr("sequence(1, times)"))), docs)
 
 
 ORACLE = f"""
