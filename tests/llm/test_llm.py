@@ -104,19 +104,42 @@ def test_nearest_neighbours_odd_rows(spark):
     assert vectors.nearest(df.limit(0), df, Scratch(spark, "t")).isEmpty()
 
 
-def test_tokens_round_trip(spark):
-    from tokenizers import Tokenizer
+BIG = 2**53 + 1
+
 
-    rows = [(3, "hello  world"), (1, ""), (2, None), (3, "again \n x"), (None, "n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 as start")
+def token_rows(spark, rows: list[tuple]) -> list[tuple]:
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 as start", "'x' as part", "1 as `a.b`")
     scratch = Scratch(spark, "t")
     tokens.write_tokens(df, scratch.path("out"), scratch)
-    t = Tokenizer.from_file(tokens.tokenizer_path())
-    got = sorted((r["start"], r["doc_id"], bytes(r["ids"])) for r in tokens.read_tokens(spark, scratch.path("out")).collect())
-    assert sum(len(x[2]) for x in got) == 4 * sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in rows)
-    assert [x[1] for x in got] == [None, 1, 2, 3, 3]
-    crc = {r["ids_crc32"] for r in tokens.digests(tokens.read_tokens(spark, scratch.path("out"))).collect()}
-    assert zlib.crc32(np.array([2], "<u4").tobytes()) in crc
+    got = tokens.digests(tokens.read_tokens(spark, scratch.path("out"))).collect()
+    return sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got)
+
+
+def token_rows_by_hand(rows: list[tuple]) -> list[tuple]:
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
+    ids = [(i, np.array([*plain.encode(x or "", add_special_tokens=False).ids, 2])) for i, x in rows]
+    ids.sort(key=lambda x: (x[0] is not None, x[0] or 0, zlib.crc32(x[1].astype("<u2").tobytes())))
+    starts = np.cumsum([0, *(len(x) for _, x in ids)]).tolist()
+    return [(s, i, len(x), zlib.crc32(x.astype("<u4").tobytes())) for s, (i, x) in zip(starts, ids, strict=False)]
+
+
+def test_tokens_equal_the_plain_library(spark):
+    rng = np.random.default_rng(8)
+    bits = ["a", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "don't", "7", "é", "\u00a0", "\u2003", "word", "\r\n", "!!", "\x00", "日本"]
+    rows = [(int(i), "".join(rng.choice(bits, rng.integers(0, 30)))) for i in rng.permutation(300)]
+    rows += [(None, "n"), (BIG, "x"), (BIG + 2, "y y"), (3, "hello  world"), (3, "hello  world"), (400, None), (401, ""), (402, "long text " * 60_000), (403, "z" * 100_000)]
+    assert token_rows(spark, rows) == token_rows_by_hand(rows)
+    assert token_rows(spark, []) == []
+
+
+def test_encoder_forgets_without_a_change(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(40)) for i in range(60)]
+    for x in texts:
+        assert np.frombuffer(enc.encode([x])[0], enc.kind).tolist() == [*enc.tokenizer.encode(x, add_special_tokens=False).ids, 2]
 
 
 def test_classifiers_on_held_out_rows(spark):
