@@ -3,22 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from frostline.llm import contamination, mixing, neardup, quality, tokens
-from frostline.llm.common import Scratch, maybe_broadcast, read, text_or_empty
+from frostline.llm.common import Scratch, read
 from frostline.session import ship_package
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; labels are learned from all the labelled rows it may see."""
     ship_package(spark)
-    scratch = Scratch(spark, "stage-quality")
-    marked = docs.withColumn("__m", F.xxhash64("doc_id", text_or_empty()))
-    good = quality.score_rows(marked, read(spark, sf_dir, "labels"), scratch).where("predicted = 1")
-    good = scratch.stage("good", good.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct())
-    kept = marked.join(maybe_broadcast(good), (marked["__m"] == good["__mark"]) & marked["doc_id"].eqNullSafe(good["__id"]), "left_semi")
-    return kept.select(*docs.columns)
+    return quality.keep_accepted(docs, read(spark, sf_dir, "labels"), Scratch(spark, "stage-quality"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
