@@ -21,10 +21,10 @@ def frame_of_cadence(t: Column, t0: Column, dt: Column | float) -> Column:
 
 
 def map_to_frames(rows: DataFrame, axis: DataFrame, t: str = "t", tolerance: float | None = 2.0) -> DataFrame:
-    """rows with frame_idx and residual, by axis (session_id, t0, dt, n_frames); null where the frame is further than ``tolerance`` seconds."""
+    """rows with frame_idx and residual (a row's time less its frame's, in seconds), by axis (session_id, t0, dt, n_frames); frame_idx is null where the two are further apart than ``tolerance`` seconds."""
     out = rows.join(axis, "session_id").withColumn("frame_idx", frame_of_time(F.col(t), F.col("t0"), F.col("dt"), F.col("n_frames")))
-    residual = F.abs(seconds_between(F.col("t0"), F.col(t)) - F.col("frame_idx") * F.col("dt"))
-    ok = residual <= tolerance if tolerance is not None else residual.isNotNull()
+    residual = seconds_between(F.col("t0"), F.col(t)) - F.col("frame_idx") * F.col("dt")
+    ok = F.abs(residual) <= tolerance if tolerance is not None else residual.isNotNull()
     return out.withColumn("residual", residual).withColumn("frame_idx", F.when(ok, F.col("frame_idx"))).drop("t0", "dt", "n_frames")
 
 

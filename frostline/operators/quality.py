@@ -9,7 +9,7 @@ from frostline.functions.scalars import clip01
 
 
 def mapping_quality(mapped: DataFrame, cadence_confidence: float = 0.5) -> DataFrame:
-    """(session_id, n, n_mapped, coverage, median_residual, confidence) of rows mapped to frames."""
+    """(session_id, n, n_mapped, coverage, median_residual, confidence) of rows mapped to frames. The median is of signed residuals, so that it shows a shifted clock."""
     out = mapped.groupBy("session_id").agg(F.count("*").alias("n"), F.count("frame_idx").alias("n_mapped"), F.median(F.when(F.col("frame_idx").isNotNull(), F.col("residual"))).alias("median_residual"))
     out = out.withColumn("coverage", F.col("n_mapped") / F.col("n"))
     return out.withColumn("confidence", clip01(0.6 * F.lit(cadence_confidence) + 0.4 * F.col("coverage")))

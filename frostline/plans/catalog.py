@@ -197,7 +197,7 @@ def frame_map_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return J.map_to_frames(observations(spark, sf), _axis(spark, sf), tolerance=None).select("row_id", "frame_idx")
 
 
-MAPPED = f"{AXIS}, f AS (SELECT *, greatest(0, least(ceil((t - t0) / 1e6 / 3600.0 - 0.5), 499))::INTEGER AS k FROM obs JOIN axis USING (session_id)), mapped AS (SELECT *, abs((t - t0) / 1e6 - k * 3600.0) AS residual, CASE WHEN abs((t - t0) / 1e6 - k * 3600.0) <= 900 THEN k END AS frame_idx FROM f)"
+MAPPED = f"{AXIS}, f AS (SELECT *, greatest(0, least(ceil((t - t0) / 1e6 / 3600.0 - 0.5), 499))::INTEGER AS k FROM obs JOIN axis USING (session_id)), mapped AS (SELECT *, (t - t0) / 1e6 - k * 3600.0 AS residual, CASE WHEN abs((t - t0) / 1e6 - k * 3600.0) <= 900 THEN k END AS frame_idx FROM f)"
 
 
 @query(f"WITH {OBS}, {MAPPED} SELECT row_id, frame_idx, round(residual, 6) AS residual FROM mapped")
@@ -609,7 +609,7 @@ def unit_conversions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def session_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    """All stages over the frames table; products depend on the greedy tracks, so there is no SQL. Tested on an invented session with known events."""
+    """All stages over the frames table; products depend on the greedy tracks, so there is no SQL."""
     frame_rows = stacks(spark, sf).join(_dense(spark, sf), ["session_id", "frame_idx"]).select("session_id", (F.col("place") - 1).alias("frame_idx"), "pixels")
     axis = frame_rows.groupBy("session_id").agg(F.timestamp_seconds(F.lit(1_704_067_200)).alias("t0"), F.lit(1.0).alias("dt"), F.count("*").cast("int").alias("n_frames"))
     k = F.col("event_id")

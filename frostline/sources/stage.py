@@ -13,7 +13,10 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        base = root or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+        base = root or spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = base or tempfile.mkdtemp(prefix="spark-shared-")
         self.root = f"{base.rstrip('/')}/session-{uuid.uuid4().hex}"
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:

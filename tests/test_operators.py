@@ -106,3 +106,14 @@ def test_empty_tables(spark):
     assert frames.frame_medians(none).isEmpty() and frames.quiescent_frames(frames.frame_activity(none)).isEmpty()
     with pytest.raises(ValueError):
         tables.read_raw(spark, "/tmp/x.xlsx")
+
+
+def test_a_shifted_clock_shows_in_the_signed_residual(spark):
+    from frostline.operators import joins, quality
+
+    axis = spark.createDataFrame([("s", 10.0, 5)], "session_id string, dt double, n_frames int").selectExpr("session_id", "timestamp_seconds(0) AS t0", "dt", "n_frames")
+    rows = spark.createDataFrame([("s", 9), ("s", 19), ("s", 28), ("s", 36)], "session_id string, at long").selectExpr("session_id", "timestamp_seconds(at) AS t")
+    mapped = joins.map_to_frames(rows, axis, tolerance=2.0)
+    assert sorted((r["frame_idx"], r["residual"]) for r in mapped.where("frame_idx IS NOT NULL").collect()) == [(1, -1.0), (2, -1.0), (3, -2.0)]
+    got = quality.mapping_quality(mapped).first()
+    assert (got["n"], got["n_mapped"], got["median_residual"]) == (4, 3, -1.0)
