@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ LEVEL = 3
 #: Frames gathered in one block, and texts encoded at once, both in bytes.
 BLOCK_BYTES, BATCH_BYTES = 4 << 20, 3_000_000
 #: Word pieces whose ids a worker remembers (about 200 bytes each), new pieces encoded as one text.
-MEMO, TOGETHER = 400_000, 500
+MEMO, TOGETHER = 700_000, 500
 
 
 #: A space that white space or the end follows: no cut.
@@ -59,7 +60,8 @@ class Encoder:
     without other white space are encoded many at once: the ids of each begin with the one id that holds its space. A text that
     names an added token (as <|endoftext|>) is encoded whole, as the library then cuts it elsewhere.
 
-    What is remembered is bounded: over ``MEMO`` parts, those stay that were met in more than one batch since the last time.
+    What is remembered is bounded: over ``MEMO`` parts, those stay that were met in more than one batch since the last time,
+    half of ``MEMO`` at most.
     """
 
     def __init__(self, path: str):
@@ -123,7 +125,7 @@ class Encoder:
         out = [self.firsts[f] + b"".join(map(ids, r)) + end for f, r in cut]
         self.firsts.clear()  # beginnings seldom come back, and may be whole texts
         if len(self.memo) > MEMO:
-            self.memo = {x: self.memo[x] for x in self.often} if len(self.often) < MEMO // 2 else {}
+            self.memo = {x: self.memo[x] for x in islice(self.often, MEMO // 2)}
             self.often = set()
         return out
 
