@@ -116,6 +116,17 @@ def with_context(events: DataFrame, state: DataFrame, baseline: DataFrame) -> Da
     return out.withColumn("snr", F.col("delta_peak") / (F.col("noise") + 1e-6))
 
 
+def catalog_violations(events: DataFrame) -> DataFrame:
+    """(session_id, reason, n_bad): events whose frames are not in the order start < peak < end, and event_ids that stand more than once in a session.
+
+    Null frames are no violation; null event_ids are compared as one id. A sound or empty catalog gives no row.
+    """
+    order = events.where("frame_start >= frame_peak or frame_peak >= frame_end").groupBy("session_id").agg(F.count("*").alias("n_bad"))
+    twice = events.groupBy("session_id", "event_id").agg((F.count("*") - 1).alias("n")).where("n > 0").groupBy("session_id").agg(F.sum("n").alias("n_bad"))
+    named = lambda df, reason: df.select("session_id", F.lit(reason).alias("reason"), "n_bad")
+    return named(order, "frame_order").unionByName(named(twice, "duplicate_event_id"))
+
+
 def discrepancies(matches: DataFrame, events: DataFrame, points: DataFrame) -> DataFrame:
     """matches (event_id, point_id, ...) with the area and duration of either side and their differences."""
     e = events.select("session_id", "event_id", F.col("area").alias("area_event"), F.col("duration_s").alias("duration_event"))

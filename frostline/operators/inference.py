@@ -94,11 +94,12 @@ def regime_shifts(timeline: DataFrame, k: int, threshold: float = 0.35) -> DataF
 def kalman_smooth(bins: DataFrame, observed: list[str], order: str = "bin", q: float = 1.0, r: float = 1.0, x0: float = 0.0, p0: float = 1.0, penalties: dict[str, float] | None = None) -> DataFrame:
     """(session_id, order, filtered, filtered_var, smoothed, smoothed_var, loglik): a random walk seen through ``observed`` columns with independent noise.
 
-    Missing observations (null) are skipped. Penalties p in (0, 1) of a column raise its noise to r / p^2. Observations of one step are
+    Missing observations (null) are skipped. Penalties p in (0, 1) of a column raise its noise to r / p^2; others change nothing. Observations of one step are
     taken one after another, which for independent noise equals the joint update. A session's bins are one array, filtered forwards
     and smoothed backwards by folds; sessions run side by side.
     """
-    noise = [r / (penalties or {}).get(c, 1.0) ** 2 for c in observed]
+    weak = {c: p for c, p in (penalties or {}).items() if 0 < p < 1}
+    noise = [r / weak.get(c, 1.0) ** 2 for c in observed]
     seq = bins.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.array(*[F.col(c).cast("double") for c in observed]).alias("y")))).alias("s"))
     out = "array<struct<k:bigint,xp:double,pp:double,x:double,p:double>>"
     start = F.struct(F.lit(float(x0)).alias("x"), F.lit(float(p0)).alias("p"), F.lit(0.0).alias("ll"), F.array().cast(out).alias("out"))

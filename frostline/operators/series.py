@@ -69,6 +69,16 @@ def integrity_report(gaps: DataFrame, duplicates: DataFrame, falls: DataFrame) -
     )
 
 
+#: The flag of each kind of finding.
+FLAGS = {"duplicate": "duplicate_timestamps_detected", "missing": "time_gaps_detected", "non_monotonic": "swe_non_monotonic"}
+
+
+def integrity_flags(report: DataFrame) -> DataFrame:
+    """(session_id, flags): the sorted distinct flags of a session's findings; kinds without a flag give none, sessions without findings no row."""
+    names = F.create_map(*[F.lit(x) for pair in FLAGS.items() for x in pair])
+    return report.groupBy("session_id").agg(F.sort_array(F.collect_set(names[F.col("kind")])).alias("flags"))
+
+
 def gap_fraction(report: DataFrame) -> DataFrame:
     """(session_id, gap_fraction): missing seconds over the span of the findings that have times; not held under 1."""
     missing = F.sum(F.when((F.col("kind") == "missing") & (F.col("amount") > 0), F.col("amount")).otherwise(0.0))
@@ -133,6 +143,12 @@ def cumulative(rows: DataFrame, value: str, order: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.sum(value).over(w))
 
 
+def first_difference(rows: DataFrame, value: str, *order: str) -> DataFrame:
+    """rows with ``diff``: the rise of value since the row before in its session, 0 for the first; null beside a null."""
+    before = F.lag(F.struct(value)).over(_by_time(*order))
+    return rows.withColumn("diff", F.when(before.isNull(), F.col(value) - F.col(value)).otherwise(F.col(value) - before[value]))
+
+
 def windowed_rate(rows: DataFrame, value: str, order: str, dt: float, window: int = 5) -> DataFrame:
     """rows with rate_windowed: the rise over ``window`` rows in units an hour; null for the first ones and where dt is not positive."""
     w = Window.partitionBy("session_id").orderBy(order)

@@ -178,6 +178,14 @@ def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
     return _report(spark, sf).select("session_id", "kind", _us("t_start"), _us("t_end"), *_r("amount"))
 
 
+FLAGS = "CASE kind WHEN 'missing' THEN 'time_gaps_detected' WHEN 'duplicate' THEN 'duplicate_timestamps_detected' ELSE 'swe_non_monotonic' END"
+
+
+@query(f"WITH {OBS}, {GAPS}, {FALLS}, {REPORT} SELECT session_id, string_agg(DISTINCT {FLAGS}, ',' ORDER BY {FLAGS}) AS flags FROM report GROUP BY session_id")
+def integrity_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return R.integrity_flags(_report(spark, sf)).select("session_id", F.array_join("flags", ",").alias("flags"))
+
+
 @query(f"WITH {OBS}, {GAPS}, {FALLS}, {REPORT}, g AS (SELECT session_id, coalesce(sum(amount) FILTER (kind = 'missing' AND amount > 0), 0) AS m, (max(t_end) - min(t_start)) / 1e6 AS s FROM report GROUP BY ALL) SELECT session_id, round(CASE WHEN m <= 0 THEN 0 WHEN s > 0 THEN m / s END, 6) AS gap_fraction FROM g")
 def gap_fraction(spark: SparkSession, sf: str) -> DataFrame:
     return R.gap_fraction(_report(spark, sf)).select("session_id", *_r("gap_fraction"))
@@ -278,6 +286,15 @@ def unmatched_events(spark: SparkSession, sf: str) -> DataFrame:
     return E.unmatched(_intervals(spark, sf), _matches(spark, sf), "event_id").select("event_id")
 
 
+@query("""WITH c AS (SELECT (o_custkey % 5)::VARCHAR AS session_id, o_orderkey % 400 AS event_id, o_orderkey * 7 % 5000 AS a, o_orderkey * 7 % 5000 + o_orderkey % 3 AS p, o_orderkey * 7 % 5000 + o_orderkey % 7 AS z FROM orders)
+SELECT session_id, 'frame_order' AS reason, count(*) AS n_bad FROM c WHERE NOT (a < p AND p < z) GROUP BY session_id
+UNION ALL SELECT session_id, 'duplicate_event_id', count(*) - count(DISTINCT event_id) FROM c GROUP BY session_id HAVING count(*) > count(DISTINCT event_id)""")
+def catalog_violations(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    rows = _intervals(spark, sf).select("session_id", (k % 400).alias("event_id"), "frame_start", (F.col("frame_start") + k % 3).alias("frame_peak"), "frame_end")
+    return E.catalog_violations(rows)
+
+
 # Frames.
 
 
@@ -517,6 +534,36 @@ def kalman_rts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("session_id", "bin", *_r("filtered", "filtered_var", "smoothed", "smoothed_var"))
 
 
+LATENT = """df AS (SELECT session_id, t, value, coalesce(value - lag(value) OVER (PARTITION BY session_id ORDER BY t, row_id), 0) AS d FROM (SELECT (user_id % 5)::VARCHAR AS session_id, epoch_us(ts) AS t, event_id AS row_id, value FROM events)),
+z AS (SELECT session_id, bin, y1, y2 FROM ev LEFT JOIN (SELECT session_id, ((t - t0) // 21600000000)::INTEGER AS bin, median(value) / 100 AS y1, median(d) / 100 AS y2 FROM df JOIN ax USING (session_id) GROUP BY ALL) USING (session_id, bin))"""
+
+
+def _latent_bins(spark: SparkSession, sf: str) -> DataFrame:
+    rows = observations(spark, sf).withColumn("session_id", (F.col("session_id").cast("long") % 5).cast("string"))
+    rows = R.first_difference(rows, "value", "t", "row_id")
+    return R.time_bins(rows, R.axis_of(rows), "t", 21_600, (F.median("value") / 100).alias("level"), (F.median("diff") / 100).alias("change"))
+
+
+@query(f"WITH {BINS}, {LATENT} SELECT session_id, bin, round(y1, 6) AS level, round(y2, 6) AS change FROM z")
+def latent_bins(spark: SparkSession, sf: str) -> DataFrame:
+    return _latent_bins(spark, sf).select("session_id", "bin", *_r("level", "change"))
+
+
+@query(f"""WITH RECURSIVE {BINS}, {LATENT},
+fw AS (SELECT session_id, -1 AS bin, 0.0::DOUBLE AS xp, 0.0::DOUBLE AS pp, 0.0::DOUBLE AS x, 1.0::DOUBLE AS p FROM ax
+  UNION ALL SELECT session_id, bin, xp, pp, CASE WHEN y2 IS NULL THEN x1 ELSE x1 + p1 / (p1 + 4) * (y2 - x1) END, CASE WHEN y2 IS NULL THEN p1 ELSE p1 * 4 / (p1 + 4) END
+  FROM (SELECT z.session_id, z.bin, y2, f.x AS xp, f.p + 1 AS pp, CASE WHEN y1 IS NULL THEN f.x ELSE f.x + (f.p + 1) / (f.p + 5) * (y1 - f.x) END AS x1, CASE WHEN y1 IS NULL THEN f.p + 1 ELSE (f.p + 1) * 4 / (f.p + 5) END AS p1
+    FROM fw f JOIN z ON z.session_id = f.session_id AND z.bin = f.bin + 1)),
+bw AS (SELECT session_id, bin, x, p, xp, pp, x AS xs, p AS ps FROM fw f WHERE bin = (SELECT max(bin) FROM fw g WHERE g.session_id = f.session_id)
+  UNION ALL SELECT f.session_id, f.bin, f.x, f.p, f.xp, f.pp, f.x + f.p / b.pp * (b.xs - b.xp), f.p + (f.p / b.pp) ** 2 * (b.ps - b.pp)
+  FROM bw b JOIN fw f ON f.session_id = b.session_id AND f.bin = b.bin - 1 WHERE f.bin >= 0)
+SELECT session_id, bin::BIGINT AS bin, round(xs, 6) AS smoothed, round(ps, 6) AS smoothed_var FROM bw""")
+def latent_driver(spark: SparkSession, sf: str) -> DataFrame:
+    """Level and change seen together, both noises raised by a gate's penalty of one half."""
+    out = I.kalman_smooth(_latent_bins(spark, sf), ["level", "change"], penalties={"level": 0.5, "change": 0.5})
+    return out.select("session_id", "bin", *_r("smoothed", "smoothed_var"))
+
+
 @query(f"WITH {OBS} SELECT session_id, round(quantile_cont(value, 0.1), 6) AS value_q10, round(quantile_cont(value, 0.5), 6) AS value_q50, round(quantile_cont(value, 0.9), 6) AS value_q90 FROM obs GROUP BY ALL")
 def quantile_triplet(spark: SparkSession, sf: str) -> DataFrame:
     return I.quantiles(observations(spark, sf), ["value"]).select("session_id", *_r("value_q10", "value_q50", "value_q90"))

@@ -117,3 +117,20 @@ def test_a_shifted_clock_shows_in_the_signed_residual(spark):
     assert sorted((r["frame_idx"], r["residual"]) for r in mapped.where("frame_idx IS NOT NULL").collect()) == [(1, -1.0), (2, -1.0), (3, -2.0)]
     got = quality.mapping_quality(mapped).first()
     assert (got["n"], got["n_mapped"], got["median_residual"]) == (4, 3, -1.0)
+
+
+def test_penalties_off_the_unit_interval_change_nothing(spark):
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate([1.0, 3.0, 2.0])], "session_id string, bin int, y double")
+    run = lambda p: [(r["smoothed"], r["smoothed_var"]) for r in inference.kalman_smooth(df, ["y"], penalties=p).orderBy("bin").collect()]
+    assert run({"y": 0.0}) == run({"y": 2.0}) == run(None) != run({"y": 0.5})
+
+
+def test_first_difference_starts_at_zero_and_passes_nulls_on(spark):
+    df = spark.createDataFrame([("s", 1, 5.0), ("s", 2, None), ("s", 3, 4.0), ("s", 4, 6.0)], "session_id string, at int, v double")
+    assert [r["diff"] for r in series.first_difference(df, "v", "at").orderBy("at").collect()] == [0.0, None, None, 2.0]
+
+
+def test_catalog_violations_and_flags_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "session_id string, event_id long, frame_start int, frame_peak int, frame_end int")
+    assert events.catalog_violations(empty).isEmpty()
+    assert series.integrity_flags(spark.createDataFrame([], "session_id string, kind string")).isEmpty()
