@@ -144,9 +144,8 @@ def cumulative(rows: DataFrame, value: str, order: str, name: str) -> DataFrame:
 
 
 def first_difference(rows: DataFrame, value: str, *order: str) -> DataFrame:
-    """rows with ``diff``: the rise of value since the row before in its session, 0 for the first; null beside a null."""
-    before = F.lag(F.struct(value)).over(_by_time(*order))
-    return rows.withColumn("diff", F.when(before.isNull(), F.col(value) - F.col(value)).otherwise(F.col(value) - before[value]))
+    """rows with ``diff``: the rise of value since the row before in its session; null for the first and beside a null."""
+    return rows.withColumn("diff", F.col(value) - F.lag(value).over(_by_time(*order)))
 
 
 def windowed_rate(rows: DataFrame, value: str, order: str, dt: float, window: int = 5) -> DataFrame:

@@ -534,7 +534,7 @@ def kalman_rts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("session_id", "bin", *_r("filtered", "filtered_var", "smoothed", "smoothed_var"))
 
 
-LATENT = """df AS (SELECT session_id, t, value, coalesce(value - lag(value) OVER (PARTITION BY session_id ORDER BY t, row_id), 0) AS d FROM (SELECT (user_id % 5)::VARCHAR AS session_id, epoch_us(ts) AS t, event_id AS row_id, value FROM events)),
+LATENT = """df AS (SELECT session_id, t, value, value - lag(value) OVER (PARTITION BY session_id ORDER BY t, row_id) AS d FROM (SELECT (user_id % 5)::VARCHAR AS session_id, epoch_us(ts) AS t, event_id AS row_id, value FROM events)),
 z AS (SELECT session_id, bin, y1, y2 FROM ev LEFT JOIN (SELECT session_id, ((t - t0) // 21600000000)::INTEGER AS bin, median(value) / 100 AS y1, median(d) / 100 AS y2 FROM df JOIN ax USING (session_id) GROUP BY ALL) USING (session_id, bin))"""
 
 

@@ -125,9 +125,9 @@ def test_penalties_off_the_unit_interval_change_nothing(spark):
     assert run({"y": 0.0}) == run({"y": 2.0}) == run(None) != run({"y": 0.5})
 
 
-def test_first_difference_starts_at_zero_and_passes_nulls_on(spark):
+def test_first_difference_has_none_for_the_first_row_nor_beside_nulls(spark):
     df = spark.createDataFrame([("s", 1, 5.0), ("s", 2, None), ("s", 3, 4.0), ("s", 4, 6.0)], "session_id string, at int, v double")
-    assert [r["diff"] for r in series.first_difference(df, "v", "at").orderBy("at").collect()] == [0.0, None, None, 2.0]
+    assert [r["diff"] for r in series.first_difference(df, "v", "at").orderBy("at").collect()] == [None, None, None, 2.0]
 
 
 def test_catalog_violations_and_flags_of_empty_tables(spark):
