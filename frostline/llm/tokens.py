@@ -39,11 +39,26 @@ LEVEL = 3
 #: Frames gathered in one block, and texts encoded at once, both in bytes.
 BLOCK_BYTES, BATCH_BYTES = 4 << 20, 3_000_000
 #: Word pieces whose ids a worker remembers (about 200 bytes each), new pieces encoded as one text.
-MEMO, TOGETHER = 700_000, 500
+MEMO, BARE, TOGETHER = 700_000, 100_000, 500
 
 
 #: A space that white space or the end follows: no cut.
 _JOINED = re.compile(r" (?=\s|$)")
+#: Runs that the byte-level pattern keeps whole and never joins: Latin and Cyrillic letters, ASCII digits, ASCII signs but the apostrophe
+#: (it begins contractions), and a line's end.
+_LETTERS, _SIGNS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f", r"!-&(-/:-@\[-`{-~"
+_RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n")
+_PAIR = re.compile(rf"([{_LETTERS}]+)([{_SIGNS}]+)")
+
+
+def runs(part: str) -> tuple[str, ...]:
+    """The runs of a part that consists of them, or the part alone. Of line ends, two in a row or one at the end are cut singly; more are not cut here."""
+    if pair := _PAIR.fullmatch(part):
+        return pair.groups()
+    found = _RUNS.findall(part)
+    if sum(map(len, found)) != len(part) or part[:1] == "\n" or part.endswith("\n\n") or "\n\n\n" in part:
+        return (part,)
+    return tuple(found)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -57,11 +72,12 @@ class Encoder:
 
     The byte-level pattern starts a new piece at each space that a non-space follows, so the ids of a text are those of its
     parts cut there, one after another. Texts are cut at every space; where white space follows a space the parts are joined again. New parts
-    without other white space are encoded many at once: the ids of each begin with the one id that holds its space. A text that
+    without other white space are encoded many at once: the ids of each begin with the one id that holds its space. Parts of several
+    runs of letters, digits or signs are put together from the ids of their runs and not remembered themselves. A text that
     names an added token (as <|endoftext|>) is encoded whole, as the library then cuts it elsewhere.
 
-    What is remembered is bounded: over ``MEMO`` parts, those stay that were met in more than one batch since the last time,
-    half of ``MEMO`` at most.
+    What is remembered is bounded: over ``MEMO`` parts, those stay that were met again since it was half full,
+    half of ``MEMO`` at most; runs without a space before them are forgotten over ``BARE``.
     """
 
     def __init__(self, path: str):
@@ -75,6 +91,8 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.line = self._ids(["\n"])[0]
         self.often: set[str] = set()
 
     def parts(self, text: str) -> tuple[str, list[str]]:
@@ -112,18 +130,39 @@ class Encoder:
                     self.memo.update((x, raw[a:b]) for x, a, b in zip(group, ends, ends[1:], strict=False))
         self._learn(self.memo, [x for x in new if x not in self.memo], " ")
 
+    def _learn_bare(self, new: list[str]) -> None:
+        """Remember runs that follow no space."""
+        plain, size = [x for x in new if x != "\n"], self.kind.itemsize
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)] if len(self.line) == 1 else []
+        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups]), strict=True):
+            cut = (np.flatnonzero(ids == self.line[0]) * size).tolist()
+            if len(cut) == len(group) - 1:
+                raw = ids.tobytes()
+                self.bare.update((x, raw[a:b]) for x, a, b in zip(group, [0, *(c + size for c in cut)], [*cut, len(raw)], strict=True))
+        self._learn(self.bare, [x for x in new if x not in self.bare], "")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
         end = np.array([END_ID], self.kind).tobytes()
         cut = [self.parts(x) for x in texts]
         met = set().union(*(r for _, r in cut))
-        new = list(met.difference(self.memo))
-        self.often |= met.intersection(self.memo)
+        new = met.difference(self.memo)
+        made = {x: r for x, r in ((x, runs(x)) for x in new if not x.isalpha()) if len(r) > 1}
+        need = {r[0] for r in made.values()}
+        if len(self.memo) > MEMO // 2:
+            self.often |= met.intersection(self.memo) | need.intersection(self.memo)
         self._learn(self.firsts, list({f for f, _ in cut}.difference(self.firsts)), "")
-        self._learn_spaced(new)
-        ids = self.memo.__getitem__
+        self._learn_spaced(list((new - made.keys()) | need.difference(self.memo)))
+        self._learn_bare(list({x for r in made.values() for x in r[1:]}.difference(self.bare)))
+        ids, bare = self.memo.__getitem__, self.bare.__getitem__
+        made = {x: ids(r[0]) + (bare(r[1]) if len(r) == 2 else b"".join(map(bare, r[1:]))) for x, r in made.items()}
+        self.memo.update(made)
         out = [self.firsts[f] + b"".join(map(ids, r)) + end for f, r in cut]
+        for x in made:
+            del self.memo[x]
         self.firsts.clear()  # beginnings seldom come back, and may be whole texts
+        if len(self.bare) > BARE:
+            self.bare.clear()
         if len(self.memo) > MEMO:
             self.memo = {x: self.memo[x] for x in islice(self.often, MEMO // 2)}
             self.often = set()
