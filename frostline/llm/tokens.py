@@ -19,7 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ END_ID = 2
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 << 10, 2_000, 16_384
 LEVEL = 3
 #: Frames gathered in one block, and texts encoded at once, both in bytes.
-BLOCK_BYTES, BATCH_BYTES = 4 << 20, 3_000_000
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 5_000_000
 #: Word pieces whose ids a worker remembers (about 200 bytes each), new pieces encoded as one text.
 MEMO, BARE, TOGETHER = 700_000, 100_000, 500
 
@@ -76,7 +76,7 @@ class Encoder:
     runs of letters, digits or signs are put together from the ids of their runs and not remembered themselves. A text that
     names an added token (as <|endoftext|>) is encoded whole, as the library then cuts it elsewhere.
 
-    What is remembered is bounded: over ``MEMO`` parts, those stay that were met again since it was half full,
+    What is remembered is bounded: over ``MEMO`` parts, those of the last texts stay,
     half of ``MEMO`` at most; runs without a space before them are forgotten over ``BARE``.
     """
 
@@ -93,7 +93,6 @@ class Encoder:
         self.firsts: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.line = self._ids(["\n"])[0]
-        self.often: set[str] = set()
 
     def parts(self, text: str) -> tuple[str, list[str]]:
         """The text up to the first cut, and the parts after it without the space that each begins with."""
@@ -145,12 +144,9 @@ class Encoder:
         """The ids of each text and the end id, as bytes."""
         end = np.array([END_ID], self.kind).tobytes()
         cut = [self.parts(x) for x in texts]
-        met = set().union(*(r for _, r in cut))
-        new = met.difference(self.memo)
+        new = set(filterfalse(self.memo.__contains__, chain.from_iterable(r for _, r in cut)))
         made = {x: r for x, r in ((x, runs(x)) for x in new if not x.isalpha()) if len(r) > 1}
         need = {r[0] for r in made.values()}
-        if len(self.memo) > MEMO // 2:
-            self.often |= met.intersection(self.memo) | need.intersection(self.memo)
         self._learn(self.firsts, list({f for f, _ in cut}.difference(self.firsts)), "")
         self._learn_spaced(list((new - made.keys()) | need.difference(self.memo)))
         self._learn_bare(list({x for r in made.values() for x in r[1:]}.difference(self.bare)))
@@ -164,8 +160,8 @@ class Encoder:
         if len(self.bare) > BARE:
             self.bare.clear()
         if len(self.memo) > MEMO:
-            self.memo = {x: self.memo[x] for x in islice(self.often, MEMO // 2)}
-            self.often = set()
+            met = set(filter(self.memo.__contains__, chain.from_iterable(r for _, r in cut)))
+            self.memo = {x: self.memo[x] for x in islice(met, MEMO // 2)}
         return out
 
 
