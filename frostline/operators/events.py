@@ -135,8 +135,21 @@ def discrepancies(matches: DataFrame, events: DataFrame, points: DataFrame) -> D
     return out.withColumn("d_area", F.col("area_event") - F.col("area_point")).withColumn("d_duration", F.col("duration_event") - F.col("duration_point"))
 
 
+def match_times(matches: DataFrame, events: DataFrame, points: DataFrame, dt: float) -> DataFrame:
+    """matches with dt_s: the seconds between the event's peak and the point, or their distance in frames times ``dt`` where either time is null.
+
+    events: (session_id, event_id, t_peak), points: (session_id, point_id, t); a match without its event or point has no such time either.
+    """
+    e = events.select("session_id", "event_id", F.unix_micros("t_peak").alias("__e"))
+    p = points.select("session_id", "point_id", F.unix_micros("t").alias("__p"))
+    out = matches.join(e, ["session_id", "event_id"], "left").join(p, ["session_id", "point_id"], "left")
+    return out.withColumn("dt_s", F.coalesce(F.abs(F.col("__p") - F.col("__e")) / 1e6, F.col("dframes") * F.lit(float(dt)))).drop("__e", "__p")
+
+
 def validation_report(matches: DataFrame) -> DataFrame:
-    return matches.groupBy("session_id").agg(F.count("*").alias("n_matches"), F.avg("dframes").alias("mean_dframes"), F.avg("dxy").alias("mean_dxy"))
+    """(session_id, n_matches, mean_dframes, mean_dxy), and mean_dt_s where matches have dt_s."""
+    timed = [F.avg("dt_s").alias("mean_dt_s")] if "dt_s" in matches.columns else []
+    return matches.groupBy("session_id").agg(F.count("*").alias("n_matches"), F.avg("dframes").alias("mean_dframes"), F.avg("dxy").alias("mean_dxy"), *timed)
 
 
 def unmatched(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:

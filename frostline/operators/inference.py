@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from frostline.functions.scalars import clip01, mass_to_depth, stable_id
-from frostline.operators.series import cumulative
+from frostline.operators.series import cumulative, first_difference, time_bins
 
 
 def reconstruct(events: DataFrame, axis: DataFrame, area_mm2: float = 1.0) -> DataFrame:
@@ -91,23 +91,49 @@ def regime_shifts(timeline: DataFrame, k: int, threshold: float = 0.35) -> DataF
     return out.where(F.col("m.d") >= threshold).select("session_id", "bin", (-F.col("m.r")).alias("regime"), F.col("m.d").alias("shift"), F.least(F.lit(0.95), 0.5 + F.col("m.d")).alias("confidence"))
 
 
-def kalman_smooth(bins: DataFrame, observed: list[str], order: str = "bin", q: float = 1.0, r: float = 1.0, x0: float = 0.0, p0: float = 1.0, penalties: dict[str, float] | None = None) -> DataFrame:
+def latent_observations(axis: DataFrame, baseline: DataFrame, events: DataFrame, rates: DataFrame, reference: DataFrame, seconds: int = 10, proxy: str = "diff") -> DataFrame:
+    """(session_id, bin, baseline, event_rate, swe_rate, processed_swe): what the latent driver is seen through, for every bin of ``seconds`` of axis (session_id, t0, t1).
+
+    The others are (session_id, t, v), events (session_id, t). baseline is the median of its first differences in a bin, or of its values with proxy
+    "level"; null values are left out. event_rate counts events, 0 without any; the other two are medians, null without values. Empty tables give
+    such bins throughout.
+    """
+    if proxy not in ("diff", "level"):
+        raise ValueError("proxy must be diff or level")
+    end = F.date_trunc("second", "t1")
+    axis = axis.select("session_id", "t0", F.when(F.col("t1") > end, end + F.expr("INTERVAL 1 SECOND")).otherwise(end).alias("t1"))
+    level = baseline.where("v is not null")
+    if proxy == "diff":
+        level = first_difference(level, "v", "t").drop("v").withColumnRenamed("diff", "v")
+    out = time_bins(level, axis, "t", seconds, F.median("v").alias("baseline"))
+    counted = time_bins(events, axis, "t", seconds, F.count("*").cast("double").alias("event_rate")).fillna(0.0, ["event_rate"])
+    for more in (counted, time_bins(rates, axis, "t", seconds, F.median("v").alias("swe_rate")), time_bins(reference, axis, "t", seconds, F.median("v").alias("processed_swe"))):
+        out = out.join(more, ["session_id", "bin"])
+    return out
+
+
+LATENT = ["baseline", "event_rate", "swe_rate", "processed_swe"]
+
+
+def kalman_smooth(bins: DataFrame, observed: list[str], order: str = "bin", q: float = 1.0, r: float = 1.0, x0: float = 0.0, p0: float = 1.0, penalties: dict[str, float] | None = None, penalty: str | None = None) -> DataFrame:
     """(session_id, order, filtered, filtered_var, smoothed, smoothed_var, loglik): a random walk seen through ``observed`` columns with independent noise.
 
-    Missing observations (null) are skipped. Penalties p in (0, 1) of a column raise its noise to r / p^2; others change nothing. Observations of one step are
+    Missing observations (null) are skipped. Penalties p in (0, 1) of a column raise its noise to r / p^2; others change nothing. ``penalty`` names a column of bins, one value a session, that does so for all of
+    a session's columns. Observations of one step are
     taken one after another, which for independent noise equals the joint update. A session's bins are one array, filtered forwards
     and smoothed backwards by folds; sessions run side by side.
     """
     weak = {c: p for c, p in (penalties or {}).items() if 0 < p < 1}
     noise = [r / weak.get(c, 1.0) ** 2 for c in observed]
-    seq = bins.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.array(*[F.col(c).cast("double") for c in observed]).alias("y")))).alias("s"))
+    seq = bins.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.array(*[F.col(c).cast("double") for c in observed]).alias("y")))).alias("s"), F.max(F.col(penalty) if penalty else F.lit(1.0)).alias("w"))
+    seq = seq.select("session_id", "s", F.when((F.col("w") > 0) & (F.col("w") < 1), 1.0 / (F.col("w") * F.col("w"))).otherwise(1.0).alias("inflate"))
     out = "array<struct<k:bigint,xp:double,pp:double,x:double,p:double>>"
     start = F.struct(F.lit(float(x0)).alias("x"), F.lit(float(p0)).alias("p"), F.lit(0.0).alias("ll"), F.array().cast(out).alias("out"))
 
     def forward(acc: Column, row: Column) -> Column:
         xp, pp = acc["x"], acc["p"] + q
         state = F.struct(xp.alias("x"), pp.alias("p"), acc["ll"].alias("ll"))
-        noises = F.array(*[F.lit(float(v)) for v in noise])
+        noises = F.array(*[F.lit(float(v)) * F.col("inflate") for v in noise])
 
         def update(s: Column, o: Column) -> Column:
             gap, var = o["y"] - s["x"], s["p"] + o["r"]

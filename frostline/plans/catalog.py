@@ -281,6 +281,15 @@ def validation_report(spark: SparkSession, sf: str) -> DataFrame:
     return E.validation_report(_matches(spark, sf)).select("session_id", "n_matches", *_r("mean_dframes", "mean_dxy"))
 
 
+@query(f"WITH {MATCH} SELECT session_id, event_id, point_id, CASE WHEN event_id % 3 = 0 THEN dframes * 4.0 ELSE abs(point_id * 11 % 5000 * 1.5 - event_id * 7 % 5000) END::DOUBLE AS dt_s FROM m")
+def match_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third event has no time of its peak."""
+    at = lambda seconds: F.timestamp_millis((seconds * 1000).cast("long"))
+    peaks = _intervals(spark, sf).select("session_id", "event_id", F.when(F.col("event_id") % 3 != 0, at(F.col("frame_start"))).alias("t_peak"))
+    seen = _points(spark, sf).select("session_id", "point_id", at(F.col("frame_idx") * 1.5).alias("t"))
+    return E.match_times(_matches(spark, sf), peaks, seen, 4.0).select("session_id", "event_id", "point_id", "dt_s")
+
+
 @query(f"WITH {MATCH} SELECT event_id FROM ev WHERE event_id NOT IN (SELECT event_id FROM m)")
 def unmatched_events(spark: SparkSession, sf: str) -> DataFrame:
     return E.unmatched(_intervals(spark, sf), _matches(spark, sf), "event_id").select("event_id")
@@ -549,6 +558,20 @@ def latent_bins(spark: SparkSession, sf: str) -> DataFrame:
     return _latent_bins(spark, sf).select("session_id", "bin", *_r("level", "change"))
 
 
+@query(f"""WITH {BINS}, rows4 AS (SELECT (user_id % 5)::VARCHAR AS session_id, epoch_us(ts) AS t, event_id AS row_id, value FROM events),
+d4 AS (SELECT session_id, t, v - lag(v) OVER (PARTITION BY session_id ORDER BY t) AS d FROM (SELECT session_id, t, max(value) AS v FROM rows4 GROUP BY ALL)),
+b4 AS (SELECT session_id, ((t - t0) // 21600000000)::INTEGER AS bin, median(d) AS b FROM d4 JOIN ax USING (session_id) GROUP BY ALL),
+o4 AS (SELECT session_id, ((t - t0) // 21600000000)::INTEGER AS bin, count(*) FILTER (row_id % 10 = 0) AS e, median(value) FILTER (row_id % 3 = 0) AS r, median(value) FILTER (row_id % 2 = 0) AS p FROM rows4 JOIN ax USING (session_id) GROUP BY ALL)
+SELECT session_id, bin, round(b, 6) AS baseline, coalesce(e, 0)::DOUBLE AS event_rate, round(r, 6) AS swe_rate, round(p, 6) AS processed_swe FROM ev LEFT JOIN b4 USING (session_id, bin) LEFT JOIN o4 USING (session_id, bin)""")
+def latent_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """All four series a latent driver is seen through."""
+    rows = observations(spark, sf).withColumn("session_id", (F.col("session_id").cast("long") % 5).cast("string")).withColumn("v", F.col("value"))
+    level = rows.groupBy("session_id", "t").agg(F.max("v").alias("v"))
+    some = lambda k: rows.where(F.col("row_id") % k == 0).select("session_id", "t", "v")
+    out = I.latent_observations(R.axis_of(rows), level, some(10), some(3), some(2), 21_600)
+    return out.select("session_id", "bin", *_r("baseline"), "event_rate", *_r("swe_rate", "processed_swe"))
+
+
 @query(f"""WITH RECURSIVE {BINS}, {LATENT},
 fw AS (SELECT session_id, -1 AS bin, 0.0::DOUBLE AS xp, 0.0::DOUBLE AS pp, 0.0::DOUBLE AS x, 1.0::DOUBLE AS p FROM ax
   UNION ALL SELECT session_id, bin, xp, pp, CASE WHEN y2 IS NULL THEN x1 ELSE x1 + p1 / (p1 + 4) * (y2 - x1) END, CASE WHEN y2 IS NULL THEN p1 ELSE p1 * 4 / (p1 + 4) END

@@ -32,6 +32,8 @@ class Settings:
     slope: float = 3e-4
     regimes: int = 4
     gate: str = "hard"
+    bin_seconds: int = 10
+    proxy: str = "diff"
 
 
 FEATURES = ["snr", "delta_peak", "energy", "area_peak_px", "duration_s", "motion_score", "edge_proximity"]
@@ -61,6 +63,13 @@ def analyse(store: Store, frame_rows: DataFrame, observed: DataFrame, reference:
     points = mapped.select("session_id", F.col("particle_event_id").alias("point_id"), "frame_idx", F.col("y_px").alias("y"), F.col("x_px").alias("x"))
     spans = catalog.select("session_id", "event_id", "frame_start", "frame_end", F.col("start_y").alias("y"), F.col("start_x").alias("x"))
     out["matches"] = store.keep("matches", joins.interval_matches(spans, points, s.match_seconds / s.dt_seconds, s.match_pixels))
+    when = catalog.join(timeline.withColumnRenamed("frame_idx", "frame_peak"), ["session_id", "frame_peak"]).select("session_id", "event_id", "t")
+    timed = observed.select("session_id", F.col("particle_event_id").alias("point_id"), F.col("t_utc").alias("t"))
+    out["validation"] = store.keep("validation", events.validation_report(events.match_times(out["matches"], when.withColumnRenamed("t", "t_peak"), timed, s.dt_seconds)))
+    falls = series.monotonicity(reference, "swe_mm", "t_utc")
+    out["integrity"] = store.keep("integrity", series.integrity_report(series.time_gaps(observed, "t_utc"), series.duplicate_times(observed, "t_utc"), falls))
+    out["integrity_flags"] = series.integrity_flags(out["integrity"])
+    out["violations"] = events.catalog_violations(catalog)
     product = inference.event_rate(inference.reconstruct(catalog.where("mass_mg >= 0"), timeline, s.area_mm2), s.dt_seconds)
     product = series.robust_rate(series.windowed_rate(product, "total", "frame_idx", s.dt_seconds), "total", "frame_idx", s.dt_seconds)
     product = product.join(reference.select("session_id", F.col("t_utc").alias("t"), "swe_mm"), ["session_id", "t"], "left")
@@ -68,12 +77,16 @@ def analyse(store: Store, frame_rows: DataFrame, observed: DataFrame, reference:
     out["closure"] = store.keep("closure", inference.closure(product, "total", "swe_mm"))
     z = inference.standardise(catalog.select("session_id", "event_id", *FEATURES), FEATURES)
     out["regimes"] = store.keep("regimes", inference.k_means(store.keep("features", z), "event_id", FEATURES, s.regimes, keep=store.keep))
-    when = catalog.join(timeline.withColumnRenamed("frame_idx", "frame_peak"), ["session_id", "frame_peak"]).select("session_id", "event_id", "t")
     out["timeline"] = store.keep("timeline", inference.regime_timeline(out["regimes"].join(when, ["session_id", "event_id"]), s.regimes))
     out["phenotype"] = inference.phenotype(catalog, product, out["regimes"], out["health"], out["closure"])
     share = mapped.groupBy("session_id").count().join(observed.groupBy("session_id").agg(F.count("*").alias("all")), "session_id")
     confidence = share.select("session_id", F.least(F.lit(1.0), 0.6 * 0.5 + 0.4 * F.col("count") / F.col("all")).alias("alignment_confidence"))
     scores = out["health"].select("session_id", F.col("overall_score").alias("health_score")).join(out["closure"].select("session_id", "closure_score"), "session_id", "left").join(confidence, "session_id", "left")
-    out["gate"] = inference.gate(scores.withColumn("gap_fraction", F.lit(0.0)), s.gate)
+    out["gate"] = store.keep("gate", inference.gate(scores.join(series.gap_fraction(out["integrity"]), "session_id", "left"), s.gate))
+    level = out["baseline"].join(timeline, ["session_id", "frame_idx"]).select("session_id", "t", F.col("baseline").alias("v"))
+    rates = product.select("session_id", "t", F.col("rate_robust").alias("v"))
+    seen = inference.latent_observations(series.axis_of(timeline), level, when, rates, reference.select("session_id", F.col("t_utc").alias("t"), F.col("swe_mm").alias("v")), s.bin_seconds, s.proxy)
+    seen = seen.join(out["gate"].where("allow").select("session_id", "penalty"), "session_id")
+    out["latent"] = store.keep("latent", inference.kalman_smooth(seen, inference.LATENT, penalty="penalty"))
     out["findings"] = inference.findings(inference.regime_shifts(out["timeline"], s.regimes), out["gate"])
     return out

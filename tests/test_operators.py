@@ -134,3 +134,55 @@ def test_catalog_violations_and_flags_of_empty_tables(spark):
     empty = spark.createDataFrame([], "session_id string, event_id long, frame_start int, frame_peak int, frame_end int")
     assert events.catalog_violations(empty).isEmpty()
     assert series.integrity_flags(spark.createDataFrame([], "session_id string, kind string")).isEmpty()
+
+
+def test_latent_observations_by_hand(spark):
+    from frostline.operators import series
+
+    rows = lambda *r: spark.createDataFrame([("s", at(t), v) for t, v in r], "session_id string, t timestamp, v double")
+    axis = series.axis_of(rows((0.5, 0.0), (20.5, 0.0)))
+    level = rows((0.5, 1.0), (4, 3.0), (8, 9.0), (12, None), (15, 10.0))
+    none = spark.createDataFrame([], "session_id string, t timestamp, v double")
+    out = inference.latent_observations(axis, level, rows((1, 0.0), (2, 0.0), (25, 0.0)).drop("v"), rows((10, 4.0), (11, 8.0)), none).orderBy("bin")
+    got = [(r["bin"], r["baseline"], r["event_rate"], r["swe_rate"], r["processed_swe"]) for r in out.collect()]
+    assert got == [(0, 4.0, 2.0, None, None), (1, 1.0, 0.0, 6.0, None), (2, None, 0.0, None, None)]
+
+
+def test_a_sessions_penalty_equals_that_of_all_its_columns(spark):
+    df = spark.createDataFrame([(s, i, v, p) for s, p in (("a", 0.5), ("b", 0.0), ("c", 1.0)) for i, v in enumerate([1.0, None, 2.0])], "session_id string, bin int, y double, p double")
+    run = lambda s, **k: [(r["smoothed"], r["smoothed_var"]) for r in inference.kalman_smooth(df.where(F.col("session_id") == s), ["y"], **k).orderBy("bin").collect()]
+    assert run("a", penalty="p") == run("a", penalties={"y": 0.5})
+    assert run("b", penalty="p") == run("c", penalty="p") == run("a")
+
+
+def test_match_times_fall_back_on_frames(spark):
+    matches = spark.createDataFrame([("s", 1, 1, 3.0, 0.0), ("s", 2, 1, 3.0, 0.0)], "session_id string, event_id int, point_id int, dframes double, dxy double")
+    peaks = spark.createDataFrame([("s", 1, at(10)), ("s", 2, None)], "session_id string, event_id int, t_peak timestamp")
+    points = spark.createDataFrame([("s", 1, at(7.5))], "session_id string, point_id int, t timestamp")
+    out = events.match_times(matches, peaks, points, 4.0)
+    assert {r["event_id"]: r["dt_s"] for r in out.collect()} == {1: 2.5, 2: 12.0}
+    assert events.validation_report(out).first()["mean_dt_s"] == 7.25 and "mean_dt_s" not in events.validation_report(matches).columns
+
+
+def test_a_session_with_a_known_event(spark):
+    """A cold spot of 3 x 3 pixels over six frames among 60 is the one event, and every product has rows that fit it."""
+    from frostline.plans import session as analysis
+    from frostline.sources.stage import Store
+
+    rng = np.random.default_rng(3)
+    stack = 30_000 + rng.normal(0, 8, (60, 12, 12))
+    for k in range(30, 36):
+        stack[k, 4:7, 5:8] -= 900
+    rows = [("s", k, [float(v) for v in f.ravel()]) for k, f in enumerate(stack)]
+    frame_rows = spark.createDataFrame(rows, "session_id string, frame_idx int, pixels array<double>")
+    axis = spark.createDataFrame([("s", at(0), 1.0, 60)], "session_id string, t0 timestamp, dt double, n_frames int")
+    seen = spark.createDataFrame([("s", "p", at(31), 5.0, 6.0, 2.0)], "session_id string, particle_event_id string, t_utc timestamp, y_px double, x_px double, mass_mg double")
+    ref = spark.createDataFrame([("s", at(k), 2.0 * (k >= 31)) for k in range(60)], "session_id string, t_utc timestamp, swe_mm double")
+    out = analysis.analyse(Store(spark), frame_rows, seen, ref, axis, analysis.Settings(12, 12, k_sigma=8.0, gate="soft"))
+    event = out["events"].collect()
+    assert [(e["frame_start"], e["frame_end"], e["area_peak_px"], e["start_y"], e["start_x"]) for e in event] == [(30, 35, 9.0, 5.0, 6.0)]
+    match = out["matches"].collect()
+    assert [(m["event_id"], m["point_id"], m["dframes"], m["dxy"]) for m in match] == [(event[0]["event_id"], "p", 0, 0.0)]
+    assert out["validation"].first()["mean_dt_s"] == abs(31 - event[0]["frame_peak"])
+    assert out["latent"].count() == 6 and out["violations"].isEmpty() and out["integrity"].isEmpty()
+    assert out["phenotype"].first()["n_events"] == 1 and out["gate"].first()["allow"]
