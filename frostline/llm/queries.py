@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, contamination, mixing, neardup, quality, revisit, suffix, tokens, toxicity, vectors
-from frostline.llm.common import Scratch, read
+from frostline.llm import bpe, chat, contamination, divergence, infill, mixing, neardup, quality, revisit, suffix, tokens, toxicity, vectors
+from frostline.llm.common import Scratch, read, small_batches
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(suffix.remove_repeats(read(spark, sf_dir, "documents"), Scratch(spark, "suffix")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"), Scratch(spark, "divergence"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return bpe.digests(bpe.decode_ids(bpe.encode_texts(read(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_binary": op2_token_binary,
@@ -72,10 +85,15 @@ QUERIES = {
     "op8_revisits": op8_revisits,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_bpe": op13_bpe,
 }
 ORACLES = {
     "op3_mix_sources": mixing.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op7_decontaminate": contamination.ORACLE,
     "op8_revisits": revisit.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_fill_in_middle": infill.ORACLE,
 }
