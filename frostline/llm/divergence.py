@@ -31,6 +31,8 @@ from frostline.llm.common import Scratch, trim
 LEAST_DOCS, TOP = 30, 50
 #: Bytes and rows of texts sorted at once; sources in a block; terms of which a matrix is made at once.
 SLAB_BYTES, SLAB_ROWS, BLOCK, CHUNK = 12 << 20, 50_000, 128, 512
+#: Parts of a language's terms, at least, and kept rows for one more: each part gives its partial pairs and terms once.
+PIECES, PIECE_ROWS = 16, 100_000
 
 #: Bytes that belong to terms, letters of ASCII and all beyond it: as each byte of a longer character is beyond it, bytes can be cut as characters are.
 LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(128)] + [True] * 128)
@@ -309,13 +311,14 @@ def divergence(docs: DataFrame, scratch: Scratch, least: int = LEAST_DOCS, top:
     sources = scratch.stage("sources", sources.select("lang", "source", "n", F.sum("n").over(every).alias("total"), F.sum("v").over(every).alias("v")))
     most = sources.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     blocks = -(-most // block) or 1
+    pieces = max(PIECES, kept.count() // PIECE_ROWS)
     own = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
     none = F.lit(None)
-    head = sources.select("lang", none.cast("string").alias("term"), "source", "n", "total", "v", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    body = kept.where("term is not null").select("lang", "term", "source", "n", "total", none.cast("long").alias("v"), own.alias("block"), F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"))
+    head = sources.select("lang", none.cast("string").alias("term"), "source", "n", "total", "v", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("part"))
+    body = kept.where("term is not null").select("lang", "term", "source", "n", "total", none.cast("long").alias("v"), own.alias("block"), F.pmod(F.xxhash64("term"), F.lit(pieces)).cast("int").alias("part"))
     rows = head.unionByName(body).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.select("lang", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "part", "term", "source", "n", "total", "v", "block")
-    dealt = rows.repartition(parts, "lang", "a", "b", "part").sortWithinPartitions("lang", "a", "b", "part", "term", "source")
+    dealt = rows.repartitionByRange(parts, "lang", "a", "b", "part").sortWithinPartitions("lang", "a", "b", "part", "term", "source")
     found = scratch.stage("found", dealt.mapInArrow(compare(top), FOUND))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
