@@ -1,92 +1,158 @@
-"""Events in image stacks: connected components of cooled pixels, tracks of components, event features.
+"""Events in image stacks: connected components of cooled pixels, tracks of components, event features, masks of events.
 
-Components are found frame by frame and tracks are a fold over a session's components in order of frames, which are few beside
-its pixels. Both run as Arrow functions in tasks of one frame, and of one run of frames without a gap: tracks never bridge a frame without
-components, so a session is cut there and a long one is shared out.
+Components are found within each frame's row by runs of pixels. Tracks depend on two neighbouring frames at a time: pairs of frames are matched in blocks of
+frames, each block with the last frame before it, and the pieces of tracks are joined over blocks by pointer doubling. So neither a long session nor a
+long track is ever one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from frostline.functions.scalars import clip01
+from frostline.operators.frames import run_lengths
+from frostline.operators.stream import by_key, flat_lists, lists, run_starts
+from frostline.sources.stage import Store
+
+#: Frames whose components are matched by one task at once.
+BLOCK = 64
 
 
-def label_components(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """For each set pixel the least row-major rank among those it is connected with by shared edges."""
-    order = np.lexsort([xs, ys])
-    where = {(y, x): i for i, (y, x) in enumerate(zip(ys[order].tolist(), xs[order].tolist(), strict=True))}
-    out = np.full(len(ys), -1, np.int64)
-    for first in range(len(order)):
-        if out[first] >= 0:
-            continue
-        out[first], todo = first, [first]
-        while todo:
-            k = todo.pop()
-            y, x = int(ys[order[k]]), int(xs[order[k]])
-            for near in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                j = where.get(near)
-                if j is not None and out[j] < 0:
-                    out[j] = first
-                    todo.append(j)
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+def label_runs(start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """For each run of set places the first of the runs it is connected with, where a place touches the one ``width`` further on.
+
+    Runs rise and do not touch one another. Runs that overlap when moved by one row are edges; each end of an edge hooks its root to the lesser root, and
+    paths are halved until nothing moves: whole arrays at a time.
+    """
+    end = start + length
+    low, high = np.searchsorted(end, start + width, "right"), np.searchsorted(start, end + width)
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(start)), n)
+    b = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    root = np.arange(len(start))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
 
 
 def components(mask: DataFrame, width: int, least: int = 1) -> DataFrame:
-    """(session_id, frame_idx, comp, area, cy, cx, deepest, energy, brightest) of mask pixels (session_id, frame_idx, y, x, c, v).
+    """(session_id, frame_idx, comp, area, cy, cx, deepest, energy, brightest, pos array) of masks (session_id, frame_idx, pos, c, v: arrays).
 
-    comp is the row-major place of the component's first pixel; components under ``least`` pixels are left out.
+    Pixels are connected by shared edges. comp is the row-major place of the component's first pixel, pos its pixels in order; components under ``least``
+    pixels are left out. Places may stand in any order; a place given twice counts once, by its first values. No shuffle: a frame is a row.
     """
 
-    def one_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        place = ys.astype(np.int64) * width + xs
-        first = np.sort(place)[label_components(ys, xs)]
-        return pd.DataFrame({"session_id": pdf["session_id"], "frame_idx": pdf["frame_idx"], "comp": first, "y": ys, "x": xs, "c": pdf["c"], "v": pdf["v"]})
-
-    labelled = mask.select("session_id", "frame_idx", "y", "x", "c", "v").groupBy("session_id", "frame_idx").applyInPandas(one_frame, "session_id string, frame_idx int, comp long, y int, x int, c double, v double")
-    out = labelled.groupBy("session_id", "frame_idx", "comp").agg(
-        F.count("*").alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.max(-F.col("c")).alias("deepest"), F.sum(-F.col("c")).alias("energy"), F.max("v").alias("brightest")
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, sizes = flat_lists(batch["pos"])
+            if not len(pos):
+                continue
+            pos = pos.astype(np.int64)
+            frame = np.repeat(np.arange(batch.num_rows), sizes)
+            # frames one after another in one plane, an unset column after each row and an unset row after each frame
+            place = (frame * (int(pos.max()) // width + 2) + pos // width) * (width + 1) + pos % width
+            place, order = np.unique(place, return_index=True)
+            pos, frame = pos[order], frame[order]
+            cold, seen = (flat_lists(batch[k])[0].astype(np.float64)[order] for k in "cv")
+            start, length, _ = run_lengths(place, np.zeros(len(place), np.int64))
+            root = label_runs(start, length, width + 1)
+            of = np.repeat(root, length)
+            order = np.argsort(of, kind="stable")
+            of, pos, frame, cold, seen = of[order], pos[order], frame[order], cold[order], seen[order]
+            begins = np.flatnonzero(np.diff(of, prepend=-1))
+            area = np.diff(begins, append=len(of))
+            total = lambda x: np.add.reduceat(x, begins)
+            numbers = [pos[begins], area, total(pos // width) / area, total(pos % width) / area, np.maximum.reduceat(-cold, begins), total(-cold), np.maximum.reduceat(seen, begins)]
+            at = pa.array(frame[begins])
+            columns = [batch["session_id"].take(at), batch["frame_idx"].take(at), *map(pa.array, numbers), lists(pos.astype(np.int32), area, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["session_id", "frame_idx", "comp", "area", "cy", "cx", "deepest", "energy", "brightest", "pos"])
+
+    shape = "session_id string, frame_idx int, comp long, area long, cy double, cx double, deepest double, energy double, brightest double, pos array<int>"
+    out = mask.select("session_id", "frame_idx", "pos", "c", "v").mapInArrow(run, shape)
     return out.where(F.col("area") >= least)
 
 
-def link_tracks(comps: DataFrame, reach: float = 5.0) -> DataFrame:
-    """comps with track: each component, in order of frame and first pixel, goes on from the nearest unused track of the frame before, if within ``reach``.
+def match_frames(cy: np.ndarray, cx: np.ndarray, before_y: np.ndarray, before_x: np.ndarray, reach: float) -> np.ndarray:
+    """For each component, in order, the nearest one of the frame before that no earlier component took, the first on a tie, if within ``reach``; else -1."""
+    out, free = np.full(len(cy), -1), np.ones(len(before_y), bool)
+    if not len(before_y):
+        return out
+    for i, (y, x) in enumerate(zip(cy, cx, strict=True)):
+        d = np.where(free, np.hypot(y - before_y, x - before_x), np.inf)
+        k = int(d.argmin())
+        if d[k] <= reach:
+            out[i], free[k] = k, False
+    return out
 
-    track is "frame:comp" of a track's first component.
-    """
-    frames = comps.select("session_id", "frame_idx").distinct()
-    w = Window.partitionBy("session_id").orderBy("frame_idx")
-    runs = frames.withColumn("run", F.col("frame_idx") - F.row_number().over(w))
-
-    def one_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_idx", "comp"], kind="stable").reset_index(drop=True)
-        names, active = [""] * len(pdf), []
-        for _, rows in pdf.groupby("frame_idx", sort=True):
-            used, now = set(), []
-            for i in rows.index:
-                cy, cx = pdf.at[i, "cy"], pdf.at[i, "cx"]
-                free = [(float(np.hypot(cy - y, cx - x)), k) for k, (y, x, _) in enumerate(active) if k not in used]
-                d, k = min(free, default=(np.inf, -1))
-                if d <= reach:
-                    used.add(k)
-                    names[i] = active[k][2]
-                else:
-                    names[i] = f"{pdf.at[i, 'frame_idx']}:{pdf.at[i, 'comp']}"
-                now.append((cy, cx, names[i]))
-            active = now
-        return pdf.assign(track=names)[[*columns, "track"]]
 
+def link_tracks(comps: DataFrame, reach: float = 5.0, keep: Callable[[str, DataFrame], DataFrame] | None = None, block: int = BLOCK) -> DataFrame:
+    """comps with track: each component, in order of frame and first pixel, goes on from the nearest unused component of the frame before, if within ``reach``.
+
+    track is "frame:comp" of a track's first component; a frame without components ends all tracks. A row a component: (session_id, frame_idx, comp) must
+    be unique. An empty table gives none. keep(name, df) writes tables between rounds (in spark.checkpoint.dir if not given).
+
+    Which component goes on from which depends on two neighbouring frames alone. They are matched in blocks of ``block`` frames with the frame before,
+    streamed a block at a time; within a block each component is named by its piece's first one. Pieces that begin at a block's edge point to
+    the piece they go on from, and rounds of pointer doubling (each pointer jumps to where its target points) take them to their roots: as many
+    rounds as the logarithm of the blocks that the longest track crosses.
+    """
+    keep = keep or Store(comps.sparkSession).keep
     columns = comps.columns
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in comps.schema) + ", track string"
-    return comps.join(runs, ["session_id", "frame_idx"]).groupBy("session_id", "run").applyInPandas(one_run, shape)
+    mark = lambda k, edge: comps.where(edge).select(F.struct(*columns).alias("row"), "session_id", "frame_idx", "comp", "cy", "cx", (F.floor(F.col("frame_idx") / F.lit(block)) + k).alias("block"))
+    both = mark(0, F.lit(True)).unionByName(mark(1, F.pmod("frame_idx", F.lit(block)) == block - 1))
+    dealt = both.repartition("session_id", "block").sortWithinPartitions("session_id", "block", "frame_idx", "comp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, k), rows in by_key(batches, "session_id", "block"):
+            frame, comp, cy, cx = (rows[c].to_numpy() for c in ("frame_idx", "comp", "cy", "cx"))
+            begins = np.flatnonzero(np.diff(frame, prepend=frame[0] - 2))
+            first, held = np.arange(len(frame)), slice(0, 0)
+            for low, high in zip(begins.tolist(), [*begins[1:].tolist(), len(frame)], strict=True):
+                now = slice(low, high)
+                if low and frame[low - 1] == frame[low] - 1:
+                    to = match_frames(cy[now], cx[now], cy[held], cx[held], reach)
+                    first[now] = np.where(to >= 0, first[held][to] if high > low and held.stop > held.start else 0, first[now])
+                held = now
+            mine = frame >= k * block
+            # a piece that goes on from the frame before the block is named by its own first component, and points to the one before
+            over = mine & ~mine[first]
+            begun: dict[int, int] = {}
+            for i in np.flatnonzero(over).tolist():
+                begun.setdefault(int(first[i]), i)
+            own = np.array([begun[f] if o else f for f, o in zip(first.tolist(), over.tolist(), strict=True)], np.int64)
+            out = rows.filter(pa.array(mine))
+            names = [pa.array(frame[own[mine]], pa.int32()), pa.array(comp[own[mine]], pa.int64()), pa.array(np.where(over[mine], comp[first[mine]], -1), pa.int64())]
+            yield from pa.Table.from_arrays([out["row"], *names], ["row", "pf", "pc", "bc"]).to_batches()
+
+    shape = T.StructType([T.StructField("row", comps.schema), T.StructField("pf", T.IntegerType()), T.StructField("pc", T.LongType()), T.StructField("bc", T.LongType())])
+    nodes = keep("linked", dealt.mapInArrow(run, shape))
+    at = ["session_id", "pf", "pc"]
+    pieces = nodes.where("bc >= 0 AND row.frame_idx = pf AND row.comp = pc").select("row.session_id", "pf", "pc", (F.col("pf") - 1).alias("frame_idx"), F.col("bc").alias("comp"))
+    edge = nodes.where(F.pmod("row.frame_idx", F.lit(block)) == block - 1).select("row.session_id", "row.frame_idx", "row.comp", F.col("pf").alias("tf"), F.col("pc").alias("tc"))
+    pointers = keep("pointers0", pieces.join(edge, ["session_id", "frame_idx", "comp"]).select(*at, "tf", "tc"))
+    turn = 0
+    while True:
+        there = pointers.select("session_id", F.col("pf").alias("tf"), F.col("pc").alias("tc"), F.col("tf").alias("uf"), F.col("tc").alias("uc"))
+        jumped = pointers.join(there, ["session_id", "tf", "tc"], "left")
+        turn += 1
+        pointers = keep(f"pointers{turn}", jumped.select(*at, F.coalesce("uf", "tf").alias("tf"), F.coalesce("uc", "tc").alias("tc"), F.col("uf").isNotNull().alias("moved")))
+        if pointers.where("moved").isEmpty():
+            break
+        pointers = pointers.drop("moved")
+    named = nodes.select("row", F.col("row.session_id").alias("session_id"), "pf", "pc").join(pointers.select(*at, "tf", "tc"), at, "left")
+    track = F.concat(F.coalesce("tf", "pf").cast("string"), F.lit(":"), F.coalesce("tc", "pc").cast("string"))
+    return named.select("row.*", track.alias("track"))
 
 
 def event_catalog(tracked: DataFrame, height: int, width: int, dt: float | None = None, saturation: float = 60_000.0) -> DataFrame:
@@ -110,7 +176,7 @@ def event_catalog(tracked: DataFrame, height: int, width: int, dt: float | None
 
 
 def with_context(events: DataFrame, state: DataFrame, baseline: DataFrame) -> DataFrame:
-    """events with the noise and nonuniformity at their mean place, the baseline at their peak, and snr."""
+    """events with the noise and nonuniformity at their mean place (state: a row a pixel), the baseline at their peak, and snr."""
     out = events.join(state.select("session_id", "y", "x", "noise", "nonuniformity"), ["session_id", "y", "x"], "left")
     out = out.join(baseline.select("session_id", F.col("frame_idx").alias("frame_peak"), "baseline"), ["session_id", "frame_peak"], "left")
     return out.withColumn("snr", F.col("delta_peak") / (F.col("noise") + 1e-6))

@@ -85,15 +85,9 @@ COLD = """cor AS (SELECT px.*, noise, CASE WHEN dead THEN 0 ELSE v - baseline -
 cold AS (SELECT * FROM cor WHERE c < -(1.5::DOUBLE * noise))"""
 
 
-def _state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cold(spark: SparkSession, sf: str, k_sigma: float = 1.5) -> DataFrame:
     f = stacks(spark, sf)
-    px = P.explode_pixels(f, 8)
-    return px, P.frame_medians(f), P.pixel_state(px)
-
-
-def _cold(spark: SparkSession, sf: str) -> DataFrame:
-    px, base, state = _state(spark, sf)
-    return P.cooled(P.corrected(px, base, state), 1.5)
+    return P.cold_frames(f, P.pixel_state(f), k_sigma)
 
 
 def _intervals(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,7 +319,7 @@ def quiescent_bottom_k(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f'WITH {PX}, {STATE} SELECT session_id, y::INTEGER AS y, x::INTEGER AS x, round("median", 6) AS "median", round(noise, 6) AS noise, round(nonuniformity, 6) AS nonuniformity, dead FROM state')
 def pixel_state(spark: SparkSession, sf: str) -> DataFrame:
-    return _state(spark, sf)[2].select("session_id", "y", "x", *_r("median", "noise", "nonuniformity"), "dead")
+    return P.state_pixels(P.pixel_state(stacks(spark, sf)), 8).select("session_id", "y", "x", *_r("median", "noise", "nonuniformity"), "dead")
 
 
 @query(f"""WITH {PX}, {ACT}, {STATE}, rolled AS (SELECT *, quantile_cont(baseline, 0.5) OVER (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS rolling FROM base),
@@ -339,8 +333,8 @@ SELECT session_id, round(drift, 6) AS drift_range, round(iqr, 6) AS drift_iqr, r
 array_to_string(list_sort(list_filter([CASE WHEN df > 0.01 THEN 'dead_pixels_detected' END, CASE WHEN drift > 500 THEN 'large_baseline_drift' END, CASE WHEN c >= 3 THEN 'multiple_baseline_changepoints' END, CASE WHEN nm <= 0 THEN 'invalid_noise_map' END], lambda f: f IS NOT NULL)), ',') AS flags,
 round(greatest(0, 1 - 0.35 * least(1, df / 0.02) - 0.3 * least(1, drift / 1000) - 0.2 * least(1, ns / (nm * 4 + 1e-9)) - 0.15 * least(1, c / 5)), 6) AS overall_score FROM h""")
 def instrument_health(spark: SparkSession, sf: str) -> DataFrame:
-    _, base, state = _state(spark, sf)
-    out = P.instrument_health(base, state, P.frame_activity(stacks(spark, sf)))
+    f = stacks(spark, sf)
+    out = P.instrument_health(P.frame_medians(f), P.pixel_state(f), P.frame_activity(f))
     return out.select("session_id", *_r("drift_range", "drift_iqr", "noise_median", "noise_spread", "dead_fraction"), "n_changepoints", *_r("activity_median", "activity_p90"), "flags", *_r("overall_score"))
 
 
@@ -363,25 +357,48 @@ def changepoints_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PX}, {STATE}, {COLD} SELECT session_id, frame_idx, y::INTEGER AS y, x::INTEGER AS x, round(c, 6) AS c FROM cold")
 def threshold_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    return _cold(spark, sf).select("session_id", "frame_idx", "y", "x", *_r("c"))
+    return P.mask_pixels(_cold(spark, sf), 8, "c").select("session_id", "frame_idx", "y", "x", *_r("c"))
+
+
+TRACKS = """dense AS (SELECT session_id, frame_idx, row_number() OVER (PARTITION BY session_id ORDER BY frame_idx)::INTEGER AS place FROM (SELECT DISTINCT session_id, frame_idx FROM px)),
+co AS (SELECT session_id, place AS f, comp, k, area, cy, cx, deepest, energy, brightest FROM (SELECT *, row_number() OVER (PARTITION BY session_id, frame_idx ORDER BY comp) AS k
+  FROM (SELECT session_id, frame_idx, comp, count(*) AS area, avg(y) AS cy, avg(x) AS cx, max(-c) AS deepest, sum(-c) AS energy, max(v) AS brightest FROM cold JOIN lab USING (frame_idx, y, x) GROUP BY ALL)) JOIN dense USING (session_id, frame_idx)),
+near AS (SELECT c.session_id, c.f, c.k, list({'d': sqrt((c.cy - b.cy) ** 2 + (c.cx - b.cx) ** 2), 'b': b.k} ORDER BY sqrt((c.cy - b.cy) ** 2 + (c.cx - b.cx) ** 2), b.k) AS options
+  FROM co c JOIN co b ON b.session_id = c.session_id AND b.f = c.f - 1 WHERE sqrt((c.cy - b.cy) ** 2 + (c.cx - b.cx) ** 2) <= 5 GROUP BY ALL),
+taken AS (SELECT session_id, f, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS b FROM co GROUP BY ALL
+  UNION ALL SELECT session_id, f, k, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END, b
+  FROM (SELECT co.session_id, co.f, co.k, t.used, list_filter(n.options, lambda o: NOT list_contains(t.used, o.b))[1].b AS b FROM taken t JOIN co ON co.session_id = t.session_id AND co.f = t.f AND co.k = t.k + 1
+    LEFT JOIN near n ON n.session_id = co.session_id AND n.f = co.f AND n.k = co.k)),
+named AS (SELECT co.session_id, co.f, co.k, co.f || ':' || co.comp AS track FROM co JOIN taken t ON t.session_id = co.session_id AND t.f = co.f AND t.k = co.k WHERE t.b IS NULL
+  UNION ALL SELECT t.session_id, t.f, t.k, m.track FROM named m JOIN taken t ON t.session_id = m.session_id AND t.f = m.f + 1 AND t.b = m.k),
+tracked AS (SELECT co.*, track FROM co JOIN named USING (session_id, f, k)),
+ev AS (SELECT *, least(greatest(pk, fs + 1), fe - 1) AS fp, 1.0::DOUBLE * n AS dur FROM (SELECT session_id, track, min(f) AS fs, max(f) AS fe, arg_min(f, {'a': -deepest, 'b': f}) AS pk, max(deepest) AS dp, max(area)::DOUBLE AS ap, sum(energy) AS en, count(*) AS n,
+  arg_min(cy, f) AS ay, arg_min(cx, f) AS ax, arg_max(cy, f) AS zy, arg_max(cx, f) AS zx, max(brightest) >= 60000 AS sat FROM tracked GROUP BY ALL))"""
+LABELS = """reach AS (SELECT frame_idx, y, x, pos AS root FROM cold
+  UNION SELECT c.frame_idx, c.y, c.x, r.root FROM reach r JOIN cold c ON c.frame_idx = r.frame_idx AND abs(c.y - r.y) + abs(c.x - r.x) = 1),
+lab AS (SELECT frame_idx, y, x, min(root) AS comp FROM reach GROUP BY ALL)"""
 
 
-@query(f"""WITH RECURSIVE {PX}, {STATE}, {COLD}, reach AS (SELECT frame_idx, y, x, pos AS root FROM cold
-  UNION SELECT c.frame_idx, c.y, c.x, r.root FROM reach r JOIN cold c ON c.frame_idx = r.frame_idx AND abs(c.y - r.y) + abs(c.x - r.x) = 1),
-lab AS (SELECT frame_idx, y, x, min(root) AS comp FROM reach GROUP BY ALL)
+@query(f"""WITH RECURSIVE {PX}, {STATE}, {COLD}, {LABELS}
 SELECT session_id, frame_idx, comp::BIGINT AS comp, count(*) AS area, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, round(max(-c), 6) AS deepest, round(sum(-c), 6) AS energy, round(max(v), 6) AS brightest FROM cold JOIN lab USING (frame_idx, y, x) GROUP BY session_id, frame_idx, comp""")
 def component_features(spark: SparkSession, sf: str) -> DataFrame:
     out = E.components(_cold(spark, sf), 8)
     return out.select("session_id", "frame_idx", "comp", "area", *_r("cy", "cx", "deepest", "energy", "brightest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, {STATE}, {COLD}, {LABELS}, {TRACKS}
+SELECT session_id, track, fs AS frame_start, fp AS frame_peak, fe AS frame_end, round(dp, 6) AS delta_peak, round(en, 6) AS energy, round(least(1, sqrt((zy - ay) ** 2 + (zx - ax) ** 2) / (sqrt(128::DOUBLE) + 1e-9)), 6) AS motion_score,
+round(greatest(0, least(1, 1 - least(ay, ax, 7 - ay, 7 - ax) / (4 + 1e-9))), 6) AS edge_proximity, ap AS area_peak_px, dur AS duration_s, sat AS saturated FROM ev WHERE fp > fs AND fp < fe""")
 def track_events(spark: SparkSession, sf: str) -> DataFrame:
-    """An order-dependent greedy fold: beyond SQL, tested against a plain loop."""
-    px, base, state = _state(spark, sf)
-    comps = E.components(_cold(spark, sf), 8).withColumn("frame_idx", F.col("frame_idx"))
+    """Events of tracks over frames numbered without gaps. In SQL the greedy choice is a recursion over the places of components in their frames, a track one over frames."""
+    return E.event_catalog(_tracked(spark, sf), 8, 8, 1.0).select("session_id", "track", "frame_start", "frame_peak", "frame_end", *_r("delta_peak", "energy", "motion_score", "edge_proximity"), "area_peak_px", "duration_s", "saturated")
+
+
+def _tracked(spark: SparkSession, sf: str) -> DataFrame:
+    store = Store(spark)
+    comps = E.components(_cold(spark, sf), 8)
     dense = comps.join(_dense(spark, sf), ["session_id", "frame_idx"]).drop("frame_idx").withColumnRenamed("place", "frame_idx")
-    return E.event_catalog(E.link_tracks(dense.select(*comps.columns), 5.0), 8, 8, 1.0).select("session_id", "track", "frame_start", "frame_peak", "frame_end", *_r("delta_peak", "energy", "motion_score", "edge_proximity"), "area_peak_px", "duration_s", "saturated")
+    return E.link_tracks(store.keep("components", dense.select(*comps.columns)), 5.0, store.keep)
 
 
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,18 +409,20 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PX}, {STATE}, {COLD} SELECT session_id, frame_idx, min(pos)::INTEGER AS start, count(*)::INTEGER AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, frame_idx ORDER BY pos) AS g FROM cold) GROUP BY session_id, frame_idx, g")
 def rle_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return P.rle_runs(_cold(spark, sf)).select("session_id", "frame_idx", "start", "length")
+    runs = F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length"))).alias("r")
+    return P.rle_runs(_cold(spark, sf)).select("session_id", "frame_idx", runs).select("session_id", "frame_idx", "r.start", "r.length")
 
 
 @query(f"WITH {PX}, {STATE}, {COLD} SELECT session_id, frame_idx, pos::INTEGER AS pos FROM cold")
 def rle_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    return P.rle_decode(P.rle_runs(_cold(spark, sf))).select("session_id", "frame_idx", F.col("pos").cast("int").alias("pos"))
+    return P.rle_decode(P.rle_runs(_cold(spark, sf))).select("session_id", "frame_idx", F.explode("pos").alias("pos"))
 
 
-@query(f"""WITH {PX}, {STATE}, {COLD}, er AS (SELECT session_id, frame_idx, y + i AS y, x + j AS x FROM cold, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) GROUP BY ALL HAVING count(*) = 9)
+@query(f"""WITH {PX}, {STATE}, {COLD.replace("-(1.5::DOUBLE", "-(0.3::DOUBLE")}, er AS (SELECT session_id, frame_idx, y + i AS y, x + j AS x FROM cold, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) GROUP BY ALL HAVING count(*) = 9)
 SELECT DISTINCT session_id, frame_idx, (y + i)::INTEGER AS y, (x + j)::INTEGER AS x FROM er, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE y + i BETWEEN 0 AND 7 AND x + j BETWEEN 0 AND 7""")
 def opened_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return P.opened(_cold(spark, sf), 8, 8).select("session_id", "frame_idx", "y", "x")
+    """With a threshold of 0.3 noises, as blocks of nine cooled pixels are rare in the supplied frames."""
+    return P.mask_pixels(P.opened(_cold(spark, sf, 0.3), 8, 8), 8).select("session_id", "frame_idx", "y", "x")
 
 
 # Reconstruction and rates.

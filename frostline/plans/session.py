@@ -50,12 +50,11 @@ def analyse(store: Store, frame_rows: DataFrame, observed: DataFrame, reference:
     out["baseline"] = store.keep("baseline", frames.frame_medians(frame_rows))
     out["activity"] = store.keep("activity", frames.frame_activity(frame_rows))
     calm = frames.quiescent_frames(out["activity"], s.quiescent_share, s.quiescent_least)
-    pixels = frames.explode_pixels(frame_rows, s.width)
-    out["pixel_state"] = store.keep("pixel_state", frames.pixel_state(pixels.join(calm.select("session_id", "frame_idx"), ["session_id", "frame_idx"], "left_semi")))
+    out["pixel_state"] = store.keep("pixel_state", frames.pixel_state(frame_rows.join(calm.select("session_id", "frame_idx"), ["session_id", "frame_idx"], "left_semi")))
     out["health"] = store.keep("health", frames.instrument_health(out["baseline"], out["pixel_state"], out["activity"]))
-    cold = frames.cooled(frames.corrected(pixels, out["baseline"], out["pixel_state"]), s.k_sigma)
-    tracked = events.link_tracks(events.components(cold, s.width), s.link_reach)
-    catalog = events.with_context(events.event_catalog(tracked, s.height, s.width, s.dt_seconds), out["pixel_state"], out["baseline"])
+    comps = store.keep("components", events.components(frames.cold_frames(frame_rows, out["pixel_state"], s.k_sigma), s.width))
+    tracked = store.keep("tracked", events.link_tracks(comps, s.link_reach, store.keep))
+    catalog = events.with_context(events.event_catalog(tracked, s.height, s.width, s.dt_seconds), frames.state_pixels(out["pixel_state"], s.width), out["baseline"])
     ident = stable_id("event", centroid_x=F.round("start_x", 2), centroid_y=F.round("start_y", 2), frame_start=F.col("frame_start"), session=F.col("session_id"))
     catalog = catalog.withColumn("event_id", ident).withColumn("mass_mg", linear_mass(F.col("energy"), s.slope)["mass"])
     catalog = out["events"] = store.keep("events", catalog)

@@ -52,15 +52,92 @@ def test_changepoints_keep_their_distance(spark):
     assert series.changepoints(df.limit(5), "baseline", "frame_idx").isEmpty()
 
 
-def test_components_are_four_connected(spark):
-    ys, xs = np.array([0, 1, 0, 2, 2, 1]), np.array([0, 1, 2, 0, 1, 2])
-    assert events.label_components(ys, xs).tolist() == [0, 1, 1, 1, 1, 1]  # (0, 0) touches others by corners alone
+def labels_by_hand(mask: np.ndarray) -> dict[tuple[int, int], int]:
+    """Each set pixel's component, by flooding."""
+    out: dict[tuple[int, int], int] = {}
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        todo = [(int(y), int(x))]
+        while todo:
+            p = todo.pop()
+            if p in out or not (0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1]) or not mask[p]:
+                continue
+            out[p] = int(y) * mask.shape[1] + int(x)
+            todo += [(p[0] - 1, p[1]), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1)]
+    return out
+
+
+def spiral(n: int) -> np.ndarray:
+    """One arm that winds inwards, two pixels apart: the longest path of runs."""
+    out = np.zeros((n, n), bool)
+    for k in range(0, n // 2, 2):
+        out[k, max(0, k - 1) : n - k] = out[k : n - k, n - k - 1] = out[n - k - 1, k : n - k] = True
+        out[k + 2 : n - k, k] = True
+    return out
+
+
+def test_components_equal_flooding(spark):
+    rng = np.random.default_rng(2)
+    masks = [rng.random((9, 7)) < p for p in (0.1, 0.4, 0.6, 0.9, 1.0, 0.5)] + [spiral(21)[:, :7], np.eye(7, dtype=bool)]
+    rows = []
+    for k, m in enumerate(masks):
+        pos = rng.permutation(np.flatnonzero(m.ravel()))  # any order
+        rows.append(("s", k, [*pos.tolist(), *pos[:1].tolist()], [-float(p) - 1 for p in [*pos, *pos[:1]]], [float(p) for p in [*pos, *pos[:1]]]))
+    df = spark.createDataFrame([*rows, ("s", 99, [], [], []), (None, 1, [5], [-1.0], [2.0])], "session_id string, frame_idx int, pos array<int>, c array<double>, v array<double>")
+    got = {(r["session_id"], r["frame_idx"], r["comp"]): r for r in events.components(df, 7).collect()}
+    want = {}
+    for k, m in enumerate(masks):
+        for (y, x), c in labels_by_hand(m).items():
+            want.setdefault(("s", k, c), []).append(y * 7 + x)
+    assert set(got) == {*want, (None, 1, 5)}
+    for key, pos in want.items():
+        r = got[key]
+        assert r["pos"] == sorted(pos) and r["area"] == len(pos) and r["brightest"] == max(pos) and r["deepest"] == max(pos) + 1
+        assert np.allclose((r["cy"], r["cx"], r["energy"]), (np.mean([p // 7 for p in pos]), np.mean([p % 7 for p in pos]), sum(pos) + len(pos)))
+    assert events.components(df.limit(0), 7).isEmpty() and events.components(df, 7, least=4).where("area < 4").isEmpty()
+
+
+def test_labels_of_a_long_spiral():
+    m = spiral(201)
+    at = np.flatnonzero(np.pad(m, ((0, 0), (0, 1))).ravel())
+    start, length, _ = frames.run_lengths(at, np.zeros(len(at), np.int64))
+    assert len(set(labels_by_hand(m).values())) == len(set(events.label_runs(start, length, 202).tolist()))
 
 
 def test_tracks_link_the_nearest_free_component(spark):
     comps = spark.createDataFrame([("s", f, c, y, 0.0, 1.0) for f, c, y in [(0, 0, 0.0), (0, 9, 9.0), (1, 0, 1.0), (1, 9, 8.0), (3, 0, 1.0)]], "session_id string, frame_idx int, comp long, cy double, cx double, deepest double")
     got = {(r["frame_idx"], r["comp"]): r["track"] for r in events.link_tracks(comps, 5.0).collect()}
     assert got == {(0, 0): "0:0", (0, 9): "0:9", (1, 0): "0:0", (1, 9): "0:9", (3, 0): "3:0"}
+    assert events.link_tracks(comps.limit(0)).isEmpty()
+
+
+def tracks_by_hand(rows: list[tuple], reach: float) -> dict[tuple, str]:
+    """rows (session, frame, comp, cy, cx): one pass over frames, as the definition has it."""
+    out: dict[tuple, str] = {}
+    for s in {r[0] for r in rows}:
+        active, last = [], None
+        for f in sorted({r[1] for r in rows if r[0] == s}):
+            if last is not None and f != last + 1:
+                active = []
+            now, used = [], set()
+            for _, _, c, y, x in sorted(r for r in rows if r[0] == s and r[1] == f):
+                free = [(float(np.hypot(y - a, x - b)), k) for k, (a, b, _) in enumerate(active) if k not in used]
+                d, k = min(free, default=(np.inf, -1))
+                name = active[k][2] if d <= reach else f"{f}:{c}"
+                used |= {k} if d <= reach else set()
+                out[s, f, c] = name
+                now.append((y, x, name))
+            active, last = now, f
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_tracks_equal_a_plain_loop_whatever_the_blocks(spark, block):
+    rng = np.random.default_rng(11)
+    rows = [(s, f, int(c), float(rng.integers(0, 12)), float(rng.integers(0, 12))) for s in "ab" for f in range(-5, 60) if rng.random() < 0.93 for c in rng.choice(50, rng.integers(1, 7), replace=False)]
+    rows += [("long", f, 0, 0.01 * f, 0.0) for f in range(150)]  # one track over many blocks
+    df = spark.createDataFrame(rows, "session_id string, frame_idx int, comp long, cy double, cx double").selectExpr("*", "'x' AS tf", "1 AS block")
+    got = {(r["session_id"], r["frame_idx"], r["comp"]): r["track"] for r in events.link_tracks(df, 4.0, block=block).collect()}
+    assert got == tracks_by_hand(rows, 4.0)
 
 
 def test_kalman_equals_the_matrix_form(spark):
