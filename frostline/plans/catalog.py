@@ -20,6 +20,7 @@ from frostline.operators import joins as J
 from frostline.operators import quality as Q
 from frostline.operators import series as R
 from frostline.plans import session as analysis
+from frostline.sources import masks as M
 from frostline.sources import tables as T
 from frostline.sources.stage import Store
 
@@ -407,6 +408,41 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
     return stacks(spark, sf).select("session_id", "frame_idx").withColumn("place", F.row_number().over(w))
 
 
+def _mask_store(spark: SparkSession, sf: str) -> str:
+    """A written store of all tracks' masks, in segments of 16 frames."""
+    path = f"{Store(spark).root}/masks"
+    M.write_masks(_tracked(spark, sf).withColumnRenamed("track", "event_id"), path, 8, 8, segment=16)
+    return path
+
+
+SET = "ms AS (SELECT DISTINCT t.session_id, t.track AS event_id, t.f AS frame_idx, c.pos FROM tracked t JOIN dense d ON d.session_id = t.session_id AND d.place = t.f JOIN lab l ON l.frame_idx = d.frame_idx AND l.comp = t.comp JOIN cold c ON c.frame_idx = l.frame_idx AND c.y = l.y AND c.x = l.x)"
+
+
+@query(f"""WITH RECURSIVE {PX}, {STATE}, {COLD}, {LABELS}, {TRACKS}, {SET} SELECT session_id, event_id, frame_idx, pos::INTEGER AS pos FROM ms""")
+def mask_store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pixel of every event's masks, read back from the store by the offsets."""
+    return M.read_masks(spark, _mask_store(spark, sf)).select("session_id", "event_id", "frame_idx", F.explode("pos").alias("pos"))
+
+
+@query(f"""WITH RECURSIVE {PX}, {STATE}, {COLD}, {LABELS}, {TRACKS}, {SET},
+rs AS (SELECT session_id, event_id, frame_idx, pos - row_number() OVER (PARTITION BY session_id, event_id, frame_idx ORDER BY pos) AS g FROM ms)
+SELECT session_id, event_id, count(DISTINCT frame_idx // 16)::INTEGER AS segments, min(frame_idx)::INTEGER AS first_frame, max(frame_idx)::INTEGER AS last_frame, count(DISTINCT frame_idx) AS n_frames, count(DISTINCT (frame_idx, g)) AS n_runs, 8 AS height, 8 AS width, 'rle_concat_v1' AS encoding FROM rs GROUP BY ALL""")
+def mask_store_index(spark: SparkSession, sf: str) -> DataFrame:
+    return M.read_index(spark, _mask_store(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {PX}, {STATE}, {COLD}, {LABELS}, {TRACKS}, {SET}
+SELECT session_id, event_id, frame_idx, list(pos::INTEGER ORDER BY pos)::VARCHAR AS places FROM ms JOIN (SELECT session_id, event_id, max(frame_idx) AS frame_idx FROM ms GROUP BY ALL) USING (session_id, event_id, frame_idx) GROUP BY ALL""")
+def mask_store_last_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """The last mask of each event, in SQL over the store's tables: one segment a event, one slice of its runs."""
+    path = _mask_store(spark, sf)
+    return spark.sql(
+        f"""SELECT session_id, event_id, frame_idx, concat('[', array_join(flatten(transform(arrays_zip(s, n), r -> sequence(r.s, r.s + r.n - 1))), ', '), ']') AS places
+        FROM (SELECT session_id, event_id, last_frame AS frame_idx, slice(starts, offsets[size(frames) - 1] + 1, offsets[size(frames)] - offsets[size(frames) - 1]) AS s,
+          slice(lengths, offsets[size(frames) - 1] + 1, offsets[size(frames)] - offsets[size(frames) - 1]) AS n FROM parquet.`{path}/runs` JOIN (SELECT session_id, event_id, last_frame FROM parquet.`{path}/index`) USING (session_id, event_id, last_frame))"""
+    )
+
+
 @query(f"WITH {PX}, {STATE}, {COLD} SELECT session_id, frame_idx, min(pos)::INTEGER AS start, count(*)::INTEGER AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, frame_idx ORDER BY pos) AS g FROM cold) GROUP BY session_id, frame_idx, g")
 def rle_runs(spark: SparkSession, sf: str) -> DataFrame:
     runs = F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length"))).alias("r")
