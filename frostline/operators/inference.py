@@ -1,4 +1,4 @@
-"""Series reconstruction, closure, regimes, state-space smoothing, gating and findings."""
+"""Series reconstruction, closure, regimes, gating and findings; state-space smoothing is in statespace."""
 
 from __future__ import annotations
 
@@ -112,57 +112,10 @@ def latent_observations(axis: DataFrame, baseline: DataFrame, events: DataFrame,
     return out
 
 
+#: What a latent driver is seen through.
 LATENT = ["baseline", "event_rate", "swe_rate", "processed_swe"]
 
 
-def kalman_smooth(bins: DataFrame, observed: list[str], order: str = "bin", q: float = 1.0, r: float = 1.0, x0: float = 0.0, p0: float = 1.0, penalties: dict[str, float] | None = None, penalty: str | None = None) -> DataFrame:
-    """(session_id, order, filtered, filtered_var, smoothed, smoothed_var, loglik): a random walk seen through ``observed`` columns with independent noise.
-
-    Missing observations (null) are skipped. Penalties p in (0, 1) of a column raise its noise to r / p^2; others change nothing. ``penalty`` names a column of bins, one value a session, that does so for all of
-    a session's columns. Observations of one step are
-    taken one after another, which for independent noise equals the joint update. A session's bins are one array, filtered forwards
-    and smoothed backwards by folds; sessions run side by side.
-    """
-    weak = {c: p for c, p in (penalties or {}).items() if 0 < p < 1}
-    noise = [r / weak.get(c, 1.0) ** 2 for c in observed]
-    seq = bins.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.array(*[F.col(c).cast("double") for c in observed]).alias("y")))).alias("s"), F.max(F.col(penalty) if penalty else F.lit(1.0)).alias("w"))
-    seq = seq.select("session_id", "s", F.when((F.col("w") > 0) & (F.col("w") < 1), 1.0 / (F.col("w") * F.col("w"))).otherwise(1.0).alias("inflate"))
-    out = "array<struct<k:bigint,xp:double,pp:double,x:double,p:double>>"
-    start = F.struct(F.lit(float(x0)).alias("x"), F.lit(float(p0)).alias("p"), F.lit(0.0).alias("ll"), F.array().cast(out).alias("out"))
-
-    def forward(acc: Column, row: Column) -> Column:
-        xp, pp = acc["x"], acc["p"] + q
-        state = F.struct(xp.alias("x"), pp.alias("p"), acc["ll"].alias("ll"))
-        noises = F.array(*[F.lit(float(v)) * F.col("inflate") for v in noise])
-
-        def update(s: Column, o: Column) -> Column:
-            gap, var = o["y"] - s["x"], s["p"] + o["r"]
-            seen = o["y"].isNotNull() & ~F.isnan(o["y"])
-            ll = s["ll"] - 0.5 * (F.log(F.lit(2.0) * F.pi()) + F.log(var) + gap * gap / var)
-            return F.struct(F.when(seen, s["x"] + s["p"] / var * gap).otherwise(s["x"]).alias("x"), F.when(seen, s["p"] * o["r"] / var).otherwise(s["p"]).alias("p"), F.when(seen, ll).otherwise(s["ll"]).alias("ll"))
-
-        obs = F.zip_with(row["y"], noises, lambda y, v: F.struct(y.alias("y"), v.alias("r")))
-        # the state after the step is made once, and read as a one-element array
-        return F.element_at(F.transform(F.array(F.aggregate(obs, state, update)), lambda s: F.struct(
-            s["x"].alias("x"), s["p"].alias("p"), s["ll"].alias("ll"),
-            F.concat(acc["out"], F.array(F.struct(row["k"].cast("long").alias("k"), xp.alias("xp"), pp.alias("pp"), s["x"].alias("x"), s["p"].alias("p")))).cast(out).alias("out"),
-        )), 1)
-
-    filtered = seq.select("session_id", F.aggregate("s", start, forward).alias("f")).select("session_id", F.col("f.ll").alias("loglik"), F.reverse("f.out").alias("o"))
-    kept = "array<struct<k:bigint,x:double,p:double,xs:double,ps:double>>"
-    last = F.struct(F.lit(None).cast("double").alias("xs"), F.lit(None).cast("double").alias("ps"), F.lit(None).cast("double").alias("xp"), F.lit(None).cast("double").alias("pp"), F.array().cast(kept).alias("out"))
-
-    def backward(acc: Column, s: Column) -> Column:
-        c = s["p"] / acc["pp"]
-        xs = F.when(acc["xs"].isNull(), s["x"]).otherwise(s["x"] + c * (acc["xs"] - acc["xp"]))
-        ps = F.when(acc["ps"].isNull(), s["p"]).otherwise(s["p"] + c * c * (acc["ps"] - acc["pp"]))
-        row = F.struct(s["k"].alias("k"), s["x"].alias("x"), s["p"].alias("p"), xs.alias("xs"), ps.alias("ps"))
-        return F.struct(xs.alias("xs"), ps.alias("ps"), s["xp"].alias("xp"), s["pp"].alias("pp"), F.concat(acc["out"], F.array(row)).cast(kept).alias("out"))
-
-    smooth = filtered.select("session_id", "loglik", F.explode(F.aggregate("o", last, backward, lambda acc: acc["out"])).alias("r"))
-    return smooth.select("session_id", F.col("r.k").alias(order), F.col("r.x").alias("filtered"), F.col("r.p").alias("filtered_var"), F.col("r.xs").alias("smoothed"), F.col("r.ps").alias("smoothed_var"), "loglik")
-
-
 def quantiles(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row a session: the deciles 1, 5 and 9 of each column's finite values, as column_q10, _q50 and _q90."""
     aggs = []

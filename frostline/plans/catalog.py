@@ -19,6 +19,7 @@ from frostline.operators import inference as I
 from frostline.operators import joins as J
 from frostline.operators import quality as Q
 from frostline.operators import series as R
+from frostline.operators import statespace as K
 from frostline.plans import session as analysis
 from frostline.sources import masks as M
 from frostline.sources import tables as T
@@ -594,7 +595,7 @@ bw AS (SELECT session_id, bin, x, p, xp, pp, x AS xs, p AS ps FROM fw f WHERE bi
   FROM bw b JOIN fw f ON f.session_id = b.session_id AND f.bin = b.bin - 1 WHERE f.bin >= 0)
 SELECT session_id, bin::BIGINT AS bin, round(x, 6) AS filtered, round(p, 6) AS filtered_var, round(xs, 6) AS smoothed, round(ps, 6) AS smoothed_var FROM bw""")
 def kalman_rts(spark: SparkSession, sf: str) -> DataFrame:
-    out = I.kalman_smooth(_bins(spark, sf).withColumn("y", F.col("middle") / 100), ["y"])
+    out = K.kalman_smooth(_bins(spark, sf).withColumn("y", F.col("middle") / 100), ["y"])
     return out.select("session_id", "bin", *_r("filtered", "filtered_var", "smoothed", "smoothed_var"))
 
 
@@ -638,7 +639,7 @@ bw AS (SELECT session_id, bin, x, p, xp, pp, x AS xs, p AS ps FROM fw f WHERE bi
 SELECT session_id, bin::BIGINT AS bin, round(xs, 6) AS smoothed, round(ps, 6) AS smoothed_var FROM bw""")
 def latent_driver(spark: SparkSession, sf: str) -> DataFrame:
     """Level and change seen together, both noises raised by a gate's penalty of one half."""
-    out = I.kalman_smooth(_latent_bins(spark, sf), ["level", "change"], penalties={"level": 0.5, "change": 0.5})
+    out = K.kalman_smooth(_latent_bins(spark, sf), ["level", "change"], penalties={"level": 0.5, "change": 0.5})
     return out.select("session_id", "bin", *_r("smoothed", "smoothed_var"))
 
 

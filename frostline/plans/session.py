@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.scalars import linear_mass, stable_id
-from frostline.operators import events, frames, inference, joins, series
+from frostline.operators import events, frames, inference, joins, series, statespace
 from frostline.sources.stage import Store
 
 
@@ -86,6 +86,6 @@ def analyse(store: Store, frame_rows: DataFrame, observed: DataFrame, reference:
     rates = product.select("session_id", "t", F.col("rate_robust").alias("v"))
     seen = inference.latent_observations(series.axis_of(timeline), level, when, rates, reference.select("session_id", F.col("t_utc").alias("t"), F.col("swe_mm").alias("v")), s.bin_seconds, s.proxy)
     seen = seen.join(out["gate"].where("allow").select("session_id", "penalty"), "session_id")
-    out["latent"] = store.keep("latent", inference.kalman_smooth(seen, inference.LATENT, penalty="penalty"))
+    out["latent"] = store.keep("latent", statespace.kalman_smooth(seen, inference.LATENT, penalty="penalty", keep=store.keep))
     out["findings"] = inference.findings(inference.regime_shifts(out["timeline"], s.regimes), out["gate"])
     return out

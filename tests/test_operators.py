@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostline.functions import scalars as S
-from frostline.operators import events, frames, inference, joins, series
+from frostline.operators import events, frames, inference, joins, series, statespace
 from frostline.sources import tables
 
 UTC = dt.UTC
@@ -143,7 +143,7 @@ def test_tracks_equal_a_plain_loop_whatever_the_blocks(spark, block):
 def test_kalman_equals_the_matrix_form(spark):
     y = [1.0, None, 2.5, 2.0, None, 4.0]
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate(y)], "session_id string, bin int, y double")
-    got = [(r["filtered"], r["smoothed"]) for r in inference.kalman_smooth(df, ["y"]).orderBy("bin").collect()]
+    got = [(r["filtered"], r["smoothed"]) for r in statespace.kalman_smooth(df, ["y"]).orderBy("bin").collect()]
     x, p, keep = 0.0, 1.0, []
     for v in y:
         xp, pp = x, p + 1
@@ -198,7 +198,7 @@ def test_a_shifted_clock_shows_in_the_signed_residual(spark):
 
 def test_penalties_off_the_unit_interval_change_nothing(spark):
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate([1.0, 3.0, 2.0])], "session_id string, bin int, y double")
-    run = lambda p: [(r["smoothed"], r["smoothed_var"]) for r in inference.kalman_smooth(df, ["y"], penalties=p).orderBy("bin").collect()]
+    run = lambda p: [(r["smoothed"], r["smoothed_var"]) for r in statespace.kalman_smooth(df, ["y"], penalties=p).orderBy("bin").collect()]
     assert run({"y": 0.0}) == run({"y": 2.0}) == run(None) != run({"y": 0.5})
 
 
@@ -227,7 +227,7 @@ def test_latent_observations_by_hand(spark):
 
 def test_a_sessions_penalty_equals_that_of_all_its_columns(spark):
     df = spark.createDataFrame([(s, i, v, p) for s, p in (("a", 0.5), ("b", 0.0), ("c", 1.0)) for i, v in enumerate([1.0, None, 2.0])], "session_id string, bin int, y double, p double")
-    run = lambda s, **k: [(r["smoothed"], r["smoothed_var"]) for r in inference.kalman_smooth(df.where(F.col("session_id") == s), ["y"], **k).orderBy("bin").collect()]
+    run = lambda s, **k: [(r["smoothed"], r["smoothed_var"]) for r in statespace.kalman_smooth(df.where(F.col("session_id") == s), ["y"], **k).orderBy("bin").collect()]
     assert run("a", penalty="p") == run("a", penalties={"y": 0.5})
     assert run("b", penalty="p") == run("c", penalty="p") == run("a")
 
