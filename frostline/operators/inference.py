@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from frostline.functions.scalars import clip01, mass_to_depth, stable_id
+from frostline.operators import selection
+from frostline.operators.blocks import windowed
 from frostline.operators.series import cumulative, first_difference, time_bins
 
 
@@ -35,7 +37,7 @@ def closure(series: DataFrame, a: str, b: str) -> DataFrame:
 
 def standardise(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with each column less its session's mean over its population deviation; nulls take the median (0 without values), deviation 0 counts as 1."""
-    one = rows.groupBy("session_id").agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"{c}__m") for c in columns])
+    one = selection.medians(rows, ["session_id"], **{f"{c}__m": F.col(c) for c in columns}).na.fill(0.0)
     filled = rows.join(one, "session_id").select(*[c for c in rows.columns if c not in columns], *[F.coalesce(F.col(c), F.col(f"{c}__m")).alias(c) for c in columns])
     stats = filled.groupBy("session_id").agg(*[f(c).alias(f"{c}__{k}") for c in columns for k, f in (("a", F.avg), ("s", F.stddev_pop))])
     out = filled.join(stats, "session_id")
@@ -84,9 +86,8 @@ def regime_timeline(assigned: DataFrame, k: int, seconds: int = 60) -> DataFrame
 
 def regime_shifts(timeline: DataFrame, k: int, threshold: float = 0.35) -> DataFrame:
     """(session_id, bin, regime, shift, confidence): neighbouring bins between which a regime's share moves by ``threshold``; the largest move, the first on a tie."""
-    w = Window.partitionBy("session_id").orderBy("bin")
-    moves = [F.struct(F.abs(F.col(f"f{i}") - F.lag(f"f{i}").over(w)).alias("d"), F.lit(-i).alias("r")) for i in range(k)]
-    out = timeline.select("session_id", "bin", *[m.alias(f"m{i}") for i, m in enumerate(moves)])
+    move = lambda w, i: F.struct(F.abs(F.col(f"f{i}") - F.lag(f"f{i}").over(w)).alias("d"), F.lit(-i).alias("r"))
+    out = windowed(timeline, ["bin"], 1, 0, lambda w: {f"m{i}": move(w, i) for i in range(k)}).select("session_id", "bin", *[f"m{i}" for i in range(k)])
     out = out.where("m0.d is not null").withColumn("m", F.greatest(*[F.col(f"m{i}") for i in range(k)]) if k > 1 else F.col("m0"))
     return out.where(F.col("m.d") >= threshold).select("session_id", "bin", (-F.col("m.r")).alias("regime"), F.col("m.d").alias("shift"), F.least(F.lit(0.95), 0.5 + F.col("m.d")).alias("confidence"))
 
@@ -118,11 +119,8 @@ LATENT = ["baseline", "event_rate", "swe_rate", "processed_swe"]
 
 def quantiles(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row a session: the deciles 1, 5 and 9 of each column's finite values, as column_q10, _q50 and _q90."""
-    aggs = []
-    for c in columns:
-        v = F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")), F.col(c))
-        aggs += [F.percentile(v, p / 100).alias(f"{c}_q{p}") for p in (10, 50, 90)]
-    return rows.groupBy("session_id").agg(*aggs)
+    finite = lambda c: F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")), F.col(c))
+    return selection.quantiles(rows, ["session_id"], {f"{c}_q{p}": (finite(c), p / 100) for c in columns for p in (10, 50, 90)})
 
 
 def phenotype(events: DataFrame, series: DataFrame, regimes: DataFrame, health: DataFrame, closures: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.scalars import clip01
+from frostline.operators.selection import medians, quantiles
 
 
 def mapping_quality(mapped: DataFrame, cadence_confidence: float = 0.5) -> DataFrame:
@@ -17,15 +18,14 @@ def mapping_quality(mapped: DataFrame, cadence_confidence: float = 0.5) -> DataF
 
 def describe(rows: DataFrame, value: str) -> DataFrame:
     """(session_id, n, mean, std (of a sample), least, q25, q50, q75, largest) of a column's values."""
-    q = lambda p: F.percentile(value, p)
-    return rows.groupBy("session_id").agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("largest")
-    )
+    plain = rows.groupBy("session_id").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    q = quantiles(rows, ["session_id"], {f"q{p}": (F.col(value), p / 100) for p in (25, 50, 75)}).withColumnRenamed("session_id", "sid")
+    return plain.join(q, plain["session_id"].eqNullSafe(q["sid"])).select("session_id", "n", "mean", "std", "least", "q25", "q50", "q75", "largest")
 
 
 def time_offset(a: DataFrame, b: DataFrame, t: str = "t") -> DataFrame:
     """(session_id, offset): the median time of a less that of b, in seconds."""
-    mid = lambda df, name: df.groupBy("session_id").agg(F.median(F.unix_micros(t)).alias(name))
+    mid = lambda df, name: medians(df, ["session_id"], **{name: F.unix_micros(t)})
     return mid(a, "a").join(mid(b, "b"), "session_id").select("session_id", ((F.col("a") - F.col("b")) / 1e6).alias("offset"))
 
 

@@ -1,29 +1,39 @@
-"""Operators on irregular time series: rows (session_id, t, ...), one series a session; windows never cross sessions."""
+"""Operators on irregular time series: rows (session_id, t, ...), one series a session; windows never cross sessions.
+
+Long sessions are worked on in blocks with the rows around them (see blocks), and their medians are selected by rank (see selection).
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql import types as T
+from pyspark.sql import Window, WindowSpec
 
 from frostline.functions.scalars import seconds_between
-
-
-def _by_time(t: str, *ties: str):
-    return Window.partitionBy("session_id").orderBy(t, *ties)
+from frostline.operators.blocks import BLOCK, HELD, Keep, fresh, numbered, running_sum, spread, windowed
+from frostline.operators.selection import has_large, medians
+from frostline.operators.stream import by_key
+from frostline.sources.stage import Store
 
 
 def steps(series: DataFrame, t: str = "t") -> DataFrame:
     """(session_id, t_start, t_end, delta) between neighbours in time; null times are left out."""
     rows = series.where(F.col(t).isNotNull()).select("session_id", F.col(t).alias("t_end"))
-    rows = rows.withColumn("t_start", F.lag("t_end").over(_by_time("t_end"))).where("t_start is not null")
+    rows = windowed(rows, ["t_end"], 1, 0, lambda w: {"t_start": F.lag("t_end").over(w)}, bound=series).where("t_start is not null")
     return rows.select("session_id", "t_start", "t_end", seconds_between(F.col("t_start"), F.col("t_end")).alias("delta"))
 
 
 def cadence(series: DataFrame, t: str = "t") -> DataFrame:
     """(session_id, dt, n): the median of the positive steps; null below three times or two such steps."""
     n = series.groupBy("session_id").agg(F.count(t).alias("n"))
-    dts = steps(series, t).groupBy("session_id").agg(F.median(F.when(F.col("delta") > 0, F.col("delta"))).alias("m"), F.count_if(F.col("delta") > 0).alias("k"))
+    rises = steps(series, t).where("delta > 0")
+    dts = medians(rises, ["session_id"], bound=series, m=F.col("delta")).join(rises.groupBy("session_id").agg(F.count("*").alias("k")), "session_id")
     return n.join(dts, "session_id", "left").select("session_id", F.when((F.col("n") >= 3) & (F.col("k") >= 2), F.col("m")).alias("dt"), "n")
 
 
@@ -53,8 +63,7 @@ def time_gaps(series: DataFrame, t: str = "t", factor: float = 5.0, hint: float
 def monotonicity(series: DataFrame, value: str, order: str = "row_index") -> DataFrame:
     """(session_id, n_down, largest_drop) of values in their order of input: falls between neighbours; null values are left out, two rows are too few."""
     rows = series.where(F.col(value).isNotNull())
-    w = Window.partitionBy("session_id").orderBy(order)
-    diff = rows.select("session_id", (F.col(value) - F.lag(value).over(w)).alias("d"))
+    diff = windowed(rows.select("session_id", F.col(value).alias("v"), F.col(order).alias("at")), ["at"], 1, 0, lambda w: {"d": F.col("v") - F.lag("v").over(w)})
     out = diff.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(F.col("d") < 0).alias("n_down"), F.min("d").alias("largest_drop"))
     return out.where("n >= 3 and n_down > 0").select("session_id", "n_down", "largest_drop")
 
@@ -105,61 +114,155 @@ def axis_of(rows: DataFrame, t: str = "t") -> DataFrame:
     return rows.groupBy("session_id").agg(F.min(t).alias("t0"), F.max(t).alias("t1"))
 
 
-def rolling_median(rows: DataFrame, value: str, order: str, half: int = 50) -> DataFrame:
-    """rows with ``rolling``: the median over ``half`` rows on either side, fewer at the ends."""
-    w = Window.partitionBy("session_id").orderBy(order).rowsBetween(-half, half)
-    return rows.withColumn("rolling", F.percentile(value, 0.5).over(w))
-
+def sliding_medians(values: np.ndarray, half: int) -> np.ndarray:
+    """The median of up to ``half`` values on either side of each and itself; NaN are left out, and where there is nothing else the median is NaN.
 
-def changepoints(rows: DataFrame, value: str, order: str, half: int = 50, z: float = 6.0, separation: int = 30) -> DataFrame:
+    The values in the window are kept sorted: one goes in and one out a step.
+    """
+    n, held, out = len(values), [], np.full(len(values), np.nan)
+    v, real = values.tolist(), (~np.isnan(values)).tolist()
+    for k in range(min(half, n)):
+        if real[k]:
+            insort(held, v[k])
+    for k in range(n):
+        if k + half < n and real[k + half]:
+            insort(held, v[k + half])
+        if k - half - 1 >= 0 and real[k - half - 1]:
+            del held[bisect_left(held, v[k - half - 1])]
+        if m := len(held):
+            out[k] = (held[(m - 1) // 2] + held[m // 2]) / 2.0
+    return out
+
+
+def rolling_median(rows: DataFrame, value: str, order: str, half: int = 50, name: str = "rolling", keep: Keep | None = None, held: int = HELD, block: int = BLOCK) -> DataFrame:
+    """rows with ``name``: the median over ``half`` rows on either side, fewer at the ends. Null and NaN values are left out; without others it is null.
+
+    A session is dealt out in blocks of rows, each with ``half`` rows more at its ends, and the window slides over a block with its values kept sorted.
+    """
+    columns, (number, at, new) = rows.columns, fresh(rows, "number", "block", "median")
+    if has_large(rows, ["session_id"], held):
+        dealt = numbered(rows, [order], keep or Store(rows.sparkSession).keep, number)
+    else:
+        dealt = rows.withColumn(number, (F.row_number().over(Window.partitionBy("session_id").orderBy(order)) - 1).cast("long"))
+    dealt = spread(dealt, number, half, half, block, at).repartition("session_id", at).sortWithinPartitions("session_id", at, number)
+    shape = T.StructType([*rows.schema.fields, T.StructField(new, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, k), table in by_key(batches, "session_id", at):
+            v = table[value].to_numpy().astype(np.float64)
+            mine = table[number].to_numpy() // block == k
+            found = sliding_medians(v, half)[mine]
+            kept = table.select(columns).filter(pa.array(mine))
+            yield from kept.append_column(new, pa.array(found, mask=np.isnan(found))).to_batches()
+
+    out = dealt.mapInArrow(run, shape)
+    return out.select(*[F.col(f"`{c}`") for c in columns if c != name], F.col(new).alias(name))
+
+
+def separated(flagged: DataFrame, separation: int, keep: Keep, block: int = BLOCK) -> DataFrame:
+    """flagged (session_id, row, ...) without those nearer than ``separation`` to the last one kept, taken in order from each session's first.
+
+    What a block of rows keeps depends only on how many of its first rows are still too near: for each such number a block tells how many rows of
+    the next are too near after it. These tables, one a block, are gone through in order of blocks; then each block is filtered.
+    """
+    step, wide = max(1, separation), max(block, separation, 1)
+    columns, (at, k, sid, piece) = flagged.columns, fresh(flagged, "block", "near", "sid", "piece")
+    rows = flagged.withColumn(at, F.floor(F.col("row") / F.lit(wide)))
+    kind = flagged.schema["session_id"].dataType.simpleString()
+
+    def walk(row: np.ndarray, first: int) -> list[int]:
+        out, low = [], int(np.searchsorted(row, first))
+        while low < len(row):
+            out.append(low)
+            low = int(np.searchsorted(row, row[low] + step))
+        return out
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (session, b), table in by_key(batches, "session_id", at):
+            row = table["row"].to_numpy().astype(np.int64)
+            # the last one kept, going on from each flagged row; a block's ways soon meet
+            after = np.searchsorted(row, row + step)
+            last = np.arange(len(row))
+            for i in range(len(row) - 1, -1, -1):
+                if after[i] < len(row):
+                    last[i] = last[after[i]]
+            first = np.searchsorted(row, b * wide + np.arange(step))
+            some = first < len(row)
+            over = np.zeros(step, np.int64)
+            over[some] = np.maximum(row[last[first[some]]] + step - (b + 1) * wide, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([session], table.schema.field("session_id").type), pa.array([b], pa.int64()), pa.array([over.tolist()], pa.list_(pa.int64()))], ["session_id", "b", "over"])
+
+    def carried(table: pa.Table) -> pa.Table:
+        table, near, next_block, out = table.sort_by("b"), 0, None, []
+        for b, over in zip(table["b"].to_pylist(), table["over"].to_pylist(), strict=True):
+            near = near if b == next_block else 0
+            out.append(near)
+            near, next_block = over[near], b + 1
+        return pa.Table.from_arrays([table["session_id"], table["b"], pa.array(out, pa.int64())], [sid, piece, k])
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, b), table in by_key(batches, "session_id", at):
+            keepers = walk(table["row"].to_numpy().astype(np.int64), b * wide + table[k][0].as_py())
+            yield from table.select(columns).take(pa.array(keepers, pa.int64())).to_batches()
+
+    rows = keep("flagged", rows)
+    sort = lambda df: df.repartition("session_id", at).sortWithinPartitions("session_id", at, "row")
+    tables = sort(rows.select("session_id", at, "row")).mapInArrow(left, f"session_id {kind}, b long, over array<long>")
+    near = tables.groupBy("session_id").applyInArrow(lambda t: carried(t), f"`{sid}` {kind}, `{piece}` long, `{k}` long")
+    joined = rows.join(near.hint("merge"), rows["session_id"].eqNullSafe(near[sid]) & (rows[at] == near[piece])).drop(sid, piece)
+    return sort(joined).mapInArrow(filtered, flagged.schema)
+
+
+def changepoints(rows: DataFrame, value: str, order: str, half: int = 50, z: float = 6.0, separation: int = 30, keep: Keep | None = None, held: int = HELD, block: int = BLOCK) -> DataFrame:
     """(session_id, frame_idx, delta, confidence): rows that stand off their rolling median by more than z robust spreads.
 
     The spread is 1.4826 times the residuals' median absolute deviation, or their standard deviation where that is 0. Of candidates nearer than
-    ``separation`` to the last accepted one, none is taken. Series of under ten rows have none.
+    ``separation`` to the last accepted one, none is taken. Series of under ten rows have none. ``order`` must be unique in a session.
     """
-    w = Window.partitionBy("session_id")
-    r = rolling_median(rows, value, order, half).withColumn("r", F.col(value) - F.col("rolling"))
-    r = r.select("session_id", F.col(order).alias("at"), "r", F.row_number().over(w.orderBy(order)).alias("row"))
-    spread = r.groupBy("session_id").agg(F.median("r").alias("m"), F.stddev_pop("r").alias("sd"), F.count("*").alias("n")).where("n >= 10")
-    mad = r.join(spread, "session_id").groupBy("session_id").agg(F.median(F.abs(F.col("r") - F.col("m"))).alias("mad"), F.first("sd").alias("sd"))
-    scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("sd") + 1e-9)
-    flagged = r.join(mad.select("session_id", (z * scale).alias("limit")), "session_id").where(F.abs("r") > F.col("limit"))
-    # a session's flagged rows are few: they are gone through in order, keeping those far enough from the last kept
-    lists = flagged.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("row", "at", "r", "limit"))).alias("c"))
-    kind = lists.schema["c"].dataType.simpleString()
-    start = F.struct(F.lit(-(10**9)).alias("last"), F.array().cast(kind).alias("kept"))
-
-    def take(acc: Column, c: Column) -> Column:
-        far = c["row"] - acc["last"] >= separation
-        return F.struct(F.when(far, c["row"]).otherwise(acc["last"]).alias("last"), F.when(far, F.concat(acc["kept"], F.array(c))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = lists.select("session_id", F.explode(F.aggregate("c", start, take, lambda acc: acc["kept"])).alias("c"))
-    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.abs("c.r") / (F.col("c.limit") + 1e-9)))
-    return kept.select("session_id", F.col("c.at").alias("frame_idx"), F.col("c.r").alias("delta"), conf.alias("confidence"))
+    keep = keep or Store(rows.sparkSession).keep
+    plain = rows.select("session_id", F.col(f"`{order}`").alias("at"), F.col(f"`{value}`").cast("double").alias("v"))
+    if has_large(plain, ["session_id"], held):
+        plain = numbered(plain, ["at"], keep, "row")
+    else:
+        plain = plain.withColumn("row", (F.row_number().over(Window.partitionBy("session_id").orderBy("at")) - 1).cast("long"))
+    r = keep("residuals", rolling_median(plain, "v", "row", half, "m", keep, held, block).select("session_id", "at", "row", (F.col("v") - F.col("m")).alias("r")))
+    spread_of = r.groupBy("session_id").agg(F.stddev_pop("r").alias("sd"), F.count("*").alias("n")).where("n >= 10").select(F.col("session_id").alias("sid"), "sd")
+    mid = medians(r, ["session_id"], keep, held, m=F.col("r"))
+    near = lambda left, right, c: left.join(F.broadcast(right) if right.count() <= held else right, left["session_id"].eqNullSafe(right[c])).drop(c)
+    away = near(r, keep("mid", mid.withColumnRenamed("session_id", "sid")), "sid").select("session_id", F.abs(F.col("r") - F.col("m")).alias("d"))
+    mad = medians(away, ["session_id"], keep, held, bound=r, mad=F.col("d"))
+    limit = mad.join(spread_of, mad["session_id"].eqNullSafe(spread_of["sid"])).select("sid", (F.lit(z) * F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("sd") + 1e-9)).alias("limit"))
+    flagged = near(r, keep("limit", limit), "sid").where(F.abs("r") > F.col("limit"))
+    kept = separated(flagged, separation, keep, block)
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.abs("r") / (F.col("limit") + 1e-9)))
+    return kept.select("session_id", F.col("at").alias("frame_idx"), F.col("r").alias("delta"), conf.alias("confidence"))
 
 
 def cumulative(rows: DataFrame, value: str, order: str, name: str) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.sum(value).over(w))
+    """rows with ``name``: the sum of value up to each row in its session."""
+    return running_sum(rows, value, [order], name)
 
 
 def first_difference(rows: DataFrame, value: str, *order: str) -> DataFrame:
     """rows with ``diff``: the rise of value since the row before in its session; null for the first and beside a null."""
-    return rows.withColumn("diff", F.col(value) - F.lag(value).over(_by_time(*order)))
+    return windowed(rows, list(order), 1, 0, lambda w: {"diff": F.col(value) - F.lag(value).over(w)})
 
 
 def windowed_rate(rows: DataFrame, value: str, order: str, dt: float, window: int = 5) -> DataFrame:
     """rows with rate_windowed: the rise over ``window`` rows in units an hour; null for the first ones and where dt is not positive."""
-    w = Window.partitionBy("session_id").orderBy(order)
-    rate = (F.col(value) - F.lag(value, window).over(w)) / F.lit(window * dt) * 3600.0 if dt > 0 else F.lit(None).cast("double")
-    return rows.withColumn("rate_windowed", rate)
+    if dt <= 0:
+        return rows.withColumn("rate_windowed", F.lit(None).cast("double"))
+    return windowed(rows, [order], window, 0, lambda w: {"rate_windowed": (F.col(value) - F.lag(value, window).over(w)) / F.lit(window * dt) * 3600.0})
 
 
 def robust_rate(rows: DataFrame, value: str, order: str, dt: float) -> DataFrame:
     """rows with rate_robust: the median of five neighbouring first differences in units an hour; null where one of them lacks."""
     if dt <= 0:
         return rows.withColumn("rate_robust", F.lit(None).cast("double"))
-    w = Window.partitionBy("session_id").orderBy(order)
-    out = rows.withColumn("__d", F.col(value) - F.lag(value).over(w))
-    near = w.rowsBetween(-2, 2)
-    return out.withColumn("rate_robust", F.when(F.count("__d").over(near) == 5, F.percentile("__d", 0.5).over(near) / dt * 3600.0)).drop("__d")
+    v = lambda w, k: F.lag(value, -k).over(w)
+
+    def make(w: WindowSpec) -> dict[str, Column]:
+        five = F.array(*[v(w, k) - v(w, k - 1) for k in range(-2, 3)])
+        return {"rate_robust": F.when(~F.exists(five, lambda d: d.isNull()), F.sort_array(five)[2] / dt * 3600.0)}
+
+    return windowed(rows, [order], 3, 2, make)
