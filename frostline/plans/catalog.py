@@ -21,6 +21,7 @@ from frostline.operators import quality as Q
 from frostline.operators import series as R
 from frostline.operators import statespace as K
 from frostline.plans import session as analysis
+from frostline.sources import files as L
 from frostline.sources import masks as M
 from frostline.sources import tables as T
 from frostline.sources.stage import Store
@@ -719,6 +720,42 @@ def observations_quarantined(spark: SparkSession, sf: str) -> DataFrame:
     return T.normalise_observations(_raw(spark, sf), "UTC")[1].select("row_index", "reason", "date_raw", "time_raw")
 
 
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_totalprice FROM orders""")
+def text_row_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as one text file and scanned in splits of 64 KB: rows have their numbers in the file."""
+    path = f"{Store(spark).root}/orders.csv"
+    _read(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").coalesce(1).write.option("header", True).csv(path)
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    return T.read_raw(small, path).select(F.col("o_orderkey").cast("long"), "row_index", F.col("o_totalprice").cast("double"))
+
+
+ARTIFACTS = """ar AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'not_json' WHEN c_custkey % 7 = 1 THEN 'missing_header' WHEN c_custkey % 7 = 2 THEN 'missing_config_hash' WHEN c_custkey % 7 = 3 THEN 'wrong_schema_version' WHEN c_custkey % 7 = 4 THEN 'missing_payload' END AS reason, c_acctbal FROM customer)"""
+
+
+def _artifacts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Customers written as JSON artifacts, a line each, five of seven unsound, and scanned."""
+    k = F.col("c_custkey")
+    version = F.when(k % 7 == 3, "v0").otherwise("v1")
+    mark = F.when(k % 7 != 2, F.sha2(k.cast("string"), 256))
+    header = F.when(k % 7 != 1, F.struct(version.alias("schema_version"), mark.alias("config_hash"), F.create_map(F.lit("customer"), k.cast("string")).alias("input_hashes"), F.lit("2026-01-01T00:00:00+00:00").alias("created_at_utc")))
+    payload = F.when(k % 7 != 4, F.struct("c_custkey", "c_acctbal", F.col("c_name").alias("left_out")))
+    text = F.to_json(F.struct(header.alias("header"), payload.alias("payload")))
+    path = f"{Store(spark).root}/artifacts"
+    _read(spark, sf, "customer").select(F.when(k % 7 == 0, F.concat(F.lit("{'"), F.reverse(text))).otherwise(text).alias("value")).write.text(path)
+    return L.read_artifacts(spark, path, "c_custkey long, c_acctbal double, c_none string", "v1", lines=True)
+
+
+@query(f"WITH {ARTIFACTS} SELECT c_custkey, c_acctbal, NULL::VARCHAR AS c_none, sha256(c_custkey::VARCHAR) AS config_hash, c_custkey::VARCHAR AS input_hash FROM ar WHERE reason IS NULL")
+def json_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    return _artifacts(spark, sf)[0].select("payload.*", "config_hash", F.col("input_hashes")["customer"].alias("input_hash"))
+
+
+@query(f"WITH {ARTIFACTS} SELECT reason, count(*) AS n FROM ar WHERE reason IS NOT NULL GROUP BY reason")
+def json_artifacts_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return _artifacts(spark, sf)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS record FROM customer""")
 def catalog_json(spark: SparkSession, sf: str) -> DataFrame:
     return T.as_json_records(_read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey")

@@ -1,4 +1,4 @@
-"""Sources and sinks: raw tables with quarantine, frames, input manifests, artifacts with provenance."""
+"""Sources and sinks: raw tables with quarantine, frames, artifacts with provenance."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frostline.functions import scalars as S
+from frostline.sources.files import with_row_numbers
 
 #: Raw columns of observation and reference tables. Fixed values.
 OBSERVATION = {"Time to Evaporate (Sec)": "time_to_evaporate_s", "Mass (mg)": "mass_mg", "Max Area (mm^2)": "max_area_mm2", "Temp (C)": "temp_c"}
@@ -20,8 +21,7 @@ REFERENCE = {"SWE (mm)": "swe_mm", "SWE Rate (mm/hr)": "swe_rate_mmhr"}
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """A .csv or .txt table with all columns as text, .parquet as it is; with source_file and row_index.
 
-    Text files are split between tasks, so row_index is the byte-ordered row number within the job: it rises with the place in the input and is
-    unique, but has gaps between tasks. Other suffixes are an error before anything is planned.
+    row_index is a row's number in its file, from 0, however files are split between tasks. Other suffixes are an error before anything is planned.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix in ("csv", "txt"):
@@ -30,7 +30,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.parquet(path)
     else:
         raise ValueError(f"unsupported table type: {path}")
-    return raw.withColumn("row_index", F.monotonically_increasing_id()).withColumn("source_file", F.input_file_name())
+    return with_row_numbers(raw)
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -89,12 +89,6 @@ def write_frames(frames: DataFrame, path: str) -> None:
     frames.select(*FRAMES.fieldNames()).write.mode("overwrite").partitionBy("session_id").parquet(path)
 
 
-def input_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, modified, sha256) of each file under path, hashed on the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
-
-
 def wrap(payload: dict, schema_version: str, config_hash: str, input_hashes: dict[str, str]) -> str:
     """A small JSON artifact: header and payload, keys in order, no NaN."""
     header = {"schema_version": schema_version, "config_hash": config_hash, "input_hashes": input_hashes, "created_at_utc": datetime.now(UTC).isoformat()}
