@@ -87,11 +87,11 @@ def read_artifacts(spark: SparkSession, path: str, payload: T.StructType | str,
 
     sound: (source_file, schema_version, config_hash, input_hashes, created_at_utc, payload). rejected: (source_file, reason, record). Reasons, the first that holds:
     not_json, missing_header, missing_<field> of the header, wrong_schema_version, missing_payload. Fields that the payload's schema lacks are left out; those it
-    has and the text lacks are null. A text whose values do not fit the schema is not_json. An empty folder gives two empty tables.
+    has and the text lacks are null. A text whose values do not fit the schema is not_json. Blank texts are no artifacts; an empty folder gives two empty tables.
     """
     header = T.StructType([T.StructField(c, T.MapType(T.StringType(), T.StringType()) if c == "input_hashes" else T.StringType()) for c in HEADER])
     shape = T.StructType([T.StructField("header", header), T.StructField("payload", T.StructType.fromDDL(payload) if isinstance(payload, str) else payload), T.StructField("_corrupt", T.StringType())])
-    texts = spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("source_file")).where(F.trim("value") != "")
+    texts = spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("source_file")).where(F.col("value").rlike(r"\S"))
     rows = texts.select("source_file", "value", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("a"))
     checks = [F.when(F.col("a._corrupt").isNotNull(), "not_json"), F.when(F.col("a.header").isNull(), "missing_header")]
     checks += [F.when(F.col(f"a.header.{c}").isNull(), f"missing_{c}") for c in HEADER]
