@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from frostline.functions import scalars as S
+from frostline.functions import sql as N
 from frostline.operators import events as E
 from frostline.operators import frames as P
 from frostline.operators import inference as I
@@ -761,6 +762,25 @@ def catalog_json(spark: SparkSession, sf: str) -> DataFrame:
     return T.as_json_records(_read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
 
 
+@query(f"WITH {RAW} SELECT k AS row_index, px AS x, py AS y, epoch_us(t) AS t_utc, 'particle_' || substr(sha256('{{\"row\":' || k || ',\"user\":' || user_id || '}}'), 1, 16) AS id FROM pc")
+def sql_parsing(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw rows parsed in SQL by the session's own functions."""
+    N.register(spark)
+    raw = _raw(spark, sf).withColumnRenamed("Date", "day").withColumnRenamed("Time", "clock").withColumnRenamed(T.CENTROID, "spot")
+    return spark.sql(
+        """SELECT row_index, c.x, c.y, unix_micros(parse_local_time(day, clock, 'UTC')) AS t_utc, stable_id('particle', to_json(named_struct('row', row_index, 'user', CAST(operator AS BIGINT)))) AS id
+        FROM (SELECT *, parse_centroid(spot) AS c FROM {raw})""",
+        raw=raw,
+    ).select("row_index", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("x")).alias("x"), "y", "t_utc", "id")
+
+
+@query(f"WITH {PX}, {STATE}, {COLD} SELECT session_id, frame_idx, min(pos)::INTEGER AS start, count(*)::INTEGER AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, frame_idx ORDER BY pos) AS g FROM cold) GROUP BY session_id, frame_idx, g")
+def sql_rle_encode(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks encoded in SQL by the table function."""
+    N.register(spark)
+    return spark.sql("SELECT session_id, frame_idx, r.start, r.length FROM {masks} m, LATERAL rle_encode(m.pos) r", masks=_cold(spark, sf))
+
+
 @query("""SELECT o_orderkey, o_totalprice / 100 AS depth, o_totalprice AS mass, round(3e-4 * o_totalprice, 6) AS predicted, round(abs(3e-4 * o_totalprice) * 0.25, 8) AS uncertainty, (o_orderkey % 90)::INTEGER AS px FROM orders""")
 def unit_conversions(spark: SparkSession, sf: str) -> DataFrame:
     p, k = F.col("o_totalprice"), F.col("o_orderkey")
