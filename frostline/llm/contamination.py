@@ -4,7 +4,8 @@ A test item is short and a document may be long, so their Jaccard similarity say
 the power of two under their number of distinct word shingles. In a partition every item is sketched by its m smallest shingle hashes (its
 bottom-m MinHash), where m is over (1 - c) times the partition's largest size: a document that holds the part c of an item's shingles must
 hold one of the m. So the search loses nothing, at any document length. Candidates (document, item) whose sizes allow the containment
-are verified by intersecting the whole shingle sets.
+are verified by intersecting the whole shingle sets. An item of under five words is one shingle, all its words; documents give their runs of
+as many words too, for each such length that an item has.
 
 Documents are never shuffled in the search: shingles meet the sketches in a broadcast join while the sketches' counted number allows it,
 in a shuffled join of hashes beyond. Built-in functions only.
@@ -27,15 +28,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
-def shingles(text: Column) -> Column:
-    """Distinct hashes of all runs of five words; of all the words where there are fewer; none where there are none."""
+def _runs_of(ws: Column, k: int) -> Column:
+    return F.transform(F.slice(ws, 1, F.size(ws) - (k - 1)), lambda _, i: F.xxhash64(F.concat_ws(" ", F.slice(ws, i + 1, F.lit(k)))))
+
+
+def shingles(text: Column, short: tuple[int, ...] = ()) -> Column:
+    """Distinct hashes of all runs of five words; of all the words where there are fewer; none where there are none. And those of all runs of each length in ``short``, under five."""
     w = words(text)
 
     def of(ws: Column) -> Column:
         runs = F.transform(
             F.slice(ws, 1, F.size(ws) - (WORDS - 1)), lambda x, i: F.xxhash64(x, *[F.get(ws, i + k) for k in range(1, WORDS)])
         )
-        return F.when(F.size(ws) >= WORDS, runs).when(F.size(ws) > 0, F.array(F.xxhash64(F.concat_ws(" ", ws)))).otherwise(F.array().cast("array<bigint>"))
+        found = F.when(F.size(ws) >= WORDS, runs).when(F.size(ws) > 0, F.array(F.xxhash64(F.concat_ws(" ", ws)))).otherwise(F.array().cast("array<bigint>"))
+        fewer = [F.when(F.size(ws) >= k, _runs_of(ws, k)).otherwise(F.array().cast("array<bigint>")) for k in short]
+        return F.concat(found, *fewer) if fewer else found
 
     # one lambda argument for the words, so that they are found once and not in each use
     return F.array_distinct(F.flatten(F.transform(F.array(w), of)))
@@ -53,22 +60,24 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
 def find_contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, containment: float = CONTAINMENT) -> DataFrame:
     """Pairs (doc_id, item_id, n_shingles, n_found, containment, mark): documents that hold at least the part ``containment`` of an item.
 
-    Shingles are five lower-case words (all words of a shorter text); repeated shingles count once. Texts without words, null and
-    empty ones match nothing. A pair stands once however often rows repeat; rows that share a doc_id but not the text are judged
+    Shingles are five lower-case words; repeated shingles count once. An item of fewer words is found wherever they follow one another in a text. Texts without words, null and
+    empty ones match nothing, so without documents or items there are no pairs; a text of any length is searched whole. A pair stands once however often rows repeat; rows that share a doc_id but not the text are judged
     each by its own text, and ``mark`` (a hash of id and text) tells them apart. Null ids are ids like others. Other columns are ignored.
     """
-    items = items.select("item_id", shingles(text_or_empty()).alias("sh")).where(F.size("sh") > 0).distinct()
+    items = items.select("item_id", shingles(text_or_empty()).alias("sh"), F.size(words(text_or_empty())).alias("n_words")).where(F.size("sh") > 0).distinct()
     items = scratch.stage("items", items)
+    short = tuple(sorted(r["n_words"] for r in items.where(F.col("n_words") < WORDS).select("n_words").distinct().collect()))  # four numbers at most
+    items = items.select("item_id", "sh").distinct()
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("mark", F.xxhash64("doc_id", "text"))
     floor = F.ceil(F.lit(containment) * F.col("n") - 1e-9)
     search = maybe_broadcast(sketches(items, containment).select("h", "item_id", "n"), SKETCH_ROWS)
-    found = texts.select("doc_id", "mark", shingles(F.col("text")).alias("sh")).select("doc_id", "mark", F.size("sh").alias("held"), F.explode("sh").alias("h"))
+    found = texts.select("doc_id", "mark", shingles(F.col("text"), short).alias("sh")).select("doc_id", "mark", F.size("sh").alias("held"), F.explode("sh").alias("h"))
     found = found.join(search, "h").where(F.col("held") >= floor).select("mark", "item_id").distinct()
     candidates = scratch.stage("candidates", found)
     pairs = texts.join(maybe_broadcast(candidates, CANDIDATE_ROWS), "mark")
     whole = maybe_broadcast(items.withColumnRenamed("item_id", "item").withColumnRenamed("sh", "item_sh"), ITEM_ROWS)
     pairs = pairs.join(whole, F.col("item_id").eqNullSafe(F.col("item")))
-    n_found = F.size(F.array_intersect("item_sh", shingles(F.col("text"))))
+    n_found = F.size(F.array_intersect("item_sh", shingles(F.col("text"), short)))
     judged = pairs.select("doc_id", "mark", "item_id", F.size("item_sh").alias("n_shingles"), n_found.alias("n_found"))
     judged = judged.where(F.col("n_found") >= F.ceil(F.lit(containment) * F.col("n_shingles") - 1e-9))
     return judged.distinct().withColumn("containment", F.round(F.col("n_found") / F.col("n_shingles"), 6))
@@ -92,7 +101,9 @@ WITH texts AS (
   UNION ALL SELECT DISTINCT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') FROM benchmark),
 shingles AS (
   SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM texts),
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM texts
+  UNION SELECT kind, id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) FROM texts,
+    (SELECT DISTINCT len(w) AS k FROM texts WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4) WHERE kind = 'd' AND len(w) >= k),
 sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id),
 found AS (
   SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
