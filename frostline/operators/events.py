@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frostline.functions.scalars import clip01
+from frostline.operators.blocks import fresh
 from frostline.operators.frames import run_lengths
 from frostline.operators.stream import by_key, flat_lists, lists, run_starts
 from frostline.sources.stage import Store
@@ -206,10 +207,11 @@ def match_times(matches: DataFrame, events: DataFrame, points: DataFrame, dt: fl
 
     events: (session_id, event_id, t_peak), points: (session_id, point_id, t); a match without its event or point has no such time either.
     """
-    e = events.select("session_id", "event_id", F.unix_micros("t_peak").alias("__e"))
-    p = points.select("session_id", "point_id", F.unix_micros("t").alias("__p"))
+    peak, seen = fresh(matches, "peak", "seen")
+    e = events.select("session_id", "event_id", F.unix_micros("t_peak").alias(peak))
+    p = points.select("session_id", "point_id", F.unix_micros("t").alias(seen))
     out = matches.join(e, ["session_id", "event_id"], "left").join(p, ["session_id", "point_id"], "left")
-    return out.withColumn("dt_s", F.coalesce(F.abs(F.col("__p") - F.col("__e")) / 1e6, F.col("dframes") * F.lit(float(dt)))).drop("__e", "__p")
+    return out.withColumn("dt_s", F.coalesce(F.abs(F.col(seen) - F.col(peak)) / 1e6, F.col("dframes") * F.lit(float(dt)))).drop(peak, seen)
 
 
 def validation_report(matches: DataFrame) -> DataFrame:

@@ -85,11 +85,11 @@ def regime_timeline(assigned: DataFrame, k: int, seconds: int = 60) -> DataFrame
 
 
 def regime_shifts(timeline: DataFrame, k: int, threshold: float = 0.35) -> DataFrame:
-    """(session_id, bin, regime, shift, confidence): neighbouring bins between which a regime's share moves by ``threshold``; the largest move, the first on a tie."""
+    """(session_id, before, bin, regime, shift, confidence): neighbouring bins between which a regime's share moves by ``threshold``; the largest move, the first on a tie."""
     move = lambda w, i: F.struct(F.abs(F.col(f"f{i}") - F.lag(f"f{i}").over(w)).alias("d"), F.lit(-i).alias("r"))
-    out = windowed(timeline, ["bin"], 1, 0, lambda w: {f"m{i}": move(w, i) for i in range(k)}).select("session_id", "bin", *[f"m{i}" for i in range(k)])
+    out = windowed(timeline, ["bin"], 1, 0, lambda w: {"before": F.lag("bin").over(w)} | {f"m{i}": move(w, i) for i in range(k)}).select("session_id", "before", "bin", *[f"m{i}" for i in range(k)])
     out = out.where("m0.d is not null").withColumn("m", F.greatest(*[F.col(f"m{i}") for i in range(k)]) if k > 1 else F.col("m0"))
-    return out.where(F.col("m.d") >= threshold).select("session_id", "bin", (-F.col("m.r")).alias("regime"), F.col("m.d").alias("shift"), F.least(F.lit(0.95), 0.5 + F.col("m.d")).alias("confidence"))
+    return out.where(F.col("m.d") >= threshold).select("session_id", "before", "bin", (-F.col("m.r")).alias("regime"), F.col("m.d").alias("shift"), F.least(F.lit(0.95), 0.5 + F.col("m.d")).alias("confidence"))
 
 
 def latent_observations(axis: DataFrame, baseline: DataFrame, events: DataFrame, rates: DataFrame, reference: DataFrame, seconds: int = 10, proxy: str = "diff") -> DataFrame:

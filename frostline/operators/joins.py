@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from frostline.functions.scalars import seconds_between
+from frostline.operators.blocks import fresh
 
 
 def frame_of_time(t: Column, t0: Column, dt: Column | float, n_frames: Column | int) -> Column:
@@ -20,12 +21,36 @@ def frame_of_cadence(t: Column, t0: Column, dt: Column | float) -> Column:
     return F.bround(seconds_between(t0, t) / dt).cast("int")
 
 
-def map_to_frames(rows: DataFrame, axis: DataFrame, t: str = "t", tolerance: float | None = 2.0) -> DataFrame:
-    """rows with frame_idx and residual (a row's time less its frame's, in seconds), by axis (session_id, t0, dt, n_frames); frame_idx is null where the two are further apart than ``tolerance`` seconds."""
-    out = rows.join(axis, "session_id").withColumn("frame_idx", frame_of_time(F.col(t), F.col("t0"), F.col("dt"), F.col("n_frames")))
-    residual = seconds_between(F.col("t0"), F.col(t)) - F.col("frame_idx") * F.col("dt")
+def map_to_frames(rows: DataFrame, axis: DataFrame, t: str = "t", tolerance: float | None = 2.0, held: bool = True) -> DataFrame:
+    """rows with frame_idx and residual (a row's time less its frame's, in seconds), by axis (session_id, t0, dt, n_frames); frame_idx is null where the two are further apart than ``tolerance`` seconds.
+
+    held: times off the axis belong to its first or last frame, as the nearest of frames with times of their own; else the frame follows from the cadence alone, halves to
+    even, and there is none before the first or after the last. axis has one row a session; rows of other sessions are left out. Columns of rows stay, whatever their
+    names, but for frame_idx and residual, which are replaced.
+    """
+    of, place = fresh(rows, "axis", "frame")
+    a = F.col(of)
+    out = rows.join(axis.select("session_id", F.struct("t0", "dt", "n_frames").alias(of)), "session_id")
+    if held:
+        frame = frame_of_time(F.col(t), a["t0"], a["dt"], a["n_frames"])
+    else:
+        frame = F.bround(seconds_between(a["t0"], F.col(t)) / a["dt"])
+        frame = F.when((frame >= 0) & (frame < a["n_frames"]), frame).cast("int")
+    out = out.withColumn(place, frame)
+    residual = seconds_between(a["t0"], F.col(t)) - F.col(place) * a["dt"]
     ok = F.abs(residual) <= tolerance if tolerance is not None else residual.isNotNull()
-    return out.withColumn("residual", residual).withColumn("frame_idx", F.when(ok, F.col("frame_idx"))).drop("t0", "dt", "n_frames")
+    kept = [c for c in rows.columns if c not in ("frame_idx", "residual")]
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.when(ok, F.col(place)).alias("frame_idx"), residual.alias("residual"))
+
+
+def anchors(sessions: DataFrame, observed: DataFrame, reference: DataFrame, explicit: dict[str, str] | None = None, t: str = "t") -> DataFrame:
+    """(session_id, t0, anchor_source): where each session's axis begins: at an explicit time (ISO text by session_id), else at its first observation, else at its first reference row, else at the epoch."""
+    first = lambda df, name: df.groupBy("session_id").agg(F.min(t).alias(name))
+    out = sessions.select("session_id").distinct().join(first(observed, "a"), "session_id", "left").join(first(reference, "b"), "session_id", "left")
+    given = F.create_map(*[F.lit(x) for pair in (explicit or {}).items() for x in pair])[F.col("session_id")].cast("timestamp") if explicit else F.lit(None).cast("timestamp")
+    out = out.withColumn("c", given)
+    source = F.when(F.col("c").isNotNull(), "config.synthetic_t0_utc").when(F.col("a").isNotNull(), "particle.t_utc.min_raw").when(F.col("b").isNotNull(), "processed.t_utc.min").otherwise("epoch_fallback")
+    return out.select("session_id", F.coalesce("c", "a", "b", F.timestamp_seconds(F.lit(0))).alias("t0"), source.alias("anchor_source"))
 
 
 def frame_axis(axis: DataFrame) -> DataFrame:

@@ -16,6 +16,17 @@ def mapping_quality(mapped: DataFrame, cadence_confidence: float = 0.5) -> DataF
     return out.withColumn("confidence", clip01(0.6 * F.lit(cadence_confidence) + 0.4 * F.col("coverage")))
 
 
+def alignment_confidence(observed: DataFrame, reference: DataFrame, cadence: DataFrame) -> DataFrame:
+    """(session_id, coverage_observed, coverage_reference, coverage, alignment_confidence) of the sessions of cadence (session_id, confidence).
+
+    observed, reference: rows mapped to frames. coverage is the greater share of the two that are mapped, 0 for a table without rows.
+    """
+    share = lambda df, name: df.groupBy("session_id").agg((F.count("frame_idx") / F.count("*")).alias(name))
+    out = cadence.select("session_id", "confidence").join(share(observed, "coverage_observed"), "session_id", "left").join(share(reference, "coverage_reference"), "session_id", "left")
+    out = out.na.fill(0.0, ["coverage_observed", "coverage_reference"]).withColumn("coverage", F.greatest("coverage_observed", "coverage_reference"))
+    return out.withColumn("alignment_confidence", clip01(0.6 * F.col("confidence") + 0.4 * F.col("coverage"))).drop("confidence")
+
+
 def describe(rows: DataFrame, value: str) -> DataFrame:
     """(session_id, n, mean, std (of a sample), least, q25, q50, q75, largest) of a column's values."""
     plain = rows.groupBy("session_id").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("largest"))

@@ -78,6 +78,19 @@ def integrity_report(gaps: DataFrame, duplicates: DataFrame, falls: DataFrame) -
     )
 
 
+def sourced_integrity(observed: DataFrame, reference: DataFrame, value: str, order: str, t: str = "t", hint: float | None = None) -> DataFrame:
+    """(session_id, source, kind, t_start, t_end, amount, place) of both tables: gaps and repeated times of either, falls of the reference's value. place orders a session's findings by source and start, those without a time last."""
+    parts = []
+    for name, df in (("particle", observed), ("processed", reference)):
+        falls = monotonicity(df, value, order) if name == "processed" else None
+        gaps, twice = time_gaps(df, t, hint=hint), duplicate_times(df, t)
+        found = integrity_report(gaps, twice, falls if falls is not None else gaps.limit(0).select("session_id", F.lit(0.0).alias("largest_drop")))
+        parts.append(found.withColumn("source", F.lit(name)))
+    out = parts[0].unionByName(parts[1])
+    w = Window.partitionBy("session_id").orderBy("source", F.asc_nulls_last("t_start"), "kind", "t_end")
+    return out.select("session_id", "source", "kind", "t_start", "t_end", "amount", F.row_number().over(w).alias("place"))
+
+
 #: The flag of each kind of finding.
 FLAGS = {"duplicate": "duplicate_timestamps_detected", "missing": "time_gaps_detected", "non_monotonic": "swe_non_monotonic"}
 

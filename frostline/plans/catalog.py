@@ -14,6 +14,7 @@ from pyspark.sql import Window
 
 from frostline.functions import scalars as S
 from frostline.functions import sql as N
+from frostline.operators import audit as A
 from frostline.operators import events as E
 from frostline.operators import frames as P
 from frostline.operators import inference as I
@@ -691,6 +692,119 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     return I.findings(shifts, I.gate(_scores(spark, sf))).select("session_id", "finding_id", "title", *_r("confidence"), "evidence")
 
 
+# Audits of finished sessions.
+
+
+@query(f"""WITH {REF}, mk AS (SELECT session_id, t, sum(price) AS v FROM ref GROUP BY ALL), gv AS (SELECT session_id, t, max(price) AS v FROM ref WHERE row_id % 3 <> 0 GROUP BY ALL)
+SELECT session_id, count(*) AS n, round(avg(mk.v - gv.v), 6) AS mean, round(stddev_samp(mk.v - gv.v), 6) AS std, round(max(abs(mk.v - gv.v)), 6) AS largest FROM mk JOIN gv USING (session_id, t) GROUP BY session_id""")
+def audit_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders of a time against the largest of two thirds of them."""
+    ref = reference(spark, sf)
+    made = ref.groupBy("session_id", "t").agg(F.sum("price").alias("swe"))
+    given = ref.where("row_id % 3 != 0").groupBy("session_id", "t").agg(F.max("price").alias("swe"))
+    return A.series_difference(made, given, "swe").select("session_id", "n", *_r("mean", "std", "largest"))
+
+
+@query("""SELECT session_id, coalesce(p, 0) AS n_points, coalesce(e, 0) AS n_events, round(coalesce(e, 0) / greatest(coalesce(p, 0), 1), 3) AS ratio
+FROM (SELECT (user_id % 5)::VARCHAR AS session_id, count(*) AS p FROM events GROUP BY ALL) FULL JOIN (SELECT (o_custkey % 7)::VARCHAR AS session_id, count(*) AS e FROM orders GROUP BY ALL) USING (session_id)""")
+def event_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return A.event_ratio(_points(spark, sf), _read(spark, sf, "orders").select((F.col("o_custkey") % 7).cast("string").alias("session_id")))
+
+
+_FEATURE = "SELECT session_id, '{0}' AS feature, count({0}) AS n, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, round(min({0}), 6) AS least, round(quantile_cont({0}, 0.25), 6) AS q25, round(quantile_cont({0}, 0.5), 6) AS q50, round(quantile_cont({0}, 0.75), 6) AS q75, round(max({0}), 6) AS largest FROM ev GROUP BY session_id"
+
+
+@query(f"WITH ev AS (SELECT (o_custkey % 5)::VARCHAR AS session_id, o_totalprice AS area, (o_orderkey % 7)::DOUBLE AS duration_s FROM orders) {_FEATURE.format('area')} UNION ALL {_FEATURE.format('duration_s')}")
+def feature_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return A.feature_summary(_intervals(spark, sf), ["area", "duration_s"]).select("session_id", "feature", "n", *_r("mean", "std", "least", "q25", "q50", "q75", "largest"))
+
+
+@query(f"WITH {OBS}, {MAPPED} SELECT session_id, count(*) AS n, count(frame_idx) AS n_mapped, min(t) AS t_first, max(t) AS t_last, min(frame_idx) AS frame_first, max(frame_idx) AS frame_last FROM mapped GROUP BY session_id")
+def mapped_frame_range(spark: SparkSession, sf: str) -> DataFrame:
+    out = A.mapped_range(J.map_to_frames(observations(spark, sf), _axis(spark, sf), tolerance=900.0))
+    return out.select("session_id", "n", "n_mapped", _us("t_first"), _us("t_last"), "frame_first", "frame_last")
+
+
+@query(f"""WITH RECURSIVE {PX}, {STATE}, {COLD}, {LABELS}, {TRACKS}, ss AS (SELECT DISTINCT session_id FROM px)
+SELECT session_id, coalesce(n, 0) AS event_count, round(c.closure_score, 6) AS closure_score, round(h.h, 6) AS health_score, round(drift, 6) AS baseline_drift_abs, round(nm, 6) AS noise_mean, round(np, 6) AS noise_p95, coalesce(g.n_regimes, 0) AS n_regimes, session_id::INTEGER % 3 = 0 AS inference_skipped
+FROM ss LEFT JOIN (SELECT session_id, count(*) AS n FROM ev WHERE fp > fs AND fp < fe GROUP BY ALL) USING (session_id)
+LEFT JOIN (SELECT session_id, session_id::INTEGER / 10 AS closure_score FROM ss WHERE session_id <> '4') c USING (session_id) LEFT JOIN (SELECT session_id, 1 - session_id::INTEGER / 20 AS h FROM ss) h USING (session_id)
+LEFT JOIN (SELECT session_id, abs(arg_max(baseline, frame_idx) - arg_min(baseline, frame_idx)) AS drift FROM base GROUP BY ALL) USING (session_id)
+LEFT JOIN (SELECT session_id, avg(noise) AS nm, quantile_cont(noise, 0.95) AS np FROM state GROUP BY ALL) USING (session_id)
+LEFT JOIN (SELECT session_id, count(DISTINCT frame_idx % 4) AS n_regimes FROM base WHERE session_id <> '2' GROUP BY ALL) g USING (session_id)""")
+def golden_signature(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures of the frames' sessions; scores and gate stand for those of other products."""
+    f = stacks(spark, sf)
+    sessions, k = f.select("session_id").distinct(), F.col("session_id").cast("int")
+    closures = sessions.where("session_id != '4'").select("session_id", (k / 10).alias("closure_score"))
+    health = sessions.select("session_id", (1 - k / 20).alias("overall_score"))
+    regimes = f.where("session_id != '2'").select("session_id", (F.col("frame_idx") % 4).alias("regime"))
+    gated = sessions.select("session_id", (k % 3 != 0).alias("allow"))
+    events = E.event_catalog(_tracked(spark, sf), 8, 8, 1.0)
+    out = A.signature(f, events, closures, health, P.frame_medians(f), P.pixel_state(f), regimes, gated)
+    return out.select("session_id", "event_count", *_r("closure_score", "health_score", "baseline_drift_abs", "noise_mean", "noise_p95"), "n_regimes", "inference_skipped")
+
+
+@query(f"WITH {SCORES} SELECT session_id, round(h, 6) AS health_score, round(c, 6) AS closure_score, CASE WHEN c IS NULL THEN 'no_processed_series' ELSE '' END AS failure_modes, 0 AS n_recommendations FROM sc")
+def qc_summary(spark: SparkSession, sf: str) -> DataFrame:
+    sc = _scores(spark, sf)
+    out = A.qc_summary(sc.withColumnRenamed("health_score", "overall_score"), sc.where("closure_score IS NOT NULL"))
+    return out.select("session_id", *_r("health_score", "closure_score"), F.array_join("failure_modes", ";").alias("failure_modes"), F.size("recommendations").alias("n_recommendations"))
+
+
+@query(f"""WITH {TIMELINE}, {SHIFTS}, {SCORES}, pv AS (SELECT session_id, bin, lag(bin) OVER (PARTITION BY session_id ORDER BY bin) AS before FROM tl),
+st AS (SELECT session_id, min(t) AS t0 FROM a GROUP BY ALL),
+mv2 AS (SELECT sh.*, strftime(make_timestamp(t0 + before * 86400000000), '%Y-%m-%dT%H:%M:%S.%fZ') AS ta, strftime(make_timestamp(t0 + bin * 86400000000), '%Y-%m-%dT%H:%M:%S.%fZ') AS tb FROM sh JOIN pv USING (session_id, bin) JOIN st USING (session_id) JOIN gt USING (session_id) WHERE len(rs) = 0)
+SELECT session_id, 'finding_' || substr(sha256('{{"d":' || round(d, 3) || ',"kind":"regime_shift","regime":"' || g || '","session":"' || session_id || '","t0":"' || ta || '","t1":"' || tb || '"}}'), 1, 16) AS finding_id, 'Regime transition detected' AS title,
+  printf('Regime fraction shift of %.2f in regime %d between adjacent time bins.', d, g) AS summary, ta AS t_start, tb AS t_end, 'timeline' AS artifact_refs, round(least(0.95, 0.5 + d), 6) AS confidence, 'regimes;transition' AS tags, true AS supported, NULL AS unsupported_reason FROM mv2
+UNION ALL SELECT session_id, 'finding_' || substr(sha256('{{"kind":"inference_skipped","session":"' || session_id || '"}}'), 1, 16), 'Inference skipped', 'The session is not inferred from.', NULL, NULL, '', 1, 'gate', false, array_to_string(rs, ';') FROM gt WHERE len(rs) > 0""")
+def findings_report(spark: SparkSession, sf: str) -> DataFrame:
+    starts = _read(spark, sf, "events").groupBy((F.col("user_id") % 5).cast("string").alias("session_id")).agg(F.min(F.col("ts").cast("timestamp")).alias("t0"))
+    out = A.findings_report(I.regime_shifts(_timeline(spark, sf), 4, 0.05), I.gate(_scores(spark, sf)), starts, 86_400)
+    return out.select("session_id", "finding_id", "title", "summary", "t_start", "t_end", F.array_join("artifact_refs", ";").alias("artifact_refs"), *_r("confidence"), F.array_join("tags", ";").alias("tags"), "supported", "unsupported_reason")
+
+
+BOTH = f"""{AXIS}, mo AS (SELECT session_id, CASE WHEN k BETWEEN 0 AND 299 AND abs((t - t0) / 1e6 - k * 3600.0) <= 900 THEN k::INTEGER END AS frame_idx, row_id FROM (SELECT *, round_even((t - t0) / 1e6 / 3600.0, 0) AS k FROM obs JOIN axis USING (session_id)))"""
+
+
+@query(f"WITH {OBS}, {BOTH} SELECT row_id, frame_idx FROM mo")
+def frame_map_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """By cadence alone over 300 frames: rows off the axis have no frame."""
+    return J.map_to_frames(observations(spark, sf), _axis(spark, sf).withColumn("n_frames", F.lit(300)), tolerance=900.0, held=False).select("row_id", "frame_idx")
+
+
+@query(f"""WITH {OBS}, {BOTH}, sh2 AS (SELECT session_id, count(frame_idx) FILTER (row_id % 2 = 0) / nullif(count(*) FILTER (row_id % 2 = 0), 0) AS a, count(frame_idx) FILTER (row_id % 2 = 1) / nullif(count(*) FILTER (row_id % 2 = 1), 0) AS b FROM mo GROUP BY ALL)
+SELECT session_id, round(coalesce(a, 0), 6) AS coverage_observed, round(coalesce(b, 0), 6) AS coverage_reference, round(greatest(coalesce(a, 0), coalesce(b, 0)), 6) AS coverage, round(greatest(0, least(1, 0.6 * (session_id::INTEGER % 10) / 10 + 0.4 * greatest(coalesce(a, 0), coalesce(b, 0)))), 6) AS alignment_confidence FROM sh2""")
+def alignment_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage of two tables, here events of even and of odd ids."""
+    axis = _axis(spark, sf).withColumn("n_frames", F.lit(300))
+    mapped = J.map_to_frames(observations(spark, sf), axis, tolerance=900.0, held=False)
+    cadence = axis.select("session_id", (F.col("session_id").cast("int") % 10 / 10).alias("confidence"))
+    return Q.alignment_confidence(mapped.where("row_id % 2 = 0"), mapped.where("row_id % 2 = 1"), cadence).select("session_id", *_r("coverage_observed", "coverage_reference", "coverage", "alignment_confidence"))
+
+
+@query(f"""WITH {OBS}, {REF}, ss AS (SELECT c_custkey::VARCHAR AS session_id FROM customer)
+SELECT session_id, CASE WHEN session_id = '7' THEN 1767225600000000 ELSE coalesce(a, b, 0) END AS t0, CASE WHEN session_id = '7' THEN 'config.synthetic_t0_utc' WHEN a IS NOT NULL THEN 'particle.t_utc.min_raw' WHEN b IS NOT NULL THEN 'processed.t_utc.min' ELSE 'epoch_fallback' END AS anchor_source
+FROM ss LEFT JOIN (SELECT session_id, min(t) AS a FROM obs WHERE session_id::INTEGER % 3 = 0 GROUP BY ALL) USING (session_id) LEFT JOIN (SELECT session_id, min(t) AS b FROM ref GROUP BY ALL) USING (session_id)""")
+def axis_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    sessions = _read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("session_id"))
+    out = J.anchors(sessions, observations(spark, sf).where("CAST(session_id AS INT) % 3 = 0"), reference(spark, sf), {"7": "2026-01-01T00:00:00Z"})
+    return out.select("session_id", _us("t0"), "anchor_source")
+
+
+_STEPS = "st_{0} AS (SELECT session_id, lag(t) OVER (PARTITION BY session_id ORDER BY t) AS t_start, t AS t_end FROM {0}), gp_{0} AS (SELECT s.session_id, t_start, t_end, (t_end - t_start) / 1e6 AS delta FROM st_{0} s JOIN ({1}) c USING (session_id) WHERE (t_end - t_start) / 1e6 > 5 * dt)"
+SOURCED = ", ".join(_STEPS.format(x, CADENCE.format(x)) for x in ("obs", "ref")) + """, found AS (
+SELECT session_id, 'particle' AS source, 'missing' AS kind, t_start, t_end, delta AS amount FROM gp_obs UNION ALL SELECT session_id, 'particle', 'duplicate', t, t, (count(*) - 1)::DOUBLE FROM obs GROUP BY session_id, t HAVING count(*) > 1
+UNION ALL SELECT session_id, 'processed', 'missing', t_start, t_end, delta FROM gp_ref UNION ALL SELECT session_id, 'processed', 'duplicate', t, t, (count(*) - 1)::DOUBLE FROM ref GROUP BY session_id, t HAVING count(*) > 1
+UNION ALL SELECT session_id, 'processed', 'non_monotonic', NULL, NULL, min(d) FROM (SELECT session_id, price - lag(price) OVER (PARTITION BY session_id ORDER BY frame_idx) AS d FROM ref) GROUP BY session_id HAVING count(*) >= 3 AND count(*) FILTER (d < 0) > 0)"""
+
+
+@query(f"WITH {OBS}, {REF}, {SOURCED} SELECT session_id, source, kind, t_start, t_end, round(amount, 6) AS amount, row_number() OVER (PARTITION BY session_id ORDER BY source, t_start NULLS LAST, kind, t_end)::INTEGER AS place FROM found")
+def integrity_sourced(spark: SparkSession, sf: str) -> DataFrame:
+    out = R.sourced_integrity(observations(spark, sf), reference(spark, sf), "price", "frame_idx")
+    return out.select("session_id", "source", "kind", _us("t_start"), _us("t_end"), *_r("amount"), "place")
+
+
 # Raw tables.
 
 
