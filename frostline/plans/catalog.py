@@ -692,6 +692,59 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     return I.findings(shifts, I.gate(_scores(spark, sf))).select("session_id", "finding_id", "title", *_r("confidence"), "evidence")
 
 
+# Events in their context, and what sums a session up.
+
+CALM = "calm AS (SELECT session_id, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round(activity, 9), frame_idx) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM act) WHERE r <= greatest(round_even(n * 0.2::DOUBLE, 0), 5)), pq AS (SELECT px.* FROM px JOIN calm USING (session_id, frame_idx))"
+
+
+@query(f"""WITH {PX}, {ACT}, {CALM}, {STATE.replace("FROM px", "FROM pq")} SELECT session_id, y::INTEGER AS y, x::INTEGER AS x, round("median", 6) AS "median", round(noise, 6) AS noise, round(nonuniformity, 6) AS nonuniformity, dead FROM state""")
+def pixel_state_quiescent(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of pixels over each session's calmest frames alone."""
+    f = stacks(spark, sf)
+    calm = P.quiescent_frames(P.frame_activity(f).select("session_id", "frame_idx", *_r("activity", digits=9)), least=5)
+    state = P.pixel_state(f.join(calm.select("session_id", "frame_idx"), ["session_id", "frame_idx"], "left_semi"))
+    return P.state_pixels(state, 8).select("session_id", "y", "x", *_r("median", "noise", "nonuniformity"), "dead")
+
+
+CONTEXT = """spots AS (SELECT ev.*, e.cy, e.cx, round_even(e.cy, 0)::INTEGER AS ey, round_even(e.cx, 0)::INTEGER AS ex FROM ev JOIN (SELECT session_id, track, avg(cy) AS cy, avg(cx) AS cx FROM tracked GROUP BY ALL) e USING (session_id, track) WHERE fp > fs AND fp < fe),
+cx AS (SELECT s.*, t.noise, t.nonuniformity, b.baseline, dp / (t.noise + 1e-6) AS snr, least(1, sqrt((zy - ay) ** 2 + (zx - ax) ** 2) / (sqrt(128::DOUBLE) + 1e-9)) AS motion, greatest(0, least(1, 1 - least(ay, ax, 7 - ay, 7 - ax) / (4 + 1e-9))) AS edge
+  FROM spots s LEFT JOIN state t ON t.session_id = s.session_id AND t.y = s.ey AND t.x = s.ex LEFT JOIN dense d ON d.session_id = s.session_id AND d.place = s.fp LEFT JOIN base b ON b.session_id = d.session_id AND b.frame_idx = d.frame_idx)"""
+
+
+def _in_context(spark: SparkSession, sf: str) -> DataFrame:
+    f = stacks(spark, sf)
+    baseline = P.frame_medians(f).join(_dense(spark, sf), ["session_id", "frame_idx"]).select("session_id", F.col("place").alias("frame_idx"), "baseline")
+    return E.with_context(E.event_catalog(_tracked(spark, sf), 8, 8, 1.0), P.state_pixels(P.pixel_state(f), 8), baseline)
+
+
+@query(f"WITH RECURSIVE {PX}, {STATE}, {COLD}, {LABELS}, {TRACKS}, {CONTEXT} SELECT session_id, track, ey AS y, ex AS x, round(noise, 6) AS noise, round(nonuniformity, 6) AS nonuniformity, round(baseline, 6) AS baseline, round(snr, 6) AS snr FROM cx")
+def event_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with the state at their mean place, the baseline at their peak, and snr."""
+    return _in_context(spark, sf).select("session_id", "track", "y", "x", *_r("noise", "nonuniformity", "baseline", "snr"))
+
+
+_Q = ", ".join(f"round(quantile_cont({a}, {p / 100}), 6) AS {b}_q{p}" for a, b in (("snr", "snr"), ("dp", "delta_peak"), ("en", "energy"), ("ap", "area_peak_px"), ("dur", "duration_s")) for p in (10, 50, 90))
+
+
+@query(f"""WITH RECURSIVE {PX}, {STATE}, {COLD}, {LABELS}, {TRACKS}, {CONTEXT}, e AS (SELECT session_id, count(*) AS n_events, round(avg(motion), 6) AS motion_score_mean, round(avg(edge), 6) AS edge_proximity_mean, {_Q} FROM cx GROUP BY session_id),
+sr AS (SELECT session_id, d.place AS k, b.baseline FROM base b JOIN dense d USING (session_id, frame_idx)),
+s AS (SELECT session_id, round(arg_max(CASE WHEN k % 3 <> 0 THEN baseline END, k), 6) AS total_final, round(quantile_cont(baseline, 0.1), 6) AS rate_windowed_q10, round(quantile_cont(baseline, 0.9), 6) AS rate_windowed_q90 FROM sr GROUP BY session_id),
+rc AS (SELECT session_id, string_agg(g || ':' || round(c / t, 6), ',' ORDER BY g) AS regime_shares FROM (SELECT session_id, f % 3 AS g, count(*) AS c, sum(count(*)) OVER (PARTITION BY session_id) AS t FROM co GROUP BY session_id, f % 3) GROUP BY session_id),
+ss AS (SELECT DISTINCT session_id FROM px)
+SELECT session_id, round(1 - session_id::INTEGER / 20, 6) AS health_score, CASE WHEN session_id <> '4' THEN round(session_id::INTEGER / 10, 6) END AS closure_score, coalesce(n_events, 0) AS n_events, e.* EXCLUDE (session_id, n_events), s.* EXCLUDE (session_id), regime_shares FROM ss LEFT JOIN e USING (session_id) LEFT JOIN s USING (session_id) LEFT JOIN rc USING (session_id)""")
+def session_phenotype(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary features of each session; baselines stand for its series, thirds of frames for regimes."""
+    f = stacks(spark, sf)
+    sessions, k = f.select("session_id").distinct(), F.col("session_id").cast("int")
+    level = P.frame_medians(f).join(_dense(spark, sf), ["session_id", "frame_idx"])
+    rows = level.select("session_id", F.col("place").alias("frame_idx"), F.when(F.col("place") % 3 != 0, F.col("baseline")).alias("total"), F.col("baseline").alias("rate_windowed"), F.lit(None).cast("double").alias("rate_robust"), F.lit(None).cast("double").alias("rate_event"))
+    regimes = _tracked(spark, sf).select("session_id", (F.col("frame_idx") % 3).alias("regime"))
+    out = I.phenotype(_in_context(spark, sf), rows, regimes, sessions.select("session_id", (1 - k / 20).alias("overall_score")), sessions.where("session_id != '4'").select("session_id", (k / 10).alias("closure_score")))
+    shares = F.array_join(F.transform(F.array_sort(F.map_entries("regime_shares")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), F.round(e["value"], 6).cast("string"))), ",").alias("regime_shares")
+    names = [f"{c}_q{p}" for c in ("snr", "delta_peak", "energy", "area_peak_px", "duration_s") for p in (10, 50, 90)]
+    return out.select("session_id", *_r("health_score", "closure_score"), "n_events", *_r("motion_score_mean", "edge_proximity_mean", *names, "total_final", "rate_windowed_q10", "rate_windowed_q90"), shares)
+
+
 # Audits of finished sessions.
 
 
