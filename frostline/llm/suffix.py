@@ -6,7 +6,9 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
    anchors, so a window repeats only where its first anchor does. Texts are hashed once for this, and each row's anchors written. They are
    counted over all documents (least and largest doc_id, combined before the shuffle); windows whose anchor stands in one document alone
    cannot repeat and need no more work.
-2. Consecutive windows of one anchor form a segment of under twice ``length`` bytes. A task sends equal segments on once.
+2. Consecutive windows of one anchor form a segment of under twice ``length`` bytes. A task sends equal segments on once. Segments go by a 64-bit hash
+   of their bytes, but never by it alone: a task tells them apart by their bytes, and a shard compares the bytes that different tasks sent under one
+   hash. Should two segments ever share one, the work is done again with another hash.
 3. Segments are dealt to shards by anchor; an anchor with more than HOT segments is dealt over several shards. Each shard
    sorts its suffixes by Larsson-Sadakane refinement (only groups that are still tied are sorted again, by the rank of the suffix
    that follows) and finds their common prefixes by Kasai's rule, for all segments of the shard side by side. Neighbours with a common
@@ -20,7 +22,7 @@ No task ever holds more than one shard, and nothing but counts reaches the drive
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -186,6 +188,8 @@ def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     return owner, offset, np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else group
 
 
+#: In place of a shard's number: a segment whose windows are done with, and one of several that share a hash.
+DONE, SHARED = -1, -2
 RUNS = "array<struct<off:int,n:int,least:long>>"
 SORTED = ["anchor", "id", "salt", "runs", "window", "offset", "least"]
 
@@ -209,10 +213,15 @@ def _runs(owner: np.ndarray, offset: np.ndarray, least: np.ndarray, own: np.ndar
     return owner[at][cut], _run_lists(offset[at], size, least[at], np.diff(np.append(cut, len(at))))
 
 
-def _batch(anchor: np.ndarray, ids: np.ndarray, runs: pa.ListArray) -> pa.RecordBatch:
-    """Segments whose windows are done with."""
+def segment_hash(part: bytes, seed: int) -> int:
+    """64 bits of a segment's bytes."""
+    return xxhash.xxh3_64_intdigest(part, seed)
+
+
+def _batch(anchor: np.ndarray, ids: np.ndarray, runs: pa.ListArray, salt: int = DONE) -> pa.RecordBatch:
+    """Segments whose windows are done with, or that share a hash."""
     n = len(anchor)
-    none = [pa.array(np.full(n, -1, np.int32)), runs, pa.nulls(n, pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64))]
+    none = [pa.array(np.full(n, salt, np.int32)), runs, pa.nulls(n, pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64))]
     return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), *none], SORTED)
 
 
@@ -253,8 +262,11 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(doc, mark, spans array<struct<start, n>>) of each document with repeats: runs of window starts; docs (doc, mark, text)."""
+def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = HOT, identify: Callable[[bytes, int], int] = segment_hash, seed: int = 0) -> DataFrame:
+    """(doc, mark, spans array<struct<start, n>>) of each document with repeats: runs of window starts; docs (doc, mark, text).
+
+    identify(bytes, seed) gives segments 64-bit names; where it gives two of them one, all is done again with the next seed.
+    """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
 
@@ -277,8 +289,10 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each segment with a shared anchor; its bytes with the first of its rows in this task, and a second row is marked as well."""
-        lowest: dict[int, int] = {}  # equal segments have one id, and so one anchor
-        twice: set[int] = set()
+        met: dict[bytes, int] = {}  # the place of each segment met in the lists
+        names: list[int] = []  # equal segments have one name, and so one anchor
+        lowest: list[int] = []
+        twice = bytearray()
         for docs, marks, rows, text, ends in _chunks(batches, "doc", "mark"):
             owner, start, windows, hashes = segments(text, ends, length)
             want = np.unique(rows["anchors"].flatten().to_numpy())
@@ -287,25 +301,26 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
             owner, start, hashes = owner[at], start[at], hashes[at]
             raw, first = text.tobytes(), start + np.concatenate([[0], ends[:-1]])[owner]
             parts = [raw[i:j] for i, j in zip(first.tolist(), (first + windows[at] + length - 1).tolist(), strict=True)]
-            ids = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)).view(np.int64)
-            doc, send = docs[owner], [False] * len(parts)
-            for k, (key, d) in enumerate(zip(ids.tolist(), doc.tolist(), strict=True)):
-                had = lowest.get(key)
-                if had is None:
-                    lowest[key] = d
-                    send[k] = True
-                elif d < had:
-                    lowest[key] = d
-                    twice.add(key)
+            doc, send, ids = docs[owner], [False] * len(parts), []
+            for k, (part, d) in enumerate(zip(parts, doc.tolist(), strict=True)):
+                at = met.get(part)
+                if at is None:
+                    at = met[part] = len(names)
+                    names.append(identify(part, seed))
+                    lowest.append(d)
+                    twice.append(0)
                     send[k] = True
+                elif d < lowest[at]:
+                    lowest[at], twice[at], send[k] = d, 1, True
                 else:
                     parts[k] = None
-                    if d != had and key not in twice:
-                        twice.add(key)
-                        send[k] = True
-            if len(lowest) > MEMO:
-                lowest.clear()
-                twice.clear()
+                    if d != lowest[at] and not twice[at]:
+                        twice[at], send[k] = 1, True
+                ids.append(names[at])
+            ids = np.array(ids, np.uint64).view(np.int64)
+            if len(met) > MEMO:
+                for memory in (met, names, lowest, twice):
+                    memory.clear()
             cols = [pa.array(x) for x in (doc, marks[owner], start.astype(np.int32), hashes, ids, send)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(parts, pa.binary())], ["doc", "mark", "start", "anchor", "id", "send", "part"])
         trim()
@@ -326,6 +341,12 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
             anchor, salt, ids, doc = (table[c].to_numpy() for c in ("anchor", "salt", "id", "doc"))
             first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1])]))
             least, largest = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+            # what was sent under one hash must be one segment, byte for byte
+            begin = np.repeat(first, np.diff(first, append=len(ids)))
+            again = np.flatnonzero(table["part"].is_valid().to_numpy() & (begin != np.arange(len(ids))))
+            clash = again[pc.fill_null(pc.not_equal(table["part"].take(again), table["part"].take(begin[again])), True).to_numpy().astype(bool)]
+            if len(clash):
+                yield _batch(anchor[clash], ids[clash], _run_lists(*[np.zeros(0, np.int64)] * 3, np.zeros(len(clash), np.int64)), SHARED)
             bodies = table["part"].take(first).to_pylist()  # the least doc_id's row has the bytes
             anchor, salt, ids = anchor[first], salt[first], ids[first]
             alone = np.concatenate([[True], anchor[1:] != anchor[:-1]]) & np.concatenate([anchor[1:] != anchor[:-1], [True]]) & (salt < 0)
@@ -353,6 +374,9 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
     sorted_ = dealt.mapInArrow(sort_shards, shape)
     sorted_ = scratch.stage("sorted", sorted_)
     scratch.free_shuffles()
+    if not sorted_.where(F.col("salt") == SHARED).isEmpty():
+        scratch.drop("parts", "sorted", "hot")
+        return find_repeats(docs.drop("key"), scratch, length, hot, identify, seed + 1)
     runs = sorted_.where("salt < 0").select("anchor", "id", F.explode("runs").alias("r")).select("anchor", "id", "r.*")
     split = sorted_.where("salt >= 0").select("anchor", "id", "salt", "window", "offset", "least")
     runs = runs.unionByName(_merged(split, counts, hot, length))
@@ -390,7 +414,7 @@ def _merged(split: DataFrame, counts: DataFrame, hot: int, length: int) -> DataF
     return out.select("anchor", "id", F.col("offset").alias("off"), F.lit(1).alias("n"), "least")
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = HOT, identify: Callable[[bytes, int], int] = segment_hash) -> DataFrame:
     """docs (doc_id, text; other columns stay out) with what is left of each: doc_id, n_bytes, n_removed, n_spans, kept binary.
 
     Removed is each byte under a ``length``-byte string that also starts in a row with a smaller doc_id, judged on the input. Null texts
@@ -399,7 +423,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot:
     """
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text_or_empty().alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    spans = scratch.stage("spans", find_repeats(rows.select("doc", "mark", "text"), scratch, length, hot))
+    spans = scratch.stage("spans", find_repeats(rows.select("doc", "mark", "text"), scratch, length, hot, identify))
     scratch.drop("parts", "sorted", "hot")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
