@@ -187,20 +187,28 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
                 start, size = at, 0
 
 
-def train_dictionary(docs: DataFrame, path: str, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMPLE_DOCS) -> bytes:
-    """A dictionary from the id arrays of a bounded sample: the ``sample_docs`` short texts whose ids hash lowest.
+def train_dictionary(docs: DataFrame, path: str, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, int]:
+    """A dictionary from the id arrays of a bounded sample, the ``sample_docs`` short texts whose ids hash lowest, and the bytes of an id.
 
-    Fewer than 50 such texts give an empty dictionary, which frames do without.
+    Fewer than 50 such texts give an empty dictionary, which frames do without. It is trained in a task: the driver gets the dictionary alone.
     """
     short = docs.where(F.length("text").between(1, SAMPLE_CHARS))
     ids = short.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct()  # ids alone are sorted
-    sample = [r["text"] for r in short.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").limit(sample_docs).collect()]
-    if len(sample) < 50:
-        return b""
-    try:
-        return zstandard.train_dictionary(dict_bytes, Encoder(path).encode(sample), level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too little to train on
-        return b""
+    sample = short.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(sample_docs)
+    always = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("text"))  # so that there is a task where there is no text
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [x for batch in batches for x in batch["text"].to_pylist() if x]
+        enc, body = encoder(path), b""
+        if len(texts) >= 50:
+            try:
+                body = zstandard.train_dictionary(dict_bytes, enc.encode(texts), level=LEVEL).as_bytes()
+            except zstandard.ZstdError:  # too little to train on
+                pass
+        yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary()), pa.array([2 if enc.kind.itemsize == 2 else 4], pa.int32())], ["body", "wide"])
+
+    row = sample.unionByName(always).coalesce(1).mapInArrow(train, "body binary, wide int").first()
+    return bytes(row["body"]), row["wide"]
 
 
 def _codec(body: bytes) -> dict:
@@ -259,9 +267,8 @@ def write_tokens(docs: DataFrame, to: str, scratch: Scratch, path: str | None =
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    body = train_dictionary(docs, path, dict_bytes)
+    body, wide = train_dictionary(docs, path, dict_bytes)
     mark = hashlib.sha256(body).hexdigest()
-    wide = 2 if encoder(path).kind.itemsize == 2 else 4
     frames = scratch.stage("frames", encode_frames(docs, path, body))
     parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = (
