@@ -959,7 +959,7 @@ def unit_conversions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def session_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    """All stages over the frames table; products depend on the greedy tracks, so there is no SQL."""
+    """All stages over the frames table. Its parts have SQL twins of their own; the whole, with converged regimes, has none."""
     frame_rows = stacks(spark, sf).join(_dense(spark, sf), ["session_id", "frame_idx"]).select("session_id", (F.col("place") - 1).alias("frame_idx"), "pixels")
     axis = frame_rows.groupBy("session_id").agg(F.timestamp_seconds(F.lit(1_704_067_200)).alias("t0"), F.lit(1.0).alias("dt"), F.count("*").cast("int").alias("n_frames"))
     k = F.col("event_id")

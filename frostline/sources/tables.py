@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict, is_dataclass
 from datetime import UTC, datetime
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,10 +91,26 @@ def write_frames(frames: DataFrame, path: str) -> None:
     frames.select(*FRAMES.fieldNames()).write.mode("overwrite").partitionBy("session_id").parquet(path)
 
 
-def wrap(payload: dict, schema_version: str, config_hash: str, input_hashes: dict[str, str]) -> str:
-    """A small JSON artifact: header and payload, keys in order, no NaN."""
+def canonical(value: object) -> str:
+    """JSON with sorted keys and no spaces; dataclasses count as their fields. NaN and infinity are an error."""
+    return json.dumps(asdict(value) if is_dataclass(value) else value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def config_hash(config: object) -> str:
+    """The sha256 of a configuration's canonical JSON."""
+    return sha256(canonical(config).encode()).hexdigest()
+
+
+def wrap(payload: object, schema_version: str, config_hash: str, input_hashes: dict[str, str], artifact_type: str | None = None, **provenance: object) -> str:
+    """A small JSON artifact: header and payload, keys in order, no NaN. Its type and what else is told of its making stand in the header."""
     header = {"schema_version": schema_version, "config_hash": config_hash, "input_hashes": input_hashes, "created_at_utc": datetime.now(UTC).isoformat()}
-    return json.dumps({"header": header, "payload": payload}, sort_keys=True, indent=2, allow_nan=False)
+    header |= ({"artifact_type": artifact_type} if artifact_type else {}) | ({"provenance": provenance} if provenance else {})
+    return json.dumps({"header": header, "payload": payload}, sort_keys=True, indent=2, ensure_ascii=False, allow_nan=False)
+
+
+def write_artifact(spark: SparkSession, path: str, text: str) -> None:
+    """One artifact's text as a file in the folder ``path``, which it replaces; Spark's committer writes it whole or not at all, in any store that Spark reaches."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def with_provenance(df: DataFrame, schema_version: str, config_hash: str) -> DataFrame:

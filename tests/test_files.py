@@ -93,3 +93,18 @@ def test_optional_tables(spark, tmp_path):
     assert files.read_optional(spark, str(tmp_path / "some"), "id long").count() == 3
     with pytest.raises(Exception, match="nonsense"):
         files.read_optional(spark, str(tmp_path / "some"), "id long", kind="nonsense")
+
+
+def test_artifacts_go_out_and_come_back(spark, tmp_path):
+    from frostline.plans.session import Settings
+
+    mark = tables.config_hash(Settings(75, 90))
+    assert mark == tables.config_hash(Settings(75, 90)) != tables.config_hash(Settings(75, 90, gate="soft"))
+    assert tables.canonical({"b": 1, "a": [1.5, "é"]}) == '{"a":[1.5,"é"],"b":1}'
+    with pytest.raises(ValueError):
+        tables.canonical({"a": float("nan")})
+    tables.write_artifact(spark, str(tmp_path / "a"), tables.wrap({"a": 7, "b": None}, "v1", mark, {"in": "x"}, "regimes", stage="inference"))
+    sound, rejected = files.read_artifacts(spark, str(tmp_path / "a"), PAYLOAD, "v1")
+    assert [(r["payload"]["a"], r["config_hash"], r["input_hashes"]) for r in sound.collect()] == [(7, mark, {"in": "x"})] and rejected.isEmpty()
+    raw = json.loads("".join(r["value"] for r in spark.read.text(str(tmp_path / "a"), wholetext=True).collect()))
+    assert raw["header"]["artifact_type"] == "regimes" and raw["header"]["provenance"] == {"stage": "inference"}

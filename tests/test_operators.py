@@ -263,3 +263,27 @@ def test_a_session_with_a_known_event(spark):
     assert out["validation"].first()["mean_dt_s"] == abs(31 - event[0]["frame_peak"])
     assert out["latent"].count() == 6 and out["violations"].isEmpty() and out["integrity"].isEmpty()
     assert out["phenotype"].first()["n_events"] == 1 and out["gate"].first()["allow"]
+
+
+def test_clock_changes(spark):
+    """In spring an hour lacks and times in it go forward; in autumn one comes twice and the first counts."""
+    df = spark.createDataFrame([("2026-03-08", "01:59:59"), ("2026-03-08", "02:30:00"), ("2026-03-08", "03:00:00"), ("2026-11-01", "01:30:00"), ("2026-11-01", "02:00:00")], "d string, t string")
+    got = [r[0].strftime("%m-%dT%H:%M:%S") for r in df.select(F.date_format(S.parse_local_time(F.col("d"), F.col("t"), "America/New_York"), "yyyy-MM-dd HH:mm:ss").cast("timestamp")).collect()]
+    assert got == ["03-08T06:59:59", "03-08T07:30:00", "03-08T07:00:00", "11-01T05:30:00", "11-01T07:00:00"]
+
+
+def test_a_configured_step_comes_first(spark):
+    one = spark.createDataFrame([("a", 2.0, 9), ("b", None, 1)], "session_id string, dt double, n long")
+    other = spark.createDataFrame([("a", 3.0, 5), ("c", 4.0, 100)], "session_id string, dt double, n long")
+    got = {r["session_id"]: (r["dt"], r["confidence"], r["source"]) for r in series.cadence_policy(one, other).collect()}
+    assert got == {"a": (2.0, 0.9, "aligned_from_tables"), "b": (None, 0.1, "unknown"), "c": (4.0, 0.8, "aligned_from_tables")}
+    assert {tuple(r)[1:] for r in series.cadence_policy(one, other, 5.0).collect()} == {(5.0, 0.95, "config")}
+    with pytest.raises(ValueError):
+        series.cadence_policy(one, other, 0.0)
+
+
+def test_saturated_events_and_events_too_short(spark):
+    rows = [("s", "t", f, 0, 1.0, 1.0, 3.0, 5.0, 100.0 if f < 2 else 60_000.0, 1) for f in range(4)] + [("s", "short", f, 0, 1.0, 1.0, 3.0, 5.0, 1.0, 1) for f in range(2)] + [("s", "flat", f, 0, 1.0, 1.0, 3.0, 5.0, 59_999.0, 1) for f in range(3)]
+    df = spark.createDataFrame(rows, "session_id string, track string, frame_idx int, comp long, cy double, cx double, deepest double, energy double, brightest double, area long")
+    got = {r["track"]: (r["saturated"], r["frame_peak"], r["duration_s"]) for r in events.event_catalog(df, 8, 8, 2.0).collect()}
+    assert got == {"t": (True, 1, 8.0), "flat": (False, 1, 6.0)}
