@@ -1,17 +1,16 @@
 """Benchmark items of a few words, found wherever they stand in a text."""
 
-import re
-
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 from frostline.llm import contamination
 from frostline.llm.common import Scratch
 
 
 def pairs_by_hand(docs: list[tuple], items: list[tuple]) -> set[tuple]:
-    words = lambda x: re.findall(r"\w+", (x or "").lower())
+    words = lambda x: regex.findall(r"[\p{L}\p{M}\p{N}]+", (x or "").lower())
 
     def shingles(w: list[str]) -> set[str]:
         return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} - {""}
