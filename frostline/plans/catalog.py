@@ -27,6 +27,8 @@ from frostline.sources import files as L
 from frostline.sources import masks as M
 from frostline.sources import tables as T
 from frostline.sources.stage import Store
+from frostline.streaming import backfill as B
+from frostline.streaming import monitor as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -745,6 +747,34 @@ def session_phenotype(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("session_id", *_r("health_score", "closure_score"), "n_events", *_r("motion_score_mean", "edge_proximity_mean", *names, "total_final", "rate_windowed_q10", "rate_windowed_q90"), shares)
 
 
+# Streams, over stored tables.
+
+
+def _streamed(spark: SparkSession, sf: str, operator: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    rows = observations(spark, sf).select((F.col("session_id").cast("long") % k).cast("string").alias("session_id"), "t", "value")
+    return B.backfill(B.stateful_session(spark), rows, operator, f"{Store(spark).root}/stream")
+
+
+@query("SELECT (user_id % 5)::VARCHAR AS session_id, epoch_us(ts) // 3600000000 * 3600000000 AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def streamed_bins(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, lambda x: V.binned(x, 3600), 5).select("session_id", _us("start"), "n", *_r("mean"))
+
+
+@query("""WITH e AS (SELECT (user_id % 5)::VARCHAR AS session_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, sum(coalesce((t - p >= 1800000000)::INTEGER, 1)) OVER (PARTITION BY session_id ORDER BY t) AS b FROM (SELECT *, lag(t) OVER (PARTITION BY session_id ORDER BY t) AS p FROM e))
+SELECT session_id, min(t) AS start, max(t) + 1800000000 AS "end", count(*) AS n FROM g GROUP BY session_id, b""")
+def streamed_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, lambda x: V.bursts(x, "30 minutes"), 5).select("session_id", _us("start"), _us("end"), "n")
+
+
+@query("""WITH RECURSIVE e AS (SELECT session_id, t, value, row_number() OVER (PARTITION BY session_id ORDER BY t, value) AS n FROM (SELECT (user_id % 40)::VARCHAR AS session_id, epoch_us(ts) AS t, value FROM events)),
+f AS (SELECT DISTINCT session_id, 0::BIGINT AS t, 0::BIGINT AS n, 0.0::DOUBLE AS x, 1.0::DOUBLE AS p FROM e
+  UNION ALL SELECT e.session_id, e.t, e.n, f.x + (f.p + 1) / (f.p + 2) * (e.value - f.x), (f.p + 1) / (f.p + 2) FROM f JOIN e ON e.session_id = f.session_id AND e.n = f.n + 1)
+SELECT session_id, t, n, round(x, 6) AS level, round(p, 6) AS variance FROM f WHERE n > 0""")
+def streamed_level(spark: SparkSession, sf: str) -> DataFrame:
+    """The running filter after each observation, taken in order of time."""
+    return _streamed(spark, sf, lambda x: V.running_level(x, forget="10000 days"), 40).select("session_id", _us("t"), "n", *_r("level", "variance"))
+
+
 # Audits of finished sessions.
 
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostline.operators import events
-from frostline.streaming import monitor
+from frostline.sources.stage import Store
+from frostline.streaming import backfill, monitor
 
 START = dt.datetime(2026, 1, 1)
 
@@ -90,3 +91,13 @@ def test_bins_and_bursts_equal_those_of_a_batch(spark, tmp_path):
         (tmp_path / name).mkdir()
         got = streamed(spark, tmp_path / name, rows, shape, operator, cut)
         assert got == sorted(tuple(r) for r in operator(spark.createDataFrame(rows, shape)).collect())
+
+
+def test_backfills_of_few_rows_and_of_none(spark):
+    rows = spark.createDataFrame([("end", START, 1.0), ("a", None, 2.0), (None, START, 3.0), ("a", START + dt.timedelta(days=900), 4.0)], "session_id string, t timestamp, value double")
+    own = backfill.stateful_session(spark)
+    got = backfill.backfill(own, rows, lambda x: monitor.binned(x, 60), f"{Store(spark).root}/b")
+    assert sorted(((r["session_id"], r["n"]) for r in got.collect()), key=str) == [("a", 1), ("end", 1), (None, 1)]
+    level = backfill.backfill(own, rows, monitor.running_level, f"{Store(spark).root}/l", batches=1)
+    assert sorted(((r["session_id"], r["n"], r["level"] > 0) for r in level.collect()), key=str) == [("a", 1, True), ("end", 1, True), (None, 1, True)]
+    assert backfill.backfill(own, rows.limit(0), monitor.running_level, f"{Store(spark).root}/n").isEmpty()
