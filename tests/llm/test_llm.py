@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from frostline.llm import chat, contamination, mixing, neardup, queries, revisit, suffix, tokens, vectors
@@ -161,7 +162,7 @@ def test_query_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()
-    plain = lambda df: sorted(tuple("" if x is None or x != x else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    plain = lambda df: sorted(tuple("" if pd.isna(x) else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert plain(got) == plain(want)
 
 
