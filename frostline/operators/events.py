@@ -85,12 +85,15 @@ def components(mask: DataFrame, width: int, least: int = 1) -> DataFrame:
 
 
 def match_frames(cy: np.ndarray, cx: np.ndarray, before_y: np.ndarray, before_x: np.ndarray, reach: float) -> np.ndarray:
-    """For each component, in order, the nearest one of the frame before that no earlier component took, the first on a tie, if within ``reach``; else -1."""
+    """For each component, in order, the nearest one of the frame before that no earlier component took, the first on a tie, if within ``reach``; else -1.
+
+    Distances are roots of sums of squares, as SQL writes them: hypot rounds otherwise, and ties would go to another component.
+    """
     out, free = np.full(len(cy), -1), np.ones(len(before_y), bool)
     if not len(before_y):
         return out
     for i, (y, x) in enumerate(zip(cy, cx, strict=True)):
-        d = np.where(free, np.hypot(y - before_y, x - before_x), np.inf)
+        d = np.where(free, np.sqrt((y - before_y) ** 2 + (x - before_x) ** 2), np.inf)
         k = int(d.argmin())
         if d[k] <= reach:
             out[i], free[k] = k, False

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -287,3 +288,11 @@ def test_saturated_events_and_events_too_short(spark):
     df = spark.createDataFrame(rows, "session_id string, track string, frame_idx int, comp long, cy double, cx double, deepest double, energy double, brightest double, area long")
     got = {r["track"]: (r["saturated"], r["frame_peak"], r["duration_s"]) for r in events.event_catalog(df, 8, 8, 2.0).collect()}
     assert got == {"t": (True, 1, 8.0), "flat": (False, 1, 6.0)}
+
+
+def test_ties_of_tracks_are_those_of_sql():
+    """Both components before are equally far by the root of the sum of squares; hypot puts the second nearer."""
+    y, x, by, bx = [19 / 3], [19 / 3], [8 / 3, 2.5], [29 / 6, 16 / 3]
+    d = duckdb.execute("SELECT sqrt((? - ?::DOUBLE) ** 2 + (? - ?::DOUBLE) ** 2) = sqrt((? - ?::DOUBLE) ** 2 + (? - ?::DOUBLE) ** 2)", [y[0], by[0], x[0], bx[0], y[0], by[1], x[0], bx[1]])
+    assert d.fetchall() == [(True,)]
+    assert events.match_frames(*map(np.array, (y, x, by, bx)), 5.0).tolist() == [0]
