@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from frostline.functions.scalars import seconds_between
 from frostline.operators.blocks import fresh
+from frostline.operators.stream import run_starts
+
+#: Pairs of an event and a point that are looked at, and pairs that are passed on, at once.
+CANDIDATES, MATCHES = 1 << 20, 1 << 16
 
 
 def frame_of_time(t: Column, t0: Column, dt: Column | float, n_frames: Column | int) -> Column:
@@ -93,22 +103,85 @@ def nearest(left: DataFrame, right: DataFrame, key: str = "session_id", t: str =
     return out.select("__l.*", r.alias("r"))
 
 
-def interval_matches(events: DataFrame, points: DataFrame, frames: float, pixels: float, width: int | None = None) -> DataFrame:
+def interval_matches(events: DataFrame, points: DataFrame, frames: float, pixels: float, width: int | None = None, event_columns: Sequence[str] = (), point_columns: Sequence[str] = ()) -> DataFrame:
     """All pairs of events (session_id, event_id, frame_start, frame_end, y, x) and points (session_id, point_id, frame_idx, y, x) that are near.
 
-    Near: the point's frame lies in the event's interval or at most ``frames`` outside, and the places at most ``pixels`` apart. The
-    frame axis is cut into buckets of ``width`` and the plane into squares of ``pixels``, so the join is on equal keys: an event
-    stands in the buckets its interval reaches and nine squares, a point in one of each.
+    Near: the point's frame lies in the event's interval or at most ``frames`` outside, and the places at most ``pixels`` apart. event_columns and
+    point_columns are further columns that pairs take along, so that no table is joined once more to as many rows as there are pairs.
+
+    The frame axis is cut into pieces of ``width`` and the plane into squares of four times ``pixels``: a point stands in one of each, an event in those that it reaches,
+    mostly one to three. Both sides stream through a piece in order of frames, and only events that later points may still meet are held.
     """
-    width = width or max(1, int(4 * frames))
-    cell = lambda c, k: F.floor(F.col(c) / F.lit(float(pixels))) + k
-    reach = F.sequence(F.floor((F.col("frame_start") - frames) / width), F.floor((F.col("frame_end") + frames) / width))
-    near = F.array(*[F.struct(cell("y", i).alias("cy"), cell("x", j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    e = events.select("session_id", "event_id", "frame_start", "frame_end", F.col("y").alias("ey"), F.col("x").alias("ex"), F.explode(reach).alias("b"), near.alias("c"))
-    e = e.select("*", F.explode("c").alias("cc")).select("session_id", "event_id", "frame_start", "frame_end", "ey", "ex", "b", "cc.cy", "cc.cx")
-    p = points.select("session_id", "point_id", F.col("frame_idx").alias("frame"), F.col("y").alias("py"), F.col("x").alias("px"), F.floor(F.col("frame_idx") / width).alias("b"), cell("y", 0).alias("cy"), cell("x", 0).alias("cx"))
-    gap = F.greatest(F.lit(0), F.col("frame_start") - F.col("frame"), F.col("frame") - F.col("frame_end"))
-    out = e.join(p, ["session_id", "b", "cy", "cx"]).withColumn("dframes", gap).withColumn("dxy", F.hypot(F.col("ey") - F.col("py"), F.col("ex") - F.col("px")))
+    width = width or max(1, int(128 * frames))
+    side = 4.0 * pixels if pixels > 0 else 1.0
+    reached = lambda low, high, size: F.sequence(F.floor(low / size), F.floor(high / size))
+    at = [F.col(c).cast("double").alias(f"__{c}") for c in ("y", "x")]
+    finite = lambda *columns: reduce(lambda a, b: a & b, [F.abs(F.col(c).cast("double")) < float("inf") for c in columns])
+    low, high = F.col("frame_start") - frames, F.col("frame_end") + frames
+    body = F.struct("event_id", "frame_start", "frame_end", "y", "x", *event_columns)
+    e = events.where(finite("frame_start", "frame_end", "y", "x") & (low <= high) & F.col("session_id").isNotNull())
+    e = e.select("session_id", F.explode(reached(low, high, width)).alias("__b"), body.alias("__e"), low.cast("double").alias("__low"), high.cast("double").alias("__high"), *at)
+    for c in ("y", "x"):
+        e = e.withColumn(f"__s{c}", F.explode(reached(F.col(f"__{c}") - pixels, F.col(f"__{c}") + pixels, side)))
+    place = F.col("frame_idx").cast("double")
+    seen = F.struct("point_id", "frame_idx", "y", "x", *point_columns)
+    p = points.where(finite("frame_idx", "y", "x") & F.col("session_id").isNotNull())
+    p = p.select("session_id", F.floor(F.col("frame_idx") / width).alias("__b"), seen.alias("__p"), place.alias("__low"), place.alias("__high"), *at, *[F.floor(F.col(c) / side).alias(f"__s{c}") for c in ("y", "x")])
+    keys = ["session_id", "__b", "__sy", "__sx"]
+    # an event enters a piece at the piece's first frame at the earliest, ahead of the points of the frame it enters at
+    rows = e.withColumn("__low", F.greatest("__low", (F.col("__b") * width).cast("double"))).unionByName(p, allowMissingColumns=True)
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "__low", F.col("__p").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins = run_starts(batch, *keys)
+            begins_key = tuple(batch[k][0].as_py() for k in keys)
+            of = np.repeat(np.arange(len(begins)), np.diff(begins, append=batch.num_rows))
+            point = batch["__p"].is_valid().to_numpy(zero_copy_only=False)
+            fields = [batch[c].to_numpy() for c in ("__low", "__high", "__y", "__x")]
+            now = (of[~point], *[f[~point] for f in fields], pa.chunked_array([batch["__e"].filter(pa.array(~point))]))
+            if held is not None and key == begins_key:
+                now = (*[np.concatenate([a, b]) for a, b in zip(held[:5], now[:5], strict=True)], pa.chunked_array([*held[5].chunks, *now[5].chunks], now[5].type))
+            g, f, _, y, x = (v[point] for v in (of, *fields))
+            found = batch["__p"].filter(pa.array(point))
+            eg, el, eh, ey, ex, es = now
+            start, stop = np.zeros(len(eg), np.int64), np.zeros(len(eg), np.int64)
+            edges = np.searchsorted(g, np.arange(len(begins) + 1))
+            order = np.argsort(eg, kind="stable")
+            cut = np.searchsorted(eg[order], np.arange(len(begins) + 1))
+            for i in range(len(begins)):
+                a, b, mine = edges[i], edges[i + 1], order[cut[i] : cut[i + 1]]
+                if b > a and len(mine):
+                    start[mine], stop[mine] = a + np.searchsorted(f[a:b], el[mine]), a + np.searchsorted(f[a:b], eh[mine], "right")
+            n = np.maximum(stop - start, 0)
+            some = np.flatnonzero(n)
+            total = np.cumsum(n[some])
+            low = 0
+            while low < len(some):
+                high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + CANDIDATES, "right")))
+                part = some[low:high]
+                k = np.repeat(part, n[part])
+                j = np.arange(len(k)) - np.repeat(np.cumsum(n[part]) - n[part] - start[part], n[part])
+                near = np.flatnonzero(np.hypot(ey[k] - y[j], ex[k] - x[j]) <= pixels * (1 + 1e-9))
+                for a in range(0, len(near), MATCHES):
+                    at = near[a : a + MATCHES]
+                    left = es.take(pa.array(k[at])).combine_chunks()
+                    sessions = batch["session_id"].take(pa.array(begins[eg[k[at]]]))
+                    yield pa.RecordBatch.from_arrays([sessions, left if isinstance(left, pa.Array) else left.chunk(0), found.take(pa.array(j[at]))], ["session_id", "__e", "__p"])
+                low = high
+            last = len(begins) - 1
+            keep = (eg == last) & (eh >= fields[0][-1])
+            key = tuple(batch[k][batch.num_rows - 1].as_py() for k in keys)
+            kept = es.filter(pa.array(keep)).combine_chunks()
+            held = (np.zeros(int(keep.sum()), eg.dtype), *[v[keep] for v in (el, eh, ey, ex)], pa.chunked_array([kept]) if isinstance(kept, pa.Array) else kept)
+
+    out = rows.select(*keys, "__low", "__high", "__y", "__x", "__e", "__p").mapInArrow(run, T.StructType([rows.schema[c] for c in ("session_id", "__e", "__p")]))
+    out = out.select("session_id", *[F.col(f"__e.{c}").alias(c) for c in ("event_id", "frame_start", "frame_end", *event_columns)], *[F.col(f"__p.{c}").alias(c) for c in ("point_id", *point_columns)], F.col("__p.frame_idx").alias("__frame"), *[F.col(f"__{k}.{c}").alias(f"__{k}{c}") for k in "ep" for c in "yx"])
+    gap = F.greatest(F.lit(0), F.col("frame_start") - F.col("__frame"), F.col("__frame") - F.col("frame_end"))
+    out = out.withColumn("dframes", gap).withColumn("dxy", F.hypot(F.col("__ey") - F.col("__py"), F.col("__ex") - F.col("__px")))
     out = out.where((F.col("dframes") <= frames) & (F.col("dxy") <= pixels))
     conf = F.greatest(F.lit(0.0), 1.0 - 0.5 * F.col("dframes") / (frames + 1e-9) - 0.5 * F.col("dxy") / (pixels + 1e-9))
-    return out.select("session_id", "event_id", "point_id", "dframes", "dxy", conf.alias("confidence"))
+    return out.select("session_id", "event_id", "point_id", "dframes", "dxy", conf.alias("confidence"), *event_columns, *point_columns)
