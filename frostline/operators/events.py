@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,24 +197,36 @@ def catalog_violations(events: DataFrame) -> DataFrame:
     return named(order, "frame_order").unionByName(named(twice, "duplicate_event_id"))
 
 
-def discrepancies(matches: DataFrame, events: DataFrame, points: DataFrame) -> DataFrame:
-    """matches (event_id, point_id, ...) with the area and duration of either side and their differences."""
-    e = events.select("session_id", "event_id", F.col("area").alias("area_event"), F.col("duration_s").alias("duration_event"))
-    p = points.select("session_id", "point_id", F.col("area").alias("area_point"), F.col("duration_s").alias("duration_point"), "mass_mg")
-    out = matches.join(e, ["session_id", "event_id"]).join(p, ["session_id", "point_id"])
+def discrepancies(matches: DataFrame, events: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    """matches (event_id, point_id, ...) with the area and duration of either side and their differences.
+
+    Without events and points, matches have area_event, duration_event, area_point, duration_point and mass_mg already (see interval_matches), and nothing is joined.
+    """
+    out = matches
+    if events is not None:
+        out = out.join(events.select("session_id", "event_id", F.col("area").alias("area_event"), F.col("duration_s").alias("duration_event")), ["session_id", "event_id"])
+    if points is not None:
+        out = out.join(points.select("session_id", "point_id", F.col("area").alias("area_point"), F.col("duration_s").alias("duration_point"), "mass_mg"), ["session_id", "point_id"])
     return out.withColumn("d_area", F.col("area_event") - F.col("area_point")).withColumn("d_duration", F.col("duration_event") - F.col("duration_point"))
 
 
-def match_times(matches: DataFrame, events: DataFrame, points: DataFrame, dt: float) -> DataFrame:
+def match_times(matches: DataFrame, events: DataFrame | None, points: DataFrame | None, dt: float) -> DataFrame:
     """matches with dt_s: the seconds between the event's peak and the point, or their distance in frames times ``dt`` where either time is null.
 
-    events: (session_id, event_id, t_peak), points: (session_id, point_id, t); a match without its event or point has no such time either.
+    events: (session_id, event_id, t_peak), points: (session_id, point_id, t); a match without its event or point has no such time either. Without them,
+    matches have t_peak and t already (see interval_matches), and nothing is joined.
     """
+    if events is None and points is None:
+        return matches.withColumn("dt_s", _seconds_apart(F.unix_micros("t_peak"), F.unix_micros("t"), dt))
     peak, seen = fresh(matches, "peak", "seen")
     e = events.select("session_id", "event_id", F.unix_micros("t_peak").alias(peak))
     p = points.select("session_id", "point_id", F.unix_micros("t").alias(seen))
     out = matches.join(e, ["session_id", "event_id"], "left").join(p, ["session_id", "point_id"], "left")
-    return out.withColumn("dt_s", F.coalesce(F.abs(F.col(seen) - F.col(peak)) / 1e6, F.col("dframes") * F.lit(float(dt)))).drop(peak, seen)
+    return out.withColumn("dt_s", _seconds_apart(F.col(peak), F.col(seen), dt)).drop(peak, seen)
+
+
+def _seconds_apart(peak: Column, seen: Column, dt: float) -> Column:
+    return F.coalesce(F.abs(seen - peak) / 1e6, F.col("dframes") * F.lit(float(dt)))
 
 
 def validation_report(matches: DataFrame) -> DataFrame:
