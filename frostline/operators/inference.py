@@ -12,6 +12,7 @@ from frostline.functions.scalars import clip01, mass_to_depth, stable_id
 from frostline.operators import selection
 from frostline.operators.blocks import windowed
 from frostline.operators.series import cumulative, first_difference, time_bins
+from frostline.sources.stage import Store
 
 
 def reconstruct(events: DataFrame, axis: DataFrame, area_mm2: float = 1.0) -> DataFrame:
@@ -35,37 +36,48 @@ def closure(series: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("closure_score", F.greatest(F.lit(0.0), 1.0 - F.col("nrmse")))
 
 
-def standardise(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with each column less its session's mean over its population deviation; nulls take the median (0 without values), deviation 0 counts as 1."""
-    one = selection.medians(rows, ["session_id"], **{f"{c}__m": F.col(c) for c in columns}).na.fill(0.0)
+def standardise(rows: DataFrame, columns: list[str], keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """rows with each column less its session's mean over its population deviation; nulls take the median (0 without values), deviation 0 counts as 1.
+
+    Medians, means and deviations are a row a session: they are written (in spark.checkpoint.dir if keep is not given) and sent to the rows, so no session's rows are brought into one task.
+    """
+    keep = keep or Store(rows.sparkSession).keep
+    one = selection.small(keep("medians", selection.medians(rows, ["session_id"], **{f"{c}__m": F.col(c) for c in columns}).na.fill(0.0)))
     filled = rows.join(one, "session_id").select(*[c for c in rows.columns if c not in columns], *[F.coalesce(F.col(c), F.col(f"{c}__m")).alias(c) for c in columns])
-    stats = filled.groupBy("session_id").agg(*[f(c).alias(f"{c}__{k}") for c in columns for k, f in (("a", F.avg), ("s", F.stddev_pop))])
+    stats = selection.small(keep("deviations", filled.groupBy("session_id").agg(*[f(c).alias(f"{c}__{k}") for c in columns for k, f in (("a", F.avg), ("s", F.stddev_pop))])))
     out = filled.join(stats, "session_id")
     z = [((F.col(c) - F.col(f"{c}__a")) / F.when(F.col(f"{c}__s") > 0, F.col(f"{c}__s")).otherwise(1.0)).alias(c) for c in columns]
     return out.select(*[c for c in rows.columns if c not in columns], *z)
 
 
-def k_means(rows: DataFrame, key: str, columns: list[str], k: int = 4, rounds: int = 50, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> DataFrame:
+def k_means(rows: DataFrame, key: str, columns: list[str], k: int = 4, rounds: int = 50, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(session_id, key, regime, confidence): Lloyd's rounds in each session from its k first rows by key; an empty cluster keeps its centre.
 
     Rounds end when no row's regime changes, or after ``rounds``. The centres, k rows a session, travel as one array a session; each
-    round is one aggregation. confidence is 1 / (1 + d^2). keep(name, df) writes the centres and regimes between rounds: without it
-    plans double with each round, so give it for more than a few.
+    round is one aggregation, which also counts the rows whose regime is not that by the centres before. confidence is 1 / (1 + d^2). keep(name, df) writes
+    the rows once and the centres between rounds (in spark.checkpoint.dir if not given).
     """
+    keep = keep or Store(rows.sparkSession).keep
     x = rows.select("session_id", key, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    first = Window.partitionBy("session_id").orderBy(key)
-    start = x.withColumn("regime", F.row_number().over(first) - 1).where(F.col("regime") < k)
-    centres = start.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("regime", F.col("x").alias("c")))).alias("centres"))
+    if rounds > 1:
+        x = keep("points", x)
+    # compared as it is, a row number lets each task hand on its k first rows alone
+    first = x.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy(key))).where(F.col("n") <= k).withColumn("regime", F.col("n") - 1)
+    centres = selection.small(keep("centres0", first.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("regime", F.col("x").alias("c")))).alias("centres"))))
+    before = None
     for turn in range(rounds):
-        centres = keep(f"centres{turn}", centres)
-        near = keep(f"assigned{turn % 2}", nearest_centre(x, centres, key))  # no table of the round before the last is read any more
-        if turn and near.where("regime != was").isEmpty():
-            return near.select("session_id", key, "regime", (1.0 / (1.0 + F.col("d2"))).alias("confidence"))
-        x = near.select("session_id", key, "x", F.col("regime").alias("was"))
-        means = near.groupBy("session_id", "regime").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(columns))]).alias("c"))
+        near = nearest_centre(x, centres, key)
+        if before is None:
+            near = near.withColumn("was", F.lit(-1))
+        else:
+            near = nearest_centre(near.select("session_id", key, "x", F.col("regime").alias("now")), before, key).select("session_id", "x", F.col("now").alias("regime"), F.col("regime").alias("was"))
+        means = near.groupBy("session_id", "regime").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(columns))]).alias("c"), F.sum((F.col("regime") != F.col("was")).cast("long")).alias("moved"))
+        means = keep(f"means{turn}", means)
+        if turn and means.where("moved > 0").isEmpty():
+            break
         new = means.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("regime", "c"))).alias("m"))
         kept = F.transform("centres", lambda e: F.struct(e["regime"].alias("regime"), F.coalesce(F.col("m")[e["regime"]], e["c"]).alias("c")))
-        centres = centres.join(new, "session_id").select("session_id", kept.alias("centres"))
+        before, centres = centres, selection.small(keep(f"centres{turn + 1}", centres.join(new, "session_id").select("session_id", kept.alias("centres"))))
     return nearest_centre(x, centres, key).select("session_id", key, "regime", (1.0 / (1.0 + F.col("d2"))).alias("confidence"))
 
 

@@ -46,7 +46,7 @@ def _marked(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"_{c}") if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """A written table, broadcast if it is counted to be small; else joins deal it out, and Spark splits what is skewed."""
     return F.broadcast(df) if df.count() <= SMALL else df
 
@@ -62,7 +62,7 @@ def select_ranks(values: DataFrame, keys: list[str], wanted: DataFrame, keep: Ca
     state = keep("ranks", wanted.select(*keys, "rank", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("size")))
     for level in range(4):
         shift = 48 - 16 * level
-        live = _small(keep(f"live{level}", _marked(state.select(*keys, "prefix").distinct(), *keys, "prefix")))
+        live = small(keep(f"live{level}", _marked(state.select(*keys, "prefix").distinct(), *keys, "prefix")))
         here = rows.withColumn("prefix", F.shiftright("b", shift + 16) if level else F.lit(0).cast("long"))
         counted = here.join(live, _same(here, live, keys, "prefix"), "left_semi").groupBy(*keys, "prefix", F.shiftright("b", shift).alias("next")).count()
         over = Window.partitionBy(*keys, "prefix").orderBy("next")
@@ -71,7 +71,7 @@ def select_ranks(values: DataFrame, keys: list[str], wanted: DataFrame, keep: Ca
         joined = state.join(counted, _same(state, counted, keys, "prefix")).where((F.col("rank") - F.col("below") >= F.col("before")) & (F.col("rank") - F.col("below") < F.col("before") + F.col("count")))
         state = keep(f"ranks{level}", joined.select(*keys, "rank", F.col("next").alias("prefix"), (F.col("below") + F.col("before")).alias("below"), F.col("count").alias("size")))
         if level < 3 and state.where(F.col("size") > sort).isEmpty():
-            live = _small(keep("last", _marked(state.select(*keys, "prefix").distinct(), *keys, "prefix")))
+            live = small(keep("last", _marked(state.select(*keys, "prefix").distinct(), *keys, "prefix")))
             here = rows.withColumn("prefix", F.shiftright("b", shift))
             found = here.join(live, _same(here, live, keys, "prefix"), "left_semi").groupBy(*keys, "prefix").agg(F.sort_array(F.collect_list("b")).alias("all"))
             found = _marked(found, *keys, "prefix")

@@ -296,3 +296,12 @@ def test_ties_of_tracks_are_those_of_sql():
     d = duckdb.execute("SELECT sqrt((? - ?::DOUBLE) ** 2 + (? - ?::DOUBLE) ** 2) = sqrt((? - ?::DOUBLE) ** 2 + (? - ?::DOUBLE) ** 2)", [y[0], by[0], x[0], bx[0], y[0], by[1], x[0], bx[1]])
     assert d.fetchall() == [(True,)]
     assert events.match_frames(*map(np.array, (y, x, by, bx)), 5.0).tolist() == [0]
+
+
+def test_regimes_and_features_bring_no_session_into_one_task(spark):
+    """Their plans used to shuffle the rows by session."""
+    df = spark.range(0, 300, 1, 3).selectExpr("'s' AS session_id", "id AS k", "CAST(id % 7 AS double) AS v")
+    for out in (inference.standardise(df, ["v"]), inference.k_means(df, "k", ["v"], k=2, rounds=2)):
+        assert "hashpartitioning" not in out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    got = inference.k_means(df, "k", ["v"], k=2, rounds=1).groupBy("regime").count().count()
+    assert got == 2
