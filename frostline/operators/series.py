@@ -29,9 +29,14 @@ def steps(series: DataFrame, t: str = "t") -> DataFrame:
     return rows.select("session_id", "t_start", "t_end", seconds_between(F.col("t_start"), F.col("t_end")).alias("delta"))
 
 
-def cadence(series: DataFrame, t: str = "t") -> DataFrame:
-    """(session_id, dt, n): the median of the positive steps; null below three times or two such steps."""
-    n = series.groupBy("session_id").agg(F.count(t).alias("n"))
+def instants(series: DataFrame, t: str = "t") -> DataFrame:
+    """(session_id, t, n_rows): each time once, and how many rows have it; null times too."""
+    return series.groupBy("session_id", t).agg(F.count("*").alias("n_rows"))
+
+
+def cadence(series: DataFrame, t: str = "t", rows: str | None = None) -> DataFrame:
+    """(session_id, dt, n): the median of the positive steps; null below three times or two such steps. rows: a column that says how many rows a time stands for (see instants)."""
+    n = series.groupBy("session_id").agg((F.count(t) if rows is None else F.coalesce(F.sum(F.when(F.col(t).isNotNull(), F.col(rows))), F.lit(0))).alias("n"))
     rises = steps(series, t).where("delta > 0")
     dts = medians(rises, ["session_id"], bound=series, m=F.col("delta")).join(rises.groupBy("session_id").agg(F.count("*").alias("k")), "session_id")
     return n.join(dts, "session_id", "left").select("session_id", F.when((F.col("n") >= 3) & (F.col("k") >= 2), F.col("m")).alias("dt"), "n")
@@ -49,14 +54,15 @@ def cadence_policy(observed: DataFrame, reference: DataFrame, configured: float
     return both.select("session_id", F.coalesce("a", "b").alias("dt"), conf.alias("confidence"), source.alias("source"))
 
 
-def duplicate_times(series: DataFrame, t: str = "t") -> DataFrame:
-    """(session_id, t, n_extra): times that stand more than once, and how often too many."""
-    return series.where(F.col(t).isNotNull()).groupBy("session_id", F.col(t).alias("t")).agg((F.count("*") - 1).alias("n_extra")).where("n_extra > 0")
+def duplicate_times(series: DataFrame, t: str = "t", rows: str | None = None) -> DataFrame:
+    """(session_id, t, n_extra): times that stand more than once, and how often too many; rows as for cadence."""
+    n = F.count("*") if rows is None else F.sum(rows)
+    return series.where(F.col(t).isNotNull()).groupBy("session_id", F.col(t).alias("t")).agg((n - 1).alias("n_extra")).where("n_extra > 0")
 
 
-def time_gaps(series: DataFrame, t: str = "t", factor: float = 5.0, hint: float | None = None) -> DataFrame:
-    """(session_id, t_start, t_end, delta, dt): steps of more than ``factor`` times the cadence, or times ``hint`` seconds where given."""
-    dt = cadence(series, t).where("n >= 3").select("session_id", (F.lit(float(hint)) if hint else F.col("dt")).alias("dt"))
+def time_gaps(series: DataFrame, t: str = "t", factor: float = 5.0, hint: float | None = None, rows: str | None = None) -> DataFrame:
+    """(session_id, t_start, t_end, delta, dt): steps of more than ``factor`` times the cadence, or times ``hint`` seconds where given; rows as for cadence."""
+    dt = cadence(series, t, rows).where("n >= 3").select("session_id", (F.lit(float(hint)) if hint else F.col("dt")).alias("dt"))
     return steps(series, t).join(dt, "session_id").where(F.col("delta") > factor * F.col("dt"))
 
 

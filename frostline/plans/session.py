@@ -60,14 +60,18 @@ def analyse(store: Store, frame_rows: DataFrame, observed: DataFrame, reference:
     placed = store.keep("mapped", joins.map_to_frames(observed, axis, "t_utc"))
     mapped = placed.where("frame_idx is not null")
     out["mapped_range"] = audit.mapped_range(placed, "t_utc")
-    points = mapped.select("session_id", F.col("particle_event_id").alias("point_id"), "frame_idx", F.col("y_px").alias("y"), F.col("x_px").alias("x"))
-    spans = catalog.select("session_id", "event_id", "frame_start", "frame_end", F.col("start_y").alias("y"), F.col("start_x").alias("x"))
-    out["matches"] = store.keep("matches", joins.interval_matches(spans, points, s.match_seconds / s.dt_seconds, s.match_pixels))
     when = catalog.join(timeline.withColumnRenamed("frame_idx", "frame_peak"), ["session_id", "frame_peak"]).select("session_id", "event_id", "t")
-    timed = observed.select("session_id", F.col("particle_event_id").alias("point_id"), F.col("t_utc").alias("t"))
-    out["validation"] = store.keep("validation", events.validation_report(events.match_times(out["matches"], when.withColumnRenamed("t", "t_peak"), timed, s.dt_seconds)))
+    points = mapped.select("session_id", F.col("particle_event_id").alias("point_id"), "frame_idx", F.col("y_px").alias("y"), F.col("x_px").alias("x"), F.col("t_utc").alias("t"))
+    spans = catalog.select("session_id", "event_id", "frame_start", "frame_end", F.col("start_y").alias("y"), F.col("start_x").alias("x")).join(when.withColumnRenamed("t", "t_peak"), ["session_id", "event_id"], "left")
+    # pairs take their times along, so that nothing is joined to as many rows as there are pairs; short pieces of frames share them out among the tasks
+    reach = s.match_seconds / s.dt_seconds
+    pairs = store.keep("matches", joins.interval_matches(spans, points, reach, s.match_pixels, max(1, int(8 * reach)), ["t_peak"], ["t"]))
+    out["matches"] = pairs.drop("t_peak", "t")
+    out["validation"] = store.keep("validation", events.validation_report(events.match_times(pairs, None, None, s.dt_seconds)))
+    # gaps, repeats and the cadence follow from each time once, with how many rows have it
+    seen_at = store.keep("instants", series.instants(observed, "t_utc"))
     falls = series.monotonicity(reference, "swe_mm", "t_utc")
-    out["integrity"] = store.keep("integrity", series.integrity_report(series.time_gaps(observed, "t_utc"), series.duplicate_times(observed, "t_utc"), falls))
+    out["integrity"] = store.keep("integrity", series.integrity_report(series.time_gaps(seen_at, "t_utc", rows="n_rows"), series.duplicate_times(seen_at, "t_utc", "n_rows"), falls))
     out["integrity_flags"] = series.integrity_flags(out["integrity"])
     out["violations"] = events.catalog_violations(catalog)
     product = inference.event_rate(inference.reconstruct(catalog.where("mass_mg >= 0"), timeline, s.area_mm2), s.dt_seconds)
@@ -80,8 +84,7 @@ def analyse(store: Store, frame_rows: DataFrame, observed: DataFrame, reference:
     out["regimes"] = store.keep("regimes", inference.k_means(store.keep("features", z), "event_id", FEATURES, s.regimes, keep=store.keep))
     out["timeline"] = store.keep("timeline", inference.regime_timeline(out["regimes"].join(when, ["session_id", "event_id"]), s.regimes))
     out["phenotype"] = inference.phenotype(catalog, product, out["regimes"], out["health"], out["closure"])
-    times = lambda df: series.cadence(df, "t_utc")
-    policy = series.cadence_policy(times(observed), times(reference))
+    policy = series.cadence_policy(series.cadence(seen_at, "t_utc", "n_rows"), series.cadence(reference, "t_utc"))
     policy = axis.select("session_id").join(policy, "session_id", "left").na.fill(0.1, ["confidence"])
     confidence = store.keep("alignment", quality.alignment_confidence(placed, joins.map_to_frames(reference, axis, "t_utc"), policy)).select("session_id", "alignment_confidence")
     scores = out["health"].select("session_id", F.col("overall_score").alias("health_score")).join(out["closure"].select("session_id", "closure_score"), "session_id", "left").join(confidence, "session_id", "left")
