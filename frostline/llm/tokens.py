@@ -19,7 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse, islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,11 @@ END_ID = 2
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 << 10, 2_000, 16_384
 LEVEL = 3
 #: Frames gathered in one block, and texts encoded at once, both in bytes.
-BLOCK_BYTES, BATCH_BYTES = 4 << 20, 5_000_000
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 12_000_000
 #: Word pieces whose ids a worker remembers (about 200 bytes each), new pieces encoded as one text.
 MEMO, BARE, TOGETHER = 700_000, 100_000, 500
+#: Parts of several runs that a worker remembers, and the longest of them in characters.
+MADE, SHORT = 150_000, 64
 
 
 #: A space that white space or the end follows: no cut.
@@ -48,11 +50,14 @@ _JOINED = re.compile(r" (?=\s|$)")
 #: (it begins contractions), and a line's end.
 _LETTERS, _SIGNS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f", r"!-&(-/:-@\[-`{-~"
 _RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n")
+_SIGN = frozenset(re.findall(f"[{_SIGNS}]", "".join(map(chr, range(128)))))
 _PAIR = re.compile(rf"([{_LETTERS}]+)([{_SIGNS}]+)")
 
 
 def runs(part: str) -> tuple[str, ...]:
     """The runs of a part that consists of them, or the part alone. Of line ends, two in a row or one at the end are cut singly; more are not cut here."""
+    if part.isascii() and part[:-1].isalpha() and part[-1] in _SIGN:
+        return part[:-1], part[-1]
     if pair := _PAIR.fullmatch(part):
         return pair.groups()
     found = _RUNS.findall(part)
@@ -73,7 +78,7 @@ class Encoder:
     The byte-level pattern starts a new piece at each space that a non-space follows, so the ids of a text are those of its
     parts cut there, one after another. Texts are cut at every space; where white space follows a space the parts are joined again. New parts
     without other white space are encoded many at once: the ids of each begin with the one id that holds its space. Parts of several
-    runs of letters, digits or signs are put together from the ids of their runs and not remembered themselves. A text that
+    runs of letters, digits or signs are put together from the ids of their runs; the last ``MADE`` of them are remembered for a while. A text that
     names an added token (as <|endoftext|>) is encoded whole, as the library then cuts it elsewhere.
 
     What is remembered is bounded: over ``MEMO`` parts, those of the last texts stay,
@@ -92,6 +97,7 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.made: dict[str, bytes] = {}
         self.line = self._ids(["\n"])[0]
 
     def parts(self, text: str) -> tuple[str, list[str]]:
@@ -140,27 +146,80 @@ class Encoder:
                 self.bare.update((x, raw[a:b]) for x, a, b in zip(group, [0, *(c + size for c in cut)], [*cut, len(raw)], strict=True))
         self._learn(self.bare, [x for x in new if x not in self.bare], "")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id, as bytes."""
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text and the end id, as bytes.
+
+        Arrow cuts the texts at their spaces and tells the distinct parts, so that each is looked up once here; the ids are gathered by the parts'
+        numbers. Only texts that need other cuts go through ``parts``.
+        """
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        out: list[bytes] = [b""] * len(column)
+        if not len(column):
+            return out
         end = np.array([END_ID], self.kind).tobytes()
-        cut = [self.parts(x) for x in texts]
-        new = set(filterfalse(self.memo.__contains__, chain.from_iterable(r for _, r in cut)))
+        cut = pc.split_pattern(column, " ")
+        coded, n = cut.flatten().dictionary_encode(), pc.list_value_length(cut).to_numpy()
+        code, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        starts = np.cumsum(n) - n
+        rest = np.ones(len(code), bool)
+        rest[starts] = False
+        other = np.zeros(len(column), bool)  # texts that are cut elsewhere
+        for x in self.added:
+            other |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        other |= np.logical_or.reduceat(np.array([not x or x[0].isspace() for x in words])[code] & rest, starts)
+        slow = [(k, *self.parts(column[k].as_py())) for k in np.flatnonzero(other).tolist()]
+        plain = np.flatnonzero(~other)
+        mine = np.repeat(~other, n)
+        seen = np.zeros(len(words), bool)
+        seen[code[mine & rest]] = True
+        at = np.flatnonzero(seen)
+        used = [words[k] for k in at.tolist()]
+        firsts = [words[k] for k in code[starts[plain]].tolist()]
+
+        found = list(map(self.memo.get, used))
+        lacking = [k for k, v in enumerate(found) if v is None]
+        new = {used[k] for k in lacking}.union(x for _, _, r in slow for x in r if x not in self.memo)
+        known = {x: self.made[x] for x in new if x in self.made}
+        new.difference_update(known)
         made = {x: r for x, r in ((x, runs(x)) for x in new if not x.isalpha()) if len(r) > 1}
         need = {r[0] for r in made.values()}
-        self._learn(self.firsts, list({f for f, _ in cut}.difference(self.firsts)), "")
+        self._learn(self.firsts, list({*firsts, *(f for _, f, _ in slow)}.difference(self.firsts)), "")
         self._learn_spaced(list((new - made.keys()) | need.difference(self.memo)))
         self._learn_bare(list({x for r in made.values() for x in r[1:]}.difference(self.bare)))
-        ids, bare = self.memo.__getitem__, self.bare.__getitem__
-        made = {x: ids(r[0]) + (bare(r[1]) if len(r) == 2 else b"".join(map(bare, r[1:]))) for x, r in made.items()}
-        self.memo.update(made)
-        out = [self.firsts[f] + b"".join(map(ids, r)) + end for f, r in cut]
-        for x in made:
-            del self.memo[x]
+        memo, bare = self.memo.__getitem__, self.bare.__getitem__
+        for x, r in made.items():
+            known[x] = memo(r[0]) + (bare(r[1]) if len(r) == 2 else b"".join(map(bare, r[1:])))
+        ids = lambda x: known[x] if x in known else memo(x)
+        for k in lacking:
+            found[k] = ids(used[k])
+
+        for k, f, r in slow:
+            out[k] = self.firsts[f] + b"".join(map(ids, r)) + end
+        if len(plain):
+            # ids of the parts used, then of each text's beginning, then the end id; a text is its numbers among these
+            table = pa.array([*found, *map(self.firsts.__getitem__, firsts), end], pa.large_binary())
+            number = np.zeros(len(words), np.int64)
+            number[at] = np.arange(len(at))
+            size = n[plain]
+            last = np.cumsum(size + 1)
+            which = np.empty(int(last[-1]), np.int64)
+            which[np.arange(len(which) - len(plain)) + np.repeat(np.arange(len(plain)), size)] = number[code[mine]]
+            which[last - size - 1] = len(at) + np.arange(len(plain))
+            which[last - 1] = len(table) - 1
+            taken = table.take(pa.array(which))
+            _, offsets, body = taken.buffers()
+            edges = np.frombuffer(offsets, np.int64)[np.concatenate([[0], last])].tolist()
+            body = memoryview(body)
+            for k, low, high in zip(plain.tolist(), edges, edges[1:], strict=False):
+                out[k] = body[low:high].tobytes()
         self.firsts.clear()  # beginnings seldom come back, and may be whole texts
         if len(self.bare) > BARE:
             self.bare.clear()
+        self.made.update((x, known[x]) for x in made if len(x) <= SHORT)
+        if len(self.made) > MADE:
+            self.made = {x: v for x, v in islice(known.items(), MADE // 2) if len(x) <= SHORT}
         if len(self.memo) > MEMO:
-            met = set(filter(self.memo.__contains__, chain.from_iterable(r for _, r in cut)))
+            met = set(filter(self.memo.__contains__, chain(used, chain.from_iterable(r for _, _, r in slow))))
             self.memo = {x: self.memo[x] for x in islice(met, MEMO // 2)}
         return out
 
@@ -175,16 +234,22 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive rows and their texts; a batch's other texts stay in Arrow meanwhile."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts are encoded at once: about BATCH_BYTES of text, of several batches or of one."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        start, size = 0, 0
+        start = 0
         for at, n in enumerate(pc.binary_length(batch["text"]).to_pylist(), 1):
             size += n
-            if size > BATCH_BYTES or at == batch.num_rows:
-                rows = batch.slice(start, at - start)
-                yield rows, rows["text"].to_pylist()
-                start, size = at, 0
+            if size > BATCH_BYTES:
+                held.append(batch.slice(start, at - start))
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size, start = [], 0, at
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def train_dictionary(docs: DataFrame, path: str, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, int]:
@@ -220,8 +285,8 @@ def encode_frames(docs: DataFrame, path: str, body: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, press = encoder(path), zstandard.ZstdCompressor(level=LEVEL, **_codec(body))
-        for rows, texts in _batches(batches):
-            raw = enc.encode(texts)
+        for rows in _batches(batches):
+            raw = enc.encode(rows["text"])
             columns = [[len(x) // enc.kind.itemsize for x in raw], [zlib.crc32(x) for x in raw]]
             frames = pa.array([press.compress(x) for x in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([rows["doc_id"], *(pa.array(c, pa.int64()) for c in columns), frames], ["doc_id", "n_tokens", "crc", "frame"])
