@@ -37,7 +37,7 @@ END_ID = 2
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 << 10, 2_000, 16_384
 LEVEL = 3
 #: Frames gathered in one block, and texts encoded at once, both in bytes.
-BLOCK_BYTES, BATCH_BYTES = 4 << 20, 12_000_000
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 8_000_000
 #: Word pieces whose ids a worker remembers (about 200 bytes each), new pieces encoded as one text.
 MEMO, BARE, TOGETHER = 700_000, 100_000, 500
 #: Parts of several runs that a worker remembers, and the longest of them in characters.
