@@ -19,7 +19,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,33 +36,100 @@ END_ID = 2
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 << 10, 2_000, 16_384
 LEVEL = 3
 #: Frames gathered in one block, and texts encoded at once, both in bytes.
-BLOCK_BYTES, BATCH_BYTES = 4 << 20, 8_000_000
-#: Word pieces whose ids a worker remembers (about 200 bytes each), new pieces encoded as one text.
-MEMO, BARE, TOGETHER = 700_000, 100_000, 500
-#: Parts of several runs that a worker remembers, and the longest of them in characters.
-MADE, SHORT = 150_000, 64
-
-
-#: A space that white space or the end follows: no cut.
-_JOINED = re.compile(r" (?=\s|$)")
-#: Runs that the byte-level pattern keeps whole and never joins: Latin and Cyrillic letters, ASCII digits, ASCII signs but the apostrophe
-#: (it begins contractions), and a line's end.
-_LETTERS, _SIGNS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f", r"!-&(-/:-@\[-`{-~"
-_RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n")
-_SIGN = frozenset(re.findall(f"[{_SIGNS}]", "".join(map(chr, range(128)))))
-_PAIR = re.compile(rf"([{_LETTERS}]+)([{_SIGNS}]+)")
-
-
-def runs(part: str) -> tuple[str, ...]:
-    """The runs of a part that consists of them, or the part alone. Of line ends, two in a row or one at the end are cut singly; more are not cut here."""
-    if part.isascii() and part[:-1].isalpha() and part[-1] in _SIGN:
-        return part[:-1], part[-1]
-    if pair := _PAIR.fullmatch(part):
-        return pair.groups()
-    found = _RUNS.findall(part)
-    if sum(map(len, found)) != len(part) or part[:1] == "\n" or part.endswith("\n\n") or "\n\n\n" in part:
-        return (part,)
-    return tuple(found)
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 12_000_000
+#: Pieces whose ids a worker remembers (about 50 bytes each): runs after a space, runs without one, and all others; the longest of them in bytes.
+MEMO, BARE, MADE, SHORT = 1_000_000, 200_000, 150_000, 64
+#: New runs encoded as one text.
+TOGETHER = 500
+
+#: Letters, digits and signs that the byte-level pattern keeps in runs of their own: Latin and Cyrillic letters, ASCII digits, ASCII signs but the
+#: apostrophe (it begins contractions). All other bytes are of kind 0.
+_LETTERS, _DIGITS, _SIGNS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f", "0-9", r"!-&(-/:-@\[-`{-~"
+_KIND, _PAIRED = np.zeros(256, np.uint8), np.zeros(1 << 16, bool)
+for _n, _set in enumerate((_LETTERS, _DIGITS, _SIGNS), 1):
+    for _c in re.findall(f"[{_set}]", "".join(map(chr, range(0x800)))):
+        _c = _c.encode()
+        if len(_c) == 1:
+            _KIND[_c[0]] = _n
+        else:
+            _PAIRED[_c[0] << 8 | _c[1]] = True
+#: First two bytes of what may be white space: no cut before a space that stands before them.
+_WHITE = np.zeros(1 << 16, bool)
+for _b in (*range(9, 14), *range(28, 33)):
+    _WHITE[_b << 8 : _b + 1 << 8] = True
+_WHITE[[0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]] = True
+
+
+def pieces(data: np.ndarray, edges: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of texts begin in their bytes, and whether each is one run of letters, digits or signs after a space at most.
+
+    edges: where each text begins, and the end; whole: numbers of the texts that stay uncut. Cut is at spaces that no white space follows,
+    between runs of different kinds, and around one or two line ends between runs: there the byte-level pattern begins anew in any case, and finds
+    before it what it finds in the piece alone. A space that ends a text, or more line ends, may be one piece with what stands before.
+    """
+    n, begins, ends = len(data), edges[:-1], edges[1:]
+    padded = np.concatenate([data, np.zeros(2, np.uint8)])
+    kind = np.frombuffer(bytearray(padded.tobytes().translate(_KIND.tobytes())), np.uint8)
+    wide = np.flatnonzero(data >= 0xC0)
+    wide = wide[_PAIRED[padded[wide].astype(np.uint16) << 8 | padded[wide + 1]]]
+    kind[wide] = kind[wide + 1] = 1
+    run = kind > 0
+    cut = np.zeros(n + 2, bool)
+    cut[1:] = (kind[1:] != kind[:-1]) & run[1:] & run[:-1]
+    space = np.flatnonzero(data == 32)
+    cut[space] = ~_WHITE[padded[space + 1].astype(np.uint16) << 8 | padded[space + 2]]
+    some = begins < ends
+    cut[ends[some][data[ends[some] - 1] == 32] - 1] = False  # of the next text is nothing known
+    line = np.flatnonzero(data == 10)
+    line = line[run[line - 1] & (line > 0)]
+    one = line[run[line + 1]]
+    two = line[padded[line + 1] == 10]
+    last = np.zeros(n + 2, bool)
+    last[edges] = True
+    two = two[run[two + 2] & ~last[two + 2]]
+    cut[one] = cut[one + 1] = cut[two] = cut[two + 1] = cut[two + 2] = True
+    cut[begins[some]] = True
+    odd = ~run[:n]
+    odd[space[cut[space]]] = False
+    for k in whole.tolist():
+        cut[edges[k] + 1 : edges[k + 1]] = False
+        odd[edges[k]] = True
+    at = np.flatnonzero(cut[:n])
+    alone = (data[at] == 32) & (np.diff(at, append=n) == 1)
+    return at, ~(np.logical_or.reduceat(odd, at) | alone) if n else alone
+
+
+class Memory:
+    """The ids of at most ``most`` pieces, as Arrow columns; beyond, the half met last stays."""
+
+    def __init__(self, most: int):
+        self.most, self.now = most, 0
+        self.names = self.ids = pa.array([], pa.large_binary())
+        self.met = np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """The place of each name, -1 where it is unknown."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy()
+        self.now += 1
+        self.met[at[at >= 0]] = self.now
+        return at
+
+    def keep(self, names: pa.Array, ids: pa.Array) -> None:
+        some = pc.less_equal(pc.binary_length(names), SHORT)
+        self.names, self.ids = (pa.concat_arrays([x, y.filter(some)]) for x, y in ((self.names, names), (self.ids, ids)))
+        self.met = np.append(self.met, np.full(len(self.names) - len(self.met), self.now))
+        if len(self.names) > self.most:
+            last = np.sort(np.argsort(self.met, kind="stable")[len(self.met) - self.most // 2 :])
+            self.names, self.ids, self.met = self.names.take(pa.array(last)), self.ids.take(pa.array(last)), self.met[last]
+
+
+def _binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Byte strings of the given sizes, one after another in data."""
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -73,16 +139,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, a distinct word piece once.
+    """Encodes texts with the tokenizers library, a distinct piece once.
 
-    The byte-level pattern starts a new piece at each space that a non-space follows, so the ids of a text are those of its
-    parts cut there, one after another. Texts are cut at every space; where white space follows a space the parts are joined again. New parts
-    without other white space are encoded many at once: the ids of each begin with the one id that holds its space. Parts of several
-    runs of letters, digits or signs are put together from the ids of their runs; the last ``MADE`` of them are remembered for a while. A text that
-    names an added token (as <|endoftext|>) is encoded whole, as the library then cuts it elsewhere.
+    Texts are cut where the byte-level pattern cuts them too (``pieces``), so the ids of a text are those of its pieces, one after another. New runs are
+    encoded many at once: after a space, the ids of each begin with the one id that holds its space; others are joined by line ends. Pieces of
+    another make are encoded one by one, and a text that names an added token (as <|endoftext|>) whole, as the library then cuts it elsewhere.
 
-    What is remembered is bounded: over ``MEMO`` parts, those of the last texts stay,
-    half of ``MEMO`` at most; runs without a space before them are forgotten over ``BARE``.
+    What is remembered is bounded by ``MEMO``, ``BARE`` and ``MADE``.
     """
 
     def __init__(self, path: str):
@@ -94,134 +157,89 @@ class Encoder:
         names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.spaced = np.array([names.get(i, "").startswith("Ġ") for i in range(max(names) + 1)])
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.made: dict[str, bytes] = {}
+        self.memo, self.bare, self.made = Memory(MEMO), Memory(BARE), Memory(MADE)
         self.line = self._ids(["\n"])[0]
 
-    def parts(self, text: str) -> tuple[str, list[str]]:
-        """The text up to the first cut, and the parts after it without the space that each begins with."""
-        if any(x in text for x in self.added):
-            return text, []
-        first, *rest = text.split(" ")
-        if not _JOINED.search(text):
-            return first, rest
-        out = [first]
-        for x in rest:
-            if not x or x[0].isspace():
-                out[-1] += " " + x
-            else:
-                out.append(x)
-        return out[0], out[1:]
-
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: dict[str, bytes], new: list[str], before: str) -> None:
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            memo.update(zip(some, (x.tobytes() for x in self._ids([before + x for x in some])), strict=True))
-
-    def _learn_spaced(self, new: list[str]) -> None:
-        """Remember parts that follow a space each."""
-        plain, size = [x for x in new if len(x.split()) == 1 and x.isprintable()], self.kind.itemsize
-        for at in range(0, len(plain), 40 * TOGETHER):
-            groups = [plain[k : k + TOGETHER] for k in range(at, min(at + 40 * TOGETHER, len(plain)), TOGETHER)]
-            for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-                cut = np.flatnonzero(self.spaced[ids])
-                if len(cut) == len(group) and cut[0] == 0:
-                    raw, ends = ids.tobytes(), [*(cut * size).tolist(), len(ids) * size]
-                    self.memo.update((x, raw[a:b]) for x, a, b in zip(group, ends, ends[1:], strict=False))
-        self._learn(self.memo, [x for x in new if x not in self.memo], " ")
-
-    def _learn_bare(self, new: list[str]) -> None:
-        """Remember runs that follow no space."""
-        plain, size = [x for x in new if x != "\n"], self.kind.itemsize
-        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)] if len(self.line) == 1 else []
-        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups]), strict=True):
-            cut = (np.flatnonzero(ids == self.line[0]) * size).tolist()
-            if len(cut) == len(group) - 1:
-                raw = ids.tobytes()
-                self.bare.update((x, raw[a:b]) for x, a, b in zip(group, [0, *(c + size for c in cut)], [*cut, len(raw)], strict=True))
-        self._learn(self.bare, [x for x in new if x not in self.bare], "")
+    def _singly(self, new: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of pieces one after another, and how many each has."""
+        ids = [x for at in range(0, len(new), 20_000) for x in self._ids([x.decode() for x in new[at : at + 20_000].to_pylist()])]
+        return ids, np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _together(self, new: pa.Array, spaced: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        """As ``_singly``, of runs that all follow a space, and so can be joined by nothing, or all do not, and are joined by line ends."""
+        if not spaced and len(self.line) != 1:
+            return self._singly(new)
+        out, sizes = [], [np.zeros(0, np.int64)]
+        for at in range(0, len(new), 40 * TOGETHER):
+            groups = [new[k : k + TOGETHER] for k in range(at, min(at + 40 * TOGETHER, len(new)), TOGETHER)]
+            between = b"" if spaced else b"\n"
+            for group, ids in zip(groups, self._ids([between.join(g.to_pylist()).decode() for g in groups]), strict=True):
+                if spaced:
+                    begin = np.flatnonzero(self.spaced[ids])
+                    size = np.diff(begin, append=len(ids))
+                else:
+                    begin = np.concatenate([[0], np.flatnonzero(ids == self.line[0]) + 1])
+                    size = np.diff(begin, append=len(ids) + 1) - 1
+                    ids = ids[ids != self.line[0]]
+                if len(begin) != len(group) or begin[0]:
+                    ids, size = self._singly(group)
+                    ids = np.concatenate(ids)
+                out.append(ids)
+                sizes.append(size)
+        return out, np.concatenate(sizes)
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text and the end id, as bytes.
 
-        Arrow cuts the texts at their spaces and tells the distinct parts, so that each is looked up once here; the ids are gathered by the parts'
-        numbers. Only texts that need other cuts go through ``parts``.
+        Arrow tells the distinct pieces and looks each up once; the ids are gathered by the pieces' numbers.
         """
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-        out: list[bytes] = [b""] * len(column)
         if not len(column):
-            return out
-        end = np.array([END_ID], self.kind).tobytes()
-        cut = pc.split_pattern(column, " ")
-        coded, n = cut.flatten().dictionary_encode(), pc.list_value_length(cut).to_numpy()
-        code, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        starts = np.cumsum(n) - n
-        rest = np.ones(len(code), bool)
-        rest[starts] = False
-        other = np.zeros(len(column), bool)  # texts that are cut elsewhere
+            return []
+        _, offsets, body = column.buffers()
+        large = pa.types.is_large_string(column.type)
+        edges = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(body, np.uint8)[edges[0] : edges[-1]] if body else np.zeros(0, np.uint8)
+        edges -= edges[0]
+        named = np.zeros(len(column), bool)
         for x in self.added:
-            other |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
-        other |= np.logical_or.reduceat(np.array([not x or x[0].isspace() for x in words])[code] & rest, starts)
-        slow = [(k, *self.parts(column[k].as_py())) for k in np.flatnonzero(other).tolist()]
-        plain = np.flatnonzero(~other)
-        mine = np.repeat(~other, n)
-        seen = np.zeros(len(words), bool)
-        seen[code[mine & rest]] = True
-        at = np.flatnonzero(seen)
-        used = [words[k] for k in at.tolist()]
-        firsts = [words[k] for k in code[starts[plain]].tolist()]
-
-        found = list(map(self.memo.get, used))
-        lacking = [k for k, v in enumerate(found) if v is None]
-        new = {used[k] for k in lacking}.union(x for _, _, r in slow for x in r if x not in self.memo)
-        known = {x: self.made[x] for x in new if x in self.made}
-        new.difference_update(known)
-        made = {x: r for x, r in ((x, runs(x)) for x in new if not x.isalpha()) if len(r) > 1}
-        need = {r[0] for r in made.values()}
-        self._learn(self.firsts, list({*firsts, *(f for _, f, _ in slow)}.difference(self.firsts)), "")
-        self._learn_spaced(list((new - made.keys()) | need.difference(self.memo)))
-        self._learn_bare(list({x for r in made.values() for x in r[1:]}.difference(self.bare)))
-        memo, bare = self.memo.__getitem__, self.bare.__getitem__
-        for x, r in made.items():
-            known[x] = memo(r[0]) + (bare(r[1]) if len(r) == 2 else b"".join(map(bare, r[1:])))
-        ids = lambda x: known[x] if x in known else memo(x)
-        for k in lacking:
-            found[k] = ids(used[k])
-
-        for k, f, r in slow:
-            out[k] = self.firsts[f] + b"".join(map(ids, r)) + end
-        if len(plain):
-            # ids of the parts used, then of each text's beginning, then the end id; a text is its numbers among these
-            table = pa.array([*found, *map(self.firsts.__getitem__, firsts), end], pa.large_binary())
-            number = np.zeros(len(words), np.int64)
-            number[at] = np.arange(len(at))
-            size = n[plain]
-            last = np.cumsum(size + 1)
-            which = np.empty(int(last[-1]), np.int64)
-            which[np.arange(len(which) - len(plain)) + np.repeat(np.arange(len(plain)), size)] = number[code[mine]]
-            which[last - size - 1] = len(at) + np.arange(len(plain))
-            which[last - 1] = len(table) - 1
-            taken = table.take(pa.array(which))
-            _, offsets, body = taken.buffers()
-            edges = np.frombuffer(offsets, np.int64)[np.concatenate([[0], last])].tolist()
-            body = memoryview(body)
-            for k, low, high in zip(plain.tolist(), edges, edges[1:], strict=False):
-                out[k] = body[low:high].tobytes()
-        self.firsts.clear()  # beginnings seldom come back, and may be whole texts
-        if len(self.bare) > BARE:
-            self.bare.clear()
-        self.made.update((x, known[x]) for x in made if len(x) <= SHORT)
-        if len(self.made) > MADE:
-            self.made = {x: v for x, v in islice(known.items(), MADE // 2) if len(x) <= SHORT}
-        if len(self.memo) > MEMO:
-            met = set(filter(self.memo.__contains__, chain(used, chain.from_iterable(r for _, _, r in slow))))
-            self.memo = {x: self.memo[x] for x in islice(met, MEMO // 2)}
-        return out
+            named |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        at, plain = pieces(data, edges, np.flatnonzero(named))
+        cut = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)])
+        coded = cut.dictionary_encode()
+        code, words = coded.indices.to_numpy(), coded.dictionary
+        made, spaced = np.zeros(len(words), bool), np.zeros(len(words), bool)
+        made[code[~plain]] = True
+        spaced[code[data[at] == 32]] = True
+
+        tables, done = [], 0
+        number = np.zeros(len(words), np.int64)  # of each piece among the tables
+        for memory, some in ((self.memo, spaced & ~made), (self.bare, ~spaced & ~made), (self.made, made)):
+            some = np.flatnonzero(some)
+            names = words.take(pa.array(some))
+            place = memory.find(names)
+            old, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+            names = names.take(pa.array(new))
+            ids, sizes = self._singly(names) if memory is self.made else self._together(names, memory is self.memo)
+            learnt = _binaries(sizes * self.kind.itemsize, np.concatenate([*ids, np.zeros(0, self.kind)]))
+            tables += [memory.ids.take(pa.array(place[old])), learnt]
+            number[some[old]], number[some[new]] = np.arange(done, done + len(old)), np.arange(done + len(old), done + len(some))
+            done += len(some)
+            memory.keep(names, learnt)
+
+        # a text is the numbers of its pieces and that of the end id
+        table = pa.concat_arrays([*tables, pa.array([np.array([END_ID], self.kind).tobytes()], pa.large_binary())])
+        size = np.diff(np.searchsorted(at, edges))
+        last = np.cumsum(size + 1)
+        which = np.full(int(last[-1]), done, np.int64)
+        which[np.arange(len(code)) + np.repeat(np.arange(len(column)), size)] = number[code]
+        _, offsets, body = table.take(pa.array(which)).buffers()
+        edges = np.frombuffer(offsets, np.int64)[np.concatenate([[0], last])].tolist()
+        body = memoryview(body)
+        return [body[low:high].tobytes() for low, high in zip(edges, edges[1:], strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
