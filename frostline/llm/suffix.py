@@ -11,8 +11,8 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
    hash. Should two segments ever share one, the work is done again with another hash.
 3. Segments are dealt to shards by anchor; an anchor with more than HOT segments is dealt over several shards. Each shard
    sorts its suffixes by Larsson-Sadakane refinement (only groups that are still tied are sorted again, by the rank of the suffix
-   that follows) and finds their common prefixes by Kasai's rule, for all segments of the shard side by side. Neighbours with a common
-   prefix of ``length`` bytes are equal windows: the group's least doc_id is known.
+   that follows) as far as their first ``length`` bytes, for all segments of the shard side by side. Suffixes of one rank are
+   equal windows: the group's least doc_id is known.
 4. Shards of one anchor are merged: their sorted distinct windows are looked up in each other's by binary search.
 5. Each document takes the windows that have a smaller doc_id than its own, and drops the bytes under them.
 
@@ -36,7 +36,7 @@ from frostline.llm.common import Scratch, list_array, maybe_broadcast, text_or_e
 
 LENGTH, GRAM = 50, 16
 #: Segments of one anchor in one shard; bytes of segments sorted at once; windows merged at once.
-HOT, SHARD_BYTES, MERGE = 4_096, 512 << 10, 50_000
+HOT, SHARD_BYTES, MERGE = 4_096, 128 << 10, 50_000
 #: Bytes of text hashed at once.
 CHUNK = 256 << 10
 #: Segments that a task remembers, so as to send the bytes of each once.
@@ -53,15 +53,15 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
 
 def _hashes(text: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each GRAM bytes."""
-    h = text.astype(np.uint64)
-    for n in (1, 2, 4):
-        h = h[:-n] | (h[n:] << np.uint64(8 * n))
-    h = h * np.uint64(0x9E3779B97F4A7C15)
+    text = np.ascontiguousarray(text)
+    h = np.ndarray(len(text) - 7, "<u8", text, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)  # of each eight bytes
     h ^= h >> np.uint64(29)
-    v = h[: len(h) - (GRAM - 8)] * np.uint64(0xBF58476D1CE4E5B9) + h[GRAM - 8 :]
+    v = h[: len(h) - (GRAM - 8)] * np.uint64(0xBF58476D1CE4E5B9)
+    v += h[GRAM - 8 :]
     v ^= v >> np.uint64(32)
     v *= np.uint64(0x94D049BB133111EB)
-    return v ^ (v >> np.uint64(31))
+    v ^= v >> np.uint64(31)
+    return v
 
 
 def segments(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,57 +73,59 @@ def segments(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
         none = np.zeros(0, np.int64)
         return none, none, none, none
     v = _hashes(text)
-    width = length - GRAM + 1
-    least = _slide(v, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    reach = _slide(np.concatenate([edge, least, edge]), width, np.maximum)
-    found = v == reach  # hashes that are the least of some window
-    at = np.flatnonzero(found)
-    k = (np.cumsum(found) - found)[: len(least)]  # the first of them in each window or after
+    # half a hash and the place: the least of a window is its first anchor, also where two halves are equal
+    least = _slide(v & np.uint64(0xFFFFFFFF << 32) | np.arange(len(v), dtype=np.uint64), length - GRAM + 1, np.minimum)
+    place = least.astype(np.uint32)
     whole = np.ones(len(text) + 1, bool)  # windows inside one document
     begins = np.concatenate([[0], ends[:-1]])
+    some = begins < ends  # an empty text ends where the next begins
     for back in range(1, length):
-        whole[np.maximum(ends - back, begins)] = False
-    starts = np.flatnonzero(whole[: len(least)])
-    k = k[starts]
-    wrong = np.flatnonzero(v[at[k]] != least[starts])  # another window's stands before: step on
-    while len(wrong):
-        k[wrong] += 1
-        wrong = wrong[v[at[k[wrong]]] != least[starts[wrong]]]
-    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (starts[1:] != starts[:-1] + 1)])[: len(starts)])
-    first = starts[new]
+        whole[np.maximum(ends[some] - back, begins[some])] = False
+    whole = whole[: len(place)]
+    cut = whole.copy()
+    cut[1:] &= ~whole[:-1] | (place[1:] != place[:-1])
+    first = np.flatnonzero(cut)
+    # a segment ends before the next, or where its document has no more windows
+    stop = np.flatnonzero(whole & np.append(cut[1:] | ~whole[1:], True)) + 1
     owner = np.searchsorted(ends, first, side="right")
-    return owner, first - begins[owner], np.diff(np.append(new, len(starts))), least[first].view(np.int64)
+    return owner, first - begins[owner], stop - first, v[place[first]].view(np.int64)
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The suffixes of concatenated segments in order; each ends with its segment (ends: cumulative lengths). Ties by position.
+def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of concatenated segments that have ``depth`` bytes at least, in the order of these bytes, and the rank of each; ends: cumulative lengths.
 
     Larsson-Sadakane refinement: start from the order by a few bytes; while groups are tied, sort them by the rank of the suffix that
-    lies as many bytes on as are known to be equal, which doubles that number each time. Sort keys carry the position in their low bits.
+    lies as many bytes on as are known to be equal, which doubles that number each time; the last time only as far on as is missing to ``depth``, so
+    equal ranks are equal bytes. A suffix with too few bytes for a round takes no part in it: no longer one asks for its rank after that.
+    Sort keys carry the position in their low bits. Ties stand by position.
     """
     n = len(text)
     bits = max(n + 2, 2).bit_length()
     lengths = np.diff(np.concatenate([[0], ends]))
     left = np.repeat(ends, lengths) - np.arange(n)
-    known, longest = max(1, min(5, (63 - bits) // 9)), int(lengths.max(initial=0))
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(known, np.int64)])
-    key = np.zeros(n, np.int64)  # the end of a segment stands before all bytes
+    met = np.bincount(text, minlength=256) > 0
+    code = np.where(met, np.cumsum(met), 0)  # the end of a segment stands before all bytes
+    base = int(code.max()) + 1
+    known = max(k for k in range(1, depth + 1) if k == 1 or base**k << bits < 1 << 63)
+    padded = np.concatenate([code[text], np.zeros(known, np.int64)])
+    key = np.zeros(n, np.int64)
     for k in range(known):
-        key = key * 257 + np.where(left > k, padded[k : k + n], 0)
-    where, low = np.arange(n), (1 << bits) - 1
-    both = np.sort(key << bits | where)
+        key = key * base + np.where(left > k, padded[k : k + n], 0)
+    at, low = np.arange(n), (1 << bits) - 1
+    both = np.sort(key << bits | at)
     sa, both = both & low, both >> bits
     head = np.concatenate([[True], both[1:] != both[:-1]])[:n]
-    rank = np.empty(n + 1, np.int64)
-    place = np.maximum.accumulate(np.where(head, where, 0))
-    rank[sa] = place
-    while known < longest:
-        at = np.flatnonzero(~head | ~np.append(head[1:], True))
-        if not len(at):
+    group = np.maximum.accumulate(np.where(head, at, 0))
+    rank, some = np.empty(n, np.int64), sa
+    rank[sa] = group
+    while known < depth:
+        step = min(known, depth - known)
+        known += step
+        live = np.flatnonzero((~head | ~np.append(head[1:], True)) & (left[some] >= known))
+        if not len(live):
             break
-        some, group = sa[at], place[at]
-        follow = np.where(left[some] > known, rank[np.minimum(some + known, n)], -1) + 1
+        at, some, group = at[live], some[live], group[live]
+        follow = rank[some + step]
         if 3 * bits < 64:
             both = np.sort((group << bits | follow) << bits | some)
             some, both = both & low, both >> bits
@@ -133,45 +135,11 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
             some, follow = some[order], follow[order]
             apart = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
         sa[at] = some
-        head[at] = np.concatenate([[True], apart])
-        place[at] = np.maximum.accumulate(np.where(head[at], at, 0))
-        rank[some] = place[at]
-        known *= 2
-    return sa
-
-
-def common_prefixes(text: np.ndarray, ends: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Kasai: how many bytes, ``most`` at the highest, each suffix shares with the one before it in order; by text position.
-
-    One byte further in the text, a suffix shares at least one byte less than its left neighbour did. All segments go in step.
-    Suffixes of under ``most`` bytes are left out (0).
-    """
-    n = len(text)
-    lengths = np.diff(np.concatenate([[0], ends]))
-    begin = ends - lengths
-    stop = np.repeat(ends, lengths)
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int64)
-    lane = np.argsort(-lengths, kind="stable")
-    carried = np.zeros(len(lengths), np.int64)
-    per_step = np.searchsorted(-lengths[lane], -np.arange(most, int(lengths.max(initial=0)) + 1), side="right")
-    for t, live in enumerate(per_step):
-        lanes = lane[:live]
-        p = begin[lanes] + t
-        q = before[p]
-        h = np.maximum(carried[lanes] - 1, 0)
-        h[q < 0] = 0
-        go = np.flatnonzero(q >= 0)
-        while len(go):
-            a, b = p[go] + h[go], q[go] + h[go]
-            fits = (h[go] < most) & (a < stop[p[go]]) & (b < stop[q[go]])
-            go, a, b = go[fits], a[fits], b[fits]
-            go = go[text[a] == text[b]]
-            h[go] += 1
-        out[p] = h
-        carried[lanes] = h
-    return out
+        head = np.concatenate([[True], apart])
+        group = np.maximum.accumulate(np.where(head, at, 0))
+        rank[some] = group
+    sa = sa[left[sa] >= depth]
+    return sa, rank[sa]
 
 
 def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,13 +147,9 @@ def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     text = np.frombuffer(b"".join(parts), np.uint8)
     lengths = np.array([len(x) for x in parts], np.int64)
     ends = np.cumsum(lengths)
-    sa = suffix_array(text, ends)
-    shared = common_prefixes(text, ends, sa, length)[sa]
+    sa, rank = suffix_order(text, ends, length)
     owner = np.repeat(np.arange(len(parts)), lengths)[sa]
-    whole = ends[owner] - sa >= length
-    group = np.cumsum(~((shared >= length) & whole))  # a suffix shorter than a window never lies between equal windows
-    owner, offset, group = owner[whole], (sa - (ends - lengths)[owner])[whole], group[whole]
-    return owner, offset, np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else group
+    return owner, sa - (ends - lengths)[owner], np.cumsum(np.diff(rank, prepend=rank[:1]) != 0)
 
 
 #: In place of a shard's number: a segment whose windows are done with, and one of several that share a hash.
