@@ -3,12 +3,13 @@
 A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller doc_id. The work is split by content:
 
 1. Every ``length``-byte window has anchors: those of its ``GRAM``-byte strings whose hash is the least in it. Equal windows have equal
-   anchors, so a window repeats only where its first anchor does. Texts are hashed once for this, and each row's anchors written. They are
-   counted over all documents (least and largest doc_id, combined before the shuffle); windows whose anchor stands in one document alone
-   cannot repeat and need no more work.
-2. Consecutive windows of one anchor form a segment of under twice ``length`` bytes. A task sends equal segments on once. Segments go by a 64-bit hash
-   of their bytes, but never by it alone: a task tells them apart by their bytes, and a shard compares the bytes that different tasks sent under one
-   hash. Should two segments ever share one, the work is done again with another hash.
+   anchors, and as much of the text before or after the first of them is equal as the window holds: half of its other bytes on one side at least. A
+   hash of the anchor with these bytes is the window's key: a window repeats only where its key does. A row that is a copy, by its SHA-256, of the
+   text of a row with a smaller doc_id has all its windows there, and takes no part. Each task sends its keys, with their rows' numbers, packed by the
+   keys' first bits; a key that two rows have is reported back to these rows. Windows whose key stands in one row alone cannot repeat and need no more work.
+2. Consecutive windows of one anchor whose keys repeat form a segment of under twice ``length`` bytes. A task sends equal segments on once. Segments go
+   by a 64-bit hash of their bytes, but never by it alone: a task tells them apart by their bytes, and a shard compares the bytes that different tasks
+   sent under one hash. Should two segments ever share one, the work is done again with another hash.
 3. Segments are dealt to shards by anchor; an anchor with more than HOT segments is dealt over several shards. Each shard
    sorts its suffixes by Larsson-Sadakane refinement (only groups that are still tied are sorted again, by the rank of the suffix
    that follows) as far as their first ``length`` bytes, for all segments of the shard side by side. Suffixes of one rank are
@@ -29,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,10 @@ HOT, SHARD_BYTES, MERGE = 4_096, 128 << 10, 50_000
 CHUNK = 256 << 10
 #: Segments that a task remembers, so as to send the bytes of each once.
 MEMO = 500_000
+#: Bits of a key that deal it out, of a key, and of a row's number beside it; keys sent at once, bytes of keys compared at once.
+DEAL_BITS, KEY_BITS, ROW_BITS, KEYS, KEY_BYTES = 12, 48, 16, 1 << 20, 8 << 20
+#: Rows that are copies of others, if they are broadcast.
+COPIES = 500_000
 
 
 def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -64,14 +70,11 @@ def _hashes(text: np.ndarray) -> np.ndarray:
     return v
 
 
-def segments(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, windows, anchor hash) of each maximal run of windows with the same first anchor.
-
-    text: documents one after another; ends: where each ends. Starts count from the document's beginning.
-    """
+def _anchored(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, windows, the anchor's place) of each maximal run of windows with the same first anchor, places in text; and the hash at each place."""
     if len(text) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, np.zeros(0, np.uint64)
     v = _hashes(text)
     # half a hash and the place: the least of a window is its first anchor, also where two halves are equal
     least = _slide(v & np.uint64(0xFFFFFFFF << 32) | np.arange(len(v), dtype=np.uint64), length - GRAM + 1, np.minimum)
@@ -87,8 +90,37 @@ def segments(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     first = np.flatnonzero(cut)
     # a segment ends before the next, or where its document has no more windows
     stop = np.flatnonzero(whole & np.append(cut[1:] | ~whole[1:], True)) + 1
-    owner = np.searchsorted(ends, first, side="right")
-    return owner, first - begins[owner], stop - first, v[place[first]].view(np.int64)
+    return np.searchsorted(ends, first, side="right"), first, stop - first, place[first].astype(np.int64), v
+
+
+def segments(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, windows, anchor hash) of each maximal run of windows with the same first anchor.
+
+    text: documents one after another; ends: where each ends. Starts count from the document's beginning.
+    """
+    owner, first, windows, place, v = _anchored(text, ends, length)
+    return owner, first - np.concatenate([[0], ends[:-1]])[owner], windows, v[place].view(np.int64)
+
+
+def _before(length: int) -> int:
+    """Windows that begin so many bytes before their anchor, or more, have the anchor and these bytes as key; the others the anchor and the bytes after it that all of them hold."""
+    return (length - GRAM) // 2
+
+
+def _keys(first: np.ndarray, windows: np.ndarray, place: np.ndarray, v: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the windows of each kind: the segments that have some, and the keys of these."""
+    before = _before(length)
+    after = length - GRAM - before + 1
+    out = []
+    for has, more, odd in ((first <= place - before, range(-before, 0, GRAM), 0x9E3779B97F4A7C15), (first + windows > place - before + 1, (*range(GRAM, after, GRAM), after), 0xD6E8FEB86659FD93)):
+        at = np.flatnonzero(has)
+        h = v[place[at]] * np.uint64(odd)
+        for n in more:
+            h ^= h >> np.uint64(32)
+            h = (h ^ v[place[at] + n]) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+        out.append((at, h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - KEY_BITS)))
+    return out
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,16 +235,32 @@ def _chunks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]
             i = j
 
 
-def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Gather rows that stand in order of (anchor, salt) into shards of about ``size`` bytes, never cutting one (anchor, salt)."""
+def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the number of each value's."""
+    parts = []
+    for x in column.chunks:
+        _, offsets, data = x.buffers()
+        at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset : x.offset + len(x) + 1]
+        parts.append((np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8), np.diff(at)))
+    return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """data as binary values that begin at cuts."""
+    offsets = (np.append(cuts, len(data)) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _shards(batches: Iterator[pa.RecordBatch], size: int, by: tuple[str, ...] = ("anchor", "salt"), body: str = "part") -> Iterator[pa.Table]:
+    """Gather rows that stand in order of ``by`` into shards of about ``size`` bytes, never cutting rows that agree in it."""
     held: list[pa.RecordBatch] = []
     total, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, salt = batch["anchor"].to_numpy(), batch["salt"].to_numpy()
-        bytes_so_far = np.cumsum(pc.fill_null(pc.binary_length(batch["part"]), 0).to_numpy()) + total
-        new = np.concatenate([[(anchor[0], salt[0]) != last], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
+        keys = [batch[c].to_numpy() for c in by]
+        bytes_so_far = np.cumsum(pc.fill_null(pc.binary_length(batch[body]), 0).to_numpy().astype(np.int64)) + total
+        new = np.concatenate([[tuple(k[0] for k in keys) != last], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
         start, done = 0, 0
         for at in np.flatnonzero(new):
             before = int(bytes_so_far[at - 1]) if at else total
@@ -221,11 +269,93 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
                 yield pa.Table.from_batches(held)
                 held, start, done = [], at, before
         held.append(batch.slice(start))
-        total, last = int(bytes_so_far[-1]) - done, (anchor[-1], salt[-1])
+        total, last = int(bytes_so_far[-1]) - done, tuple(k[-1] for k in keys)
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _copies(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """(doc, mark, n_bytes) of the rows of docs (doc, mark, text) whose whole text, of ``length`` bytes at least, a row with a smaller doc has too."""
+    n = F.octet_length("text")
+    names = scratch.stage("names", docs.where(n >= length).select("doc", "mark", F.unhex(F.sha2("text", 256)).alias("name"), n.alias("n_bytes")))
+    least = names.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("name", "least")
+    least = maybe_broadcast(scratch.stage("originals", least))
+    copies = scratch.stage("copies", names.join(least, "name").where("doc > least").select("doc", "mark", "n_bytes").dropDuplicates(["doc", "mark"]))
+    scratch.drop("names", "originals")
+    return copies
+
+
+def _repeated_keys(docs: DataFrame, length: int) -> DataFrame:
+    """(doc, mark, keys array<long>) of the rows of docs (doc, mark, text) that have keys which other rows have too."""
+    low = np.uint64((1 << ROW_BITS) - 1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys with the numbers of their rows below them, sorted; ``rows`` of a sender's first message has (doc, mark) of each number."""
+        held, names, n_keys, n_rows, turn = [], [], 0, 0, 0
+
+        def messages() -> pa.RecordBatch:
+            both = np.sort(np.concatenate(held))
+            both = both[np.append(True, both[1:] != both[:-1])]
+            deal = both >> np.uint64(KEY_BITS + ROW_BITS - DEAL_BITS)
+            cuts = np.flatnonzero(np.append(True, deal[1:] != deal[:-1]))
+            rows = pa.array([np.concatenate(names).tobytes(), *[None] * (len(cuts) - 1)], pa.binary())
+            sender = np.full(len(cuts), TaskContext.get().partitionId() << 32 | turn)
+            return pa.RecordBatch.from_arrays([pa.array(deal[cuts].astype(np.int32)), pa.array(sender), _binary(both, cuts), rows], ["deal", "sender", "both", "rows"])
+
+        for doc, mark, _, text, ends in _chunks(batches, "doc", "mark"):
+            owner, first, windows, place, v = _anchored(text, ends, length)
+            if not len(owner):
+                continue
+            some, number = np.unique(owner, return_inverse=True)
+            if held and (n_keys >= KEYS or n_rows + len(some) > 1 << ROW_BITS):
+                yield messages()
+                held, names, n_keys, n_rows, turn = [], [], 0, 0, turn + 1
+            for at, key in _keys(first, windows, place, v, length):
+                held.append(key << np.uint64(ROW_BITS) | (number[at] + n_rows).astype(np.uint64))
+                n_keys += len(at)
+            names.append(np.stack([doc[some], mark[some]], axis=1))
+            n_rows += len(some)
+        if held:
+            yield messages()
+        trim()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To each sender what it sent of keys that stand twice, as no row sends one twice."""
+        for table in _shards(batches, KEY_BYTES, ("deal",), "both"):
+            both, sizes = _bytes_of(table["both"])
+            both, sender = both.view(np.uint64), table["sender"].to_numpy()
+            key = both >> np.uint64(ROW_BITS)
+            order = np.argsort(key)
+            key = key[order]
+            same = key[1:] == key[:-1]
+            twice = np.zeros(len(both), bool)
+            twice[order] = np.append(same, False) | np.append(False, same)
+            both, to = both[twice], np.repeat(sender, sizes // 8)[twice]
+            order = np.argsort(to, kind="stable")
+            both, to = both[order], to[order]
+            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
+            yield pa.RecordBatch.from_arrays([pa.array(to[cuts]), _binary(both, cuts), pa.nulls(len(cuts), pa.binary())], ["sender", "both", "rows"])
+            named = table.filter(table["rows"].is_valid())
+            for batch in named.select(["sender", "rows"]).to_batches():
+                yield pa.RecordBatch.from_arrays([batch["sender"], pa.nulls(batch.num_rows, pa.binary()), batch["rows"]], ["sender", "both", "rows"])
+        trim()
+
+    def report(table: pa.Table) -> pa.Table:
+        """A sender's rows with the keys that came back."""
+        both = np.sort(_bytes_of(table["both"])[0].view(np.uint64) if table["both"].null_count < table.num_rows else np.zeros(0, np.uint64))
+        names = _bytes_of(table["rows"])[0].view(np.int64).reshape(-1, 2)
+        number = (both & low).astype(np.uint16)
+        keys = (both >> np.uint64(ROW_BITS)).view(np.int64)[np.argsort(number, kind="stable")]
+        sizes = np.bincount(number, minlength=len(names))
+        some = sizes > 0
+        return pa.table({"doc": names[some, 0], "mark": names[some, 1], "keys": list_array(keys, sizes[some])})
+
+    sent = docs.mapInArrow(send, "deal int, sender long, both binary, rows binary").repartition("deal").sortWithinPartitions("deal")
+    found = sent.mapInArrow(compare, "sender long, both binary, rows binary")
+    found = found.groupBy("sender").applyInArrow(report, "doc long, mark long, keys array<long>")
+    return found.groupBy("doc", "mark").agg(F.first("keys").alias("keys"))  # rows that agree in both have the same keys
+
+
 def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = HOT, identify: Callable[[bytes, int], int] = segment_hash, seed: int = 0) -> DataFrame:
     """(doc, mark, spans array<struct<start, n>>) of each document with repeats: runs of window starts; docs (doc, mark, text).
 
@@ -234,37 +364,31 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows, text, ends in _chunks(batches, "doc"):
-            owner, _, _, hashes = segments(text, ends, length)
-            lists = list_array(hashes, np.bincount(owner, minlength=rows.num_rows))
-            yield pa.RecordBatch.from_arrays([rows["doc"], rows["key"], lists], ["doc", "key", "anchors"])
-        trim()
-
-    # rows are told apart by a hash of id and text: where it fails, both rows only look at each other's anchors too
-    docs = docs.withColumn("key", F.xxhash64("doc", "mark"))
-    found = scratch.stage("anchors", docs.select("doc", "key", "text").mapInArrow(anchors, "doc long, key long, anchors array<long>"))
-    shared = found.select("doc", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
-    shared = scratch.stage("shared", shared.where("a < b").select("anchor"))
-    wanted = found.select("key", F.explode("anchors").alias("anchor")).join(shared, "anchor")
-    wanted = scratch.stage("wanted", wanted.groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
-    scratch.drop("anchors", "shared")
+    copies = _copies(docs, scratch, length)
+    originals = docs.join(maybe_broadcast(copies.select("doc", "mark"), COPIES), ["doc", "mark"], "left_anti")
+    wanted = scratch.stage("wanted", _repeated_keys(originals, length))
     scratch.free_shuffles()
+    before = _before(length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each segment with a shared anchor; its bytes with the first of its rows in this task, and a second row is marked as well."""
+        """The windows of each segment whose keys other rows have; their bytes with the first of their rows in this task, and a second row is marked as well."""
         met: dict[bytes, int] = {}  # the place of each segment met in the lists
         names: list[int] = []  # equal segments have one name, and so one anchor
         lowest: list[int] = []
         twice = bytearray()
         for docs, marks, rows, text, ends in _chunks(batches, "doc", "mark"):
-            owner, start, windows, hashes = segments(text, ends, length)
-            want = np.unique(rows["anchors"].flatten().to_numpy())
-            at = np.searchsorted(want, hashes)
-            at = np.flatnonzero(want[np.minimum(at, len(want) - 1)] == hashes) if len(want) else np.zeros(0, np.int64)
-            owner, start, hashes = owner[at], start[at], hashes[at]
-            raw, first = text.tobytes(), start + np.concatenate([[0], ends[:-1]])[owner]
-            parts = [raw[i:j] for i, j in zip(first.tolist(), (first + windows[at] + length - 1).tolist(), strict=True)]
+            owner, first, windows, place, v = _anchored(text, ends, length)
+            want = np.unique(rows["keys"].flatten().to_numpy()).view(np.uint64)
+            repeats = np.zeros((2, len(owner)), bool)
+            for met_here, (at, key) in zip(repeats, _keys(first, windows, place, v, length), strict=True):
+                met_here[at] = np.isin(key, want)
+            # windows of the one kind stand before those of the other
+            stop = np.where(repeats[1], first + windows, np.minimum(first + windows, place - before + 1))
+            first = np.where(repeats[0], first, np.maximum(first, place - before + 1))
+            at = np.flatnonzero(repeats.any(axis=0))
+            owner, first, stop, hashes = owner[at], first[at], stop[at], v[place[at]].view(np.int64)
+            raw, start = text.tobytes(), first - np.concatenate([[0], ends[:-1]])[owner]
+            parts = [raw[i:j] for i, j in zip(first.tolist(), (stop + length - 1).tolist(), strict=True)]
             doc, send, ids = docs[owner], [False] * len(parts), []
             for k, (part, d) in enumerate(zip(parts, doc.tolist(), strict=True)):
                 at = met.get(part)
@@ -289,7 +413,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
             yield pa.RecordBatch.from_arrays([*cols, pa.array(parts, pa.binary())], ["doc", "mark", "start", "anchor", "id", "send", "part"])
         trim()
 
-    parts = docs.join(wanted, "key").select("doc", "mark", "text", "anchors").mapInArrow(cut, "doc long, mark long, start int, anchor long, id long, send boolean, part binary")
+    parts = docs.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "keys").mapInArrow(cut, "doc long, mark long, start int, anchor long, id long, send boolean, part binary")
     parts = scratch.stage("parts", parts)
     scratch.drop("wanted")
     scratch.free_shuffles()
@@ -339,14 +463,15 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: i
     sorted_ = scratch.stage("sorted", sorted_)
     scratch.free_shuffles()
     if not sorted_.where(F.col("salt") == SHARED).isEmpty():
-        scratch.drop("parts", "sorted", "hot")
-        return find_repeats(docs.drop("key"), scratch, length, hot, identify, seed + 1)
+        scratch.drop("parts", "sorted", "hot", "copies")
+        return find_repeats(docs, scratch, length, hot, identify, seed + 1)
     runs = sorted_.where("salt < 0").select("anchor", "id", F.explode("runs").alias("r")).select("anchor", "id", "r.*")
     split = sorted_.where("salt >= 0").select("anchor", "id", "salt", "window", "offset", "least")
     runs = runs.unionByName(_merged(split, counts, hot, length))
     places = parts.select("doc", "mark", "start", "anchor", "id")
-    hit = places.join(runs, ["anchor", "id"]).where(F.col("least") < F.col("doc"))
-    return hit.groupBy("doc", "mark").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("start"), "n")).alias("spans"))
+    hit = places.join(runs, ["anchor", "id"]).where(F.col("least") < F.col("doc")).select("doc", "mark", (F.col("start") + F.col("off")).alias("start"), "n")
+    hit = hit.unionByName(copies.select("doc", "mark", F.lit(0).alias("start"), (F.col("n_bytes") - length + 1).alias("n")))
+    return hit.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _merged(split: DataFrame, counts: DataFrame, hot: int, length: int) -> DataFrame:
@@ -388,7 +513,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot:
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text_or_empty().alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     spans = scratch.stage("spans", find_repeats(rows.select("doc", "mark", "text"), scratch, length, hot, identify))
-    scratch.drop("parts", "sorted", "hot")
+    scratch.drop("parts", "sorted", "hot", "copies")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
