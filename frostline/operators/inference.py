@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,39 +55,53 @@ def standardise(rows: DataFrame, columns: list[str], keep: Callable[[str, DataFr
 def k_means(rows: DataFrame, key: str, columns: list[str], k: int = 4, rounds: int = 50, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(session_id, key, regime, confidence): Lloyd's rounds in each session from its k first rows by key; an empty cluster keeps its centre.
 
-    Rounds end when no row's regime changes, or after ``rounds``. The centres, k rows a session, travel as one array a session; each
-    round is one aggregation, which also counts the rows whose regime is not that by the centres before. confidence is 1 / (1 + d^2). keep(name, df) writes
-    the rows once and the centres between rounds (in spark.checkpoint.dir if not given).
+    A session's rounds end when no row's regime changes, or after ``rounds``. The centres before and now are arrays in one row a session; each
+    round is one aggregation over the rows of sessions that still move, which also counts the rows whose regime is not that by the centres before.
+    confidence is 1 / (1 + d^2). keep(name, df) writes the rows once and the centres between rounds (in spark.checkpoint.dir if not given).
     """
     keep = keep or Store(rows.sparkSession).keep
-    x = rows.select("session_id", key, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    names = [f"x{i}" for i in range(len(columns))]
+    x = rows.select("session_id", F.col(key).alias("key"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
     if rounds > 1:
         x = keep("points", x)
     # compared as it is, a row number lets each task hand on its k first rows alone
-    first = x.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy(key))).where(F.col("n") <= k).withColumn("regime", F.col("n") - 1)
-    centres = selection.small(keep("centres0", first.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("regime", F.col("x").alias("c")))).alias("centres"))))
-    before = None
+    first = x.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("key"))).where(F.col("n") <= k)
+    first = first.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.array(*names).alias("c")))), lambda e: e["c"]).alias("now"))
+    centres = keep("centres0", first.select("session_id", F.lit(None).cast("array<array<double>>").alias("was"), "now", F.lit(1).cast("long").alias("moved")))
+    few = centres.count() <= selection.SMALL
+
+    def placed(moving: DataFrame, *which: str) -> DataFrame:
+        """Rows beside the centres of their sessions, a column a coordinate."""
+        flat = moving.select("session_id", F.size("now").alias("n_centres"), *[F.get(F.get(w, F.lit(j)), F.lit(i)).alias(f"{w}{j}_{i}") for w in which for j in range(k) for i in range(len(names))])
+        return x.join(F.broadcast(flat) if few else flat, "session_id")
+
     for turn in range(rounds):
-        near = nearest_centre(x, centres, key)
-        if before is None:
-            near = near.withColumn("was", F.lit(-1))
-        else:
-            near = nearest_centre(near.select("session_id", key, "x", F.col("regime").alias("now")), before, key).select("session_id", "x", F.col("now").alias("regime"), F.col("regime").alias("was"))
-        means = near.groupBy("session_id", "regime").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(columns))]).alias("c"), F.sum((F.col("regime") != F.col("was")).cast("long")).alias("moved"))
-        means = keep(f"means{turn}", means)
-        if turn and means.where("moved > 0").isEmpty():
+        near = nearest_centre(placed(centres.where("moved > 0"), "now", *["was"] * bool(turn)), names, k, "now").withColumnRenamed("regime", "to")
+        near = nearest_centre(near, names, k, "was") if turn else near.withColumn("regime", F.lit(-1))
+        means = near.groupBy("session_id", "to").agg(F.array(*[F.avg(n) for n in names]).alias("c"), F.sum((F.col("to") != F.col("regime")).cast("long")).alias("moved"))
+        new = means.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("to", "c"))).alias("m"), F.sum("moved").alias("moved"))
+        new = centres.drop("moved").join(new, "session_id", "left").withColumn("moved", F.coalesce("moved", F.lit(0)))
+        kept = F.when(F.col("moved") > 0, F.transform("now", lambda c, j: F.coalesce(F.col("m")[j], c))).otherwise(F.col("now"))
+        centres = keep(f"centres{turn + 1}", new.select("session_id", F.col("now").alias("was"), kept.alias("now"), "moved"))
+        if turn < rounds - 1 and centres.where("moved > 0").isEmpty():
             break
-        new = means.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("regime", "c"))).alias("m"))
-        kept = F.transform("centres", lambda e: F.struct(e["regime"].alias("regime"), F.coalesce(F.col("m")[e["regime"]], e["c"]).alias("c")))
-        before, centres = centres, selection.small(keep(f"centres{turn + 1}", centres.join(new, "session_id").select("session_id", kept.alias("centres"))))
-    return nearest_centre(x, centres, key).select("session_id", key, "regime", (1.0 / (1.0 + F.col("d2"))).alias("confidence"))
+    out = nearest_centre(placed(centres, "now"), names, k, "now")
+    return out.select("session_id", F.col("key").alias(key), "regime", (1.0 / (1.0 + F.col("d2"))).alias("confidence"))
 
 
-def nearest_centre(x: DataFrame, centres: DataFrame, key: str) -> DataFrame:
-    """x (session_id, key, x array) with regime and d2 of the nearest of its session's centres, the first on a tie."""
-    d2 = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    best = F.array_min(F.transform("centres", lambda e: F.struct(d2(e["c"]).alias("d2"), e["regime"].alias("regime"))))
-    return x.join(centres, "session_id").withColumn("b", best).select(*x.columns, F.col("b.regime").alias("regime"), F.col("b.d2").alias("d2"))
+def nearest_centre(rows: DataFrame, names: list[str], k: int, which: str) -> DataFrame:
+    """rows with regime and d2 of the nearest of n_centres centres, k at most, the first on a tie; coordinate i of centre j is the column {which}{j}_{i}.
+
+    Plain columns throughout, so that Spark compiles them. A distance that is null stands before all others.
+    """
+    there = [c for c in rows.columns if not c.startswith(which)]
+    squares = lambda j: reduce(add, [(F.col(n) - F.col(f"{which}{j}_{i}")) * (F.col(n) - F.col(f"{which}{j}_{i}")) for i, n in enumerate(names)])
+    d = [F.col(f"d_{j}") for j in range(k)]
+    rows = rows.select(*there, *[squares(j).alias(f"d_{j}") for j in range(k)])
+    rows = rows.withColumn("d2", F.least(*d) if k > 1 else d[0])
+    unknown = [(F.col("n_centres") > j) & d[j].isNull() for j in range(k)]
+    regime = F.coalesce(*[F.when(u, j) for j, u in enumerate(unknown)], *[F.when(d[j] == F.col("d2"), j) for j in range(k)])
+    return rows.select(*there, regime.alias("regime"), F.when(~reduce(or_, unknown), F.col("d2")).alias("d2"))
 
 
 def regime_timeline(assigned: DataFrame, k: int, seconds: int = 60) -> DataFrame:
